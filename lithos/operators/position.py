@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,13 @@ def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     )
     # Reliable checkpoint: the partition ids, local numbers and the range bounds they came
     # from are fixed once; recomputation after an executor loss reads the same files.
-    return ranged.checkpoint(eager=True)
+    # Persisting first lets the checkpoint write read the rows the count job just computed
+    # instead of running the range shuffle a second time.
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return ranged.checkpoint(eager=True)
+    finally:
+        ranged.unpersist(blocking=False)
 
 
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:

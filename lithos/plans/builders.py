@@ -47,6 +47,17 @@ class BuiltObject:
     rows: DataFrame | None = None
     lookups: dict[str, DataFrame] = field(default_factory=dict)
 
+    def array(self, array_id: str) -> DataFrame:
+        """The array DataFrame; arrays that need a sort are defined lazily and built here."""
+        a = self.arrays[array_id]
+        if callable(a):
+            a = a()
+            self.arrays[array_id] = a
+        return a
+
+    def arrays_of(self, role: str) -> list[str]:
+        return [aid for aid, r in self.array_roles.items() if r == role]
+
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row DataFrame to every row of ``df`` through a scalar
@@ -76,25 +87,41 @@ def _bbox(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{b}_{a}").alias(f"{b}_{a}") for a in "xyz" for b in ("min", "max")])
 
 
-def _attributes(built: BuiltObject, df: DataFrame, specs: list[AttributeSpec], order_col: str, scope: str,
+def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: str, scope: str,
                 rows: Column) -> Column:
-    """Add the arrays of each attribute to ``built`` and return the document array."""
+    """Add the arrays of each attribute to ``built`` and return the document array.
+
+    ``df`` may be a zero-arg callable (rows that still need sorting): the arrays are then
+    defined lazily, and nothing is computed unless the array is asked for or written."""
     docs = []
+    lazy = callable(df)
     for s in specs:
         if s.kind == "category":
             lk_id, codes_id = _aid("lookup"), _aid("codes")
-            lookup = category_lookup(df, s.name, order_col)
-            built.lookups[s.name] = lookup
-            built.arrays[lk_id] = lookup
+            if lazy:
+                cache: dict = {}
+
+                def lk(s=s, cache=cache):
+                    if "lk" not in cache:
+                        cache["lk"] = category_lookup(df(), s.name, order_col)
+                    return cache["lk"]
+
+                built.arrays[lk_id] = lk
+                built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(df(), s.name, lk(), keep=["pos"], name="data"))
+            else:
+                lookup = category_lookup(df, s.name, order_col)
+                built.lookups[s.name] = lookup
+                built.arrays[lk_id] = lookup
+                built.arrays[codes_id] = category_codes(df, s.name, lookup, keep=["pos"], name="data")
             built.array_roles[lk_id] = "lookup"
-            built.arrays[codes_id] = category_codes(df, s.name, lookup, keep=["pos"], name="data")
             built.array_roles[codes_id] = "codes"
             docs.append(F.struct(
                 F.lit(s.name).alias("name"), F.lit(s.key).alias("key"), F.lit("category").alias("attribute_type"),
                 _ref(lk_id, F.lit(None)).alias("table"), _ref(codes_id, rows).alias("values")))
         else:
             v_id = _aid("values")
-            built.arrays[v_id] = continuous_values(df, s.name, keep=["pos"], name="data")
+            built.arrays[v_id] = ((lambda s=s: continuous_values(df(), s.name, keep=["pos"], name="data")) if lazy
+                                  else continuous_values(df, s.name, keep=["pos"], name="data"))
             built.array_roles[v_id] = "values"
             docs.append(F.struct(
                 F.lit(s.name).alias("name"), F.lit(s.key).alias("key"), F.lit("continuous").alias("attribute_type"),
@@ -255,10 +282,13 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     lookup = hole_lookup(collar, collar_id)
     built.lookups[collar_id] = lookup
     crows = sorted_rows(collar, collar_id, None, collar_tie)
-    srows = sorted_rows(survey, survey_id, depth, survey_tie)
     built.rows = crows
-    gate = gate_status(coordinate_summary(crows, x, y, z), "collar rows")
-    uniq = crows.agg(F.count_distinct(hole_text(crows, collar_id)).alias("unique_holes"))
+
+    def srows():
+        return sorted_rows(survey, survey_id, depth, survey_tie)
+
+    gate = gate_status(coordinate_summary(collar, x, y, z), "collar rows")
+    uniq = collar.agg(F.count_distinct(hole_text(collar, collar_id)).alias("unique_holes"))
     dup_warn = F.when(F.col("rows") != F.col("unique_holes"), F.array(F.concat(
         F.lit("Collar has duplicate hole IDs: "), F.col("rows").cast("string"), F.lit(" rows, "),
         F.col("unique_holes").cast("string"), F.lit(" unique")))).otherwise(F.array().cast("array<string>"))
@@ -272,20 +302,21 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     built.arrays[ids["distances"]] = A.project_array(dist, "distances", ["final", "target", "current"])
     built.arrays[ids["lookup"]] = lookup
     built.arrays[ids["codes"]] = collar_keys(crows, collar_id, lookup, keep=("pos",)).select("pos", F.col("key").alias("data"))
-    built.arrays[ids["holes"]] = hole_index_map(srows, survey_id, lookup)
-    built.arrays[ids["path"]] = A.path(srows, depth, azimuth, dip)
+    # The index counts rows per hole; it does not need the sorted rows.
+    built.arrays[ids["holes"]] = hole_index_map(survey, survey_id, lookup)
+    built.arrays[ids["path"]] = lambda: A.path(srows(), depth, azimuth, dip)
     for role, aid in ids.items():
         built.array_roles[aid] = role
     coll_docs = []
     for c in collections:
-        arrs, rows = interval_collection(c, lookup)
         ft_id, h_id = _aid("from_to"), _aid("holes")
-        built.arrays[ft_id], built.array_roles[ft_id] = arrs["from_to"], "from_to"
-        built.arrays[h_id], built.array_roles[h_id] = arrs["holes"], "holes"
-        specs, w = plan_attributes(rows, attribute_columns(rows, c.attribute_cols, [c.id_col, c.from_col, c.to_col, "pos", *c.tie_cols]),
+        crows_c = (lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols))
+        built.arrays[ft_id], built.array_roles[ft_id] = (lambda f=crows_c, c=c: A.from_to(f(), c.from_col, c.to_col)), "from_to"
+        built.arrays[h_id], built.array_roles[h_id] = hole_index_map(c.df, c.id_col, lookup), "holes"
+        specs, w = plan_attributes(c.df, attribute_columns(c.df, c.attribute_cols, [c.id_col, c.from_col, c.to_col, "pos", *c.tie_cols]),
                                    [c.id_col, c.from_col, c.to_col, "pos"])
         built.warnings += w
-        attrs = _attributes(built, rows, specs, "pos", c.name, F.lit(None))
+        attrs = _attributes(built, crows_c, specs, "pos", c.name, F.lit(None))
         coll_docs.append(F.struct(F.lit(c.name).alias("name"),
                                   F.struct(F.struct(_ref(ft_id, F.lit(None)).alias("start_and_end")).alias("intervals"),
                                            attrs.alias("attributes")).alias("from_to"),
@@ -346,6 +377,6 @@ def build_downhole_intervals(df: DataFrame, hole_id: str, from_col: str, to_col:
 
 def write_object(built: BuiltObject, base_path: str) -> DataFrame:
     """Write every array of ``built`` under ``base_path`` and return the document row."""
-    for aid, df in built.arrays.items():
-        A.write_array(df, base_path, built.array_roles[aid], aid)
+    for aid in list(built.arrays):
+        A.write_array(built.array(aid), base_path, built.array_roles[aid], aid)
     return built.document

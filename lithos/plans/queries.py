@@ -280,13 +280,11 @@ def q_downhole_collection(spark, d):
     built = build_downhole_collection(
         R.collar(spark, d), R.survey(spark, d), "hole_id", "hole_id", "x", "y", "z", "depth", "azimuth", "dip",
         collections=cfgs, invert_z=True, survey_tie=R.LINEITEM_ORDER)
-    by_role = {}
-    for aid, role in built.array_roles.items():
-        by_role.setdefault(role, []).append(aid)
-    survey_idx = built.arrays[by_role["holes"][0]]
+    holes = built.arrays_of("holes")
+    survey_idx = built.array(holes[0])
     out = survey_idx.select("hole_index", F.col("offset").alias("survey_offset"), F.col("count").alias("survey_count"))
-    for cfg, aid in zip(cfgs, by_role["holes"][1:]):
-        ci = built.arrays[aid].select("hole_index", F.col("offset").alias(f"{cfg.name}_offset"),
+    for cfg, aid in zip(cfgs, holes[1:]):
+        ci = built.array(aid).select("hole_index", F.col("offset").alias(f"{cfg.name}_offset"),
                                       F.col("count").alias(f"{cfg.name}_count"))
         out = out.join(ci, "hole_index")
     return out

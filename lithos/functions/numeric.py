@@ -23,7 +23,7 @@ def coerce_double(c, dtype: DataType | None = None) -> Column:
     if dtype is not None and not isinstance(dtype, StringType):
         return c.cast("string").try_cast("double")
     t = F.trim(c)
-    bad = t.rlike(r"[dDfF]$") | t.rlike(r"^[+-]?0[xX]")
+    bad = (t.rlike(r"[dDfF]$") & ~t.rlike(r"(?i)^[+-]?inf$")) | t.rlike(r"^[+-]?0[xX]")
     return F.when(bad, F.lit(None).cast("double")).otherwise(t.try_cast("double"))
 
 

@@ -15,9 +15,9 @@ Three shapes share one technique:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def _cols(cols) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
-    """Range partition + local sort + partition id + local row number, checkpointed."""
+    """Range partition + local sort + partition id + local row number, materialised."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = _cols(order_cols)
     ranged = (
@@ -42,15 +42,18 @@ def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     )
-    # Reliable checkpoint: the partition ids, local numbers and the range bounds they came
-    # from are fixed once; recomputation after an executor loss reads the same files.
-    # Persisting first lets the checkpoint write read the rows the count job just computed
-    # instead of running the range shuffle a second time.
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return ranged.checkpoint(eager=True)
-    finally:
-        ranged.unpersist(blocking=False)
+    # The partition ids, local numbers and the range bounds they came from are fixed once by
+    # writing them as a parquet table in the shared checkpoint folder: lineage is cut, a lost
+    # executor re-reads the same files, and later reads prune to the columns they need.
+    return materialize(ranged)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet under the session's checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lithos-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:

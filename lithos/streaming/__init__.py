@@ -1,0 +1,10 @@
+"""Micro-batch adapters: the batch operators applied to files as they arrive.
+
+The workloads being mirrored have no streaming operator (no windows, watermarks or state);
+what arrives over time is files in a data folder. ``gate_arriving_files`` runs the typed
+scan and the coordinate gate on each micro-batch of new CSV files, one report row per file.
+"""
+
+from lithos.streaming.arrivals import gate_arriving_files
+
+__all__ = ["gate_arriving_files"]

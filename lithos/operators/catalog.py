@@ -29,14 +29,16 @@ OBJECT_META = ("workspace_id", "id", "name", "path", "schema_id", "version_id",
 def current_versions(objects: DataFrame) -> DataFrame:
     """ORD-4: the latest version of every object (created_at, then version_id, descending).
 
-    A max over a struct per object id instead of ``row_number`` over a window: the aggregate
-    is partial map-side, so an object with a third of all versions is still combined before the
-    shuffle.
+    The latest key per object is a max over a narrow struct (partial aggregation map-side, so
+    an object with a third of all versions is combined before the shuffle); the version rows
+    are then kept by a semi join on (workspace, id, version). That key is unique per version,
+    so the join spreads a hot object's versions over many tasks, and columns the caller does
+    not use (the document) are pruned from the scan instead of travelling through a sort.
     """
-    rest = [c for c in objects.columns if c not in ("workspace_id", "id", "created_at", "version_id")]
     latest = objects.groupBy("workspace_id", "id").agg(
-        F.max(F.struct("created_at", "version_id", *rest)).alias("__v"))
-    return latest.select("workspace_id", "id", "__v.created_at", "__v.version_id", *[f"__v.{c}" for c in rest]).select(*objects.columns)
+        F.max(F.struct("created_at", "version_id")).alias("__v")).select(
+        "workspace_id", "id", F.col("__v.version_id").alias("version_id"))
+    return objects.join(latest, ["workspace_id", "id", "version_id"], "left_semi")
 
 
 def object_listing(objects: DataFrame) -> DataFrame:

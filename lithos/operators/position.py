@@ -48,12 +48,16 @@ def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     return materialize(ranged)
 
 
+def materialize_path(df: DataFrame) -> str:
+    """Write ``df`` as parquet under the session's checkpoint folder; return the path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/lithos-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lithos-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(materialize_path(df))
 
 
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:

@@ -38,21 +38,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of the session.
+    """Return the shared checkpoint folder of the session.
 
     The folder the cluster names in ``spark.checkpoint.dir`` wins. Only a local-mode
     session without one gets a fresh scratch folder; a cluster without one is an error,
     because a machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lithos-ckpt-", dir="/tmp"))
-        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir()
+        master = sc.master
+    else:
+        if configured:
+            return configured
+        master = spark.conf.get("spark.master", "")
+    if master.startswith("local"):
+        folder = _LOCAL_SCRATCH.get(id(spark)) or tempfile.mkdtemp(prefix="lithos-ckpt-", dir="/tmp")
+        _LOCAL_SCRATCH[id(spark)] = folder
+        if sc is not None:
+            sc.setCheckpointDir(folder)
+            return sc.getCheckpointDir()
+        return folder
     raise RuntimeError("spark.checkpoint.dir is not set; lithos needs a shared checkpoint folder on a cluster")
+
+
+_LOCAL_SCRATCH: dict[int, str] = {}

@@ -67,6 +67,18 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
         *df.columns, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
+def _once(fn):
+    """Memoise a zero-arg builder of a DataFrame (a lazy array computed at most once)."""
+    memo: dict = {}
+
+    def get():
+        if "v" not in memo:
+            memo["v"] = fn()
+        return memo["v"]
+
+    return get
+
+
 def _positioned(df: DataFrame, order_cols: Sequence | None, pos: str = "pos") -> DataFrame:
     if pos in df.columns:
         return df
@@ -99,13 +111,7 @@ def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: s
         if s.kind == "category":
             lk_id, codes_id = _aid("lookup"), _aid("codes")
             if lazy:
-                cache: dict = {}
-
-                def lk(s=s, cache=cache):
-                    if "lk" not in cache:
-                        cache["lk"] = category_lookup(df(), s.name, order_col)
-                    return cache["lk"]
-
+                lk = _once(lambda s=s: category_lookup(df(), s.name, order_col))
                 built.arrays[lk_id] = lk
                 built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(df(), s.name, lk(), keep=["pos"], name="data"))
             else:
@@ -281,11 +287,8 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     built = BuiltObject("downhole-collection", report=None)  # type: ignore[arg-type]
     lookup = hole_lookup(collar, collar_id)
     built.lookups[collar_id] = lookup
-    crows = sorted_rows(collar, collar_id, None, collar_tie)
-    built.rows = crows
-
-    def srows():
-        return sorted_rows(survey, survey_id, depth, survey_tie)
+    crows_f = _once(lambda: sorted_rows(collar, collar_id, None, collar_tie))
+    srows = _once(lambda: sorted_rows(survey, survey_id, depth, survey_tie))
 
     gate = gate_status(coordinate_summary(collar, x, y, z), "collar rows")
     uniq = collar.agg(F.count_distinct(hole_text(collar, collar_id)).alias("unique_holes"))
@@ -297,11 +300,13 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
                                F.concat("warnings", dup_warn).alias("warnings"), "rows", "unique_holes", "valid_rows",
                                *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     ids = {r: _aid(r) for r in ("coordinates", "distances", "lookup", "codes", "holes", "path")}
-    built.arrays[ids["coordinates"]] = A.coordinates(crows, x, y, z)
-    dist = hole_distances(crows, survey, collar_id, survey_id, depth, max_depth_col, keep=("pos",))
-    built.arrays[ids["distances"]] = A.project_array(dist, "distances", ["final", "target", "current"])
+    built.arrays[ids["coordinates"]] = lambda: A.coordinates(crows_f(), x, y, z)
+    built.arrays[ids["distances"]] = lambda: A.project_array(
+        hole_distances(crows_f(), survey, collar_id, survey_id, depth, max_depth_col, keep=("pos",)),
+        "distances", ["final", "target", "current"])
     built.arrays[ids["lookup"]] = lookup
-    built.arrays[ids["codes"]] = collar_keys(crows, collar_id, lookup, keep=("pos",)).select("pos", F.col("key").alias("data"))
+    built.arrays[ids["codes"]] = lambda: collar_keys(crows_f(), collar_id, lookup, keep=("pos",)).select(
+        "pos", F.col("key").alias("data"))
     # The index counts rows per hole; it does not need the sorted rows.
     built.arrays[ids["holes"]] = hole_index_map(survey, survey_id, lookup)
     built.arrays[ids["path"]] = lambda: A.path(srows(), depth, azimuth, dip)
@@ -310,7 +315,7 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     coll_docs = []
     for c in collections:
         ft_id, h_id = _aid("from_to"), _aid("holes")
-        crows_c = (lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols))
+        crows_c = _once(lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols))
         built.arrays[ft_id], built.array_roles[ft_id] = (lambda f=crows_c, c=c: A.from_to(f(), c.from_col, c.to_col)), "from_to"
         built.arrays[h_id], built.array_roles[h_id] = hole_index_map(c.df, c.id_col, lookup), "holes"
         specs, w = plan_attributes(c.df, attribute_columns(c.df, c.attribute_cols, [c.id_col, c.from_col, c.to_col, "pos", *c.tie_cols]),

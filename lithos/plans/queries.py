@@ -291,16 +291,17 @@ def q_downhole_collection(spark, d):
 
 
 def q_downhole_intervals(spark, d):
-    li = read_table(spark, d, "lineitem")
+    # Position the rows first (only the order columns are materialised), derive the points after.
+    li = with_ordered_index(read_table(spark, d, "lineitem").select(*R.LINEITEM_ORDER), list(R.LINEITEM_ORDER))
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     df = li.select(
-        *R.LINEITEM_ORDER, F.col("l_orderkey").cast("string").alias("hole_id"), q.alias("from"), (q + n).alias("to"),
+        "pos", "l_returnflag", F.col("l_orderkey").cast("string").alias("hole_id"), q.alias("from"), (q + n).alias("to"),
         q.alias("sx"), F.col("l_extendedprice").alias("sy"), (-q).alias("sz"),
         (q + n).alias("ex"), F.col("l_extendedprice").alias("ey"), (-(q + n)).alias("ez"))
     df = df.withColumn("mx", (F.col("sx") + F.col("ex")) / 2).withColumn("my", (F.col("sy") + F.col("ey")) / 2) \
         .withColumn("mz", (F.col("sz") + F.col("ez")) / 2)
     built = build_downhole_intervals(df, "hole_id", "from", "to", ["sx", "sy", "sz"], ["ex", "ey", "ez"], ["mx", "my", "mz"],
-                                     attribute_cols=["l_returnflag"], order_cols=list(R.LINEITEM_ORDER))
+                                     attribute_cols=["l_returnflag"])
     coded = category_codes(built.rows, "hole_id", built.lookups["hole_id"], keep=["pos", "from", "to", "mx", "my", "mz"],
                            name="hole_key")
     return coded.select("pos", "hole_key", "from", "to", F.col("mx").alias("mid_x"), F.col("my").alias("mid_y"),

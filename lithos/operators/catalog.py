@@ -15,6 +15,7 @@ filters (pushed to the scan), one aggregate for the latest version, and joins.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -139,13 +140,24 @@ def object_references(objects: DataFrame) -> DataFrame:
         "workspace_id", "id", "version_id", F.posexplode(data_references("document")).alias("ordinal", "blob_id"))
 
 
-def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id: str, snapshot_name: str,
-                       snapshot_time, include_data_blobs: bool = False) -> DataFrame:
+def default_snapshot_name(now: _dt.datetime | None = None) -> tuple[str, str]:
+    """SCL-2: (``snapshot_<utc iso>``, the iso time) for a snapshot without a name."""
+    ts = (now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).isoformat()
+    return f"snapshot_{ts}", ts
+
+
+def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id: str, snapshot_name: str = "",
+                       snapshot_time: str | None = None, include_data_blobs: bool = False) -> DataFrame:
     """AGG-10 / CAT-2: the flat snapshot table, one row per current object.
 
-    ``snapshot_time`` is a timestamp literal fixed by the caller. With ``include_data_blobs``
-    each row carries its references (a document that yields none gets ``[]``).
+    ``snapshot_time`` is an ISO text fixed once by the caller (default: now, UTC), and an empty
+    name defaults to ``snapshot_<time>``. With ``include_data_blobs`` each row carries its
+    references (a document that yields none gets ``[]``).
     """
+    if not snapshot_name or snapshot_time is None:
+        default_name, now = default_snapshot_name()
+        snapshot_time = snapshot_time or now
+        snapshot_name = snapshot_name or default_name
     cur = current_versions(objects.filter(F.col("workspace_id") == F.lit(workspace_id)))
     ws = workspaces.filter(F.col("id") == F.lit(workspace_id)).select(
         F.col("id").alias("workspace_id"), F.col("name").alias("workspace_name"),
@@ -205,3 +217,46 @@ def duplicate_workspace(objects: DataFrame, blobs: DataFrame, source_workspace_i
         .select("objects_copied", "objects_failed", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
     )
     return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts}
+
+
+def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id: str, target_workspace_id: str,
+                object_id: str, version: str = "") -> dict[str, DataFrame]:
+    """CAT-3: copy one object (a version pin, else the latest) with its blobs.
+
+    Unlike the workspace duplicate, ``data_blobs_copied`` counts the references with repeats,
+    as the single-object copy of the original does. Returns ``new_objects``, ``new_blobs``,
+    ``counts`` (one row).
+    """
+    src = objects.filter((F.col("workspace_id") == F.lit(source_workspace_id)) & (F.col("id") == F.lit(object_id)))
+    src = src.filter(F.col("version_id") == F.lit(version)) if version else current_versions(src)
+    refs = object_references(src)
+    store = blobs.filter(F.col("workspace_id") == F.lit(source_workspace_id)).select("blob_id", "length").dropDuplicates(["blob_id"])
+    target_has = blobs.filter(F.col("workspace_id") == F.lit(target_workspace_id)).select("blob_id")
+    new_blobs = refs.select("blob_id").distinct().join(store, "blob_id").join(target_has, "blob_id", "left_anti").select(
+        F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
+    new_objects = src.select(
+        F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
+        F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"),
+        "document")
+    counts = src.agg(F.count(F.lit(1)).alias("objects_copied")).select(
+        "objects_copied", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
+    return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts}
+
+
+def append_objects(new_objects: DataFrame, objects_path: str, created_by: str = "lithos") -> DataFrame:
+    """SNK-10: append new object versions to the stored ``objects`` table.
+
+    Each row gets a fresh object id, a version id that is the SHA-256 of its document, and
+    the append time; ``uuid`` inside the document stays unset (the store assigns identity).
+    The table is partitioned by workspace, so listings prune to one folder. Returns the
+    appended metadata rows (id, name, path, version_id, created_at).
+    """
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    rows = new_objects.select(
+        "workspace_id", F.expr("uuid()").alias("id"), "name", "path", "schema_id",
+        F.sha2("document", 256).alias("version_id"), F.lit(now).alias("created_at"),
+        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document")
+    rows.write.mode("append").partitionBy("workspace_id").parquet(objects_path)
+    stored = new_objects.sparkSession.read.parquet(objects_path)
+    return stored.filter(F.col("created_at") == F.lit(now)).select(
+        "workspace_id", "id", "name", "path", "version_id", iso_timestamp("created_at").alias("created_at"))

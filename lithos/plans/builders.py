@@ -276,6 +276,9 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     ms = missing_columns(survey, [survey_id, depth, azimuth, dip])
     if ms:
         errors.append(f"Missing survey columns: {ms}")
+    collections = [c if c.name else IntervalConfig(f"collection_{i}", c.df, c.id_col, c.from_col, c.to_col,
+                                                   c.attribute_cols, c.tie_cols)
+                   for i, c in enumerate(collections)]  # SCL-2 default names
     for c in collections:
         m = missing_columns(c.df, [c.id_col, c.from_col, c.to_col])
         if m:
@@ -385,3 +388,40 @@ def write_object(built: BuiltObject, base_path: str) -> DataFrame:
     for aid in list(built.arrays):
         A.write_array(built.array(aid), base_path, built.array_roles[aid], aid)
     return built.document
+
+
+def create_object(built: BuiltObject, arrays_path: str, objects_path: str, workspace_id: str, object_path: str,
+                  dry_run: bool = True) -> dict:
+    """OBJ-5/9 + SNK-10: the build-and-create flow as one report.
+
+    * ``dry_run`` (default): the gate aggregate only, status ``validation_passed`` or
+      ``validation_failed``; no sink is touched.
+    * otherwise a failed gate stops here; the document is checked against the object catalog
+      (``schema_validation_failed`` when required fields are missing); then every array is
+      written and the document appended (``created``), or ``creation_failed`` with the error.
+
+    Only the one-row report and the one-row conformance result reach the driver.
+    """
+    from lithos.operators.catalog import append_objects
+    from lithos.plans.schemas import conformance
+
+    report = built.report.first().asDict(recursive=True)
+    result = {"status": report["status"], "validation": report, "warnings": list(built.warnings)}
+    if dry_run or report["status"] != "validation_passed" or built.document is None:
+        return result
+    doc = built.document.select(
+        F.lit("new").alias("id"), F.lit("new").alias("version_id"),
+        F.lit(built.object_type).alias("schema_id"), "document")
+    missing = [r["missing_field"] for r in conformance(doc).filter(F.col("missing_field") != "uuid").collect()]
+    if missing:
+        return {**result, "status": "schema_validation_failed", "error": f"missing fields: {missing}"}
+    try:
+        document = write_object(built, arrays_path)
+        name = F.get_json_object("document", "$.name")
+        meta = append_objects(document.select(
+            F.lit(workspace_id).alias("workspace_id"), name.alias("name"), F.lit(object_path).alias("path"),
+            F.lit(built.object_type).alias("schema_id"), "document"), objects_path).first()
+        return {**result, "status": "created", "object_id": meta["id"], "version_id": meta["version_id"],
+                "path": meta["path"]}
+    except Exception as e:  # noqa: BLE001 - reported, as the original tool does
+        return {**result, "status": "creation_failed", "error": str(e)}

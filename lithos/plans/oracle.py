@@ -295,6 +295,11 @@ SQL: dict[str, str] = {
     "duplicate_counts": f"""WITH {_dup_ctes(COPY_SCHEMAS)}
         SELECT (SELECT count(*) FROM ok) AS objects_copied, (SELECT count(*) FROM failed) AS objects_failed,
                (SELECT count(*) FROM ok_refs) AS data_blobs_copied""",
+    "copy_object": f"""WITH {OBJ}
+        SELECT count(*) AS objects_copied,
+               (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM cur WHERE workspace_id = {LOOKUP_WS}
+                                                                   AND id = {LOOKUP_ID})) AS data_blobs_copied
+        FROM cur WHERE workspace_id = {LOOKUP_WS} AND id = {LOOKUP_ID}""",
     "schema_conformance": f"""WITH {OBJ},
         req(object_type, parameter) AS (VALUES {_conformance_values()}),
         has_lines AS (SELECT DISTINCT l_orderkey FROM lineitem)

@@ -422,6 +422,12 @@ def q_duplicate_counts(spark, d):
     return res["counts"]
 
 
+def q_copy_object(spark, d):
+    ws, oid, _ = _lookup_target(spark, d)
+    res = C.copy_object(R.objects(spark, d), R.blobs(spark, d), ws, TARGET_WS, oid)
+    return res["counts"]
+
+
 def q_schema_conformance(spark, d):
     cur = C.current_versions(R.objects(spark, d))
     return conformance(cur)

@@ -56,8 +56,9 @@ def materialize_path(df: DataFrame) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet under the session's checkpoint folder and read it back."""
-    return df.sparkSession.read.parquet(materialize_path(df))
+    """Write ``df`` as parquet under the session's checkpoint folder and read it back
+    (with the known schema, so no footer inference pass)."""
+    return df.sparkSession.read.schema(df.schema).parquet(materialize_path(df))
 
 
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:

@@ -44,8 +44,21 @@ class BuiltObject:
     arrays: dict[str, DataFrame] = field(default_factory=dict)
     array_roles: dict[str, str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
-    rows: DataFrame | None = None
-    lookups: dict[str, DataFrame] = field(default_factory=dict)
+    rows: object = None  # DataFrame, or a zero-arg callable that positions the rows on demand
+    lookups: dict[str, object] = field(default_factory=dict)
+
+    def positioned(self) -> DataFrame:
+        """The input rows with their dense ``pos`` (ranked on first use)."""
+        if callable(self.rows):
+            self.rows = self.rows()
+        return self.rows
+
+    def lookup(self, column: str) -> DataFrame:
+        lk = self.lookups[column]
+        if callable(lk):
+            lk = lk()
+            self.lookups[column] = lk
+        return lk
 
     def array(self, array_id: str) -> DataFrame:
         """The array DataFrame; arrays that need a sort are defined lazily and built here."""
@@ -112,6 +125,7 @@ def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: s
             lk_id, codes_id = _aid("lookup"), _aid("codes")
             if lazy:
                 lk = _once(lambda s=s: category_lookup(df(), s.name, order_col))
+                built.lookups[s.name] = lk
                 built.arrays[lk_id] = lk
                 built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(df(), s.name, lk(), keep=["pos"], name="data"))
             else:
@@ -157,18 +171,18 @@ def build_pointset(df: DataFrame, x: str, y: str, z: str, name: str = "pointset"
     missing = missing_columns(df, [x, y, z])
     if missing:
         return _failed("pointset", [f"Missing required columns: {missing}"], [], df.sparkSession)
-    rows_df = _positioned(df, order_cols)
-    cols = attribute_columns(rows_df, attribute_cols, [x, y, z, "pos"])
-    specs, warns = plan_attributes(rows_df, cols, exclude=[x, y, z, "pos"])
-    built = BuiltObject("pointset", report=None, warnings=warns, rows=rows_df)  # type: ignore[arg-type]
-    summary = gate_status(coordinate_summary(rows_df, x, y, z), "rows")
+    rows_f = _once(lambda: _positioned(df, order_cols))
+    cols = attribute_columns(df, attribute_cols, [x, y, z, "pos"])
+    specs, warns = plan_attributes(df, cols, exclude=[x, y, z, "pos"])
+    built = BuiltObject("pointset", report=None, warnings=warns, rows=rows_f)  # type: ignore[arg-type]
+    summary = gate_status(coordinate_summary(df, x, y, z), "rows")
     built.report = summary.select(F.lit("pointset").alias("object_type"), "status", "errors",
                                   F.concat("warnings", F.array(*[F.lit(w) for w in warns]).cast("array<string>")).alias("warnings"),
                                   "rows", "valid_rows", "missing_rows", *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     coords_id = _aid("coordinates")
-    built.arrays[coords_id] = A.coordinates(rows_df, x, y, z)
+    built.arrays[coords_id] = lambda: A.coordinates(rows_f(), x, y, z)
     built.array_roles[coords_id] = "coordinates"
-    attrs = _attributes(built, rows_df, specs, "pos", "locations", F.col("rows"))
+    attrs = _attributes(built, rows_f, specs, "pos", "locations", F.col("rows"))
     built.document = summary.select(F.to_json(F.struct(
         *_header(name, description, tags, crs, "pointset"), _bbox().alias("bounding_box"),
         F.struct(_ref(coords_id, F.col("rows")).alias("coordinates"), attrs.alias("attributes")).alias("locations"),
@@ -190,8 +204,11 @@ def build_line_segments(vertices: DataFrame, segments: DataFrame, x: str, y: str
         errors.append(f"Missing segment columns: {ms}")
     if errors:
         return _failed("line-segments", errors, [], vertices.sparkSession)
-    v = _positioned(vertices, vertex_order)
-    s = _positioned(segments, segment_order)
+    # Vertex positions are the vertex index, so the vertices are ranked (unless given); the
+    # gate itself needs neither ranking and runs on the raw rows.
+    v_f = _once(lambda: _positioned(vertices, vertex_order))
+    s_f = _once(lambda: _positioned(segments, segment_order))
+    v, s = vertices, segments
     vspecs, vw = plan_attributes(v, attribute_columns(v, vertex_attribute_cols, [x, y, z, "pos"]), [x, y, z, "pos"])
     sspecs, sw = plan_attributes(s, attribute_columns(s, segment_attribute_cols, [start, end, "pos"]), [start, end, "pos"])
     built = BuiltObject("line-segments", report=None, warnings=vw + sw)  # type: ignore[arg-type]
@@ -207,12 +224,12 @@ def build_line_segments(vertices: DataFrame, segments: DataFrame, x: str, y: str
         errs.alias("errors"), "warnings", "vertices", "segments", "max_start", "max_end", "bad_start", "bad_end",
         *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     vid, sid = _aid("coordinates"), _aid("indices")
-    built.arrays[vid] = A.coordinates(v, x, y, z)
+    built.arrays[vid] = lambda: A.coordinates(v_f(), x, y, z)
     built.array_roles[vid] = "coordinates"
-    built.arrays[sid] = A.index_pairs(s, start, end)
+    built.arrays[sid] = lambda: A.index_pairs(s_f(), start, end)
     built.array_roles[sid] = "indices"
-    vattrs = _attributes(built, v, vspecs, "pos", "vertices", F.col("vertices"))
-    sattrs = _attributes(built, s, sspecs, "pos", "indices", F.col("segments"))
+    vattrs = _attributes(built, v_f, vspecs, "pos", "vertices", F.col("vertices"))
+    sattrs = _attributes(built, s_f, sspecs, "pos", "indices", F.col("segments"))
     built.document = joined.select(F.to_json(F.struct(
         *_header(name, description, tags, crs, "line-segments"), _bbox().alias("bounding_box"),
         F.struct(
@@ -292,6 +309,7 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     built.lookups[collar_id] = lookup
     crows_f = _once(lambda: sorted_rows(collar, collar_id, None, collar_tie))
     srows = _once(lambda: sorted_rows(survey, survey_id, depth, survey_tie))
+    built.rows = crows_f
 
     gate = gate_status(coordinate_summary(collar, x, y, z), "collar rows")
     uniq = collar.agg(F.count_distinct(hole_text(collar, collar_id)).alias("unique_holes"))
@@ -352,26 +370,26 @@ def build_downhole_intervals(df: DataFrame, hole_id: str, from_col: str, to_col:
     m = missing_columns(df, required)
     if m:
         return _failed("downhole-intervals", [f"Missing required columns: {m}"], [], df.sparkSession)
-    rows = _positioned(df, order_cols)
-    specs, warns = plan_attributes(rows, attribute_columns(rows, attribute_cols, required + ["pos"]), required + ["pos"])
-    built = BuiltObject("downhole-intervals", report=None, warnings=warns, rows=rows)  # type: ignore[arg-type]
-    gate = gate_status(coordinate_summary(rows, *mid), "rows")
-    uniq = rows.agg(F.count_distinct(F.col(hole_id)).alias("unique_holes"))
+    rows_f = _once(lambda: _positioned(df, order_cols))
+    specs, warns = plan_attributes(df, attribute_columns(df, attribute_cols, required + ["pos"]), required + ["pos"])
+    built = BuiltObject("downhole-intervals", report=None, warnings=warns, rows=rows_f)  # type: ignore[arg-type]
+    gate = gate_status(coordinate_summary(df, *mid), "rows")
+    uniq = df.agg(F.count_distinct(F.col(hole_id)).alias("unique_holes"))
     head = attach_row(gate, uniq)
     built.report = head.select(F.lit("downhole-intervals").alias("object_type"), "status", "errors", "warnings",
                                "rows", "valid_rows", "unique_holes", *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     ids = {r: _aid(r) for r in ("start", "end", "mid_points", "from_to", "lookup", "codes")}
-    built.arrays[ids["start"]] = A.coordinates(rows, *start)
-    built.arrays[ids["end"]] = A.coordinates(rows, *end)
-    built.arrays[ids["mid_points"]] = A.coordinates(rows, *mid)
-    built.arrays[ids["from_to"]] = A.from_to(rows, from_col, to_col)
-    lookup = category_lookup(rows, hole_id, "pos")
+    built.arrays[ids["start"]] = lambda: A.coordinates(rows_f(), *start)
+    built.arrays[ids["end"]] = lambda: A.coordinates(rows_f(), *end)
+    built.arrays[ids["mid_points"]] = lambda: A.coordinates(rows_f(), *mid)
+    built.arrays[ids["from_to"]] = lambda: A.from_to(rows_f(), from_col, to_col)
+    lookup = _once(lambda: category_lookup(rows_f(), hole_id, "pos"))
     built.lookups[hole_id] = lookup
     built.arrays[ids["lookup"]] = lookup
-    built.arrays[ids["codes"]] = category_codes(rows, hole_id, lookup, keep=["pos"], name="data")
+    built.arrays[ids["codes"]] = lambda: category_codes(rows_f(), hole_id, lookup(), keep=["pos"], name="data")
     for r, aid in ids.items():
         built.array_roles[aid] = "coordinates" if r in ("start", "end", "mid_points") else r
-    attrs = _attributes(built, rows, specs, "pos", "intervals", F.col("rows"))
+    attrs = _attributes(built, rows_f, specs, "pos", "intervals", F.col("rows"))
     built.document = head.select(F.to_json(F.struct(
         *_header(name, description, tags, crs, "downhole-intervals"), _bbox().alias("bounding_box"),
         F.lit(is_composited).alias("is_composited"),

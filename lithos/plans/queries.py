@@ -64,7 +64,7 @@ def _docs_xyz(spark, d) -> DataFrame:
 def q_pointset(spark, d):
     built = build_pointset(_events_xyz(spark, d), "x", "y", "z", name="events", attribute_cols=["event_type"],
                            order_cols=["event_id"])
-    return category_codes(built.rows, "event_type", built.lookups["event_type"], keep=["pos", "x", "y", "z"])
+    return category_codes(built.positioned(), "event_type", built.lookup("event_type"), keep=["pos", "x", "y", "z"])
 
 
 def q_bounding_box(spark, d):
@@ -302,7 +302,7 @@ def q_downhole_intervals(spark, d):
         .withColumn("mz", (F.col("sz") + F.col("ez")) / 2)
     built = build_downhole_intervals(df, "hole_id", "from", "to", ["sx", "sy", "sz"], ["ex", "ey", "ez"], ["mx", "my", "mz"],
                                      attribute_cols=["l_returnflag"])
-    coded = category_codes(built.rows, "hole_id", built.lookups["hole_id"], keep=["pos", "from", "to", "mx", "my", "mz"],
+    coded = category_codes(built.positioned(), "hole_id", built.lookup("hole_id"), keep=["pos", "from", "to", "mx", "my", "mz"],
                            name="hole_key")
     return coded.select("pos", "hole_key", "from", "to", F.col("mx").alias("mid_x"), F.col("my").alias("mid_y"),
                         F.col("mz").alias("mid_z"))

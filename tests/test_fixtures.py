@@ -87,7 +87,7 @@ def test_e7_boolean_attribute_is_category_with_warning(spark):
                                "pos long, X double, Y double, Z double, active boolean")
     b = build_pointset(df, "X", "Y", "Z")
     assert any("Unknown dtype boolean" in w for w in b.warnings)
-    assert sorted(r["value"] for r in b.lookups["active"].collect()) == ["False", "True"]
+    assert sorted(r["value"] for r in b.lookup("active").collect()) == ["False", "True"]
 
 
 def test_e8_key_collision_reported(spark):
@@ -150,8 +150,8 @@ def test_e14_duplicate_collar_id(spark):
     b = build_downhole_collection(collar, survey, "HOLE_ID", "HOLE_ID", "X", "Y", "Z", "D", "AZ", "DIP")
     r = _report(b)
     assert any("duplicate hole IDs" in w for w in r["warnings"])
-    assert b.lookups["HOLE_ID"].count() == 2
-    keys = H.collar_keys(collar, "HOLE_ID", b.lookups["HOLE_ID"]).collect()
+    assert b.lookup("HOLE_ID").count() == 2
+    keys = H.collar_keys(collar, "HOLE_ID", b.lookup("HOLE_ID")).collect()
     assert sorted(r["key"] for r in keys) == [1, 1, 2]
 
 

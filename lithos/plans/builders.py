@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lithos.operators import arrays as A
 from lithos.operators.encode import (
-    AttributeSpec, attribute_columns, category_codes, category_lookup, continuous_values, plan_attributes,
+    AttributeSpec, attribute_columns, category_codes, category_lookup, category_lookups, continuous_values,
+    plan_attributes,
 )
 from lithos.operators.holes import collar_keys, hole_distances, hole_index_map, hole_lookup, hole_text
 from lithos.operators.position import with_ordered_index
@@ -116,23 +117,22 @@ def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: s
                 rows: Column) -> Column:
     """Add the arrays of each attribute to ``built`` and return the document array.
 
-    ``df`` may be a zero-arg callable (rows that still need sorting): the arrays are then
-    defined lazily, and nothing is computed unless the array is asked for or written."""
+    All category attributes of one table share a single ranked lookup (the unpivoted form of
+    SURVEY §4.3.3: one shuffle and one ordered index however many category columns there are);
+    each attribute's lookup is a filter of it. ``df`` may be a zero-arg callable (rows that
+    still need positioning or sorting): every array is then defined lazily and nothing is
+    computed unless the array is asked for or written."""
+    rows_f = df if callable(df) else (lambda: df)
+    cats = [s.name for s in specs if s.kind == "category"]
+    all_lookups = _once(lambda: category_lookups(rows_f(), cats, order_col))
     docs = []
-    lazy = callable(df)
     for s in specs:
         if s.kind == "category":
             lk_id, codes_id = _aid("lookup"), _aid("codes")
-            if lazy:
-                lk = _once(lambda s=s: category_lookup(df(), s.name, order_col))
-                built.lookups[s.name] = lk
-                built.arrays[lk_id] = lk
-                built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(df(), s.name, lk(), keep=["pos"], name="data"))
-            else:
-                lookup = category_lookup(df, s.name, order_col)
-                built.lookups[s.name] = lookup
-                built.arrays[lk_id] = lookup
-                built.arrays[codes_id] = category_codes(df, s.name, lookup, keep=["pos"], name="data")
+            lk = _once(lambda s=s: all_lookups().filter(F.col("attribute") == s.name).select("key", "value"))
+            built.lookups[s.name] = lk
+            built.arrays[lk_id] = lk
+            built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(rows_f(), s.name, lk(), keep=["pos"], name="data"))
             built.array_roles[lk_id] = "lookup"
             built.array_roles[codes_id] = "codes"
             docs.append(F.struct(
@@ -140,8 +140,7 @@ def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: s
                 _ref(lk_id, F.lit(None)).alias("table"), _ref(codes_id, rows).alias("values")))
         else:
             v_id = _aid("values")
-            built.arrays[v_id] = ((lambda s=s: continuous_values(df(), s.name, keep=["pos"], name="data")) if lazy
-                                  else continuous_values(df, s.name, keep=["pos"], name="data"))
+            built.arrays[v_id] = (lambda s=s: continuous_values(rows_f(), s.name, keep=["pos"], name="data"))
             built.array_roles[v_id] = "values"
             docs.append(F.struct(
                 F.lit(s.name).alias("name"), F.lit(s.key).alias("key"), F.lit("continuous").alias("attribute_type"),

@@ -250,6 +250,13 @@ SQL: dict[str, str] = {
         SELECT lower(c_mktsegment) AS id, c_mktsegment AS name, 'Objects of the ' || c_mktsegment || ' segment' AS description,
                'OWNER' AS user_role, {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at
         FROM ws ORDER BY name, id LIMIT 50""",
+    "get_workspace": f"""WITH pc AS (SELECT o_custkey, min(o_orderdate) AS f, max(o_orderdate) AS l FROM orders GROUP BY 1),
+        ws AS (SELECT c_mktsegment, min(f) AS created_at, max(l) AS updated_at FROM customer LEFT JOIN pc ON c_custkey = o_custkey
+               GROUP BY c_mktsegment)
+        SELECT lower(c_mktsegment) AS id, c_mktsegment AS name, 'Objects of the ' || c_mktsegment || ' segment' AS description,
+               'OWNER' AS user_role, {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at,
+               'system' AS created_by, 'unspecified' AS default_coordinate_system, c_mktsegment AS labels
+        FROM ws WHERE c_mktsegment = '{SOURCE_WS.upper()}'""",
     "list_objects": f"""WITH {OBJ}
         SELECT id, name, path, schema_id, version_id, {_iso('created_at')} AS created_at FROM cur
         WHERE workspace_id = '{SOURCE_WS}' AND schema_id = 'pointset' AND NOT deleted

@@ -344,6 +344,11 @@ def q_list_workspaces(spark, d):
     return C.list_workspaces(R.workspaces(spark, d))
 
 
+def q_get_workspace(spark, d):
+    ws = C.get_workspace(R.workspaces(spark, d), workspace_name=SOURCE_WS.upper())
+    return ws.withColumn("labels", F.concat_ws(",", "labels"))
+
+
 def q_list_objects(spark, d):
     return C.list_objects(R.objects(spark, d), SOURCE_WS, schema_id="pointset")
 

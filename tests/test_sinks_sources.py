@@ -119,3 +119,16 @@ def test_default_snapshot_name():
     from lithos.operators.catalog import default_snapshot_name
 
     assert default_snapshot_name(datetime.datetime(2024, 5, 1, 12, 0, 0)) == ("snapshot_2024-05-01T12:00:00", "2024-05-01T12:00:00")
+
+
+def test_write_snapshot_replaces_by_name(spark, tmp_path):
+    from lithos.operators.catalog import write_snapshot
+
+    a = spark.createDataFrame([("s1", "o1"), ("s1", "o2")], "snapshot_name string, object_id string")
+    b = spark.createDataFrame([("s2", "o3")], "snapshot_name string, object_id string")
+    path = str(tmp_path / "snaps")
+    write_snapshot(a, path)
+    write_snapshot(b, path)
+    write_snapshot(spark.createDataFrame([("s1", "o9")], "snapshot_name string, object_id string"), path)
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("snapshot_name", "object_id").collect())
+    assert got == [("s1", "o9"), ("s2", "o3")]

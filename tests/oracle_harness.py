@@ -38,9 +38,17 @@ def _norm(v, digits):
     return v
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str, digits=None) -> tuple[bool, str]:
     t = time.time()
     sdf = fn(spark, sf_dir)
+    s_types = dict(sdf.dtypes)
+    rel = con.sql(sql)
+    d_types = {c: DUCK_TO_SPARK.get(str(ty), str(ty)) for c, ty in zip(rel.columns, rel.types)}
+    if s_types != d_types:
+        return False, f"types differ: spark={s_types} duck={d_types}"
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     ts = time.time() - t

@@ -7,7 +7,6 @@ the operator itself (head sample, list limits).
 
 from __future__ import annotations
 
-import datetime as _dt
 import uuid as _uuid
 from collections.abc import Callable
 

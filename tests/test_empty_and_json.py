@@ -1,7 +1,5 @@
 """Empty inputs and JSON document helpers."""
 
-from pyspark.sql import functions as F
-
 from lithos.functions import document_keys, parse_document
 from lithos.operators import holes as H
 from lithos.operators.encode import category_lookup

@@ -2,8 +2,6 @@
 
 import json
 
-import pytest
-from pyspark.sql import functions as F
 
 from lithos.functions.refs import data_references
 from lithos.operators import catalog as C

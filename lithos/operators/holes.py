@@ -78,6 +78,43 @@ def hole_index_map(data: DataFrame, id_col: str, lookup: DataFrame) -> DataFrame
     )
 
 
+def hole_indexes(collar: DataFrame, collar_id: str, data: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """SEQ-2 + SEQ-3 for one collar and many row tables in a single ranked pass.
+
+    The lookup keys (rank among collar holes) and each table's offsets (rows of every hole
+    before, orphans included) are all exclusive prefix sums along the same hole order. The
+    collar ids and every table's rows are unioned and aggregated per hole in one shuffle (partial
+    aggregation, so a hot hole is combined map-side), then ranked once.
+    Returns (lookup, {name: index map}) with the shapes of :func:`hole_lookup` and
+    :func:`hole_index_map`.
+    """
+    names = list(data)
+    zero = F.lit(0).cast("long")
+    parts = [collar.select(hole_text(collar, collar_id).alias("value"), F.lit(1).cast("long").alias("__in"),
+                           *[zero.alias(f"__n{i}") for i in range(len(names))])]
+    for i, name in enumerate(names):
+        df, col = data[name]
+        parts.append(df.select(hole_text(df, col).alias("value"), zero.alias("__in"),
+                               *[(F.lit(1) if j == i else F.lit(0)).cast("long").alias(f"__n{j}") for j in range(len(names))]))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    per_hole = union.groupBy("value").agg(F.max("__in").alias("__in"),
+                                          *[F.sum(f"__n{i}").alias(f"__n{i}") for i in range(len(names))])
+    ranked = with_exclusive_prefix_sum(per_hole, ["value"], ["__in"] + [f"__n{i}" for i in range(len(names))],
+                                       ["__k"] + [f"__o{i}" for i in range(len(names))])
+    holes = ranked.filter(F.col("__in") == 1)
+    lookup = holes.select((F.col("__k") + 1).cast("int").alias("key"), "value")
+    maps = {
+        name: holes.select(
+            (F.col("__k") + 1).cast("int").alias("hole_index"),
+            F.when(F.col(f"__n{i}") > 0, F.col(f"__o{i}")).otherwise(F.lit(0)).cast("long").alias("offset"),
+            F.col(f"__n{i}").cast("long").alias("count"))
+        for i, name in enumerate(names)
+    }
+    return lookup, maps
+
+
 def ordered_index_map(index: DataFrame) -> DataFrame:
     return index.orderBy("offset", "hole_index")
 

@@ -77,16 +77,24 @@ def with_ordered_index(df: DataFrame, order_cols: Sequence, name: str = "pos", s
     return out.select(*df.columns, (F.col(_OFF) + F.col(_LOCAL) + F.lit(start)).cast("long").alias(name))
 
 
-def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight: str, name: str) -> DataFrame:
-    """Add ``name`` = sum of ``weight`` over all rows strictly before, along ``order_cols``."""
-    ranged = _ranged(df, order_cols)
-    sizes = ranged.groupBy(_PID).agg(F.sum(weight).alias("__w"))
-    offsets = _partition_offsets(sizes, "__w")
+def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name) -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over all rows strictly before, along ``order_cols``.
+
+    ``weight`` and ``name`` may be lists: several prefix sums along the same order then share
+    one ranked pass."""
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    names = [name] if isinstance(name, str) else list(name)
+    ranked = _ranged(df, order_cols)
+    ranged_sizes = ranked.groupBy(_PID).agg(*[F.sum(w).alias(f"__w{i}") for i, w in enumerate(weights)])
+    # per-partition offsets of every weight (one row per partition)
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged_sizes.select(_PID, *[F.coalesce(F.sum(f"__w{i}").over(w), F.lit(0)).cast("long").alias(f"__o{i}")
+                                         for i in range(len(weights))])
     # Inside a partition: a running sum partitioned by the partition id (one range each).
     wl = Window.partitionBy(_PID).orderBy(F.col(_LOCAL)).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("__lw", F.coalesce(F.sum(weight).over(wl), F.lit(0)))
+    local = ranked.select("*", *[F.coalesce(F.sum(wt).over(wl), F.lit(0)).alias(f"__l{i}") for i, wt in enumerate(weights)])
     out = local.join(F.broadcast(offsets), _PID)
-    return out.select(*df.columns, (F.col(_OFF) + F.col("__lw")).cast("long").alias(name))
+    return out.select(*df.columns, *[(F.col(f"__o{i}") + F.col(f"__l{i}")).cast("long").alias(n) for i, n in enumerate(names)])
 
 
 def with_file_position(df: DataFrame, name: str = "pos", parquet: bool = True) -> DataFrame:

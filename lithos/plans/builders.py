@@ -24,7 +24,7 @@ from lithos.operators.encode import (
     AttributeSpec, attribute_columns, category_codes, category_lookup, category_lookups, continuous_values,
     plan_attributes,
 )
-from lithos.operators.holes import collar_keys, hole_distances, hole_index_map, hole_lookup, hole_text
+from lithos.operators.holes import collar_keys, hole_distances, hole_index_map, hole_indexes, hole_text
 from lithos.operators.position import with_ordered_index
 from lithos.operators.quality import coordinate_summary, gate_status, missing_columns, segment_index_check
 
@@ -304,7 +304,9 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     if invert_z:  # PRJ-9
         survey = survey.withColumn(dip, -F.col(dip))
     built = BuiltObject("downhole-collection", report=None)  # type: ignore[arg-type]
-    lookup = hole_lookup(collar, collar_id)
+    # One ranked pass gives the hole lookup and the index of the survey and of every collection.
+    lookup, index_maps = hole_indexes(collar, collar_id, {
+        "survey": (survey, survey_id), **{f"c{i}": (c.df, c.id_col) for i, c in enumerate(collections)}})
     built.lookups[collar_id] = lookup
     crows_f = _once(lambda: sorted_rows(collar, collar_id, None, collar_tie))
     srows = _once(lambda: sorted_rows(survey, survey_id, depth, survey_tie))
@@ -328,16 +330,16 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
     built.arrays[ids["codes"]] = lambda: collar_keys(crows_f(), collar_id, lookup, keep=("pos",)).select(
         "pos", F.col("key").alias("data"))
     # The index counts rows per hole; it does not need the sorted rows.
-    built.arrays[ids["holes"]] = hole_index_map(survey, survey_id, lookup)
+    built.arrays[ids["holes"]] = index_maps["survey"]
     built.arrays[ids["path"]] = lambda: A.path(srows(), depth, azimuth, dip)
     for role, aid in ids.items():
         built.array_roles[aid] = role
     coll_docs = []
-    for c in collections:
+    for ci, c in enumerate(collections):
         ft_id, h_id = _aid("from_to"), _aid("holes")
         crows_c = _once(lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols))
         built.arrays[ft_id], built.array_roles[ft_id] = (lambda f=crows_c, c=c: A.from_to(f(), c.from_col, c.to_col)), "from_to"
-        built.arrays[h_id], built.array_roles[h_id] = hole_index_map(c.df, c.id_col, lookup), "holes"
+        built.arrays[h_id], built.array_roles[h_id] = index_maps[f"c{ci}"], "holes"
         specs, w = plan_attributes(c.df, attribute_columns(c.df, c.attribute_cols, [c.id_col, c.from_col, c.to_col, "pos", *c.tie_cols]),
                                    [c.id_col, c.from_col, c.to_col, "pos"])
         built.warnings += w

@@ -196,7 +196,8 @@ def q_collar_keys(spark, d):
 
 
 def q_hole_index_map(spark, d):
-    return H.hole_index_map(R.survey(spark, d), "hole_id", H.hole_lookup(R.collar(spark, d), "hole_id"))
+    _, maps = H.hole_indexes(R.collar(spark, d), "hole_id", {"survey": (R.survey(spark, d), "hole_id")})
+    return maps["survey"]
 
 
 def q_run_length_index(spark, d):
@@ -257,19 +258,20 @@ def _interval_configs(spark, d) -> list[IntervalConfig]:
 
 
 def q_interval_collections(spark, d):
-    lookup = H.hole_lookup(R.collar(spark, d), "hole_id")
+    cfgs = _interval_configs(spark, d)
+    _, maps = H.hole_indexes(R.collar(spark, d), "hole_id", {c.name: (c.df, c.id_col) for c in cfgs})
     out = None
-    for cfg in _interval_configs(spark, d):
-        idx = H.hole_index_map(cfg.df, cfg.id_col, lookup).select(F.lit(cfg.name).alias("collection"), "*")
+    for cfg in cfgs:
+        idx = maps[cfg.name].select(F.lit(cfg.name).alias("collection"), "*")
         out = idx if out is None else out.unionByName(idx)
     return out
 
 
 def q_hole_location(spark, d):
     col = R.collar(spark, d)
-    lookup = H.hole_lookup(col, "hole_id")
+    lookup, maps = H.hole_indexes(col, "hole_id", {"survey": (R.survey(spark, d), "hole_id")})
     dist = H.hole_distances(col, R.survey(spark, d), "hole_id", "hole_id", "depth", keep=("x", "y", "z"))
-    idx = H.hole_index_map(R.survey(spark, d), "hole_id", lookup)
+    idx = maps["survey"]
     keyed = dist.join(lookup.select(F.col("value").alias("hole_id"), F.col("key").alias("hole_index")), "hole_id")
     return keyed.join(idx, "hole_index").select("hole_index", "hole_id", "x", "y", "z", "final", "offset", "count")
 

@@ -136,3 +136,15 @@ def test_hot_key_is_split_across_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(hot) >= 2
     assert max(sizes.values()) < 3000
+
+
+def test_hole_indexes_one_pass_equals_separate(spark, sf_dir):
+    col = R.collar(spark, sf_dir).filter(F.col("o_orderstatus") != "P")
+    survey = R.survey(spark, sf_dir)
+    rflag = R.intervals(spark, sf_dir).filter(F.col("l_returnflag") == "R")
+    lookup, maps = H.hole_indexes(col, "hole_id", {"survey": (survey, "hole_id"), "r": (rflag, "hole_id")})
+    lk = H.hole_lookup(col, "hole_id")
+    assert sorted(tuple(r) for r in lookup.collect()) == sorted(tuple(r) for r in lk.collect())
+    for name, df in (("survey", survey), ("r", rflag)):
+        ref = sorted(tuple(r) for r in H.hole_index_map(df, "hole_id", lk).collect())
+        assert sorted(tuple(r) for r in maps[name].collect()) == ref

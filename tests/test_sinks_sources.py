@@ -132,3 +132,18 @@ def test_write_snapshot_replaces_by_name(spark, tmp_path):
     write_snapshot(spark.createDataFrame([("s1", "o9")], "snapshot_name string, object_id string"), path)
     got = sorted(tuple(r) for r in spark.read.parquet(path).select("snapshot_name", "object_id").collect())
     assert got == [("s1", "o9"), ("s2", "o3")]
+
+
+def test_preview_csv(spark, tmp_path):
+    from lithos.plans.preview import preview_csv
+
+    p = tmp_path / "assay.csv"
+    p.write_text("HOLE_ID,FROM,TO,au\n" + "".join(f"H{i % 3},{i},{i + 1},{'NA' if i == 4 else i / 10}\n" for i in range(25)))
+    out = preview_csv(spark, str(p), max_rows=5)
+    assert out["status"] == "ok"
+    assert tuple(out["shape"].first()) == (25, 4)
+    prof = {r["column"]: r for r in out["columns"].collect()}
+    assert prof["au"]["dtype"] == "float64" and prof["au"]["null_count"] == 1
+    assert prof["HOLE_ID"]["unique_count"] == 3 and prof["FROM"]["max"] == 24.0
+    assert [r["FROM"] for r in out["sample"].collect()] == [0, 1, 2, 3, 4]
+    assert preview_csv(spark, str(tmp_path / "nope.csv"))["status"] == "file_missing"

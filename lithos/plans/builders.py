@@ -261,6 +261,13 @@ def sorted_rows(df: DataFrame, id_col: str, key_col: str | None, tie_cols: Seque
     if "pos" in base.columns:
         base = base.withColumnRenamed("pos", "__in_pos")
         ties = ties or ["__in_pos"]
+    if not ties:
+        # No position and no tie-breakers given: every other orderable column breaks ties, a
+        # total order whenever whole rows are distinct.
+        from pyspark.sql.types import ArrayType, MapType, StructType
+
+        ties = [f.name for f in base.schema.fields if f.name not in (id_col, key_col)
+                and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
     base = base.withColumn("__hole", hole_text(base, id_col))
     order = ["__hole"] + ([key_col] if key_col else []) + ties
     return with_ordered_index(base, order, name="pos").drop("__hole", "__in_pos")
@@ -271,7 +278,7 @@ def interval_collection(cfg: IntervalConfig, lookup: DataFrame) -> tuple[dict[st
     rows = sorted_rows(cfg.df, cfg.id_col, cfg.from_col, cfg.tie_cols)
     arrays = {
         "from_to": A.from_to(rows, cfg.from_col, cfg.to_col),
-        "holes": hole_index_map(rows, cfg.id_col, lookup),
+        "holes": hole_index_map(cfg.df, cfg.id_col, lookup),  # counting needs no sort
     }
     return arrays, rows
 

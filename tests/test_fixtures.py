@@ -268,3 +268,11 @@ def test_gate_status_messages(spark):
     df = spark.createDataFrame([(1.0, None, 1.0)], "x double, y double, z double")
     r = gate_status(coordinate_summary(df, "x", "y", "z")).first()
     assert r["status"] == "validation_failed" and r["errors"] == ["All rows have NaN coordinates"]
+
+
+def test_sorted_rows_without_ties_is_total(spark):
+    from lithos.plans.builders import sorted_rows
+
+    df = spark.createDataFrame([("A", 1.0, "z"), ("A", 1.0, "b"), ("B", 0.0, "a"), ("A", 0.5, "q")], "h string, d double, t string")
+    got = [(r["h"], r["d"], r["t"]) for r in sorted_rows(df, "h", "d").orderBy("pos").collect()]
+    assert got == [("A", 0.5, "q"), ("A", 1.0, "b"), ("A", 1.0, "z"), ("B", 0.0, "a")]

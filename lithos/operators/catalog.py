@@ -6,7 +6,9 @@ Inputs are three DataFrames:
 * ``workspaces``: id, name, description, user_role, created_at, updated_at, created_by,
   default_coordinate_system, labels, deleted
 * ``objects`` (one row per object version): workspace_id, id, name, path, schema_id,
-  version_id, created_at, created_by, deleted, document (JSON text)
+  version_id, created_at, created_by, deleted, document (JSON text). A large document may be
+  stored as pages: then there is one row per (version, ``page``), page 0 holds the header, and
+  ``first_ordinal`` numbers the first reference of each page. Listings read header pages only.
 * ``blobs``: workspace_id, blob_id, length
 
 Where the original lists everything and loops over objects with one request each, these are
@@ -42,9 +44,14 @@ def current_versions(objects: DataFrame) -> DataFrame:
     return objects.join(latest, ["workspace_id", "id", "version_id"], "left_semi")
 
 
+def headers(objects: DataFrame) -> DataFrame:
+    """One row per object version: the header page of paged documents (all rows otherwise)."""
+    return objects.filter(F.col("page") == 0) if "page" in objects.columns else objects
+
+
 def object_listing(objects: DataFrame) -> DataFrame:
     """The listing projection (ids, names, paths, schema, version, ISO time)."""
-    return objects.select("id", "name", "path", "schema_id", "version_id", iso_timestamp("created_at").alias("created_at"))
+    return headers(objects).select("id", "name", "path", "schema_id", "version_id", iso_timestamp("created_at").alias("created_at"))
 
 
 def list_workspaces(workspaces: DataFrame, name: str = "", deleted: bool = False, limit: int = 50) -> DataFrame:
@@ -111,7 +118,8 @@ def object_content(objects: DataFrame, workspace_id: str, object_id: str = "", o
         df = df.filter(F.col("path") == F.lit(object_path))
     else:
         raise ValueError("Either object_id or object_path must be provided")
-    return _pin(df, version).select("id", "name", "path", "schema_id", "version_id", "document")
+    extra = [c for c in ("page", "first_ordinal") if c in df.columns]
+    return _pin(df, version).select("id", "name", "path", "schema_id", "version_id", *extra, "document")
 
 
 def object_versions(objects: DataFrame, workspace_id: str, object_id: str = "", object_path: str = "") -> DataFrame:
@@ -123,7 +131,7 @@ def object_versions(objects: DataFrame, workspace_id: str, object_id: str = "",
         df = df.filter(F.col("path") == F.lit(object_path))
     else:
         raise ValueError("Either object_id or object_path must be provided")
-    return df.select("version_id", iso_timestamp("created_at").alias("created_at"), "created_by").orderBy(
+    return headers(df).select("version_id", iso_timestamp("created_at").alias("created_at"), "created_by").orderBy(
         F.col("created_at").desc(), F.col("version_id").desc())
 
 
@@ -141,16 +149,20 @@ def filter_objects(objects: DataFrame, schema_filter: Sequence[str] = (), name_f
 def workspace_summary(objects: DataFrame) -> DataFrame:
     """AGG-7 / CAT-1: current objects per workspace and schema, plus a total row per
     workspace (schema_id NULL) from the same rollup."""
-    cur = current_versions(objects)
+    cur = headers(current_versions(objects))
     return cur.rollup("workspace_id", "schema_id").agg(F.count(F.lit(1)).alias("objects")).filter(
         F.col("workspace_id").isNotNull())
 
 
 def object_references(objects: DataFrame) -> DataFrame:
     """SCL-6 / CAT-6: (workspace_id, id, version_id, ordinal, blob_id), document order,
-    repeats kept."""
-    return objects.select(
-        "workspace_id", "id", "version_id", F.posexplode(data_references("document")).alias("ordinal", "blob_id"))
+    repeats kept; ordinals continue across the pages of a paged document."""
+    refs = objects.select(
+        "workspace_id", "id", "version_id",
+        (F.col("first_ordinal") if "first_ordinal" in objects.columns else F.lit(0).cast("long")).alias("__first"),
+        F.posexplode(data_references("document")).alias("__i", "blob_id"))
+    return refs.select("workspace_id", "id", "version_id",
+                       (F.col("__first") + F.col("__i")).cast("int").alias("ordinal"), "blob_id")
 
 
 def default_snapshot_name(now: _dt.datetime | None = None) -> tuple[str, str]:
@@ -164,8 +176,9 @@ def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id:
     """AGG-10 / CAT-2: the flat snapshot table, one row per current object.
 
     ``snapshot_time`` is an ISO text fixed once by the caller (default: now, UTC), and an empty
-    name defaults to ``snapshot_<time>``. With ``include_data_blobs`` each row carries its
-    references (a document that yields none gets ``[]``).
+    name defaults to ``snapshot_<time>``. With ``include_data_blobs`` each row carries the
+    number of references of its document (``n_blobs``, 0 when none); the references
+    themselves are the flat :func:`snapshot_references` table, never one array per object.
     """
     if not snapshot_name or snapshot_time is None:
         default_name, now = default_snapshot_name()
@@ -175,7 +188,7 @@ def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id:
     ws = workspaces.filter(F.col("id") == F.lit(workspace_id)).select(
         F.col("id").alias("workspace_id"), F.col("name").alias("workspace_name"),
         F.col("description").alias("workspace_description"))
-    rows = cur.join(F.broadcast(ws), "workspace_id", "left")  # one workspace row
+    rows = headers(cur).join(F.broadcast(ws), "workspace_id", "left")  # one workspace row
     cols = [
         F.lit(snapshot_name).alias("snapshot_name"), F.lit(snapshot_time).alias("snapshot_timestamp"),
         "workspace_id", "workspace_name", "workspace_description",
@@ -183,10 +196,21 @@ def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id:
         iso_timestamp("created_at").alias("created_at"),
     ]
     if include_data_blobs:
-        cols.append(F.coalesce(data_references("document"), F.array().cast("array<string>")).alias("data_blobs"))
+        counts = cur.groupBy("workspace_id", "id", "version_id").agg(
+            F.sum(F.size(data_references("document"))).cast("int").alias("n_blobs"))
+        rows = rows.join(counts, ["workspace_id", "id", "version_id"], "left")
+        cols.append(F.coalesce(F.col("n_blobs"), F.lit(0)).alias("n_blobs"))
     return rows.select(*cols)
 
 
+def snapshot_references(objects: DataFrame, workspace_id: str, snapshot_name: str) -> DataFrame:
+    """The data blobs of a snapshot as a flat table: (snapshot_name, object_id, version_id,
+    ordinal, blob_id)."""
+    cur = current_versions(objects.filter(F.col("workspace_id") == F.lit(workspace_id)))
+    return object_references(cur).select(F.lit(snapshot_name).alias("snapshot_name"), F.col("id").alias("object_id"),
+                                         "version_id", "ordinal", "blob_id")
+
+
 def write_snapshot(snapshot: DataFrame, snapshots_path: str) -> None:
     """CAT-2: store a snapshot in the ``snapshots`` table, one folder per snapshot name.
     Writing the same name again replaces that snapshot only (dynamic partition overwrite)."""
@@ -226,12 +250,13 @@ def duplicate_workspace(objects: DataFrame, blobs: DataFrame, source_workspace_i
     copied = refs.join(src_blobs.select("blob_id", "length").dropDuplicates(["blob_id"]), "blob_id")
     new_blobs = copied.join(target_has, "blob_id", "left_anti").select(
         F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
+    pages = [c for c in ("page", "first_ordinal") if c in ok.columns]
     new_objects = ok.select(
         F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
         F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"),
-        "document")
+        *pages, "document")
     counts = (
-        src.join(failed.select("id", F.lit(True).alias("__failed")), "id", "left")
+        headers(src).join(failed.select("id", F.lit(True).alias("__failed")), "id", "left")
         .agg(F.count_if(F.col("__failed").isNull()).alias("objects_copied"),
              F.count_if(F.col("__failed").isNotNull()).alias("objects_failed"))
         .select("objects_copied", "objects_failed", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
@@ -254,11 +279,12 @@ def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id: str,
     target_has = blobs.filter(F.col("workspace_id") == F.lit(target_workspace_id)).select("blob_id")
     new_blobs = refs.select("blob_id").distinct().join(store, "blob_id").join(target_has, "blob_id", "left_anti").select(
         F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
+    pages = [c for c in ("page", "first_ordinal") if c in src.columns]
     new_objects = src.select(
         F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
         F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"),
-        "document")
-    counts = src.agg(F.count(F.lit(1)).alias("objects_copied")).select(
+        *pages, "document")
+    counts = headers(src).agg(F.count(F.lit(1)).alias("objects_copied")).select(
         "objects_copied", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
     return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts}
 
@@ -266,7 +292,8 @@ def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id: str,
 def append_objects(new_objects: DataFrame, objects_path: str, created_by: str = "lithos") -> DataFrame:
     """SNK-10: append new object versions to the stored ``objects`` table.
 
-    Each row gets a fresh object id, a version id that is the SHA-256 of its document, and
+    Documents appended here are single pages (the builders' documents refer to arrays, so they
+    stay small). Each row gets a fresh object id, a version id that is the SHA-256 of its document, and
     the append time; ``uuid`` inside the document stays unset (the store assigns identity).
     The table is partitioned by workspace, so listings prune to one folder. Returns the
     appended metadata rows (id, name, path, version_id, created_at).

@@ -371,7 +371,7 @@ def q_filter_objects(spark, d):
 
 
 def q_latest_versions(spark, d):
-    cur = C.current_versions(R.objects(spark, d))
+    cur = C.headers(C.current_versions(R.objects(spark, d)))
     return cur.select("workspace_id", "id", "version_id", iso_timestamp("created_at").alias("created_at"))
 
 
@@ -384,10 +384,11 @@ def q_object_content(spark, d):
     ws, oid, _ = _lookup_target(spark, d)
     doc = C.object_content(R.objects(spark, d), ws, object_id=oid)
     from lithos.functions.refs import data_references
-    return doc.select("id", "version_id", "schema_id",
-                      F.get_json_object("document", "$.schema").alias("doc_schema"),
-                      F.get_json_object("document", "$.coordinate_reference_system").alias("crs"),
-                      F.size(data_references("document")).alias("n_refs"))
+    n_refs = doc.groupBy("id", "version_id").agg(F.sum(F.size(data_references("document"))).cast("int").alias("n_refs"))
+    head = C.headers(doc).select("id", "version_id", "schema_id",
+                                 F.get_json_object("document", "$.schema").alias("doc_schema"),
+                                 F.get_json_object("document", "$.coordinate_reference_system").alias("crs"))
+    return head.join(n_refs, ["id", "version_id"])
 
 
 def q_workspace_summary(spark, d):
@@ -397,7 +398,7 @@ def q_workspace_summary(spark, d):
 def q_workspace_snapshot(spark, d):
     snap = C.workspace_snapshot(R.objects(spark, d), R.workspaces(spark, d), SOURCE_WS, SNAPSHOT_NAME,
                                 SNAPSHOT_TIME, include_data_blobs=True)
-    return snap.withColumn("n_blobs", F.size("data_blobs")).drop("data_blobs")
+    return snap
 
 
 def q_iso_timestamps(spark, d):
@@ -420,7 +421,7 @@ def q_new_blobs(spark, d):
 
 def q_duplicate_workspace(spark, d):
     res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, COPY_SCHEMAS)
-    return res["new_objects"].drop("document", "uuid")
+    return C.headers(res["new_objects"]).drop("document", "uuid", "page", "first_ordinal")
 
 
 def q_duplicate_counts(spark, d):

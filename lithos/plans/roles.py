@@ -150,45 +150,69 @@ def _workspaces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _lines_per_order(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of an order in a total order. An order's lines are a bounded group (an
-    order document), so gathering them per order is the document build, not a skew risk."""
-    li = read_table(spark, d, "lineitem")
-    line = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                                         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_discount")])
-    return li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(line)).alias("lines"),
+# Fixed value: references per document page. Every gathered group holds at most this many.
+DOC_PAGE_SIZE = 256
+
+
+def _line_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, per-order summary) of the line items, without gathering an order's lines whole.
+
+    Each line's rank inside its order is its global position along (order, line order) minus
+    the order's start (an exclusive prefix sum of line counts over orders); lines are then
+    gathered per (order, page) with ``rank // DOC_PAGE_SIZE``, so no group exceeds one page
+    however many lines one order holds. The per-order box and line count are partial aggregates.
+    """
+    from lithos.operators.position import with_exclusive_prefix_sum, with_ordered_index
+
+    li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
+    summary = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
         F.min("l_quantity").alias("min_x"), F.max("l_quantity").alias("max_x"),
         F.min("l_extendedprice").alias("min_y"), F.max("l_extendedprice").alias("max_y"),
         F.min("l_tax").alias("min_z"), F.max("l_tax").alias("max_z"),
     )
+    starts = with_exclusive_prefix_sum(summary.select("l_orderkey", "n_lines"), ["l_orderkey"], "n_lines", "start")
+    ranked = with_ordered_index(li.select("l_orderkey", *LINEITEM_ORDER[1:]), list(LINEITEM_ORDER), name="lpos")
+    lines = ranked.join(starts.select("l_orderkey", "start"), "l_orderkey").select(
+        "l_orderkey", (F.col("lpos") - F.col("start")).alias("rank"), "l_partkey", "l_quantity")
+    pages = lines.groupBy("l_orderkey", F.floor(F.col("rank") / DOC_PAGE_SIZE).cast("int").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "l_partkey", "l_quantity"))).alias("lines"))  # <= page size
+    return pages, summary
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:
-    """One row per object version with its JSON document."""
+    """One row per object version and document page. Page 0 carries the document header
+    (name, uuid, schema, CRS, box) and the first page of references; later pages carry only
+    references. ``first_ordinal`` is the reference number of a page's first entry."""
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    lines = _lines_per_order(spark, d)
-    base = o.join(c, o.o_custkey == c.c_custkey, "inner").join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    pages, summary = _line_pages(spark, d)
+    base = (o.join(c, o.o_custkey == c.c_custkey, "inner")
+            .join(summary, o.o_orderkey == summary.l_orderkey, "left").drop("l_orderkey")
+            .join(pages, o.o_orderkey == pages.l_orderkey, "left")
+            .withColumn("page", F.coalesce(F.col("page"), F.lit(0))))
     obj_id = F.concat(F.lit("obj-"), F.col("o_custkey").cast("string"))
     name = F.concat(F.lit("object-"), F.col("o_custkey").cast("string"))
     schema = _schema_of(F.col("o_orderpriority"))
-    bbox = F.when(F.col("lines").isNotNull(), F.struct(*[F.col(f"{b}_{a}") for a in "xyz" for b in ("min", "max")]))
+    bbox = F.when(F.col("n_lines").isNotNull(), F.struct(*[F.col(f"{b}_{a}") for a in "xyz" for b in ("min", "max")]))
     parts = F.transform(F.col("lines"), lambda ln: F.struct(
         F.concat(F.lit("blob-"), ln["l_partkey"].cast("string")).alias("data"),
         ln["l_quantity"].cast("long").alias("length")))
-    doc = F.to_json(F.struct(
+    header = F.to_json(F.struct(
         name.alias("name"), obj_id.alias("uuid"), schema.alias("schema"),
         F.when(F.col("o_orderstatus") != "P", F.lit("unspecified")).alias("coordinate_reference_system"),
         bbox.alias("bounding_box"), parts.alias("parts"),
     ))
+    later = F.to_json(F.struct(F.col("page").alias("page"), parts.alias("parts")))
     return base.select(
         F.lower("c_mktsegment").alias("workspace_id"), obj_id.alias("id"), name.alias("name"),
         F.concat(F.lit("/"), F.lower("c_mktsegment"), F.lit("/"), name, F.lit(".json")).alias("path"),
         schema.alias("schema_id"), F.col("o_orderkey").cast("string").alias("version_id"),
         F.col("o_orderdate").alias("created_at"),
         F.concat(F.lit("user-"), F.col("c_nationkey").cast("string")).alias("created_by"),
-        (F.col("o_orderstatus") == "F").alias("deleted"), doc.alias("document"),
+        (F.col("o_orderstatus") == "F").alias("deleted"),
+        F.col("page"), (F.col("page").cast("long") * DOC_PAGE_SIZE).alias("first_ordinal"),
+        F.when(F.col("page") == 0, header).otherwise(later).alias("document"),
     )
 
 

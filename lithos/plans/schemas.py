@@ -100,6 +100,8 @@ def conformance(objects: DataFrame, type_col: str = "schema_id") -> DataFrame:
     """
     cat = object_catalog(objects.sparkSession).filter("required").groupBy("object_type").agg(
         F.collect_set("parameter").alias("__req"))  # bounded: one small set per type
+    if "page" in objects.columns:  # the header page holds the top-level fields
+        objects = objects.filter(F.col("page") == 0)
     keys = F.coalesce(F.json_object_keys("document"), F.array().cast("array<string>"))
     docs = objects.select("id", "version_id", F.col(type_col).alias("object_type"), keys.alias("__keys"))
     joined = docs.join(F.broadcast(cat), "object_type", "left")

@@ -40,3 +40,20 @@ def test_checkpoint_dir_is_set(spark):
     from lithos.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark).startswith("file:/tmp/")
+
+
+BOUNDED_ORDER_KEYS = {"__pid", "__file", "__block"}  # one row per partition / file / split
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_unpartitioned_windows_only_over_bounded_inputs(spark, sf_dir, name):
+    """SURVEY §5.5: no window without a partition key over row-level input. The only such
+    windows order by a partition id or a file/split key, whose inputs hold one row each."""
+    import re
+
+    plan = re.sub(r"#\d+L?", "", _plan(E.queries()[name](spark, sf_dir)))
+    for spec in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan):
+        items = [s.strip() for s in spec.split(",")]
+        if re.search(r" (ASC|DESC)\b", items[0]):  # no partition expressions
+            keys = {s.split(" ")[0] for s in items}
+            assert keys <= BOUNDED_ORDER_KEYS, f"{name}: unpartitioned window over {keys}"

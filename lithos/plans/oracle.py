@@ -156,6 +156,10 @@ SQL: dict[str, str] = {
                CASE WHEN count(*) FILTER (WHERE l_partkey < 0 OR l_partkey >= (SELECT n FROM n) OR l_suppkey < 0
                     OR l_suppkey >= (SELECT n FROM n)) > 0 THEN 'validation_failed' ELSE 'validation_passed' END AS status
         FROM lineitem""",
+    "dangling_segment_ends": f"""WITH n AS (SELECT count(*) AS n FROM part WHERE p_size <= {VERTEX_MAX_SIZE})
+        SELECT 'start' AS "end", CAST(l_partkey AS DOUBLE) AS idx FROM lineitem WHERE l_partkey < 0 OR l_partkey >= (SELECT n FROM n)
+        UNION ALL
+        SELECT 'end' AS "end", CAST(l_suppkey AS DOUBLE) AS idx FROM lineitem WHERE l_suppkey < 0 OR l_suppkey >= (SELECT n FROM n)""",
     "segment_indices": f"SELECT row_number() OVER (ORDER BY {LI}) - 1 AS pos, l_partkey AS data1, l_suppkey AS data2 FROM lineitem",
     "coords_xyz": f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, x, y, z FROM ({EV_XYZ}) t",
     "clean_strings": """SELECT d.doc_id, coalesce(d.lang, '') AS lang, coalesce(d.source, '') AS source,
@@ -184,6 +188,11 @@ SQL: dict[str, str] = {
     "category_lookup": f"WITH {EV_FIRST} SELECT key, v AS value FROM ev_lk",
     "category_codes": f"""WITH {EV_FIRST} SELECT e.event_id, ev_lk.key AS event_type FROM events e
         LEFT JOIN ev_lk ON coalesce(e.event_type, '') = ev_lk.v""",
+    "category_lookups": f"""WITH p AS (SELECT row_number() OVER (ORDER BY {LI}) - 1 AS pos, l_returnflag, l_linestatus FROM lineitem),
+        f AS (SELECT 'l_returnflag' AS attribute, coalesce(l_returnflag, '') AS value, min(pos) AS first FROM p GROUP BY 1, 2
+              UNION ALL
+              SELECT 'l_linestatus', coalesce(l_linestatus, ''), min(pos) FROM p GROUP BY 1, 2)
+        SELECT attribute, CAST(row_number() OVER (PARTITION BY attribute ORDER BY first, value) AS INTEGER) AS key, value FROM f""",
     "hole_lookup": f"WITH {HOLE_LOOKUP} SELECT key, v AS value FROM hl",
     "collar_keys": f"WITH {HOLE_LOOKUP} SELECT CAST(o_orderkey AS VARCHAR) AS hole_id, hl.key FROM orders JOIN hl ON CAST(o_orderkey AS VARCHAR) = hl.v",
     "hole_index_map": f"WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {HOLE} AS v FROM lineitem')} SELECT * FROM im",
@@ -287,6 +296,9 @@ SQL: dict[str, str] = {
                {_iso('c.created_at')} AS created_at,
                CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = c.o_orderkey) AS INTEGER) AS n_blobs
         FROM cur c LEFT JOIN ws ON c.workspace_id = ws.workspace_id WHERE c.workspace_id = '{SOURCE_WS}'""",
+    "snapshot_references": f"""WITH {OBJ}
+        SELECT '{SNAPSHOT_NAME}' AS snapshot_name, c.id AS object_id, c.version_id, r.ordinal, r.blob_id
+        FROM cur c JOIN refs r ON r.l_orderkey = c.o_orderkey WHERE c.workspace_id = '{SOURCE_WS}'""",
     "iso_timestamps": f"SELECT event_id, {_iso('ts')} AS ts FROM events",
     "data_references": f"""WITH {OBJ}
         SELECT o.workspace_id, o.id, o.version_id, r.ordinal, r.blob_id FROM obj o JOIN refs r ON r.l_orderkey = o.o_orderkey""",

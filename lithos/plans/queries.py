@@ -20,7 +20,7 @@ from lithos.operators import arrays as A
 from lithos.operators import catalog as C
 from lithos.operators import holes as H
 from lithos.operators import quality as Q
-from lithos.operators.encode import category_codes, category_lookup, continuous_values, plan_attributes
+from lithos.operators.encode import category_codes, category_lookup, category_lookups, continuous_values, plan_attributes
 from lithos.operators.position import with_ordered_index
 from lithos.operators.profile import column_profile, sample_rows
 from lithos.plans import roles as R
@@ -108,6 +108,12 @@ def q_segment_index_check(spark, d):
     return Q.segment_index_check(verts, R.segments(spark, d), "start_idx", "end_idx")
 
 
+def q_dangling_segment_ends(spark, d):
+    part = read_table(spark, d, "part").filter(F.col("p_size") <= VERTEX_MAX_SIZE).select("p_partkey")
+    verts = with_ordered_index(part, ["p_partkey"], name="pos")
+    return Q.dangling_segment_ends(verts, R.segments(spark, d), "start_idx", "end_idx")
+
+
 def q_segment_indices(spark, d):
     segs = with_ordered_index(R.segments(spark, d), list(R.LINEITEM_ORDER), name="pos")
     return A.index_pairs(segs, "start_idx", "end_idx")
@@ -186,6 +192,11 @@ def q_category_codes(spark, d):
     return category_codes(ev, "event_type", category_lookup(ev, "event_type", "event_id"), keep=["event_id"])
 
 
+def q_category_lookups(spark, d):
+    li = with_ordered_index(read_table(spark, d, "lineitem").select(*R.LINEITEM_ORDER), list(R.LINEITEM_ORDER), name="pos")
+    return category_lookups(li, ["l_returnflag", "l_linestatus"], "pos")
+
+
 def q_hole_lookup(spark, d):
     return H.hole_lookup(R.collar(spark, d), "hole_id")
 
@@ -401,6 +412,10 @@ def q_workspace_snapshot(spark, d):
     return snap
 
 
+def q_snapshot_references(spark, d):
+    return C.snapshot_references(R.objects(spark, d), SOURCE_WS, SNAPSHOT_NAME)
+
+
 def q_iso_timestamps(spark, d):
     return R.events(spark, d).select("event_id", iso_timestamp("ts").alias("ts"))
 

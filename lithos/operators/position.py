@@ -36,6 +36,11 @@ def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     """Range partition + local sort + partition id + local row number, materialised."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = _cols(order_cols)
+    # No pinned partition count: the range shuffle starts from the session's initial shuffle
+    # partition number (spark.sql.adaptive.coalescePartitions.initialPartitionNum when set, sized
+    # by the cluster for its largest input) and AQE merges neighbouring ranges down to the
+    # advisory size, which keeps every partition a contiguous range. Catalyst's size estimates
+    # are not used for this: without CBO a join's estimate is the product of its inputs.
     ranged = (
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)

@@ -114,11 +114,17 @@ def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     and data folder, write it as parquet in the shared checkpoint folder, and read that."""
     from lithos.operators.position import materialize_path
 
+    from pyspark.errors import AnalysisException
+
     key = (id(spark), d.rstrip("/"), name)
     path = _STORED.get(key)
-    if path is None:
-        path = materialize_path(build(spark, d))
-        _STORED[key] = path
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:  # the folder was cleaned up: derive it again
+            pass
+    path = materialize_path(build(spark, d))
+    _STORED[key] = path
     return spark.read.parquet(path)
 
 

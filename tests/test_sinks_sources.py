@@ -147,3 +147,19 @@ def test_preview_csv(spark, tmp_path):
     assert prof["HOLE_ID"]["unique_count"] == 3 and prof["FROM"]["max"] == 24.0
     assert [r["FROM"] for r in out["sample"].collect()] == [0, 1, 2, 3, 4]
     assert preview_csv(spark, str(tmp_path / "nope.csv"))["status"] == "file_missing"
+
+
+def test_stored_catalog_rebuilds_when_folder_is_gone(spark, sf_dir, tmp_path):
+    from lithos.plans import roles as R
+
+    calls = []
+
+    def build(s, d):
+        calls.append(1)
+        return s.createDataFrame([(1,)], "a int")
+
+    key = (id(spark), sf_dir.rstrip("/"), "probe")
+    R._STORED[key] = str(tmp_path / "gone")  # a path that does not exist
+    assert R.stored(spark, sf_dir, "probe", build).count() == 1
+    assert R.stored(spark, sf_dir, "probe", build).count() == 1
+    assert len(calls) == 1

@@ -85,8 +85,11 @@ def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None =
     target = f"{base_path.rstrip('/')}/{role}/{array_id}"
     cols = ["pos"] + [n for n, _ in ARRAY_FIELDS[role]] if "pos" in df.columns else [n for n, _ in ARRAY_FIELDS[role]]
     out = df.select(*cols)
-    if "pos" in out.columns:
-        out = out.repartitionByRange("pos").sortWithinPartitions("pos")
+    # Arrays are stored in their array order: by position, a hole index by offset then hole
+    # (ORD-3; the order among empty holes is otherwise undefined), a lookup by key.
+    order = ["pos"] if "pos" in out.columns else {"holes": ["offset", "hole_index"], "lookup": ["key"]}.get(role)
+    if order:
+        out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     out.write.mode("errorifexists").parquet(target)
     length = df.sparkSession.read.parquet(target).count()
     return {"data": array_id, "length": length, "path": target}

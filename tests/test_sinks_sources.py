@@ -163,3 +163,13 @@ def test_stored_catalog_rebuilds_when_folder_is_gone(spark, sf_dir, tmp_path):
     assert R.stored(spark, sf_dir, "probe", build).count() == 1
     assert R.stored(spark, sf_dir, "probe", build).count() == 1
     assert len(calls) == 1
+
+
+def test_write_holes_array_sorted_by_offset(spark, tmp_path):
+    holes = spark.createDataFrame([(3, 5, 2), (1, 0, 5), (2, 0, 0), (4, 7, 1)], "hole_index int, offset long, count long")
+    ref = A.write_array(holes, str(tmp_path), "holes", "h1")
+    back = spark.read.parquet(ref["path"])
+    assert back.dtypes == [("hole_index", "int"), ("offset", "bigint"), ("count", "bigint")]
+    assert ref["length"] == 4
+    rows = [tuple(r) for r in back.orderBy("offset", "hole_index").collect()]
+    assert rows == [(1, 0, 5), (2, 0, 0), (3, 5, 2), (4, 7, 1)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, secrets, toxicity
+from lithos.llm import bpe, secrets, sharding, simhash, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -41,9 +41,24 @@ def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document: 4-word shingles, 4 bits."""
+    found = simhash.cluster(read_table(spark, sf_dir, "documents"), ["doc_id"], "doc_id", "text", 4, 4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; equal texts share a shard."""
+    found = sharding.shards(read_table(spark, sf_dir, "documents"), "doc_id", "text", 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
     "op4_byte_bpe": q_bpe,
+    "op5_simhash": q_simhash,
+    "op7_sharding": q_sharding,
     "op8_secret_scan": q_secrets,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, secrets, sharding, simhash, toxicity
+from lithos.llm import bpe, decontam, secrets, sharding, simhash, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -54,12 +54,19 @@ def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, verbatim or edited."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), "doc_id", "text",
+                          read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
     "op4_byte_bpe": q_bpe,
     "op5_simhash": q_simhash,
     "op7_sharding": q_sharding,
     "op8_secret_scan": q_secrets,
+    "op9_decontamination": q_decontamination,
 }
 
 #: DuckDB SQL where SQL can express a query.

@@ -191,6 +191,64 @@ def spans_of(text: str, rule: Rule, compiled: re.Pattern) -> list[tuple[int, int
     return [m.span() for m in compiled.finditer(text) if len(m[rule.group]) >= rule.least]
 
 
+def _find(b, texts: list[str], rules, queries, compiled, wanted) -> list[list[tuple[int, int, int]]]:
+    """(start, rule, end) of all spans of each row of a block, ascending."""
+    index = Index(b.raw, b.offsets, wanted)
+    found: list[list] = [[] for _ in texts]
+    for k, query in enumerate(queries):
+        for row in index.candidates(query).tolist():
+            found[row] += [(s, k, e) for s, e in spans_of(texts[row], rules[k], compiled[k])]
+    for hits in found:
+        hits.sort()
+    return found
+
+
+def _prepared(rules, queries) -> tuple[list[re.Pattern], np.ndarray]:
+    wanted = np.zeros(1 << 24, bool)
+    wanted[list(set().union(*map(_leaves, queries)))] = True
+    return [re.compile(r.pattern, re.ASCII) for r in rules], wanted
+
+
+def redact(docs: DataFrame, text_col: str, count_col: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs``, all columns, with every secret in ``text_col`` replaced by ``[kind]`` (spans that overlap
+    count as one, of the first one's kind). ``count_col``, if given, gets the new number of code points
+    where a text has changed."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    at = docs.columns.index(text_col)
+    count_at = docs.columns.index(count_col) if count_col else None
+
+    def clean(text: str, hits) -> str:
+        out, end = [], 0
+        for s, k, e in hits:
+            if s >= end:
+                out += [text[end:s], "[", rules[k].kind, "]"]
+            end = max(end, e)
+        return "".join([*out, text[end:]])
+
+    def run(batches):
+        compiled, wanted = _prepared(rules, queries)
+        for batch in batches:
+            column = batch.column(at)
+            for b in blocks(column):
+                part = batch.slice(b.lo, b.rows)
+                texts = part.column(at).to_pylist()
+                found = _find(b, [t or "" for t in texts], rules, queries, compiled, wanted)
+                changed = [i for i, hits in enumerate(found) if hits]
+                if changed:
+                    counts = part.column(count_at).to_pylist() if count_col else []
+                    for i in changed:
+                        texts[i] = clean(texts[i], found[i])
+                        if count_col:
+                            counts[i] = len(texts[i])
+                    part = part.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+                    if count_col:
+                        part = part.set_column(count_at, batch.schema.field(count_at),
+                                               pa.array(counts, batch.column(count_at).type))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id_col, n_<kind> for each base rule, base_sha256, spans, n_spans): see the module's text.
 
@@ -201,22 +259,15 @@ def scan(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
-        wanted = np.zeros(1 << 24, bool)
-        wanted[list(set().union(*map(_leaves, queries)))] = True
+        compiled, wanted = _prepared(rules, queries)
         for batch in batches:
             column = batch.column(1).fill_null("")
             for b in blocks(column):
-                index = Index(b.raw, b.offsets, wanted)
                 texts = column.slice(b.lo, b.rows).to_pylist()
-                found: list[list] = [[] for _ in texts]
-                for k, query in enumerate(queries):
-                    for row in index.candidates(query).tolist():
-                        found[row] += [(s, k, e) for s, e in spans_of(texts[row], rules[k], compiled[k])]
+                found = _find(b, texts, rules, queries, compiled, wanted)
                 counts = np.zeros((len(base), len(texts)), np.int64)
                 digest, listed, total = [], [], []
                 for row, hits in enumerate(found):
-                    hits.sort()
                     told = [f"{rules[k].kind}:{s}:{e}" for s, k, e in hits]
                     for j, k in enumerate(base):
                         counts[j, row] = sum(x[1] == k for x in hits)

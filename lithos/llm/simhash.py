@@ -210,3 +210,18 @@ def cluster(docs: DataFrame, keys: list[str], id_col: str, text_col: str, shingl
         "fp", "_least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
     return rows.join(named.select("fp", "component").join(least, "component"), "fp")
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """``docs``, all columns, with one row of each group: the smallest id (a null id only in a group
+    without others), among rows of that id the smallest hash of all columns; of equal rows one."""
+    columns = docs.columns
+    row = F.xxhash64(*columns)
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row"))
+    found = cluster(keyed, ["id", "row"], "id", "text", shingle, distance)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    best = best.select(F.col("best.id").alias("best_id"), F.col("best.row").alias("best_row")).distinct()
+    mark = next(f"row_{k}" for k in range(len(columns) + 1) if f"row_{k}" not in columns)
+    marked = docs.withColumn(mark, row)
+    kept = marked.join(best, marked[id_col].eqNullSafe(best["best_id"]) & (marked[mark] == best["best_row"]), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).select(*columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, decontam, secrets, sharding, simhash, toxicity
+from lithos.llm import bpe, decontam, embeddings, secrets, sharding, simhash, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -60,10 +60,16 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                           read_table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def q_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and components of every vector."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
     "op4_byte_bpe": q_bpe,
     "op5_simhash": q_simhash,
+    "op6_embedding_near_dedup": q_embeddings,
     "op7_sharding": q_sharding,
     "op8_secret_scan": q_secrets,
     "op9_decontamination": q_decontamination,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, decontam, embeddings, secrets, sharding, simhash, toxicity
+from lithos.llm import bpe, decontam, embeddings, html, secrets, sharding, simhash, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -65,6 +65,12 @@ def q_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
 
 
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"], "url", "html")
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
     "op4_byte_bpe": q_bpe,
@@ -73,6 +79,7 @@ QUERIES = {
     "op7_sharding": q_sharding,
     "op8_secret_scan": q_secrets,
     "op9_decontamination": q_decontamination,
+    "op10_html_extraction": q_html,
 }
 
 #: DuckDB SQL where SQL can express a query.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, decontam, embeddings, html, secrets, sharding, simhash, toxicity
+from lithos.llm import bpe, decontam, embeddings, html, ngram, secrets, sharding, simhash, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -71,8 +71,14 @@ def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def q_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram and unigram log probabilities of every document, from the documents not held out."""
+    return ngram.score(read_table(spark, sf_dir, "documents"), "doc_id", "text", fold_of("doc_id", 7) == 2)
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
+    "op3_lm_scoring": q_ngram,
     "op4_byte_bpe": q_bpe,
     "op5_simhash": q_simhash,
     "op6_embedding_near_dedup": q_embeddings,

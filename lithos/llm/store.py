@@ -56,28 +56,55 @@ def star(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], root[keep]
 
 
+#: Edges (16 bytes each) that one task joins into components; more take the distributed rounds.
+ONE_TASK = 2_000_000
+_EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
 def _spanning(batches):
-    """Replace the edges of each part of the data by a spanning star forest of their nodes."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    for batch in batches:
-        src, dst = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    """Replace edges by a spanning star forest of their nodes, ``ONE_TASK`` edges at most at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def reduced():
+        table = pa.Table.from_batches(held)
+        src, dst = table["src"].to_numpy(), table["dst"].to_numpy()
         ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         forest = Forest(len(ids))
         forest.union(at[:len(src)], at[len(src):])
-        a, b = star(ids, forest.label)
-        yield pa.record_batch([a, b], schema=schema)
+        return pa.record_batch([*star(ids, forest.label)], schema=_EDGES)
 
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ONE_TASK:
+            yield reduced()
+            held.clear()
+    if held:
+        yield reduced()
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of the undirected ``edges`` (src, dst): (node, component) with component
     the smallest node id, for all nodes that have an edge.
 
-    Alternating large-star and small-star steps; every step is a grouped minimum (combined before
-    its shuffle, so a hub costs one row a task) and a join, whose skewed side Spark splits. Edges of a
-    task are first replaced by a spanning forest. Each round is written to the checkpoint folder.
+    Each task first replaces its edges by a spanning forest. While the forests' edges number ``one_task``
+    at most (counted), one task joins them. Beyond that large-star and small-star steps alternate: every
+    step is a grouped minimum (combined before its shuffle, so a hub costs one row a task) and a join,
+    whose skewed side Spark splits; each round is written to the checkpoint folder.
     """
     edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-    now = written(edges.mapInArrow(_spanning, "src long, dst long").distinct(), "edges")
+    now = written(edges.mapInArrow(_spanning, "src long, dst long"), "edges")
+    if now.count() <= one_task:
+        now = written(now.repartition(1).mapInArrow(_spanning, "src long, dst long"), "edges")
+    else:
+        now = _rounds(now, rounds)
+    roots = now.select(F.col("dst").alias("node")).distinct()
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(
+        roots.select("node", F.col("node").alias("component"))
+    )
+
+
+def _rounds(now: DataFrame, rounds: int) -> DataFrame:
+    """Star edges (member, root) of the components, by alternating large-star and small-star steps."""
     seen = None
     for _ in range(rounds):
         both = now.union(now.select("dst", "src"))
@@ -91,11 +118,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = written(small.select("e.src", "e.dst").where("src <> dst").distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("src", "dst").cast("long"))).first()
         if state == seen:
-            break
+            return now
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("dst").alias("node")).distinct()
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
-    )
+    raise RuntimeError("components did not settle")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, decontam, embeddings, html, ngram, secrets, sharding, simhash, toxicity
+from lithos.llm import bpe, decontam, embeddings, html, ngram, secrets, sharding, simhash, suffixes, toxicity
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -76,8 +76,14 @@ def q_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(read_table(spark, sf_dir, "documents"), "doc_id", "text", fold_of("doc_id", 7) == 2)
 
 
+def q_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, in every document."""
+    return suffixes.repeated(read_table(spark, sf_dir, "documents"), "doc_id", "text", 50)
+
+
 QUERIES = {
     "op1_toxicity": q_toxicity,
+    "op2_repeated_passages": q_suffixes,
     "op3_lm_scoring": q_ngram,
     "op4_byte_bpe": q_bpe,
     "op5_simhash": q_simhash,

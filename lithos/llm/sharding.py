@@ -75,9 +75,10 @@ def shards(docs: DataFrame, id_col: str, text_col: str, n_shards: int, overhead:
     buckets = 1 + groups.count() // BUCKET_GROUPS
 
     def deal(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = list(batches)
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         table = table.sort_by([(c, "ascending") for c in ("bucket", *key)])
         bucket = table["bucket"].to_pylist()
         weight = [s * n for s, n in zip(table["size"].to_pylist(), table["n"].to_pylist(), strict=True)]

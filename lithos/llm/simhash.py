@@ -189,9 +189,10 @@ def links(distinct: DataFrame, distance: int, part: int = PART) -> DataFrame:
     cut = cut.select("t", "key", "fp", F.explode(tasks).alias("task"))
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = list(batches)
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         x = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
         a, b = link(x, table["owner"].to_numpy(), distance)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])

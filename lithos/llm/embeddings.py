@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lithos.llm.store import Forest, components, star, written
+from lithos.operators.position import with_ordered_index
 
 #: Vectors of a tile; coordinates of a block; coordinates whose box is kept for tiles.
 TILE, STEP, BOX = 2048, 16, 8
 _SLACK = 1e-9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     """Rows of a list array without nulls, all of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
@@ -163,22 +164,19 @@ def _links_of(distinct: DataFrame, width: int, cosine: float) -> DataFrame:
                         lambda s, p: s + p) for k in range(1)]
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, p: s + p * p))
     ordered = distinct.select("node", "copies", "v", (lead[0] / norm).alias("pc"))
-    tiles_wanted = 1 + distinct.count() // TILE
-    ordered = ordered.repartitionByRange(int(tiles_wanted), "pc", "node")
-
-    def pack(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TILE):
-                part = batch.slice(lo, TILE)
-                v = _matrix(part.column(2))
-                u = _unit(v) @ rotation[:, :box]
-                node = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(node.min())]), pa.array([node]), pa.array([part.column(1).to_numpy()]),
-                     pa.array([v.tobytes()]), pa.array([u.min(0)]), pa.array([u.max(0)])],
-                    names=["tile", "nodes", "copies", "bytes", "low", "high"])
-
-    tiles = written(ordered.mapInArrow(
+    # tiles are runs of TILE places in the order of the first coordinate, whatever the partitions
+    ordered = with_ordered_index(ordered, ["pc", "node"], name="place")
+    ordered = ordered.withColumn("tile", F.floor(F.col("place") / TILE))
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = _matrix(table["v"].combine_chunks())
+        u = _unit(v) @ rotation[:, :box]
+        return pa.table({
+            "tile": pa.array([table["tile"][0].as_py()], pa.int64()), "nodes": pa.array([table["node"].to_numpy()]),
+            "copies": pa.array([table["copies"].to_numpy()]), "bytes": pa.array([v.tobytes()], pa.binary()),
+            "low": pa.array([u.min(0)]), "high": pa.array([u.max(0)])})
+
+    tiles = written(ordered.select("tile", "node", "copies", "v").groupBy("tile").applyInArrow(
         pack, "tile long, nodes array<long>, copies array<long>, bytes binary, low array<double>, high array<double>"),
         "tiles")
     # strips of the first coordinate: a tile lies in all strips its range touches, and looks one to either side

@@ -30,7 +30,7 @@ from lithos.llm.text import SpanHash, Words, blocks, window_hash
 
 GRAM, SPREAD = 8, 18
 #: Text bytes of a chunk; a shard holds the share of one chunk of all keys.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from lithos.llm.eliasfano import EliasFano, pack_counts, unpack_counts
 from lithos.llm.text import SpanHash, Words, blocks, lowered, mix
 
 #: Text bytes of a chunk; a shard holds the share of one chunk of all n-grams.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Weight of the bigram term.
 WEIGHT = 0.3
 #: A context is spread over all shards from this share of a shard's tokens.

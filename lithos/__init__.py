@@ -7,7 +7,6 @@ functions/  column expressions (text cleaning, numeric coercion, JSON references
 operators/  DataFrame -> DataFrame operators: row position, quality gate, profile,
             dictionary encoding, hole indexes, typed arrays, catalog relations
 plans/      composite object builders and the registered queries on the driver tables
-streaming/  micro-batch adapters that run the batch operators on arriving files
 """
 
 __version__ = "0.1.0"

@@ -41,3 +41,8 @@ def not_missing(c) -> Column:
 def is_finite(c) -> Column:
     c = _col(c)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
+def invert(c, flag: bool) -> Column:
+    """Sign flip of an angle or height (PRJ-9), or the value itself."""
+    return -_col(c) if flag else _col(c)

@@ -12,10 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATA_REF_PATTERN = r'(?<!\\)"data"\s*:\s*"((?:[^"\\]|\\.)*)"'
+# Possessive runs of plain characters and escapes: the JVM matches them without recursion, so a
+# value may be of any length.
+DATA_REF_PATTERN = r'(?<!\\)"data"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+
+
+def unescaped(text: Column) -> Column:
+    """The value of a JSON string body (between its quotes): escapes undone. A body that is no valid
+    JSON string stays as it is."""
+    plain = F.from_json(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "v string")["v"]
+    return F.when(F.instr(text, "\\") == 0, text).otherwise(F.coalesce(plain, text))
 
 
 def data_references(doc) -> Column:
     """array<string> of referenced blob ids, in document order."""
     doc = F.col(doc) if isinstance(doc, str) else doc
-    return F.regexp_extract_all(doc, F.lit(DATA_REF_PATTERN), 1)
+    return F.transform(F.regexp_extract_all(doc, F.lit(DATA_REF_PATTERN), 1), unescaped)

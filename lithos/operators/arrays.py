@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Field names and types of the typed arrays the object documents refer to.
@@ -38,7 +38,7 @@ def project_array(df: DataFrame, role: str, sources: list, pos_col: str | None =
         raise ValueError(f"array '{role}' takes {len(fields)} columns, got {len(sources)}")
     cols = [_c(s).cast(t).alias(n) for (n, t), s in zip(fields, sources)]
     if pos_col:
-        cols.insert(0, F.col(pos_col).cast("long").alias("pos"))
+        cols.insert(0, F.col(f"`{pos_col}`").cast("long").alias("pos"))
     return df.select(*cols)
 
 
@@ -60,15 +60,23 @@ def path(df: DataFrame, depth, azimuth, dip, pos_col: str | None = "pos") -> Dat
 def index_pairs(df: DataFrame, start, end, pos_col: str | None = "pos") -> DataFrame:
     """SNK-6: (data1, data2) as non-negative 64-bit integers.
 
-    Spark has no unsigned type: values are ``bigint`` and a negative, NULL or fractional
-    index is refused at write time by :func:`check_index_pairs` (the gate rejects them first).
+    Spark has no unsigned type: values are ``bigint``. A fractional index becomes NULL here, and
+    ``write_array`` refuses NULL and negative ones.
     """
-    return project_array(df, "indices", [start, end], pos_col)
+    def whole(c) -> Column:
+        v = _c(c)
+        return F.when(v.cast("double") == F.floor(v.cast("double")), v.cast("long"))
+
+    return project_array(df, "indices", [whole(start), whole(end)], pos_col)
+
+
+def _bad_pair() -> Column:
+    return F.col("data1").isNull() | F.col("data2").isNull() | (F.col("data1") < 0) | (F.col("data2") < 0)
 
 
 def check_index_pairs(pairs: DataFrame) -> DataFrame:
     """Rows of an index array that are not valid unsigned integers (should be empty)."""
-    return pairs.filter(F.col("data1").isNull() | F.col("data2").isNull() | (F.col("data1") < 0) | (F.col("data2") < 0))
+    return pairs.filter(_bad_pair())
 
 
 def new_array_id(role: str) -> str:
@@ -76,20 +84,23 @@ def new_array_id(role: str) -> str:
 
 
 def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None = None) -> dict:
-    """Write one array (ordered by ``pos``) and return its reference ``{data, length}``.
+    """Write one array and return its reference ``{data, length}``.
 
-    The range partitioning keeps each output file a contiguous run of positions; the length
-    comes from the parquet footers of what was written.
+    Rows are sorted inside each file by the array's order: position, a hole index by offset then hole
+    (ORD-3; the order among empty holes is otherwise undefined), a lookup by key. Positions are values of
+    the array, so no shuffle puts the files themselves in order. The length is counted by the write. An
+    index array with a missing, fractional or negative end fails the write.
     """
     array_id = array_id or new_array_id(role)
     target = f"{base_path.rstrip('/')}/{role}/{array_id}"
     cols = ["pos"] + [n for n, _ in ARRAY_FIELDS[role]] if "pos" in df.columns else [n for n, _ in ARRAY_FIELDS[role]]
     out = df.select(*cols)
-    # Arrays are stored in their array order: by position, a hole index by offset then hole
-    # (ORD-3; the order among empty holes is otherwise undefined), a lookup by key.
+    if role == "indices":
+        refused = F.raise_error(F.lit(f"index array {array_id}: an end is missing, fractional or negative")).cast("long")
+        out = out.withColumn("data1", F.when(_bad_pair(), refused).otherwise(F.col("data1")))
     order = ["pos"] if "pos" in out.columns else {"holes": ["offset", "hole_index"], "lookup": ["key"]}.get(role)
     if order:
-        out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-    out.write.mode("errorifexists").parquet(target)
-    length = df.sparkSession.read.parquet(target).count()
-    return {"data": array_id, "length": length, "path": target}
+        out = out.sortWithinPartitions(*order)
+    seen = Observation()
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(target)
+    return {"data": array_id, "length": seen.get["n"], "path": target}

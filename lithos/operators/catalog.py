@@ -6,11 +6,15 @@ Inputs are three DataFrames:
 * ``workspaces``: id, name, description, user_role, created_at, updated_at, created_by,
   default_coordinate_system, labels, deleted
 * ``objects`` (one row per object version): workspace_id, id, name, path, schema_id,
-  version_id, created_at, created_by, deleted, document (JSON text). A large document may be
-  stored as pages: then there is one row per (version, ``page``), page 0 holds the header, and
-  ``first_ordinal`` numbers the first reference of each page. Listings read header pages only.
+  version_id, created_at, created_by, deleted, document (JSON text)
+* ``references`` (one row per data reference of a version): workspace_id, id, version_id,
+  ordinal, blob_id. It is flat at every size, so that no version gathers its references in one
+  value. Where a function is given none, the references are extracted from the documents.
 * ``blobs``: workspace_id, blob_id, length
 
+An object whose current version is flagged deleted is gone: listings, summaries, snapshots and
+copies leave it out unless they are asked for deleted objects.
+
 Where the original lists everything and loops over objects with one request each, these are
 filters (pushed to the scan), one aggregate for the latest version, and joins.
 """
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions.refs import data_references
 from lithos.functions.timefmt import iso_timestamp
+from lithos.operators.position import materialize
 
 OBJECT_META = ("workspace_id", "id", "name", "path", "schema_id", "version_id", "created_at")
 
@@ -44,14 +49,9 @@ def current_versions(objects: DataFrame) -> DataFrame:
     return objects.join(latest, ["workspace_id", "id", "version_id"], "left_semi")
 
 
-def headers(objects: DataFrame) -> DataFrame:
-    """One row per object version: the header page of paged documents (all rows otherwise)."""
-    return objects.filter(F.col("page") == 0) if "page" in objects.columns else objects
-
-
 def object_listing(objects: DataFrame) -> DataFrame:
     """The listing projection (ids, names, paths, schema, version, ISO time)."""
-    return headers(objects).select("id", "name", "path", "schema_id", "version_id", iso_timestamp("created_at").alias("created_at"))
+    return objects.select("id", "name", "path", "schema_id", "version_id", iso_timestamp("created_at").alias("created_at"))
 
 
 def list_workspaces(workspaces: DataFrame, name: str = "", deleted: bool = False, limit: int = 50) -> DataFrame:
@@ -71,7 +71,7 @@ def get_workspace(workspaces: DataFrame, workspace_id: str = "", workspace_name:
     elif workspace_name:
         df = workspaces.filter(F.col("name") == F.lit(workspace_name)).orderBy("created_at", "id").limit(1)
     else:
-        raise ValueError("Either workspace_id or workspace_name must be provided")
+        raise ValueError("get_workspace needs an id or a name")
     return df.select(
         "id", "name", "description", "user_role", iso_timestamp("created_at").alias("created_at"),
         iso_timestamp("updated_at").alias("updated_at"), "created_by", "default_coordinate_system", "labels")
@@ -88,50 +88,52 @@ def list_objects(objects: DataFrame, workspace_id: str, schema_id: str = "", del
     return object_listing(cur.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit))
 
 
-def _pin(objects: DataFrame, version: str | None) -> DataFrame:
-    """FLT-9: a version id pins that version; empty or None means the latest."""
-    if version:
-        return objects.filter(F.col("version_id") == F.lit(version))
-    return current_versions(objects)
+def _in(objects: DataFrame, workspace_id) -> DataFrame:
+    """Objects of one workspace, given as text or as a column (e.g. a scalar subquery)."""
+    return objects.filter(F.col("workspace_id") == (F.lit(workspace_id) if isinstance(workspace_id, str) else workspace_id))
 
 
-def get_object(objects: DataFrame, workspace_id: str, object_id: str = "", object_path: str = "",
-               version: str = "") -> DataFrame:
-    """FLT-7: by id, else by exact path; an empty result means not found."""
-    df = objects.filter(F.col("workspace_id") == F.lit(workspace_id))
+def _one(objects: DataFrame, workspace_id, object_id: str, object_path) -> DataFrame:
+    """Versions of the object with this id, else with exactly this path."""
+    df = _in(objects, workspace_id)
     if object_id:
-        df = df.filter(F.col("id") == F.lit(object_id))
-    elif object_path:
-        df = df.filter(F.col("path") == F.lit(object_path))
-    else:
-        raise ValueError("Either object_id or object_path must be provided")
+        return df.filter(F.col("id") == F.lit(object_id))
+    if isinstance(object_path, str) and not object_path:
+        raise ValueError("an object is looked up by its id or its path; both are empty")
+    return df.filter(F.col("path") == (F.lit(object_path) if isinstance(object_path, str) else object_path))
+
+
+def _alive(current: DataFrame, include_deleted: bool) -> DataFrame:
+    return current if include_deleted else current.filter(~F.col("deleted"))
+
+
+def _pin(objects: DataFrame, version) -> DataFrame:
+    """FLT-9: a version id (text or column) pins that version; empty or None means the latest."""
+    if isinstance(version, str) or version is None:
+        if not version:
+            return current_versions(objects)
+        version = F.lit(version)
+    return objects.filter(F.col("version_id") == version)
+
+
+def get_object(objects: DataFrame, workspace_id, object_id: str = "", object_path="",
+               version="") -> DataFrame:
+    """FLT-7: by id, else by exact path; an empty result means not found."""
+    df = _one(objects, workspace_id, object_id, object_path)
     return object_listing(_pin(df, version))
 
 
-def object_content(objects: DataFrame, workspace_id: str, object_id: str = "", object_path: str = "",
+def object_content(objects: DataFrame, workspace_id, object_id: str = "", object_path="",
                    version: str = "") -> DataFrame:
     """SRC-5: metadata + the document (JSON text), optional version pin."""
-    df = objects.filter(F.col("workspace_id") == F.lit(workspace_id))
-    if object_id:
-        df = df.filter(F.col("id") == F.lit(object_id))
-    elif object_path:
-        df = df.filter(F.col("path") == F.lit(object_path))
-    else:
-        raise ValueError("Either object_id or object_path must be provided")
-    extra = [c for c in ("page", "first_ordinal") if c in df.columns]
-    return _pin(df, version).select("id", "name", "path", "schema_id", "version_id", *extra, "document")
+    df = _one(objects, workspace_id, object_id, object_path)
+    return _pin(df, version).select("id", "name", "path", "schema_id", "version_id", "document")
 
 
-def object_versions(objects: DataFrame, workspace_id: str, object_id: str = "", object_path: str = "") -> DataFrame:
+def object_versions(objects: DataFrame, workspace_id, object_id: str = "", object_path="") -> DataFrame:
     """CAT-5: version history, newest first."""
-    df = objects.filter(F.col("workspace_id") == F.lit(workspace_id))
-    if object_id:
-        df = df.filter(F.col("id") == F.lit(object_id))
-    elif object_path:
-        df = df.filter(F.col("path") == F.lit(object_path))
-    else:
-        raise ValueError("Either object_id or object_path must be provided")
-    return headers(df).select("version_id", iso_timestamp("created_at").alias("created_at"), "created_by").orderBy(
+    df = _one(objects, workspace_id, object_id, object_path)
+    return df.select("version_id", iso_timestamp("created_at").alias("created_at"), "created_by").orderBy(
         F.col("created_at").desc(), F.col("version_id").desc())
 
 
@@ -146,23 +148,27 @@ def filter_objects(objects: DataFrame, schema_filter: Sequence[str] = (), name_f
     return df
 
 
-def workspace_summary(objects: DataFrame) -> DataFrame:
+def workspace_summary(objects: DataFrame, include_deleted: bool = False) -> DataFrame:
     """AGG-7 / CAT-1: current objects per workspace and schema, plus a total row per
     workspace (schema_id NULL) from the same rollup."""
-    cur = headers(current_versions(objects))
+    cur = _alive(current_versions(objects), include_deleted)
     return cur.rollup("workspace_id", "schema_id").agg(F.count(F.lit(1)).alias("objects")).filter(
         F.col("workspace_id").isNotNull())
 
 
-def object_references(objects: DataFrame) -> DataFrame:
-    """SCL-6 / CAT-6: (workspace_id, id, version_id, ordinal, blob_id), document order,
-    repeats kept; ordinals continue across the pages of a paged document."""
-    refs = objects.select(
-        "workspace_id", "id", "version_id",
-        (F.col("first_ordinal") if "first_ordinal" in objects.columns else F.lit(0).cast("long")).alias("__first"),
-        F.posexplode(data_references("document")).alias("__i", "blob_id"))
-    return refs.select("workspace_id", "id", "version_id",
-                       (F.col("__first") + F.col("__i")).cast("int").alias("ordinal"), "blob_id")
+_VERSION = ("workspace_id", "id", "version_id")
+
+
+def document_references(objects: DataFrame) -> DataFrame:
+    """SCL-6: the flat reference rows of documents, document order, repeats kept."""
+    return objects.select(*_VERSION, F.posexplode(data_references("document")).alias("ordinal", "blob_id"))
+
+
+def object_references(objects: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """SCL-6 / CAT-6: (workspace_id, id, version_id, ordinal, blob_id) of the given versions."""
+    if references is None:
+        return document_references(objects)
+    return references.join(objects.select(*_VERSION), list(_VERSION), "left_semi").select(*_VERSION, "ordinal", "blob_id")
 
 
 def default_snapshot_name(now: _dt.datetime | None = None) -> tuple[str, str]:
@@ -172,7 +178,8 @@ def default_snapshot_name(now: _dt.datetime | None = None) -> tuple[str, str]:
 
 
 def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id: str, snapshot_name: str = "",
-                       snapshot_time: str | None = None, include_data_blobs: bool = False) -> DataFrame:
+                       snapshot_time: str | None = None, include_data_blobs: bool = False,
+                       references: DataFrame | None = None, include_deleted: bool = False) -> DataFrame:
     """AGG-10 / CAT-2: the flat snapshot table, one row per current object.
 
     ``snapshot_time`` is an ISO text fixed once by the caller (default: now, UTC), and an empty
@@ -184,11 +191,11 @@ def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id:
         default_name, now = default_snapshot_name()
         snapshot_time = snapshot_time or now
         snapshot_name = snapshot_name or default_name
-    cur = current_versions(objects.filter(F.col("workspace_id") == F.lit(workspace_id)))
+    cur = _alive(current_versions(_in(objects, workspace_id)), include_deleted)
     ws = workspaces.filter(F.col("id") == F.lit(workspace_id)).select(
         F.col("id").alias("workspace_id"), F.col("name").alias("workspace_name"),
         F.col("description").alias("workspace_description"))
-    rows = headers(cur).join(F.broadcast(ws), "workspace_id", "left")  # one workspace row
+    rows = cur.join(F.broadcast(ws.limit(1)), "workspace_id", "left")  # one workspace row
     cols = [
         F.lit(snapshot_name).alias("snapshot_name"), F.lit(snapshot_time).alias("snapshot_timestamp"),
         "workspace_id", "workspace_name", "workspace_description",
@@ -196,19 +203,19 @@ def workspace_snapshot(objects: DataFrame, workspaces: DataFrame, workspace_id:
         iso_timestamp("created_at").alias("created_at"),
     ]
     if include_data_blobs:
-        counts = cur.groupBy("workspace_id", "id", "version_id").agg(
-            F.sum(F.size(data_references("document"))).cast("int").alias("n_blobs"))
-        rows = rows.join(counts, ["workspace_id", "id", "version_id"], "left")
+        counts = object_references(cur, references).groupBy(*_VERSION).agg(F.count(F.lit(1)).cast("int").alias("n_blobs"))
+        rows = rows.join(counts, list(_VERSION), "left")
         cols.append(F.coalesce(F.col("n_blobs"), F.lit(0)).alias("n_blobs"))
     return rows.select(*cols)
 
 
-def snapshot_references(objects: DataFrame, workspace_id: str, snapshot_name: str) -> DataFrame:
+def snapshot_references(objects: DataFrame, workspace_id: str, snapshot_name: str, references: DataFrame | None = None,
+                        include_deleted: bool = False) -> DataFrame:
     """The data blobs of a snapshot as a flat table: (snapshot_name, object_id, version_id,
     ordinal, blob_id)."""
-    cur = current_versions(objects.filter(F.col("workspace_id") == F.lit(workspace_id)))
-    return object_references(cur).select(F.lit(snapshot_name).alias("snapshot_name"), F.col("id").alias("object_id"),
-                                         "version_id", "ordinal", "blob_id")
+    cur = _alive(current_versions(_in(objects, workspace_id)), include_deleted)
+    return object_references(cur, references).select(F.lit(snapshot_name).alias("snapshot_name"),
+                                                     F.col("id").alias("object_id"), "version_id", "ordinal", "blob_id")
 
 
 def write_snapshot(snapshot: DataFrame, snapshots_path: str) -> None:
@@ -218,92 +225,86 @@ def write_snapshot(snapshot: DataFrame, snapshots_path: str) -> None:
      .partitionBy("snapshot_name").parquet(snapshots_path))
 
 
-def object_blobs(objects: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JN-6: (matched references, objects with a reference the blob store lacks)."""
-    refs = object_references(objects)
-    store = blobs.select("blob_id", "length").dropDuplicates(["blob_id"])
-    matched = refs.join(store, "blob_id", "inner")
-    missing = refs.join(store, "blob_id", "left_anti")
-    failed = missing.select("workspace_id", "id", "version_id").distinct()
-    return matched, failed
+def checked_references(objects: DataFrame, blobs: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """JN-6: every reference of the given versions with the ``length`` of its blob in the version's own
+    workspace, NULL where that workspace does not hold it. Written once; all that follows reads it."""
+    store = blobs.groupBy("workspace_id", "blob_id").agg(F.max("length").alias("length"), F.lit(True).alias("held"))
+    return materialize(object_references(objects, references).join(store, ["workspace_id", "blob_id"], "left"))
+
+
+def object_blobs(objects: DataFrame, blobs: DataFrame, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """JN-6: (matched references, objects with a reference their workspace's blob store lacks)."""
+    checked = checked_references(objects, blobs, references)
+    return (checked.filter("held").drop("held"),
+            checked.filter("held is null").select(*_VERSION).distinct())
+
+
+def _copied(src: DataFrame, blobs: DataFrame, references: DataFrame | None, target_workspace_id: str,
+            repeats: bool) -> dict[str, DataFrame]:
+    """Copy the versions ``src`` with their blobs. One pass over the references decides what fails."""
+    checked = checked_references(src, blobs, references)
+    # per version: its references, and whether one of them has no blob
+    state = checked.groupBy(*_VERSION).agg(F.max(F.col("held").isNull()).alias("lacks"), F.count(F.lit(1)).alias("n"))
+    marked = src.join(state, list(_VERSION), "left").withColumn("failed", F.coalesce("lacks", F.lit(False)))
+    whole = checked.join(state.filter("not lacks"), list(_VERSION), "left_semi")
+    stored = whole.groupBy("blob_id").agg(F.max("length").alias("length"))
+    target = blobs.filter(F.col("workspace_id") == F.lit(target_workspace_id)).select("blob_id")
+    new_blobs = stored.join(target, "blob_id", "left_anti").select(
+        F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
+    new_objects = marked.filter(~F.col("failed")).select(
+        F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
+        F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"), "document")
+    blobs_copied = (state.filter("not lacks").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")) if repeats
+                    else stored.agg(F.count(F.lit(1))))
+    counts = marked.agg(F.count_if(~F.col("failed")).alias("objects_copied"), F.count_if("failed").alias("objects_failed")).select(
+        "objects_copied", "objects_failed", blobs_copied.scalar().alias("data_blobs_copied"))
+    return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts,
+            "new_references": whole.select(F.col("id").alias("source_id"), F.col("version_id").alias("source_version_id"),
+                                           "ordinal", "blob_id")}
 
 
 def duplicate_workspace(objects: DataFrame, blobs: DataFrame, source_workspace_id: str, target_workspace_id: str,
-                        schema_filter: Sequence[str] = (), name_filter: Sequence[str] = ()) -> dict[str, DataFrame]:
+                        schema_filter: Sequence[str] = (), name_filter: Sequence[str] = (),
+                        references: DataFrame | None = None, include_deleted: bool = False) -> dict[str, DataFrame]:
     """CAT-4: copy the current version of every selected object with its blobs.
 
-    * objects with a reference missing from the blob store fail and are skipped (counted);
+    * objects with a reference missing from the source workspace's blob store fail and are skipped (counted);
     * blobs are copied once (distinct over all copied objects) and only when the target does
       not hold them yet (anti join);
     * new object rows keep path, name, schema and document, get the target workspace id and a
       NULL uuid; their ids are assigned by the store on append.
 
-    Returns ``new_objects``, ``new_blobs``, ``counts`` (one row).
+    Returns ``new_objects``, ``new_references``, ``new_blobs``, ``counts`` (one row).
     """
-    src = filter_objects(current_versions(objects.filter(F.col("workspace_id") == F.lit(source_workspace_id))),
-                         schema_filter, name_filter)
-    src_blobs = blobs.filter(F.col("workspace_id") == F.lit(source_workspace_id))
-    _, failed = object_blobs(src, src_blobs)
-    ok = src.join(failed.select("id"), "id", "left_anti")
-    refs = object_references(ok).select("blob_id").distinct()
-    target_has = blobs.filter(F.col("workspace_id") == F.lit(target_workspace_id)).select("blob_id")
-    copied = refs.join(src_blobs.select("blob_id", "length").dropDuplicates(["blob_id"]), "blob_id")
-    new_blobs = copied.join(target_has, "blob_id", "left_anti").select(
-        F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
-    pages = [c for c in ("page", "first_ordinal") if c in ok.columns]
-    new_objects = ok.select(
-        F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
-        F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"),
-        *pages, "document")
-    counts = (
-        headers(src).join(failed.select("id", F.lit(True).alias("__failed")), "id", "left")
-        .agg(F.count_if(F.col("__failed").isNull()).alias("objects_copied"),
-             F.count_if(F.col("__failed").isNotNull()).alias("objects_failed"))
-        .select("objects_copied", "objects_failed", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
-    )
-    return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts}
-
-
-def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id: str, target_workspace_id: str,
-                object_id: str, version: str = "") -> dict[str, DataFrame]:
+    cur = _alive(current_versions(_in(objects, source_workspace_id)), include_deleted)
+    return _copied(filter_objects(cur, schema_filter, name_filter), blobs, references, target_workspace_id, repeats=False)
+
+
+def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id, target_workspace_id: str,
+                object_id: str, version: str = "", references: DataFrame | None = None) -> dict[str, DataFrame]:
     """CAT-3: copy one object (a version pin, else the latest) with its blobs.
 
-    Unlike the workspace duplicate, ``data_blobs_copied`` counts the references with repeats,
-    as the single-object copy of the original does. Returns ``new_objects``, ``new_blobs``,
-    ``counts`` (one row).
+    An object with a reference whose blob the source workspace does not hold is not copied. Unlike the
+    workspace duplicate, ``data_blobs_copied`` counts the copied references with repeats. Returns the same
+    four DataFrames.
     """
-    src = objects.filter((F.col("workspace_id") == F.lit(source_workspace_id)) & (F.col("id") == F.lit(object_id)))
-    src = src.filter(F.col("version_id") == F.lit(version)) if version else current_versions(src)
-    refs = object_references(src)
-    store = blobs.filter(F.col("workspace_id") == F.lit(source_workspace_id)).select("blob_id", "length").dropDuplicates(["blob_id"])
-    target_has = blobs.filter(F.col("workspace_id") == F.lit(target_workspace_id)).select("blob_id")
-    new_blobs = refs.select("blob_id").distinct().join(store, "blob_id").join(target_has, "blob_id", "left_anti").select(
-        F.lit(target_workspace_id).alias("workspace_id"), "blob_id", "length")
-    pages = [c for c in ("page", "first_ordinal") if c in src.columns]
-    new_objects = src.select(
-        F.lit(target_workspace_id).alias("workspace_id"), F.lit(None).cast("string").alias("uuid"),
-        F.col("id").alias("source_id"), "name", "path", "schema_id", F.col("version_id").alias("source_version_id"),
-        *pages, "document")
-    counts = headers(src).agg(F.count(F.lit(1)).alias("objects_copied")).select(
-        "objects_copied", refs.select(F.count(F.lit(1))).scalar().alias("data_blobs_copied"))
-    return {"new_objects": new_objects, "new_blobs": new_blobs, "counts": counts}
+    src = _pin(_in(objects, source_workspace_id).filter(F.col("id") == F.lit(object_id)), version)
+    return _copied(src, blobs, references, target_workspace_id, repeats=True)
 
 
 def append_objects(new_objects: DataFrame, objects_path: str, created_by: str = "lithos") -> DataFrame:
     """SNK-10: append new object versions to the stored ``objects`` table.
 
-    Documents appended here are single pages (the builders' documents refer to arrays, so they
-    stay small). Each row gets a fresh object id, a version id that is the SHA-256 of its document, and
-    the append time; ``uuid`` inside the document stays unset (the store assigns identity).
-    The table is partitioned by workspace, so listings prune to one folder. Returns the
-    appended metadata rows (id, name, path, version_id, created_at).
+    Each row gets a fresh object id, a version id that is the SHA-256 of its document, and the append time;
+    ``uuid`` inside the document stays unset (the store assigns identity). The rows are written with their
+    ids to the checkpoint folder first, so the ids returned are the ids stored, whoever else appends. The
+    table is partitioned by workspace, so listings prune to one folder. Returns the appended metadata rows
+    (id, name, path, version_id, created_at).
     """
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = new_objects.select(
+    rows = materialize(new_objects.select(
         "workspace_id", F.expr("uuid()").alias("id"), "name", "path", "schema_id",
         F.sha2("document", 256).alias("version_id"), F.lit(now).alias("created_at"),
-        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document")
+        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document"))
     rows.write.mode("append").partitionBy("workspace_id").parquet(objects_path)
-    stored = new_objects.sparkSession.read.parquet(objects_path)
-    return stored.filter(F.col("created_at") == F.lit(now)).select(
-        "workspace_id", "id", "name", "path", "version_id", iso_timestamp("created_at").alias("created_at"))
+    return rows.select("workspace_id", "id", "name", "path", "version_id", iso_timestamp("created_at").alias("created_at"))

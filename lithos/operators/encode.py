@@ -20,7 +20,7 @@ from lithos.functions.numeric import coerce_double
 from lithos.functions.text import attribute_key_of, clean_text
 from lithos.operators.position import with_ordered_index
 
-CONTINUOUS_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
+CONTINUOUS_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.DecimalType)
 
 
 @dataclass(frozen=True)
@@ -52,10 +52,10 @@ def plan_attributes(df: DataFrame, columns: Sequence[str], exclude: Sequence[str
     specs, warnings, seen = [], [], {}
     for name in columns:
         if name not in fields:
-            warnings.append(f"Attribute column '{name}' not found, skipped")
+            warnings.append(f"no column '{name}' for an attribute; left out")
             continue
         if name in excl:
-            warnings.append(f"Attribute column '{name}' is a role column, skipped")
+            warnings.append(f"column '{name}' has a role already; left out as attribute")
             continue
         dt = fields[name]
         key = attribute_key_of(name)
@@ -64,10 +64,10 @@ def plan_attributes(df: DataFrame, columns: Sequence[str], exclude: Sequence[str
         elif isinstance(dt, CONTINUOUS_TYPES):
             spec = AttributeSpec(name, key, "continuous", dt)
         else:
-            spec = AttributeSpec(name, key, "category", dt, f"Unknown dtype {dt.simpleString()} for column {name}, treating as category")
+            spec = AttributeSpec(name, key, "category", dt, f"column {name} of type {dt.simpleString()} is stored as text categories")
             warnings.append(spec.warning)
         if key in seen:
-            warnings.append(f"Attribute key '{key}' of column '{name}' collides with column '{seen[key]}'")
+            warnings.append(f"columns '{seen[key]}' and '{name}' share the attribute key '{key}'")
         seen.setdefault(key, name)
         specs.append(spec)
     return specs, warnings

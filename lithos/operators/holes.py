@@ -11,11 +11,11 @@ prefix sum over holes, never over rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions.text import clean_text
-from lithos.operators.position import with_exclusive_prefix_sum, with_ordered_index
+from lithos.operators.position import LOCAL, PID, ranged, with_exclusive_prefix_sum, with_ordered_index
 
 
 def hole_text(df: DataFrame, column: str) -> Column:
@@ -37,7 +37,7 @@ def collar_keys(collar: DataFrame, id_col: str, lookup: DataFrame, keep: tuple =
 
 def max_depth(survey: DataFrame, id_col: str, depth_col: str) -> DataFrame:
     """AGG-5: (hole_id, max_depth); partial + final aggregate."""
-    return survey.groupBy(hole_text(survey, id_col).alias("hole_id")).agg(F.max(depth_col).cast("double").alias("max_depth"))
+    return survey.groupBy(hole_text(survey, id_col).alias("hole_id")).agg(F.max(F.col(f"`{depth_col}`")).cast("double").alias("max_depth"))
 
 
 def hole_distances(collar: DataFrame, survey: DataFrame, collar_id: str, survey_id: str, depth_col: str,
@@ -48,7 +48,7 @@ def hole_distances(collar: DataFrame, survey: DataFrame, collar_id: str, survey_
     the survey's max depth per hole by a left join, missing -> 0.0.
     """
     base = collar.select(*[F.col(k) for k in keep], hole_text(collar, collar_id).alias("hole_id"),
-                         *([F.col(max_depth_col).cast("double").alias("__d")] if max_depth_col else []))
+                         *([F.col(f"`{max_depth_col}`").cast("double").alias("__d")] if max_depth_col else []))
     if not max_depth_col:
         base = base.join(max_depth(survey, survey_id, depth_col), "hole_id", "left").select(
             *keep, "hole_id", F.coalesce(F.col("max_depth"), F.lit(0.0)).alias("__d"))
@@ -115,22 +115,25 @@ def hole_indexes(collar: DataFrame, collar_id: str, data: dict[str, tuple[DataFr
     return lookup, maps
 
 
-def ordered_index_map(index: DataFrame) -> DataFrame:
-    return index.orderBy("offset", "hole_index")
-
-
 def run_length_index(data: DataFrame, id_col: str, pos_col: str, lookup: DataFrame) -> DataFrame:
     """SEQ-4: one (hole_index, offset, count) row per run of equal ids along a dense position.
 
-    Gaps and islands without a global window: a run starts where the previous position holds
-    another id (an equi join on pos = pos - 1, unique keys, no skew); run starts are ranked;
-    a run ends where the next one starts (equi join on rank + 1) or at the end of the data.
-    Runs of ids absent from the lookup are dropped; lookup ids without any run get (0, 0).
+    The rows are range partitioned and sorted by position once. Inside a partition the previous row's id
+    comes from ``lag``; the first row of each partition (one a partition) takes it from the last row of
+    the partition before. Run starts are few and ranked; a run ends where the next one starts, or at the
+    end of the data. Runs of ids absent from the lookup are dropped; lookup ids without any run get (0, 0).
     """
     d = data.select(hole_text(data, id_col).alias("value"), F.col(pos_col).cast("long").alias("p"))
-    prev = d.select((F.col("p") + 1).alias("p"), F.col("value").alias("prev"))
-    starts = d.join(prev, "p", "left").filter(F.col("prev").isNull() | (F.col("prev") != F.col("value")))
-    ranked = with_ordered_index(starts.select("p", "value"), ["p"], name="r")
+    rows = ranged(d, ["p"])
+    inside = Window.partitionBy(PID).orderBy(LOCAL)
+    marked = rows.select(PID, LOCAL, "p", "value", F.lag("value").over(inside).alias("prev"))
+    # last id of each partition, carried to the next partition that has rows: one row a partition
+    last = rows.groupBy(PID).agg(F.max_by("value", LOCAL).alias("tail"))
+    edge = last.select(F.col(PID), F.lag("tail").over(Window.orderBy(PID)).alias("edge"))
+    starts = marked.join(edge, PID, "left").select(
+        "p", "value", F.when(F.col(LOCAL) == 0, F.col("edge")).otherwise(F.col("prev")).alias("prev")).filter(
+        F.col("prev").isNull() | (F.col("prev") != F.col("value"))).select("p", "value")
+    ranked = with_ordered_index(starts, ["p"], name="r")
     nxt = ranked.select((F.col("r") - 1).alias("r"), F.col("p").alias("next_p"))
     total = d.select(F.max("p") + 1).scalar()
     runs = ranked.join(nxt, "r", "left").select(

@@ -4,7 +4,7 @@ Three shapes share one technique:
 
 * ``with_file_position``: the row order of the files themselves (N5). Parquet exposes
   ``_metadata.row_index``; other formats use the split start and the per-task row counter.
-  Only one row per file (or per split) is ever aggregated and broadcast.
+  One row per file (or per split) is aggregated, ranked like any other rows, and joined back.
 * ``with_ordered_index``: a dense 0..n-1 index along a total order. The data is range
   partitioned on the full order (Spark's sampler splits a hot leading key across tasks when
   the tie-breakers differ), sorted inside each partition and checkpointed, so the per-partition
@@ -16,15 +16,16 @@ Three shapes share one technique:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.session import ensure_checkpoint_dir
 
-_PID = "__pid"
-_LOCAL = "__local"
+PID = "__pid"
+LOCAL = "__local"
 _OFF = "__off"
 
 
@@ -32,31 +33,65 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
+def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     """Range partition + local sort + partition id + local row number, materialised."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = _cols(order_cols)
-    # No pinned partition count: the range shuffle starts from the session's initial shuffle
-    # partition number (spark.sql.adaptive.coalescePartitions.initialPartitionNum when set, sized
-    # by the cluster for its largest input) and AQE merges neighbouring ranges down to the
-    # advisory size, which keeps every partition a contiguous range. Catalyst's size estimates
-    # are not used for this: without CBO a join's estimate is the product of its inputs.
-    ranged = (
-        df.repartitionByRange(*cols)
+    many = input_partitions(df)
+    # Up to the session's shuffle partition number AQE merges neighbouring ranges to the advisory size, and
+    # every partition stays a contiguous range; an input too large for that number gets its own.
+    by_range = df.repartitionByRange(many, *cols) if many else df.repartitionByRange(*cols)
+    out = (
+        by_range
         .sortWithinPartitions(*cols)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
+        .withColumn(PID, F.spark_partition_id())
+        .withColumn(LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(PID).cast("long"), 33))
     )
     # The partition ids, local numbers and the range bounds they came from are fixed once by
     # writing them as a parquet table in the shared checkpoint folder: lineage is cut, a lost
     # executor re-reads the same files, and later reads prune to the columns they need.
-    return materialize(ranged)
+    return materialize(out)
+
+
+#: Bytes of input files behind one range partition.
+RANGE_BYTES = 128 << 20
+
+
+def input_partitions(df: DataFrame) -> int | None:
+    """Range partitions for ``df``'s source files at RANGE_BYTES each, where that is more than the session's
+    shuffle partition number; else None. Sizes of the sources are known from their listing; estimates of joins
+    above them are not used."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    n = -(-size // RANGE_BYTES)
+    return n if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 20 else None
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def intermediates_removed(spark) -> Iterator[None]:
+    """Folders that are written as intermediates inside are deleted on leaving. Only for work that has been
+    executed or written elsewhere by then: DataFrames read from those folders are not to be used after."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        jvm = spark._jvm
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize_path(df: DataFrame) -> str:
     """Write ``df`` as parquet under the session's checkpoint folder; return the path."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/lithos-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     return path
 
 
@@ -68,18 +103,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:
     # One row per partition: an unpartitioned window here is bounded by the partition count.
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(_PID, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long").alias(_OFF))
+    w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(PID, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long").alias(_OFF))
 
 
 def with_ordered_index(df: DataFrame, order_cols: Sequence, name: str = "pos", start: int = 0) -> DataFrame:
     """Add ``name`` = start + rank along ``order_cols`` (must be a total order for a
     deterministic result; ties get distinct consecutive numbers)."""
-    ranged = _ranged(df, order_cols)
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
+    rows = ranged(df, order_cols)
+    sizes = rows.groupBy(PID).agg(F.count(F.lit(1)).alias("__n"))
     offsets = _partition_offsets(sizes, "__n")
-    out = ranged.join(F.broadcast(offsets), _PID)
-    return out.select(*df.columns, (F.col(_OFF) + F.col(_LOCAL) + F.lit(start)).cast("long").alias(name))
+    out = rows.join(F.broadcast(offsets), PID)
+    return out.select(*df.columns, (F.col(_OFF) + F.col(LOCAL) + F.lit(start)).cast("long").alias(name))
 
 
 def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name) -> DataFrame:
@@ -89,16 +124,16 @@ def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name)
     one ranked pass."""
     weights = [weight] if isinstance(weight, str) else list(weight)
     names = [name] if isinstance(name, str) else list(name)
-    ranked = _ranged(df, order_cols)
-    ranged_sizes = ranked.groupBy(_PID).agg(*[F.sum(w).alias(f"__w{i}") for i, w in enumerate(weights)])
+    ranked = ranged(df, order_cols)
+    ranged_sizes = ranked.groupBy(PID).agg(*[F.sum(w).alias(f"__w{i}") for i, w in enumerate(weights)])
     # per-partition offsets of every weight (one row per partition)
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged_sizes.select(_PID, *[F.coalesce(F.sum(f"__w{i}").over(w), F.lit(0)).cast("long").alias(f"__o{i}")
+    w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged_sizes.select(PID, *[F.coalesce(F.sum(f"__w{i}").over(w), F.lit(0)).cast("long").alias(f"__o{i}")
                                          for i in range(len(weights))])
     # Inside a partition: a running sum partitioned by the partition id (one range each).
-    wl = Window.partitionBy(_PID).orderBy(F.col(_LOCAL)).rowsBetween(Window.unboundedPreceding, -1)
+    wl = Window.partitionBy(PID).orderBy(F.col(LOCAL)).rowsBetween(Window.unboundedPreceding, -1)
     local = ranked.select("*", *[F.coalesce(F.sum(wt).over(wl), F.lit(0)).alias(f"__l{i}") for i, wt in enumerate(weights)])
-    out = local.join(F.broadcast(offsets), _PID)
+    out = local.join(F.broadcast(offsets), PID)
     return out.select(*df.columns, *[(F.col(f"__o{i}") + F.col(f"__l{i}")).cast("long").alias(n) for i, n in enumerate(names)])
 
 
@@ -110,20 +145,18 @@ def with_file_position(df: DataFrame, name: str = "pos", parquet: bool = True) -
     if parquet:
         base = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index"))
         per_file = base.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_file.select("__file", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(_OFF))
-        out = base.join(F.broadcast(offsets), "__file")
+        offsets = with_exclusive_prefix_sum(per_file, ["__file"], "__n", _OFF).select("__file", _OFF)
+        out = base.join(offsets, "__file")
         return out.select(*df.columns, (F.col(_OFF) + F.col("__row")).cast("long").alias(name))
     # Text formats: a split is read by one task in order, and the per-task counter of
-    # monotonically_increasing_id is consecutive inside it.
-    base = (
+    # monotonically_increasing_id is consecutive inside it. The counter is fixed by writing the rows.
+    base = materialize(
         df.withColumn("__file", F.col("_metadata.file_path"))
         .withColumn("__block", F.col("_metadata.file_block_start"))
-        .withColumn("__mid", F.monotonically_increasing_id())
-    )
+        .withColumn("__mid", F.monotonically_increasing_id()).drop("_metadata"))
     per_split = base.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-    w = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.select("__file", "__block", "__first",
-                               F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(_OFF))
-    out = base.join(F.broadcast(offsets), ["__file", "__block"])
-    return out.select(*df.columns, (F.col(_OFF) + F.col("__mid") - F.col("__first")).cast("long").alias(name))
+    offsets = with_exclusive_prefix_sum(per_split, ["__file", "__block"], "__n", _OFF).select(
+        "__file", "__block", "__first", _OFF)
+    out = base.join(offsets, ["__file", "__block"])
+    keep = [F.col(f"`{c}`") for c in df.columns if c != "_metadata"]
+    return out.select(*keep, (F.col(_OFF) + F.col("__mid") - F.col("__first")).cast("long").alias(name))

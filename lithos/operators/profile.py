@@ -1,9 +1,7 @@
 """Column profile and head sample (AGG-6, LIM-1).
 
-One aggregate computes, for every column, the non-null and null counts, the exact distinct
-count and (numeric columns) min and max; ``stack`` then turns the single wide row into one row
-per column. Spark plans the several exact distinct counts with one Expand + partial
-aggregation, so the table is scanned once.
+An aggregate per group of columns computes the non-null and null counts, the exact distinct
+count and (numeric columns) min and max; its single wide row becomes one row per column.
 """
 
 from __future__ import annotations
@@ -12,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Columns of one aggregate: exact distinct counts repeat each row once per column in the shuffle, so a wide
+#: table is profiled a few columns at a time, each over a scan pruned to them.
+GROUP = 4
 _NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
 
 
@@ -34,6 +35,16 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     NaN counts as null (pandas semantics); min/max of an all-null column are NULL (deviation N10).
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    out = None
+    for lo in range(0, len(fields), GROUP):
+        part = _profile_of(df, fields[lo:lo + GROUP])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no column to profile")
+    return out
+
+
+def _profile_of(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -42,7 +53,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"u{i}")]
         if isinstance(f.dataType, _NUMERIC):
             aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
-    wide = df.agg(*aggs)
+    wide = df.select(*[F.col(f"`{f.name}`") for f in fields]).agg(*aggs)
     parts = []
     for i, f in enumerate(fields):
         numeric = isinstance(f.dataType, _NUMERIC)

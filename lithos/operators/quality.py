@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.functions.numeric import is_finite, not_missing
+from pyspark.sql import types as T
+
+from lithos.functions.numeric import coerce_double, is_finite, not_missing
 
 AXES = ("x", "y", "z")
 
@@ -23,26 +25,36 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [c for c in required if c and c not in have]
 
 
-def valid_mask(x: str, y: str, z: str) -> Column:
-    return not_missing(x) & not_missing(y) & not_missing(z)
+def numeric(df: DataFrame, column: str) -> Column:
+    """A coordinate as double, by its type in the schema: text that is no number is missing."""
+    return coerce_double(F.col(f"`{column}`"), df.schema[column].dataType)
+
+
+def not_numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns whose type is no number (schema only, no job)."""
+    return [c for c in columns if not isinstance(df.schema[c].dataType, T.NumericType)]
+
+
+def valid_mask(df: DataFrame, x: str, y: str, z: str) -> Column:
+    return not_missing(numeric(df, x)) & not_missing(numeric(df, y)) & not_missing(numeric(df, z))
 
 
 def valid_points(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """FLT-1: rows whose three coordinates are present (NaN counts as missing)."""
-    return df.filter(valid_mask(x, y, z))
+    return df.filter(valid_mask(df, x, y, z))
 
 
 def coordinate_summary(df: DataFrame, x: str, y: str, z: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """AGG-1/2 + FLT-2 in one aggregate: rows, rows with a missing coordinate, valid rows,
     min/max per axis over valid rows, and whether all six bounds are finite."""
-    valid = valid_mask(x, y, z)
+    valid = valid_mask(df, x, y, z)
     aggs = [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(~valid).alias("missing_rows"),
         F.count_if(valid).alias("valid_rows"),
     ]
     for axis, c in zip(AXES, (x, y, z)):
-        vc = F.when(valid, F.col(c))
+        vc = F.when(valid, numeric(df, c))
         aggs += [F.min(vc).alias(f"min_{axis}"), F.max(vc).alias(f"max_{axis}")]
     out = df.groupBy(*group_cols).agg(*aggs)
     finite = F.lit(True)
@@ -64,16 +76,16 @@ def gate_status(summary: DataFrame, what: str = "rows") -> DataFrame:
     """
     errors = F.filter(
         F.array(
-            F.when(F.col("rows") == 0, F.lit(f"No {what} in the input")),
-            F.when((F.col("rows") > 0) & (F.col("valid_rows") == 0), F.lit(f"All {what} have NaN coordinates")),
-            F.when((F.col("valid_rows") > 0) & ~F.col("finite"), F.lit("Bounding box is not finite")),
+            F.when(F.col("rows") == 0, F.lit(f"the input has no {what}")),
+            F.when((F.col("rows") > 0) & (F.col("valid_rows") == 0), F.lit(f"none of the {what} has all three coordinates")),
+            F.when((F.col("valid_rows") > 0) & ~F.col("finite"), F.lit("the bounding box is not finite")),
         ),
         lambda m: m.isNotNull(),
     )
     warnings = F.filter(
         F.array(
             F.when(F.col("missing_rows") > 0,
-                   F.concat(F.col("missing_rows").cast("string"), F.lit(f" {what} have NaN coordinates"))),
+                   F.concat(F.col("missing_rows").cast("string"), F.lit(f" {what} lack a coordinate"))),
         ),
         lambda m: m.isNotNull(),
     )
@@ -111,13 +123,13 @@ def segment_index_check(vertices: DataFrame, segments: DataFrame, start_col: str
     n = vertices.select(F.count(F.lit(1))).scalar()
 
     def bad(c: str) -> Column:
-        v = F.col(c).cast("double")
+        v = F.col(f"`{c}`").cast("double")
         return v.isNull() | F.isnan(v) | (v < 0) | (v >= n) | (v != F.floor(v))
 
     out = segments.agg(
         F.count(F.lit(1)).alias("segments"),
-        F.max(F.col(start_col)).cast("double").alias("max_start"),
-        F.max(F.col(end_col)).cast("double").alias("max_end"),
+        F.max(F.col(f"`{start_col}`")).cast("double").alias("max_start"),
+        F.max(F.col(f"`{end_col}`")).cast("double").alias("max_end"),
         F.count_if(bad(start_col)).alias("bad_start"),
         F.count_if(bad(end_col)).alias("bad_end"),
     )
@@ -134,8 +146,22 @@ def dangling_segment_ends(vertices_pos: DataFrame, segments: DataFrame, start_co
     Used when vertex positions are not known to be dense."""
     ends = segments.select(
         F.explode(F.array(
-            F.struct(F.lit("start").alias("end"), F.col(start_col).cast("double").alias("idx")),
-            F.struct(F.lit("end").alias("end"), F.col(end_col).cast("double").alias("idx")),
+            F.struct(F.lit("start").alias("end"), F.col(f"`{start_col}`").cast("double").alias("idx")),
+            F.struct(F.lit("end").alias("end"), F.col(f"`{end_col}`").cast("double").alias("idx")),
         )).alias("e")
     ).select("e.*")
-    return ends.join(vertices_pos.select(F.col(pos_col).cast("double").alias("idx")), "idx", "left_anti")
+    # whole numbers are matched as such; what is none (or missing) names no vertex
+    whole = F.when(F.col("idx") == F.floor("idx"), F.floor("idx"))
+    known = vertices_pos.select(F.col(pos_col).cast("long").alias("__idx"))
+    return ends.withColumn("__idx", whole).join(known, "__idx", "left_anti").drop("__idx")
+
+
+def position_problems(df: DataFrame, pos_col: str) -> DataFrame:
+    """One row with ``errors``: why a given position column does not number the rows 0, 1, 2, ..."""
+    p = F.col(f"`{pos_col}`").cast("double")
+    out = df.agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"),
+                 F.count_distinct(p).alias("u"), F.count_if(p != F.floor(p)).alias("fractions"))
+    good = (F.col("n") == 0) | ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("u") == F.col("n"))
+                                & (F.col("fractions") == 0))
+    return out.select(F.when(F.coalesce(good, F.lit(False)), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit(f"'{pos_col}' does not number the rows from 0 without gaps or repeats"))).alias("errors"))

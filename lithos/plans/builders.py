@@ -3,18 +3,20 @@
 A builder returns a :class:`BuiltObject`: lazily defined array DataFrames (each with a dense
 ``pos``), a one-row report (gate status, errors, warnings, counts, box) and a one-row document
 whose JSON refers to the arrays by id. Nothing is collected; ``write_object`` writes every
-array (one job each) and returns the document row. A dry run is ``report`` alone: the gate
-aggregate, no sink is touched.
+array (one job each) and returns the document row with the arrays' lengths. A dry run is
+``report`` alone: the gate aggregate, no sink and no checkpoint folder is touched.
 
-Rows are positioned before anything else: given ``pos`` is used as is; else ``order_cols``
-(a total order) are ranked with the distributed ordered index.
+Row order: ``pos_col`` names a column that numbers the rows 0, 1, 2, ... (the gate checks that); else
+``order_cols`` (a total order) are ranked with the distributed ordered index. Inside, the position is
+``POS``, so a data column named ``pos`` is data like any other.
 """
 
 from __future__ import annotations
 
+import json
 import uuid as _uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,16 @@ from lithos.operators.encode import (
     AttributeSpec, attribute_columns, category_codes, category_lookup, category_lookups, continuous_values,
     plan_attributes,
 )
-from lithos.operators.holes import collar_keys, hole_distances, hole_index_map, hole_indexes, hole_text
+from lithos.functions.jsondoc import document_json
+from lithos.functions.numeric import invert
+from lithos.operators.holes import collar_keys, hole_distances, hole_indexes, hole_text
 from lithos.operators.position import with_ordered_index
-from lithos.operators.quality import coordinate_summary, gate_status, missing_columns, segment_index_check
+from lithos.operators.quality import (
+    coordinate_summary, gate_status, missing_columns, not_numeric, position_problems, segment_index_check,
+)
+
+#: Name of the dense row position inside a builder.
+POS = "__pos"
 
 # Schema identifiers and versions of the four object types built here.
 SCHEMA_IDS = {
@@ -47,6 +56,7 @@ class BuiltObject:
     warnings: list[str] = field(default_factory=list)
     rows: object = None  # DataFrame, or a zero-arg callable that positions the rows on demand
     lookups: dict[str, object] = field(default_factory=dict)
+    collections: dict[str, dict] = field(default_factory=dict)  # array ids of each interval collection
 
     def positioned(self) -> DataFrame:
         """The input rows with their dense ``pos`` (ranked on first use)."""
@@ -93,12 +103,36 @@ def _once(fn):
     return get
 
 
-def _positioned(df: DataFrame, order_cols: Sequence | None, pos: str = "pos") -> DataFrame:
-    if pos in df.columns:
-        return df
+def _positioned(df: DataFrame, order_cols: Sequence | None, pos_col: str | None) -> DataFrame:
+    """``df`` with its dense position as ``POS`` (a given ``pos_col`` becomes it)."""
+    if pos_col:
+        return df.withColumnRenamed(pos_col, POS)
     if not order_cols:
-        raise ValueError("rows need a 'pos' column or order_cols giving their order")
-    return with_ordered_index(df, list(order_cols), name=pos)
+        raise ValueError("the order of the rows is unknown: give pos_col or order_cols")
+    return with_ordered_index(df, list(order_cols), name=POS)
+
+
+def _no_errors() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _gated(gate: DataFrame, errors: Sequence[str], warnings: Sequence[str], *one_rows: DataFrame) -> DataFrame:
+    """The gate row with further errors: texts known from the schema, and ``errors`` of one-row checks."""
+    errs = F.concat("errors", _strings(errors), *[r.select("errors").scalar() for r in one_rows])
+    out = gate.withColumn("errors", errs).withColumn("warnings", F.concat("warnings", _strings(warnings)))
+    return out.withColumn("status", F.when(F.size("errors") > 0, "validation_failed").otherwise("validation_passed"))
+
+
+def _order_checks(*frames: tuple[DataFrame, str | None, bool]) -> list[DataFrame]:
+    return [position_problems(df, pos) for df, pos, check in frames if pos and check]
+
+
+def _not_numbers(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    return [f"column '{c}' holds text, not numbers" for c in not_numeric(df, columns)]
 
 
 def _aid(role: str) -> str:
@@ -113,6 +147,11 @@ def _bbox(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{b}_{a}").alias(f"{b}_{a}") for a in "xyz" for b in ("min", "max")])
 
 
+# A NULL stands for a missing value, so no value of an attribute stands for one.
+def _nan() -> Column:
+    return F.struct(F.array().cast("array<double>").alias("values"))
+
+
 def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: str, scope: str,
                 rows: Column) -> Column:
     """Add the arrays of each attribute to ``built`` and return the document array.
@@ -132,18 +171,20 @@ def _attributes(built: BuiltObject, df, specs: list[AttributeSpec], order_col: s
             lk = _once(lambda s=s: all_lookups().filter(F.col("attribute") == s.name).select("key", "value"))
             built.lookups[s.name] = lk
             built.arrays[lk_id] = lk
-            built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(rows_f(), s.name, lk(), keep=["pos"], name="data"))
+            built.arrays[codes_id] = (lambda s=s, lk=lk: category_codes(rows_f(), s.name, lk(), keep=[POS], name="data").withColumnRenamed(POS, "pos"))
             built.array_roles[lk_id] = "lookup"
             built.array_roles[codes_id] = "codes"
             docs.append(F.struct(
                 F.lit(s.name).alias("name"), F.lit(s.key).alias("key"), F.lit("category").alias("attribute_type"),
+                _nan().alias("nan_description"),
                 _ref(lk_id, F.lit(None)).alias("table"), _ref(codes_id, rows).alias("values")))
         else:
             v_id = _aid("values")
-            built.arrays[v_id] = (lambda s=s: continuous_values(rows_f(), s.name, keep=["pos"], name="data"))
+            built.arrays[v_id] = (lambda s=s: continuous_values(rows_f(), s.name, keep=[POS], name="data").withColumnRenamed(POS, "pos"))
             built.array_roles[v_id] = "values"
             docs.append(F.struct(
                 F.lit(s.name).alias("name"), F.lit(s.key).alias("key"), F.lit("continuous").alias("attribute_type"),
+                _nan().alias("nan_description"),
                 F.lit(None).cast("struct<data:string,length:bigint>").alias("table"), _ref(v_id, rows).alias("values")))
     return F.array(*docs) if docs else F.lit(None).cast("array<string>")
 
@@ -156,33 +197,34 @@ def _header(name: str, description: str, tags: dict | None, crs: str, object_typ
             F.lit(crs).alias("coordinate_reference_system")]
 
 
-def _failed(object_type: str, errors: list[str], warnings: list[str], spark) -> BuiltObject:
-    rep = spark.createDataFrame([(object_type, "validation_failed", errors, warnings)],
+def _failed(object_type: str, errors: list[str], warnings: list[str], spark, status: str = "validation_failed") -> BuiltObject:
+    rep = spark.createDataFrame([(object_type, status, errors, warnings)],
                                 "object_type string, status string, errors array<string>, warnings array<string>")
     return BuiltObject(object_type, rep, warnings=warnings)
 
 
 def build_pointset(df: DataFrame, x: str, y: str, z: str, name: str = "pointset",
                    attribute_cols: Sequence[str] | None = None, description: str = "", tags: dict | None = None,
-                   crs: str = "unspecified", order_cols: Sequence | None = None) -> BuiltObject:
+                   crs: str = "unspecified", order_cols: Sequence | None = None, pos_col: str | None = None,
+                   check_pos: bool = True) -> BuiltObject:
     """OBJ-1: coordinates + attributes + box. Rows with a missing coordinate stay in the
     arrays; only the box (and the valid count) skip them."""
-    missing = missing_columns(df, [x, y, z])
+    missing = missing_columns(df, [x, y, z, pos_col])
     if missing:
-        return _failed("pointset", [f"Missing required columns: {missing}"], [], df.sparkSession)
-    rows_f = _once(lambda: _positioned(df, order_cols))
-    cols = attribute_columns(df, attribute_cols, [x, y, z, "pos"])
-    specs, warns = plan_attributes(df, cols, exclude=[x, y, z, "pos"])
+        return _failed("pointset", [f"columns not in the table: {missing}"], [], df.sparkSession)
+    rows_f = _once(lambda: _positioned(df, order_cols, pos_col))
+    roles = [c for c in (x, y, z, pos_col) if c]
+    specs, warns = plan_attributes(df, attribute_columns(df, attribute_cols, roles), exclude=roles)
     built = BuiltObject("pointset", report=None, warnings=warns, rows=rows_f)  # type: ignore[arg-type]
-    summary = gate_status(coordinate_summary(df, x, y, z), "rows")
-    built.report = summary.select(F.lit("pointset").alias("object_type"), "status", "errors",
-                                  F.concat("warnings", F.array(*[F.lit(w) for w in warns]).cast("array<string>")).alias("warnings"),
+    summary = _gated(gate_status(coordinate_summary(df, x, y, z), "rows"), _not_numbers(df, [x, y, z]), warns,
+                     *_order_checks((df, pos_col, check_pos)))
+    built.report = summary.select(F.lit("pointset").alias("object_type"), "status", "errors", "warnings",
                                   "rows", "valid_rows", "missing_rows", *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     coords_id = _aid("coordinates")
-    built.arrays[coords_id] = lambda: A.coordinates(rows_f(), x, y, z)
+    built.arrays[coords_id] = lambda: A.coordinates(rows_f(), x, y, z, POS)
     built.array_roles[coords_id] = "coordinates"
-    attrs = _attributes(built, rows_f, specs, "pos", "locations", F.col("rows"))
-    built.document = summary.select(F.to_json(F.struct(
+    attrs = _attributes(built, rows_f, specs, POS, "locations", F.col("rows"))
+    built.document = summary.select(document_json(F.struct(
         *_header(name, description, tags, crs, "pointset"), _bbox().alias("bounding_box"),
         F.struct(_ref(coords_id, F.col("rows")).alias("coordinates"), attrs.alias("attributes")).alias("locations"),
     )).alias("document"))
@@ -193,43 +235,52 @@ def build_line_segments(vertices: DataFrame, segments: DataFrame, x: str, y: str
                         name: str = "line-segments", vertex_attribute_cols: Sequence[str] | None = None,
                         segment_attribute_cols: Sequence[str] | None = None, description: str = "",
                         tags: dict | None = None, crs: str = "unspecified",
-                        vertex_order: Sequence | None = None, segment_order: Sequence | None = None) -> BuiltObject:
+                        vertex_order: Sequence | None = None, segment_order: Sequence | None = None,
+                        vertex_pos: str | None = None, segment_pos: str | None = None,
+                        check_pos: bool = True) -> BuiltObject:
     """OBJ-2: vertices (row i = vertex i) + index pairs; attributes on both; box of vertices."""
     errors = []
-    mv, ms = missing_columns(vertices, [x, y, z]), missing_columns(segments, [start, end])
+    mv, ms = missing_columns(vertices, [x, y, z, vertex_pos]), missing_columns(segments, [start, end, segment_pos])
     if mv:
-        errors.append(f"Missing vertex columns: {mv}")
+        errors.append(f"columns not in the vertices: {mv}")
     if ms:
-        errors.append(f"Missing segment columns: {ms}")
+        errors.append(f"columns not in the segments: {ms}")
     if errors:
         return _failed("line-segments", errors, [], vertices.sparkSession)
     # Vertex positions are the vertex index, so the vertices are ranked (unless given); the
     # gate itself needs neither ranking and runs on the raw rows.
-    v_f = _once(lambda: _positioned(vertices, vertex_order))
-    s_f = _once(lambda: _positioned(segments, segment_order))
+    v_f = _once(lambda: _positioned(vertices, vertex_order, vertex_pos))
+    s_f = _once(lambda: _positioned(segments, segment_order, segment_pos))
     v, s = vertices, segments
-    vspecs, vw = plan_attributes(v, attribute_columns(v, vertex_attribute_cols, [x, y, z, "pos"]), [x, y, z, "pos"])
-    sspecs, sw = plan_attributes(s, attribute_columns(s, segment_attribute_cols, [start, end, "pos"]), [start, end, "pos"])
+    vroles, sroles = [c for c in (x, y, z, vertex_pos) if c], [c for c in (start, end, segment_pos) if c]
+    vspecs, vw = plan_attributes(v, attribute_columns(v, vertex_attribute_cols, vroles), vroles)
+    sspecs, sw = plan_attributes(s, attribute_columns(s, segment_attribute_cols, sroles), sroles)
     built = BuiltObject("line-segments", report=None, warnings=vw + sw)  # type: ignore[arg-type]
-    box = coordinate_summary(v, x, y, z)
-    check = segment_index_check(v, s, start, end)
-    gate = gate_status(box, "vertices")
-    errs = F.concat("errors", F.when(F.col("status_idx") == "validation_failed", F.array(F.lit(
-        "Segment indices outside [0, vertices) or not whole numbers"))).otherwise(F.array().cast("array<string>")))
-    joined = attach_row(gate, check.withColumnRenamed("status", "status_idx"))
+    text = _not_numbers(v, [x, y, z]) + _not_numbers(s, [start, end])
+    gate = gate_status(coordinate_summary(v, x, y, z), "vertices")
+    checks = _order_checks((v, vertex_pos, check_pos), (s, segment_pos, check_pos))
+    if text:  # ends that are no numbers cannot be compared with the vertex count
+        joined = attach_row(gate, s.agg(F.count(F.lit(1)).alias("segments"))).withColumns(
+            {c: F.lit(None).cast("double") for c in ("max_start", "max_end")}
+            | {c: F.lit(None).cast("long") for c in ("bad_start", "bad_end")})
+        joined = _gated(joined.withColumnRenamed("rows", "vertices"), text, vw + sw, *checks)
+    else:
+        check = segment_index_check(v, s, start, end)
+        joined = attach_row(gate.drop("rows"), check.withColumnRenamed("status", "status_idx"))
+        ends = F.when(F.col("status_idx") == "validation_failed", F.array(F.lit(
+            "segments have ends that are no vertex number"))).otherwise(_no_errors())
+        joined = _gated(joined.withColumn("errors", F.concat("errors", ends)), (), vw + sw, *checks)
     built.report = joined.select(
-        F.lit("line-segments").alias("object_type"),
-        F.when(F.size(errs) > 0, "validation_failed").otherwise("validation_passed").alias("status"),
-        errs.alias("errors"), "warnings", "vertices", "segments", "max_start", "max_end", "bad_start", "bad_end",
-        *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
+        F.lit("line-segments").alias("object_type"), "status", "errors", "warnings", "vertices", "segments",
+        "max_start", "max_end", "bad_start", "bad_end", *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     vid, sid = _aid("coordinates"), _aid("indices")
-    built.arrays[vid] = lambda: A.coordinates(v_f(), x, y, z)
+    built.arrays[vid] = lambda: A.coordinates(v_f(), x, y, z, POS)
     built.array_roles[vid] = "coordinates"
-    built.arrays[sid] = lambda: A.index_pairs(s_f(), start, end)
+    built.arrays[sid] = lambda: A.index_pairs(s_f(), start, end, POS)
     built.array_roles[sid] = "indices"
-    vattrs = _attributes(built, v_f, vspecs, "pos", "vertices", F.col("vertices"))
-    sattrs = _attributes(built, s_f, sspecs, "pos", "indices", F.col("segments"))
-    built.document = joined.select(F.to_json(F.struct(
+    vattrs = _attributes(built, v_f, vspecs, POS, "vertices", F.col("vertices"))
+    sattrs = _attributes(built, s_f, sspecs, POS, "indices", F.col("segments"))
+    built.document = joined.select(document_json(F.struct(
         *_header(name, description, tags, crs, "line-segments"), _bbox().alias("bounding_box"),
         F.struct(
             F.struct(F.lit(vid).alias("data"), F.col("vertices").alias("length"), vattrs.alias("attributes")).alias("vertices"),
@@ -249,38 +300,25 @@ class IntervalConfig:
     to_col: str
     attribute_cols: Sequence[str] | None = None
     tie_cols: Sequence[str] = ()
+    pos_col: str | None = None
 
 
-def sorted_rows(df: DataFrame, id_col: str, key_col: str | None, tie_cols: Sequence[str] = ()) -> DataFrame:
-    """ORD-1/2: rows sorted by (hole id text, depth or from, tie-breakers) with a new dense
-    ``pos``; an incoming ``pos`` is the default tie-breaker.
+def sorted_rows(df: DataFrame, id_col: str, key_col: str | None, tie_cols: Sequence[str] = (),
+                pos_col: str | None = None, name: str = "pos") -> DataFrame:
+    """ORD-1/2: rows sorted by (hole id text, depth or from, tie-breakers) with a new dense position
+    ``name``; the row order given by ``pos_col`` is the default tie-breaker.
 
     The original's single-key sort is unstable; ours is deterministic (N6, deviation)."""
-    base = df
-    ties = list(tie_cols)
-    if "pos" in base.columns:
-        base = base.withColumnRenamed("pos", "__in_pos")
-        ties = ties or ["__in_pos"]
+    ties = list(tie_cols) or ([pos_col] if pos_col else [])
     if not ties:
         # No position and no tie-breakers given: every other orderable column breaks ties, a
         # total order whenever whole rows are distinct.
         from pyspark.sql.types import ArrayType, MapType, StructType
 
-        ties = [f.name for f in base.schema.fields if f.name not in (id_col, key_col)
+        ties = [f.name for f in df.schema.fields if f.name not in (id_col, key_col)
                 and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
-    base = base.withColumn("__hole", hole_text(base, id_col))
-    order = ["__hole"] + ([key_col] if key_col else []) + ties
-    return with_ordered_index(base, order, name="pos").drop("__hole", "__in_pos")
-
-
-def interval_collection(cfg: IntervalConfig, lookup: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """OBJ-3b: sorted from/to array, hole index, attributes of one collection."""
-    rows = sorted_rows(cfg.df, cfg.id_col, cfg.from_col, cfg.tie_cols)
-    arrays = {
-        "from_to": A.from_to(rows, cfg.from_col, cfg.to_col),
-        "holes": hole_index_map(cfg.df, cfg.id_col, lookup),  # counting needs no sort
-    }
-    return arrays, rows
+    order = [hole_text(df, id_col)] + [F.col(f"`{c}`") for c in ([key_col] if key_col else []) + ties]
+    return with_ordered_index(df, order, name=name).drop(*([pos_col] if pos_col else []))
 
 
 def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: str, survey_id: str,
@@ -288,74 +326,88 @@ def build_downhole_collection(collar: DataFrame, survey: DataFrame, collar_id: s
                               max_depth_col: str | None = None, collections: Sequence[IntervalConfig] = (),
                               name: str = "downhole-collection", description: str = "", tags: dict | None = None,
                               crs: str = "unspecified", invert_z: bool = False,
-                              collar_tie: Sequence[str] = (), survey_tie: Sequence[str] = ()) -> BuiltObject:
-    """OBJ-3: one hole lookup shared by the location and every interval collection."""
+                              collar_tie: Sequence[str] = (), survey_tie: Sequence[str] = (),
+                              collar_pos: str | None = None, survey_pos: str | None = None,
+                              extra_errors: Sequence[str] = ()) -> BuiltObject:
+    """OBJ-3: one hole lookup shared by the location and every interval collection. A collection that lacks a
+    column is an error of the gate and is left out; the others and the collars are still summarised."""
     errors = []
-    mc = missing_columns(collar, [collar_id, x, y, z])
+    mc = missing_columns(collar, [collar_id, x, y, z, collar_pos])
     if mc:
-        errors.append(f"Missing collar columns: {mc}")
+        errors.append(f"columns not in the collars: {mc}")
     if max_depth_col and max_depth_col not in collar.columns:
-        errors.append(f"Max depth column '{max_depth_col}' not found in collar file")
-    ms = missing_columns(survey, [survey_id, depth, azimuth, dip])
+        errors.append(f"the collars have no column '{max_depth_col}' for the greatest depth")
+    ms = missing_columns(survey, [survey_id, depth, azimuth, dip, survey_pos])
     if ms:
-        errors.append(f"Missing survey columns: {ms}")
-    collections = [c if c.name else IntervalConfig(f"collection_{i}", c.df, c.id_col, c.from_col, c.to_col,
-                                                   c.attribute_cols, c.tie_cols)
-                   for i, c in enumerate(collections)]  # SCL-2 default names
-    for c in collections:
-        m = missing_columns(c.df, [c.id_col, c.from_col, c.to_col])
-        if m:
-            errors.append(f"Interval '{c.name}' missing columns: {m}")
+        errors.append(f"columns not in the survey: {ms}")
     if errors:
         return _failed("downhole-collection", errors, [], collar.sparkSession)
-    if invert_z:  # PRJ-9
-        survey = survey.withColumn(dip, -F.col(dip))
+    errors = list(extra_errors) + _not_numbers(collar, [x, y, z]) + _not_numbers(survey, [depth, azimuth, dip])
+    usable = []
+    for i, c in enumerate(collections):
+        c = c if c.name else replace(c, name=f"collection_{i}")  # SCL-2 default names
+        m = missing_columns(c.df, [c.id_col, c.from_col, c.to_col, c.pos_col])
+        if m:
+            errors.append(f"columns not in the intervals '{c.name}': {m}")
+        else:
+            usable.append(c)
+            errors += _not_numbers(c.df, [c.from_col, c.to_col])
+    collections = usable
+    if invert_z and dip not in not_numeric(survey, [dip]):  # PRJ-9
+        survey = survey.withColumn(dip, invert(F.col(f"`{dip}`"), True))
     built = BuiltObject("downhole-collection", report=None)  # type: ignore[arg-type]
-    # One ranked pass gives the hole lookup and the index of the survey and of every collection.
-    lookup, index_maps = hole_indexes(collar, collar_id, {
-        "survey": (survey, survey_id), **{f"c{i}": (c.df, c.id_col) for i, c in enumerate(collections)}})
+    # One ranked pass, on first use, gives the hole lookup and the index of the survey and of every collection.
+    indexes = _once(lambda: hole_indexes(collar, collar_id, {
+        "survey": (survey, survey_id), **{f"c{i}": (c.df, c.id_col) for i, c in enumerate(collections)}}))
+    lookup = lambda: indexes()[0]
     built.lookups[collar_id] = lookup
-    crows_f = _once(lambda: sorted_rows(collar, collar_id, None, collar_tie))
-    srows = _once(lambda: sorted_rows(survey, survey_id, depth, survey_tie))
+    crows_f = _once(lambda: sorted_rows(collar, collar_id, None, collar_tie, collar_pos, POS))
+    srows = _once(lambda: sorted_rows(survey, survey_id, depth, survey_tie, survey_pos, POS))
     built.rows = crows_f
 
-    gate = gate_status(coordinate_summary(collar, x, y, z), "collar rows")
     uniq = collar.agg(F.count_distinct(hole_text(collar, collar_id)).alias("unique_holes"))
     dup_warn = F.when(F.col("rows") != F.col("unique_holes"), F.array(F.concat(
-        F.lit("Collar has duplicate hole IDs: "), F.col("rows").cast("string"), F.lit(" rows, "),
-        F.col("unique_holes").cast("string"), F.lit(" unique")))).otherwise(F.array().cast("array<string>"))
-    head = attach_row(gate, uniq)
+        F.col("rows").cast("string"), F.lit(" collars share "), F.col("unique_holes").cast("string"),
+        F.lit(" hole ids")))).otherwise(_no_errors())
+    head = attach_row(gate_status(coordinate_summary(collar, x, y, z), "collar rows"), uniq)
+    specs_of = []
+    for c in collections:
+        roles = [k for k in (c.id_col, c.from_col, c.to_col, c.pos_col) if k]
+        specs, w = plan_attributes(c.df, attribute_columns(c.df, c.attribute_cols, [*roles, *c.tie_cols]), roles)
+        specs_of.append(specs)
+        built.warnings += w
+    head = _gated(head.withColumn("warnings", F.concat("warnings", dup_warn)), errors, built.warnings)
     built.report = head.select(F.lit("downhole-collection").alias("object_type"), "status", "errors",
-                               F.concat("warnings", dup_warn).alias("warnings"), "rows", "unique_holes", "valid_rows",
+                               "warnings", "rows", "unique_holes", "valid_rows",
                                *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     ids = {r: _aid(r) for r in ("coordinates", "distances", "lookup", "codes", "holes", "path")}
-    built.arrays[ids["coordinates"]] = lambda: A.coordinates(crows_f(), x, y, z)
+    built.arrays[ids["coordinates"]] = lambda: A.coordinates(crows_f(), x, y, z, POS)
     built.arrays[ids["distances"]] = lambda: A.project_array(
-        hole_distances(crows_f(), survey, collar_id, survey_id, depth, max_depth_col, keep=("pos",)),
-        "distances", ["final", "target", "current"])
+        hole_distances(crows_f(), survey, collar_id, survey_id, depth, max_depth_col, keep=(POS,)),
+        "distances", ["final", "target", "current"], POS)
     built.arrays[ids["lookup"]] = lookup
-    built.arrays[ids["codes"]] = lambda: collar_keys(crows_f(), collar_id, lookup, keep=("pos",)).select(
-        "pos", F.col("key").alias("data"))
+    built.arrays[ids["codes"]] = lambda: collar_keys(crows_f(), collar_id, lookup(), keep=(POS,)).select(
+        F.col(POS).alias("pos"), F.col("key").alias("data"))
     # The index counts rows per hole; it does not need the sorted rows.
-    built.arrays[ids["holes"]] = index_maps["survey"]
-    built.arrays[ids["path"]] = lambda: A.path(srows(), depth, azimuth, dip)
+    built.arrays[ids["holes"]] = lambda: indexes()[1]["survey"]
+    built.arrays[ids["path"]] = lambda: A.path(srows(), depth, azimuth, dip, POS)
     for role, aid in ids.items():
         built.array_roles[aid] = role
     coll_docs = []
-    for ci, c in enumerate(collections):
+    for ci, (c, specs) in enumerate(zip(collections, specs_of)):
         ft_id, h_id = _aid("from_to"), _aid("holes")
-        crows_c = _once(lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols))
-        built.arrays[ft_id], built.array_roles[ft_id] = (lambda f=crows_c, c=c: A.from_to(f(), c.from_col, c.to_col)), "from_to"
-        built.arrays[h_id], built.array_roles[h_id] = index_maps[f"c{ci}"], "holes"
-        specs, w = plan_attributes(c.df, attribute_columns(c.df, c.attribute_cols, [c.id_col, c.from_col, c.to_col, "pos", *c.tie_cols]),
-                                   [c.id_col, c.from_col, c.to_col, "pos"])
-        built.warnings += w
-        attrs = _attributes(built, crows_c, specs, "pos", c.name, F.lit(None))
+        crows_c = _once(lambda c=c: sorted_rows(c.df, c.id_col, c.from_col, c.tie_cols, c.pos_col, POS))
+        built.arrays[ft_id], built.array_roles[ft_id] = (lambda f=crows_c, c=c: A.from_to(f(), c.from_col, c.to_col, POS)), "from_to"
+        built.arrays[h_id], built.array_roles[h_id] = (lambda ci=ci: indexes()[1][f"c{ci}"]), "holes"
+        built.collections[c.name] = {"from_to": ft_id, "holes": h_id}
+        before = set(built.arrays)
+        attrs = _attributes(built, crows_c, specs, POS, c.name, F.lit(None))
+        built.collections[c.name]["attributes"] = [k for k in built.arrays if k not in before]
         coll_docs.append(F.struct(F.lit(c.name).alias("name"),
                                   F.struct(F.struct(_ref(ft_id, F.lit(None)).alias("start_and_end")).alias("intervals"),
                                            attrs.alias("attributes")).alias("from_to"),
                                   _ref(h_id, F.lit(None)).alias("holes")))
-    built.document = head.select(F.to_json(F.struct(
+    built.document = head.select(document_json(F.struct(
         *_header(name, description, tags, crs, "downhole-collection"), _bbox().alias("bounding_box"),
         F.struct(*[_ref(ids[r], F.col("rows") if r in ("coordinates", "distances") else F.lit(None)).alias(r)
                    for r in ("coordinates", "distances", "path")],
@@ -371,34 +423,36 @@ def build_downhole_intervals(df: DataFrame, hole_id: str, from_col: str, to_col:
                              start: Sequence[str], end: Sequence[str], mid: Sequence[str],
                              attribute_cols: Sequence[str] | None = None, is_composited: bool = False,
                              name: str = "downhole-intervals", description: str = "", tags: dict | None = None,
-                             crs: str = "unspecified", order_cols: Sequence | None = None) -> BuiltObject:
+                             crs: str = "unspecified", order_cols: Sequence | None = None,
+                             pos_col: str | None = None, check_pos: bool = True) -> BuiltObject:
     """OBJ-4: start/end/mid points, from/to, hole-id category in first-appearance order,
     attributes; box from the midpoints."""
-    required = [hole_id, from_col, to_col, *start, *end, *mid]
+    required = [c for c in (hole_id, from_col, to_col, *start, *end, *mid, pos_col) if c]
     m = missing_columns(df, required)
     if m:
-        return _failed("downhole-intervals", [f"Missing required columns: {m}"], [], df.sparkSession)
-    rows_f = _once(lambda: _positioned(df, order_cols))
-    specs, warns = plan_attributes(df, attribute_columns(df, attribute_cols, required + ["pos"]), required + ["pos"])
+        return _failed("downhole-intervals", [f"columns not in the table: {m}"], [], df.sparkSession)
+    rows_f = _once(lambda: _positioned(df, order_cols, pos_col))
+    specs, warns = plan_attributes(df, attribute_columns(df, attribute_cols, required), required)
     built = BuiltObject("downhole-intervals", report=None, warnings=warns, rows=rows_f)  # type: ignore[arg-type]
-    gate = gate_status(coordinate_summary(df, *mid), "rows")
-    uniq = df.agg(F.count_distinct(F.col(hole_id)).alias("unique_holes"))
-    head = attach_row(gate, uniq)
+    uniq = df.agg(F.count_distinct(hole_text(df, hole_id)).alias("unique_holes"))
+    head = _gated(attach_row(gate_status(coordinate_summary(df, *mid), "rows"), uniq),
+                  _not_numbers(df, [from_col, to_col, *start, *end, *mid]), warns, *_order_checks((df, pos_col, check_pos)))
     built.report = head.select(F.lit("downhole-intervals").alias("object_type"), "status", "errors", "warnings",
                                "rows", "valid_rows", "unique_holes", *[f"{b}_{a}" for a in "xyz" for b in ("min", "max")])
     ids = {r: _aid(r) for r in ("start", "end", "mid_points", "from_to", "lookup", "codes")}
-    built.arrays[ids["start"]] = lambda: A.coordinates(rows_f(), *start)
-    built.arrays[ids["end"]] = lambda: A.coordinates(rows_f(), *end)
-    built.arrays[ids["mid_points"]] = lambda: A.coordinates(rows_f(), *mid)
-    built.arrays[ids["from_to"]] = lambda: A.from_to(rows_f(), from_col, to_col)
-    lookup = _once(lambda: category_lookup(rows_f(), hole_id, "pos"))
+    built.arrays[ids["start"]] = lambda: A.coordinates(rows_f(), *start, POS)
+    built.arrays[ids["end"]] = lambda: A.coordinates(rows_f(), *end, POS)
+    built.arrays[ids["mid_points"]] = lambda: A.coordinates(rows_f(), *mid, POS)
+    built.arrays[ids["from_to"]] = lambda: A.from_to(rows_f(), from_col, to_col, POS)
+    lookup = _once(lambda: category_lookup(rows_f(), hole_id, POS))
     built.lookups[hole_id] = lookup
     built.arrays[ids["lookup"]] = lookup
-    built.arrays[ids["codes"]] = lambda: category_codes(rows_f(), hole_id, lookup(), keep=["pos"], name="data")
+    built.arrays[ids["codes"]] = lambda: category_codes(
+        rows_f(), hole_id, lookup(), keep=[POS], name="data").withColumnRenamed(POS, "pos")
     for r, aid in ids.items():
         built.array_roles[aid] = "coordinates" if r in ("start", "end", "mid_points") else r
-    attrs = _attributes(built, rows_f, specs, "pos", "intervals", F.col("rows"))
-    built.document = head.select(F.to_json(F.struct(
+    attrs = _attributes(built, rows_f, specs, POS, "intervals", F.col("rows"))
+    built.document = head.select(document_json(F.struct(
         *_header(name, description, tags, crs, "downhole-intervals"), _bbox().alias("bounding_box"),
         F.lit(is_composited).alias("is_composited"),
         *[F.struct(_ref(ids[r], F.col("rows")).alias("coordinates")).alias(r) for r in ("start", "end", "mid_points")],
@@ -410,10 +464,25 @@ def build_downhole_intervals(df: DataFrame, hole_id: str, from_col: str, to_col:
 
 
 def write_object(built: BuiltObject, base_path: str) -> DataFrame:
-    """Write every array of ``built`` under ``base_path`` and return the document row."""
+    """Write every array of ``built`` under ``base_path`` and return the document row, in which every array
+    reference has the length that was written."""
+    lengths = {}
     for aid in list(built.arrays):
-        A.write_array(built.array(aid), base_path, built.array_roles[aid], aid)
-    return built.document
+        lengths[aid] = A.write_array(built.array(aid), base_path, built.array_roles[aid], aid)["length"]
+
+    def fill(node):
+        if isinstance(node, dict):
+            if node.get("data") in lengths:
+                node["length"] = lengths[node["data"]]
+            for v in node.values():
+                fill(v)
+        elif isinstance(node, list):
+            for v in node:
+                fill(v)
+
+    document = json.loads(built.document.first()["document"])  # one row: names, box and references
+    fill(document)
+    return built.report.sparkSession.createDataFrame([(json.dumps(document),)], "document string")
 
 
 def create_object(built: BuiltObject, arrays_path: str, objects_path: str, workspace_id: str, object_path: str,
@@ -431,7 +500,10 @@ def create_object(built: BuiltObject, arrays_path: str, objects_path: str, works
     from lithos.operators.catalog import append_objects
     from lithos.plans.schemas import conformance
 
-    report = built.report.first().asDict(recursive=True)
+    try:
+        report = built.report.first().asDict(recursive=True)
+    except Exception as e:  # noqa: BLE001 - a gate that cannot run is a failed gate
+        return {"status": "validation_failed", "error": str(e), "warnings": list(built.warnings)}
     result = {"status": report["status"], "validation": report, "warnings": list(built.warnings)}
     if dry_run or report["status"] != "validation_passed" or built.document is None:
         return result

@@ -10,7 +10,7 @@ on documents built without escapes.
 from __future__ import annotations
 
 from lithos.plans import roles as R
-from lithos.plans.queries import COPY_SCHEMAS, LOOKUP_CUSTOMER, SNAPSHOT_NAME, SNAPSHOT_TIME, SOURCE_WS, TARGET_WS, VERTEX_MAX_SIZE
+from lithos.plans.queries import COPY_SCHEMAS, LOOKUP_CUSTOMER, SNAPSHOT_NAME, SNAPSHOT_TIME, SOURCE_WS, TARGET_WS
 from lithos.plans.schemas import BASE_REQUIRED, TYPE_FIELDS
 
 LI = ", ".join(R.LINEITEM_ORDER)
@@ -39,26 +39,26 @@ SCHEMA_CASE = "CASE o.o_orderpriority " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in R.SCHEMA_BY_PRIORITY.items()) + " ELSE 'pointset' END"
 
 OBJ = f"""obj AS (
-  SELECT lower(c.c_mktsegment) AS workspace_id, 'obj-' || CAST(o.o_custkey AS VARCHAR) AS id,
+  SELECT coalesce(lower(c.c_mktsegment), 'unassigned') AS workspace_id, 'obj-' || CAST(o.o_custkey AS VARCHAR) AS id,
          'object-' || CAST(o.o_custkey AS VARCHAR) AS name,
-         '/' || lower(c.c_mktsegment) || '/object-' || CAST(o.o_custkey AS VARCHAR) || '.json' AS path,
+         '/' || coalesce(lower(c.c_mktsegment), 'unassigned') || '/object-' || CAST(o.o_custkey AS VARCHAR) || '.json' AS path,
          {SCHEMA_CASE} AS schema_id, CAST(o.o_orderkey AS VARCHAR) AS version_id, o.o_orderdate AS created_at,
          'user-' || CAST(c.c_nationkey AS VARCHAR) AS created_by, o.o_orderstatus = 'F' AS deleted,
          o.o_orderstatus, o.o_orderkey
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
 cur AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, id ORDER BY created_at DESC, version_id DESC) AS rn
                  FROM obj) t WHERE rn = 1),
+alive AS (SELECT * FROM cur WHERE NOT deleted),
 refs AS (
   SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
          l_extendedprice, l_tax, l_returnflag, l_linestatus, l_shipdate, l_discount) - 1 AS INTEGER) AS ordinal,
          'blob-' || CAST(l_partkey AS VARCHAR) AS blob_id
   FROM lineitem),
 blobs AS (
-  SELECT r.workspace_id, 'blob-' || CAST(r.l_partkey AS VARCHAR) AS blob_id, CAST(p.p_size AS BIGINT) AS length
-  FROM (SELECT DISTINCT lower(c.c_mktsegment) AS workspace_id, li.l_partkey
-        FROM lineitem li JOIN orders o ON li.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey) r
-  JOIN part p ON r.l_partkey = p.p_partkey WHERE p.p_size <= {R.BLOB_MAX_PART_SIZE})"""
+  SELECT DISTINCT o.workspace_id, 'blob-' || CAST(li.l_partkey AS VARCHAR) AS blob_id, CAST(c.c_nationkey AS BIGINT) AS length
+  FROM lineitem li JOIN obj o ON o.o_orderkey = li.l_orderkey
+  JOIN customer c ON c.c_custkey = li.l_partkey AND lower(c.c_mktsegment) <> o.workspace_id)"""
 
 LOOKUP_WS = f"(SELECT lower(c_mktsegment) FROM customer WHERE c_custkey = {LOOKUP_CUSTOMER})"
 LOOKUP_ID = f"'obj-{LOOKUP_CUSTOMER}'"
@@ -78,7 +78,7 @@ def _index_map(data_sql: str, name: str = "im") -> str:
 def _dup_ctes(schemas: tuple[str, ...]) -> str:
     filt = f"AND schema_id IN ({', '.join(repr(s) for s in schemas)})" if schemas else ""
     return f"""{OBJ},
-src AS (SELECT * FROM cur WHERE workspace_id = '{SOURCE_WS}' {filt}),
+src AS (SELECT * FROM alive WHERE workspace_id = '{SOURCE_WS}' {filt}),
 src_refs AS (SELECT s.id, r.blob_id FROM src s JOIN refs r ON r.l_orderkey = s.o_orderkey),
 failed AS (SELECT DISTINCT sr.id FROM src_refs sr
            WHERE sr.blob_id NOT IN (SELECT blob_id FROM blobs WHERE workspace_id = '{SOURCE_WS}')),
@@ -107,6 +107,30 @@ def _profile(source: str, table_sql: str, cols: list[tuple[str, str, bool]]) ->
 EV_FIRST = ("ev_lk AS (SELECT CAST(row_number() OVER (ORDER BY f, v) AS INTEGER) AS key, v "
             "FROM (SELECT coalesce(event_type, '') AS v, min(event_id) AS f FROM events GROUP BY 1) t)")
 
+def _rows(name: str, sql: str, pos: str = "pos", a: str = "NULL", b: str = "NULL", c: str = "NULL", text: str = "NULL") -> str:
+    """Rows of one array in the long form (array, pos, a, b, c, text)."""
+    values = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for v, n in ((a, "a"), (b, "b"), (c, "c")))
+    return f"SELECT '{name}' AS \"array\", CAST({pos} AS BIGINT) AS pos, {values}, CAST({text} AS VARCHAR) AS text FROM ({sql}) q"
+
+
+def _coded(name: str, order: str, column: str, source: str) -> str:
+    """CTEs: {name} has pos and v (rows of ``source`` along ``order``), {name}_lk the first-appearance lookup."""
+    return (f"{name} AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS pos, coalesce(CAST({column} AS VARCHAR), '') AS v, * FROM {source}), "
+            f"{name}_lk AS (SELECT row_number() OVER (ORDER BY f, v) AS key, v FROM (SELECT v, min(pos) AS f FROM {name} GROUP BY v) t)")
+
+
+def _lookup_rows(name: str, cte: str) -> str:
+    return _rows(name, f"SELECT * FROM {cte}_lk", "key", text="v")
+
+
+def _code_rows(name: str, cte: str) -> str:
+    return _rows(name, f"SELECT r.pos, k.key FROM {cte} r JOIN {cte}_lk k ON r.v = k.v", a="key")
+
+
+SORTED_HOLES = f"{HOLE}, l_quantity, {LI}"
+LI_CSV = ", ".join(c for c in R.LINEITEM_ORDER if c != "l_shipdate")
+BLANK = "CASE WHEN l_linenumber < 7 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END"
+
 SQL: dict[str, str] = {
     "pointset": f"""WITH p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, x, y, z, event_id,
                                 coalesce(event_type, '') AS v FROM ({EV_XYZ}) t), {EV_FIRST}
@@ -137,7 +161,7 @@ SQL: dict[str, str] = {
                n AS "rows", valid AS valid_rows, miss AS missing_rows, min_x, max_x, min_y, max_y, min_z, max_z,
                CAST(CASE WHEN valid = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_errors,
                CAST(CASE WHEN miss > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_warnings,
-               CASE WHEN miss > 0 THEN CAST(miss AS VARCHAR) || ' rows have NaN coordinates' END AS first_warning
+               CASE WHEN miss > 0 THEN CAST(miss AS VARCHAR) || ' rows lack a coordinate' END AS first_warning
         FROM a""",
     "line_segments": f"""WITH v AS (SELECT p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM part),
         n AS (SELECT count(*) AS n FROM part),
@@ -148,7 +172,7 @@ SQL: dict[str, str] = {
         SELECT CASE WHEN bad_start + bad_end > 0 THEN 'validation_failed' ELSE 'validation_passed' END AS status,
                (SELECT n FROM n) AS vertices, segments, max_start, max_end, bad_start, bad_end, min_x, max_x, min_y, max_y, min_z, max_z
         FROM s, b""",
-    "segment_index_check": f"""WITH n AS (SELECT count(*) AS n FROM part WHERE p_size <= {VERTEX_MAX_SIZE})
+    "segment_index_check": f"""WITH n AS (SELECT count(*) AS n FROM supplier)
         SELECT (SELECT n FROM n) AS vertices, count(*) AS segments, CAST(max(l_partkey) AS DOUBLE) AS max_start,
                CAST(max(l_suppkey) AS DOUBLE) AS max_end,
                count(*) FILTER (WHERE l_partkey < 0 OR l_partkey >= (SELECT n FROM n)) AS bad_start,
@@ -156,7 +180,7 @@ SQL: dict[str, str] = {
                CASE WHEN count(*) FILTER (WHERE l_partkey < 0 OR l_partkey >= (SELECT n FROM n) OR l_suppkey < 0
                     OR l_suppkey >= (SELECT n FROM n)) > 0 THEN 'validation_failed' ELSE 'validation_passed' END AS status
         FROM lineitem""",
-    "dangling_segment_ends": f"""WITH n AS (SELECT count(*) AS n FROM part WHERE p_size <= {VERTEX_MAX_SIZE})
+    "dangling_segment_ends": f"""WITH n AS (SELECT count(*) AS n FROM supplier)
         SELECT 'start' AS "end", CAST(l_partkey AS DOUBLE) AS idx FROM lineitem WHERE l_partkey < 0 OR l_partkey >= (SELECT n FROM n)
         UNION ALL
         SELECT 'end' AS "end", CAST(l_suppkey AS DOUBLE) AS idx FROM lineitem WHERE l_suppkey < 0 OR l_suppkey >= (SELECT n FROM n)""",
@@ -166,11 +190,10 @@ SQL: dict[str, str] = {
         coalesce(CAST(l.quality AS VARCHAR), '') AS quality, coalesce(CAST(l.toxic AS VARCHAR), '') AS toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "numeric_coerce": """SELECT o_orderkey, TRY_CAST(trim(o_orderpriority) AS DOUBLE) AS priority_num,
-        TRY_CAST(trim(substr(o_orderpriority, 1, 1)) AS DOUBLE) AS priority_level,
         TRY_CAST(trim(CAST(o_totalprice AS VARCHAR)) AS DOUBLE) AS totalprice,
         TRY_CAST(trim(o_orderstatus) AS DOUBLE) AS status_num FROM orders""",
-    "invert_dip": f"""SELECT row_number() OVER (ORDER BY {HOLE}, l_quantity, {LI}) - 1 AS pos, l_quantity AS distance,
-        l_extendedprice AS azimuth, -l_discount AS dip FROM lineitem""",
+    "invert_dip": f"""SELECT {HOLE} AS hole_id, l_linenumber, l_partkey, l_quantity AS distance, l_extendedprice AS azimuth,
+        -l_discount AS dip FROM lineitem""",
     "survey_path": f"""SELECT row_number() OVER (ORDER BY {HOLE}, l_quantity, {LI}) - 1 AS pos, l_quantity AS distance,
         l_extendedprice AS azimuth, l_discount AS dip FROM lineitem""",
     "attribute_key": "SELECT p_partkey, p_type AS name, regexp_replace(lower(p_type), '[ -]', '_', 'g') AS key FROM part",
@@ -178,7 +201,7 @@ SQL: dict[str, str] = {
         SELECT 'event_id' AS "column", 'event_id' AS key, 'continuous' AS kind, count(event_id) AS n_values,
                CAST(NULL AS BIGINT) AS n_categories, CAST(NULL AS VARCHAR) AS warning FROM events
         UNION ALL SELECT 'ts', 'ts', 'category', count(ts), count(DISTINCT coalesce(CAST(ts AS VARCHAR), '')),
-               'Unknown dtype timestamp_ntz for column ts, treating as category' FROM events
+               'column ts of type timestamp_ntz is stored as text categories' FROM events
         UNION ALL SELECT 'user_id', 'user_id', 'continuous', count(user_id), NULL, NULL FROM events
         UNION ALL SELECT 'event_type', 'event_type', 'category', count(event_type), count(DISTINCT coalesce(event_type, '')), NULL FROM events
         UNION ALL SELECT 'value', 'value', 'continuous', count(value), NULL, NULL FROM events
@@ -210,37 +233,42 @@ SQL: dict[str, str] = {
         SELECT CAST(o_orderkey AS VARCHAR) AS hole_id, coalesce(m.d, 0.0) AS final, coalesce(m.d, 0.0) AS target,
                coalesce(m.d, 0.0) AS current FROM orders LEFT JOIN m ON CAST(o_orderkey AS VARCHAR) = m.hole_id""",
     "orphan_intervals": f"""SELECT {HOLE} AS hole_id, count(*) AS "rows" FROM lineitem
-        WHERE {HOLE} NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""",
+        WHERE {HOLE} NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) GROUP BY 1""",
     "empty_holes": f"""WITH {HOLE_LOOKUP} SELECT key, v AS hole_id FROM hl
         WHERE v NOT IN (SELECT DISTINCT {HOLE} FROM lineitem)""",
     "sorted_intervals": f"""SELECT row_number() OVER (ORDER BY {HOLE}, l_quantity, {LI}) - 1 AS pos, {HOLE} AS hole_id,
         l_quantity AS "from", l_quantity + l_linenumber AS "to" FROM lineitem""",
-    "interval_collection": f"""WITH {HOLE_LOOKUP},
-        s AS (SELECT row_number() OVER (ORDER BY {HOLE}, l_quantity, {LI}) - 1 AS pos, {HOLE} AS v, l_quantity AS f,
-                     l_quantity + l_linenumber AS t, coalesce(l_returnflag, '') AS rf, l_tax FROM lineitem),
-        fl AS (SELECT CAST(row_number() OVER (ORDER BY first, rf) AS INTEGER) AS key, rf FROM (SELECT rf, min(pos) AS first FROM s GROUP BY rf) q)
-        SELECT s.pos, hl.key AS hole_index, CAST(s.f AS DOUBLE) AS "from", CAST(s.t AS DOUBLE) AS "to", fl.key AS l_returnflag, s.l_tax AS tax
-        FROM s LEFT JOIN hl ON s.v = hl.v LEFT JOIN fl ON s.rf = fl.rf""",
+    "interval_collection": f"""WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {HOLE} AS v FROM lineitem')}, {_coded('s', SORTED_HOLES, 'l_returnflag', 'lineitem')}
+        """ + " UNION ALL ".join([
+        _rows("from_to", "SELECT * FROM s", a="l_quantity", b="l_quantity + l_linenumber"),
+        _rows("holes", "SELECT * FROM im", "hole_index", a='"offset"', b='"count"'),
+        _lookup_rows("lookup_0", "s"), _code_rows("codes_0", "s"), _rows("values_0", "SELECT * FROM s", a="l_tax")]),
     "interval_collections": f"""WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {HOLE} AS v FROM lineitem', 'a')},
-        {_index_map(f"SELECT {HOLE} AS v FROM lineitem WHERE l_returnflag = 'R'", 'g')}
+        {_index_map("SELECT CAST(l_suppkey AS VARCHAR) AS v FROM lineitem", 'g')}
         SELECT 'assay' AS collection, * FROM a UNION ALL SELECT 'geology' AS collection, * FROM g""",
     "hole_location": f"""WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {HOLE} AS v FROM lineitem')},
-        m AS (SELECT {HOLE} AS v, max(l_quantity) AS d FROM lineitem GROUP BY 1)
-        SELECT hl.key AS hole_index, hl.v AS hole_id, CAST(o.o_custkey AS DOUBLE) AS x, o.o_totalprice AS y, 0.0::DOUBLE AS z,
-               coalesce(m.d, 0.0) AS final, im."offset", im."count"
-        FROM orders o JOIN hl ON CAST(o.o_orderkey AS VARCHAR) = hl.v LEFT JOIN m ON m.v = hl.v JOIN im ON im.hole_index = hl.key""",
+        m AS (SELECT {HOLE} AS v, max(l_quantity) AS d FROM lineitem GROUP BY 1),
+        o AS (SELECT row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CAST(o_orderkey AS VARCHAR) AS v, * FROM orders),
+        p AS (SELECT row_number() OVER (ORDER BY {SORTED_HOLES}) - 1 AS pos, * FROM lineitem)
+        """ + " UNION ALL ".join([
+        _rows("coordinates", "SELECT * FROM o", a="o_custkey", b="o_totalprice", c="0.0"),
+        _rows("distances", "SELECT o.pos, coalesce(m.d, 0.0) AS d FROM o LEFT JOIN m ON o.v = m.v", a="d", b="d", c="d"),
+        _rows("lookup", "SELECT * FROM hl", "key", text="v"),
+        _rows("codes", "SELECT o.pos, hl.key FROM o JOIN hl ON o.v = hl.v", a="key"),
+        _rows("holes", "SELECT * FROM im", "hole_index", a='"offset"', b='"count"'),
+        _rows("path", "SELECT * FROM p", a="l_quantity", b="l_extendedprice", c="-l_discount")]),
     "downhole_collection": f"""WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {HOLE} AS v FROM lineitem', 's')},
-        {_index_map(f'SELECT {HOLE} AS v FROM lineitem', 'a')},
-        {_index_map(f"SELECT {HOLE} AS v FROM lineitem WHERE l_returnflag = 'R'", 'g')}
-        SELECT s.hole_index, s."offset" AS survey_offset, s."count" AS survey_count, a."offset" AS assay_offset,
-               a."count" AS assay_count, g."offset" AS geology_offset, g."count" AS geology_count
-        FROM s JOIN a ON s.hole_index = a.hole_index JOIN g ON s.hole_index = g.hole_index""",
-    "downhole_intervals": f"""WITH s AS (SELECT row_number() OVER (ORDER BY {LI}) - 1 AS pos, {HOLE} AS v, l_quantity AS q,
-                                    l_linenumber AS n, l_extendedprice AS p FROM lineitem),
-        lk AS (SELECT CAST(row_number() OVER (ORDER BY first, v) AS INTEGER) AS key, v FROM (SELECT v, min(pos) AS first FROM s GROUP BY v) t)
-        SELECT s.pos, lk.key AS hole_key, s.q AS "from", s.q + s.n AS "to", (s.q + (s.q + s.n)) / 2 AS mid_x,
-               (s.p + s.p) / 2 AS mid_y, (-s.q + -(s.q + s.n)) / 2 AS mid_z
-        FROM s LEFT JOIN lk ON s.v = lk.v""",
+        {_index_map("SELECT CAST(l_suppkey AS VARCHAR) AS v FROM lineitem", 'g')}
+        """ + " UNION ALL ".join(_rows(n, f"SELECT * FROM {t}", "hole_index", a='"offset"', b='"count"')
+                                for n, t in (("survey", "s"), ("assay", "s"), ("geology", "g"))),
+    "downhole_intervals": f"""WITH {_coded('s', LI, HOLE, 'lineitem')}, {_coded('t', LI, 'l_returnflag', 'lineitem')}
+        """ + " UNION ALL ".join([
+        _rows("start", "SELECT * FROM s", a="l_quantity", b="l_extendedprice", c="-l_quantity"),
+        _rows("end", "SELECT * FROM s", a="l_quantity + l_linenumber", b="l_extendedprice", c="-(l_quantity + l_linenumber)"),
+        _rows("mid", "SELECT * FROM s", a="(l_quantity + (l_quantity + l_linenumber)) / 2", b="(l_extendedprice + l_extendedprice) / 2",
+              c="(-l_quantity + -(l_quantity + l_linenumber)) / 2"),
+        _rows("from_to", "SELECT * FROM s", a="l_quantity", b="l_quantity + l_linenumber"),
+        _lookup_rows("lookup_0", "s"), _code_rows("codes_0", "s"), _lookup_rows("lookup_1", "t"), _code_rows("codes_1", "t")]),
     "unique_holes": """SELECT 'orders' AS source, count(*) AS "rows", count(DISTINCT o_orderkey) AS unique_ids FROM orders
         UNION ALL SELECT 'conversations', count(*), count(DISTINCT conv_id) FROM conversations""",
     "duplicate_ids": 'SELECT conv_id AS id, count(*) AS "rows" FROM conversations GROUP BY conv_id HAVING count(*) > 1',
@@ -248,11 +276,11 @@ SQL: dict[str, str] = {
         _profile("events", "SELECT * FROM events", [
             ("event_id", "int64", True), ("ts", "datetime64[us]", False), ("user_id", "int64", True),
             ("event_type", "object", False), ("value", "float64", True), ("props", "object", False)])
-        + _profile("documents", "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
+        + _profile("documents", "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
                                 "LEFT JOIN labels l ON d.doc_id = l.doc_id", [
-            ("doc_id", "int64", True), ("lang", "object", False), ("source", "object", False), ("n_chars", "int64", True),
+            ("doc_id", "int64", True), ("text", "object", False), ("lang", "object", False), ("source", "object", False), ("n_chars", "int64", True),
             ("quality", "int32", True), ("toxic", "int32", True)])),
-    "csv_typed_scan": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "csv_typed_scan": f"SELECT event_id, {_iso('ts')} AS ts, user_id, event_type, value, props FROM events",
     "list_workspaces": f"""WITH pc AS (SELECT o_custkey, min(o_orderdate) AS f, max(o_orderdate) AS l FROM orders GROUP BY 1),
         ws AS (SELECT c_mktsegment, min(f) AS created_at, max(l) AS updated_at FROM customer LEFT JOIN pc ON c_custkey = o_custkey
                GROUP BY c_mktsegment)
@@ -286,7 +314,7 @@ SQL: dict[str, str] = {
                CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = c.o_orderkey) AS INTEGER) AS n_refs
         FROM cur c WHERE c.workspace_id = {LOOKUP_WS} AND c.id = {LOOKUP_ID}""",
     "workspace_summary": f"""WITH {OBJ}
-        SELECT workspace_id, schema_id, count(*) AS objects FROM cur GROUP BY ROLLUP (workspace_id, schema_id)
+        SELECT workspace_id, schema_id, count(*) AS objects FROM alive GROUP BY ROLLUP (workspace_id, schema_id)
         HAVING workspace_id IS NOT NULL""",
     "workspace_snapshot": f"""WITH {OBJ},
         ws AS (SELECT DISTINCT lower(c_mktsegment) AS workspace_id, c_mktsegment AS workspace_name,
@@ -295,16 +323,17 @@ SQL: dict[str, str] = {
                ws.workspace_description, c.id AS object_id, c.name, c.path, c.schema_id, c.version_id,
                {_iso('c.created_at')} AS created_at,
                CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = c.o_orderkey) AS INTEGER) AS n_blobs
-        FROM cur c LEFT JOIN ws ON c.workspace_id = ws.workspace_id WHERE c.workspace_id = '{SOURCE_WS}'""",
+        FROM alive c LEFT JOIN ws ON c.workspace_id = ws.workspace_id WHERE c.workspace_id = '{SOURCE_WS}'""",
     "snapshot_references": f"""WITH {OBJ}
         SELECT '{SNAPSHOT_NAME}' AS snapshot_name, c.id AS object_id, c.version_id, r.ordinal, r.blob_id
-        FROM cur c JOIN refs r ON r.l_orderkey = c.o_orderkey WHERE c.workspace_id = '{SOURCE_WS}'""",
+        FROM alive c JOIN refs r ON r.l_orderkey = c.o_orderkey WHERE c.workspace_id = '{SOURCE_WS}'""",
     "iso_timestamps": f"SELECT event_id, {_iso('ts')} AS ts FROM events",
     "data_references": f"""WITH {OBJ}
         SELECT o.workspace_id, o.id, o.version_id, r.ordinal, r.blob_id FROM obj o JOIN refs r ON r.l_orderkey = o.o_orderkey""",
-    "object_blobs": f"""WITH {OBJ}, store AS (SELECT DISTINCT blob_id, length FROM blobs)
+    "object_blobs": f"""WITH {OBJ}
         SELECT o.workspace_id, o.id, o.version_id, r.ordinal, r.blob_id, s.length
-        FROM obj o JOIN refs r ON r.l_orderkey = o.o_orderkey JOIN store s ON s.blob_id = r.blob_id""",
+        FROM obj o JOIN refs r ON r.l_orderkey = o.o_orderkey
+        JOIN blobs s ON s.blob_id = r.blob_id AND s.workspace_id = o.workspace_id""",
     "new_blobs": f"""WITH {_dup_ctes(())}
         SELECT '{TARGET_WS}' AS workspace_id, b.blob_id, b.length
         FROM ok_refs r JOIN (SELECT DISTINCT blob_id, length FROM blobs WHERE workspace_id = '{SOURCE_WS}') b ON r.blob_id = b.blob_id
@@ -314,11 +343,14 @@ SQL: dict[str, str] = {
     "duplicate_counts": f"""WITH {_dup_ctes(COPY_SCHEMAS)}
         SELECT (SELECT count(*) FROM ok) AS objects_copied, (SELECT count(*) FROM failed) AS objects_failed,
                (SELECT count(*) FROM ok_refs) AS data_blobs_copied""",
-    "copy_object": f"""WITH {OBJ}
-        SELECT count(*) AS objects_copied,
-               (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM cur WHERE workspace_id = {LOOKUP_WS}
-                                                                   AND id = {LOOKUP_ID})) AS data_blobs_copied
-        FROM cur WHERE workspace_id = {LOOKUP_WS} AND id = {LOOKUP_ID}""",
+    "copy_object": f"""WITH {OBJ},
+        one AS (SELECT * FROM cur WHERE workspace_id = {LOOKUP_WS} AND id = {LOOKUP_ID}),
+        one_refs AS (SELECT r.blob_id, b.blob_id IS NOT NULL AS held FROM one JOIN refs r ON r.l_orderkey = one.o_orderkey
+                     LEFT JOIN blobs b ON b.blob_id = r.blob_id AND b.workspace_id = one.workspace_id),
+        ok AS (SELECT count(*) FILTER (WHERE NOT held) = 0 AS ok, count(*) AS n FROM one_refs)
+        SELECT (SELECT count(*) FROM one WHERE (SELECT ok FROM ok)) AS objects_copied,
+               (SELECT count(*) FROM one WHERE NOT (SELECT ok FROM ok)) AS objects_failed,
+               CAST(CASE WHEN (SELECT ok FROM ok) THEN (SELECT n FROM ok) ELSE 0 END AS BIGINT) AS data_blobs_copied""",
     "schema_conformance": f"""WITH {OBJ},
         req(object_type, parameter) AS (VALUES {_conformance_values()}),
         has_lines AS (SELECT DISTINCT l_orderkey FROM lineitem)
@@ -326,5 +358,54 @@ SQL: dict[str, str] = {
         FROM cur c JOIN req ON req.object_type = c.schema_id
         WHERE NOT (req.parameter IN ('name', 'uuid', 'schema')
                    OR (req.parameter = 'coordinate_reference_system' AND c.o_orderstatus <> 'P')
-                   OR (req.parameter IN ('bounding_box', 'parts') AND c.o_orderkey IN (SELECT l_orderkey FROM has_lines)))""",
+                   OR (req.parameter = 'bounding_box' AND c.o_orderkey IN (SELECT l_orderkey FROM has_lines)))""",
+    "line_segments_arrays": f"""WITH {_coded('v', 'p_partkey', 'p_brand', 'part')}, {_coded('s', LI, 'l_returnflag', 'lineitem')}
+        """ + " UNION ALL ".join([
+        _rows("coordinates", "SELECT * FROM v", a="p_retailprice", b="p_size", c="0.0"),
+        _rows("indices", "SELECT * FROM s", a="l_partkey", b="l_suppkey"),
+        _lookup_rows("lookup_0", "v"), _code_rows("codes_0", "v"), _lookup_rows("lookup_1", "s"), _code_rows("codes_1", "s")]),
+    "dry_run_downhole": f"""SELECT 'validation_passed' AS status, CAST(0 AS INTEGER) AS n_errors, CAST(0 AS INTEGER) AS n_warnings,
+        count(*) AS "rows", count(DISTINCT o_orderkey) AS unique_holes, count(*) AS valid_rows,
+        {_box('CAST(o_custkey AS DOUBLE)', 'o_totalprice', '0.0::DOUBLE')} FROM orders""",
+    "pointset_document": """SELECT 'events' AS name, '/objects/pointset/1.3.0/pointset.schema.json' AS schema, min(CAST(user_id AS DOUBLE)) AS min_x,
+        max(CAST(user_id AS DOUBLE)) AS max_x, count(*) AS points, CAST(0 AS INTEGER) AS i, 'event_type' AS attribute, 'event_type' AS key,
+        'category' AS attribute_type, CAST(0 AS INTEGER) AS nan_values, count(DISTINCT coalesce(event_type, '')) AS categories,
+        count(*) AS "values" FROM events
+        UNION ALL SELECT 'events', '/objects/pointset/1.3.0/pointset.schema.json', min(CAST(user_id AS DOUBLE)), max(CAST(user_id AS DOUBLE)),
+        count(*), 1, 'event_id', 'event_id', 'continuous', 0, NULL, count(*) FROM events""",
+    "csv_preview": " UNION ALL ".join(p.replace("'events' AS source, ", "") for p in _profile("events", "SELECT * FROM events", [
+        ("event_id", "int64", True), ("user_id", "int64", True), ("event_type", "object", False), ("value", "float64", True)])),
+    "csv_pointset": f"""WITH {_coded('e', 'event_id', 'event_type', 'events')}
+        """ + " UNION ALL ".join([_rows("coordinates", "SELECT * FROM e", a="user_id", b="value", c="event_id"),
+                                  _lookup_rows("lookup_0", "e"), _code_rows("codes_0", "e")]),
+    "csv_line_segments": f"""WITH {_coded('v', 'p_partkey', 'p_brand', 'part')}, {_coded('s', LI_CSV, 'l_returnflag', 'lineitem')}
+        """ + " UNION ALL ".join([
+        _rows("coordinates", "SELECT * FROM v", a="p_retailprice", b="p_size", c="0.0"),
+        _rows("indices", "SELECT * FROM s", a="l_partkey", b="l_suppkey"),
+        _lookup_rows("lookup_0", "v"), _code_rows("codes_0", "v"), _lookup_rows("lookup_1", "s"), _code_rows("codes_1", "s")]),
+    "csv_hole_distances": f"""WITH m AS (SELECT {BLANK} AS hole_id, max(l_quantity) AS d FROM lineitem GROUP BY 1)
+        SELECT CAST(o_orderkey AS VARCHAR) AS hole_id, CAST(coalesce(m.d, 0.0) AS DOUBLE) AS final, CAST(coalesce(m.d, 0.0) AS DOUBLE) AS target,
+               CAST(coalesce(m.d, 0.0) AS DOUBLE) AS current FROM orders LEFT JOIN m ON CAST(o_orderkey AS VARCHAR) = m.hole_id""",
+    "csv_downhole_collection": f"""WITH {HOLE_LOOKUP}, {_index_map(f'SELECT {BLANK} AS v FROM lineitem')},
+        m AS (SELECT {BLANK} AS v, max(l_quantity) AS d FROM lineitem GROUP BY 1),
+        o AS (SELECT row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CAST(o_orderkey AS VARCHAR) AS v, * FROM orders)
+        """ + " UNION ALL ".join([
+        _rows("coordinates", "SELECT * FROM o", a="o_custkey", b="o_totalprice", c="0.0"),
+        _rows("distances", "SELECT o.pos, coalesce(m.d, 0.0) AS d FROM o LEFT JOIN m ON o.v = m.v", a="d", b="d", c="d"),
+        _rows("codes", "SELECT o.pos, hl.key FROM o JOIN hl ON o.v = hl.v", a="key"),
+        _rows("holes", "SELECT * FROM im", "hole_index", a='"offset"', b='"count"'),
+        _rows("collection", "SELECT * FROM im", "hole_index", a='"offset"', b='"count"')]),
+    "csv_downhole_intervals": f"""WITH {_coded('s', LI_CSV, HOLE, 'lineitem')}, {_coded('t', LI_CSV, 'l_returnflag', 'lineitem')}
+        """ + " UNION ALL ".join([
+        _rows("mid", "SELECT * FROM s", a="l_quantity", b="l_quantity", c="l_quantity"),
+        _rows("from_to", "SELECT * FROM s", a="l_quantity", b="l_quantity + l_linenumber"),
+        _lookup_rows("lookup_0", "s"), _code_rows("codes_0", "s"), _lookup_rows("lookup_1", "t"), _code_rows("codes_1", "t")]),
+    "csv_statuses": """SELECT 'good' AS "case", CASE WHEN count(value) > 0 THEN 'validation_passed' ELSE 'validation_failed' END AS status,
+        CAST(CASE WHEN count(value) > 0 THEN 0 ELSE 1 END AS INTEGER) AS n_errors FROM events
+        UNION ALL SELECT 'text', 'validation_failed', 2 UNION ALL SELECT 'missing', 'error', 1""",
+    "file_position": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events",
+    "pinned_version": f"""WITH {OBJ}
+        SELECT id, name, path, schema_id, version_id, {_iso('created_at')} AS created_at FROM obj
+        WHERE workspace_id = {LOOKUP_WS} AND id = {LOOKUP_ID}
+          AND version_id = (SELECT min(version_id) FROM obj WHERE workspace_id = {LOOKUP_WS} AND id = {LOOKUP_ID})""",
 }

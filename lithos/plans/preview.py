@@ -1,8 +1,7 @@
 """CSV preview (SRC-2 + SRC-1 + AGG-6 + LIM-1): the file-inspection flow as one call.
 
 Returns a dict of small DataFrames, or an error status when the file is missing or does not
-parse. The profile is one aggregate over the whole file; the sample is a separate limit job
-along the file order.
+parse. The profile aggregates the whole file; the sample is the head of the first file.
 """
 
 from __future__ import annotations
@@ -10,21 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lithos.operators.profile import column_profile, sample_rows, table_shape
-from lithos.sources.csv_scan import read_typed_csv, source_status
+from lithos.sources.csv_scan import apply_ladder, read_raw_csv, read_typed_csv, source_status
 
 
-def preview_csv(spark: SparkSession, path: str, max_rows: int = 10) -> dict[str, DataFrame | str]:
+def preview_csv(spark: SparkSession, path: str, max_rows: int = 10, multi_line: bool = False) -> dict[str, DataFrame | str]:
     status = source_status(spark, path)
     if status.status != "ok":
         return {"status": "file_missing", "error": status.error or f"File not found: {path}"}
     try:
-        df = read_typed_csv(spark, path, with_position=True, pos_name="__pos")
+        data = read_typed_csv(spark, path, multi_line=multi_line)
+        types = dict(data.dtypes)
+        # the head of the first file; further files are positioned only where that holds too few rows
+        first = sorted(spark.read.text(path).inputFiles())[:1]
+        head = read_raw_csv(spark, first[0], multi_line=multi_line).limit(max_rows) if first else data.limit(0)
+        sample = apply_ladder(head, types)
+        if first and sample.count() < max_rows:
+            rows = read_typed_csv(spark, path, with_position=True, pos_name="__pos", multi_line=multi_line)
+            sample = sample_rows(rows, ["__pos"], max_rows).drop("__pos")
     except Exception as e:  # noqa: BLE001 - reported as a status, as the file tools do
         return {"status": "parse_error", "error": str(e)}
-    data = df.drop("__pos")
     return {
         "status": "ok",
         "shape": table_shape(data),
         "columns": column_profile(data),
-        "sample": sample_rows(df, ["__pos"], max_rows).drop("__pos"),
+        "sample": sample,
     }

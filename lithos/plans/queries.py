@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.functions.numeric import coerce_double
+from lithos.functions.jsondoc import parse_document
+from lithos.functions.numeric import coerce_double, invert
 from lithos.functions.text import attribute_key, clean_text
 from lithos.functions.timefmt import iso_timestamp
 from lithos.operators import arrays as A
@@ -25,9 +26,14 @@ from lithos.operators.position import with_ordered_index
 from lithos.operators.profile import column_profile, sample_rows
 from lithos.plans import roles as R
 from lithos.plans.builders import (
-    IntervalConfig, build_downhole_collection, build_downhole_intervals, build_line_segments, build_pointset,
-    sorted_rows,
+    POS, BuiltObject, IntervalConfig, build_downhole_collection, build_downhole_intervals, build_line_segments,
+    build_pointset, sorted_rows, write_object,
 )
+from lithos.plans.csv_objects import (
+    IntervalFile, downhole_collection_from_csv, downhole_intervals_from_csv, line_segments_from_csv, load,
+    pointset_from_csv,
+)
+from lithos.plans.preview import preview_csv
 from lithos.plans.schemas import conformance
 from lithos.session import ensure_checkpoint_dir
 from lithos.sources.csv_scan import read_typed_csv
@@ -43,7 +49,6 @@ LOOKUP_CUSTOMER = 0
 SNAPSHOT_NAME = "snapshot_2024-01-01T00:00:00"
 SNAPSHOT_TIME = "2024-01-01T00:00:00"
 COPY_SCHEMAS = ("pointset", "line-segments")
-VERTEX_MAX_SIZE = 25
 
 
 def _events_xyz(spark, d) -> DataFrame:
@@ -63,7 +68,41 @@ def _docs_xyz(spark, d) -> DataFrame:
 def q_pointset(spark, d):
     built = build_pointset(_events_xyz(spark, d), "x", "y", "z", name="events", attribute_cols=["event_type"],
                            order_cols=["event_id"])
-    return category_codes(built.positioned(), "event_type", built.lookup("event_type"), keep=["pos", "x", "y", "z"])
+    coded = category_codes(built.positioned(), "event_type", built.lookup("event_type"), keep=[POS, "x", "y", "z"])
+    return coded.withColumnRenamed(POS, "pos")
+
+
+def _long(built: BuiltObject, arrays: dict[str, str]) -> DataFrame:
+    """Arrays of a built object as rows (array, pos, a, b, c): what the object's files hold, whole. ``pos`` of a
+    lookup or hole index is its key."""
+    parts = []
+    for name, aid in arrays.items():
+        df = built.array(aid)
+        role = built.array_roles[aid]
+        fields = [n for n, _ in A.ARRAY_FIELDS[role]]
+        if role == "lookup":
+            cols = [F.col("key").cast("long"), F.lit(None), F.lit(None), F.lit(None), F.col("value")]
+        elif role == "holes":
+            cols = [F.col("hole_index").cast("long"), F.col("offset"), F.col("count"), F.lit(None), F.lit(None)]
+        else:
+            cols = [F.col("pos"), *[F.col(f) for f in fields], *[F.lit(None)] * (3 - len(fields)), F.lit(None)]
+        types = ["long", "double", "double", "double", "string"]
+        parts.append(df.select(F.lit(name).alias("array"), *[
+            c.cast(t).alias(n) for c, t, n in zip(cols, types, ["pos", "a", "b", "c", "text"])]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _attribute_arrays(built: BuiltObject, ids=None) -> dict[str, str]:
+    """codes, lookup and values arrays in the order the attributes were planned, by role and number."""
+    out: dict[str, str] = {}
+    for aid in ids if ids is not None else built.arrays:
+        role = built.array_roles[aid]
+        if role in ("codes", "values", "lookup"):
+            out[f"{role}_{sum(k.startswith(role) for k in out)}"] = aid
+    return out
 
 
 def q_bounding_box(spark, d):
@@ -98,19 +137,25 @@ def q_dry_run_report(spark, d):
 def q_line_segments(spark, d):
     built = build_line_segments(R.vertices(spark, d), R.segments(spark, d), "x", "y", "z", "start_idx", "end_idx",
                                 vertex_attribute_cols=["p_brand"], segment_attribute_cols=["l_returnflag"],
-                                segment_order=list(R.LINEITEM_ORDER))
+                                segment_order=list(R.LINEITEM_ORDER), vertex_pos="pos")
     return built.report.select("status", "vertices", "segments", "max_start", "max_end", "bad_start", "bad_end", *BOX)
 
 
+def q_line_segments_arrays(spark, d):
+    built = build_line_segments(R.vertices(spark, d), R.segments(spark, d), "x", "y", "z", "start_idx", "end_idx",
+                                vertex_attribute_cols=["p_brand"], segment_attribute_cols=["l_returnflag"],
+                                segment_order=list(R.LINEITEM_ORDER), vertex_pos="pos")
+    return _long(built, {"coordinates": built.arrays_of("coordinates")[0], "indices": built.arrays_of("indices")[0],
+                         **_attribute_arrays(built)})
+
+
 def q_segment_index_check(spark, d):
-    part = read_table(spark, d, "part").filter(F.col("p_size") <= VERTEX_MAX_SIZE).select("p_partkey")
-    verts = with_ordered_index(part, ["p_partkey"], name="pos")
+    verts = read_table(spark, d, "supplier").select("s_suppkey")  # counted only: no ranking needed
     return Q.segment_index_check(verts, R.segments(spark, d), "start_idx", "end_idx")
 
 
 def q_dangling_segment_ends(spark, d):
-    part = read_table(spark, d, "part").filter(F.col("p_size") <= VERTEX_MAX_SIZE).select("p_partkey")
-    verts = with_ordered_index(part, ["p_partkey"], name="pos")
+    verts = with_ordered_index(read_table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], name="pos")
     return Q.dangling_segment_ends(verts, R.segments(spark, d), "start_idx", "end_idx")
 
 
@@ -137,15 +182,15 @@ def q_numeric_coerce(spark, d):
     return o.select(
         "o_orderkey",
         coerce_double("o_orderpriority").alias("priority_num"),
-        coerce_double(F.substring("o_orderpriority", 1, 1)).alias("priority_level"),
         coerce_double(F.col("o_totalprice").cast("string")).alias("totalprice"),
         coerce_double("o_orderstatus").alias("status_num"),
     )
 
 
 def q_invert_dip(spark, d):
-    rows = sorted_rows(R.survey(spark, d), "hole_id", "depth", list(R.LINEITEM_ORDER))
-    return A.path(rows.withColumn("dip", -F.col("dip")), "depth", "azimuth", "dip")
+    li = R.survey(spark, d)
+    return li.select("hole_id", F.col("l_linenumber"), F.col("l_partkey"), F.col("depth").alias("distance"), "azimuth",
+                     invert("dip", True).alias("dip"))
 
 
 def q_survey_path(spark, d):
@@ -234,7 +279,7 @@ def q_hole_distances(spark, d):
 
 
 def q_orphan_intervals(spark, d):
-    col = R.collar(spark, d).filter(F.col("o_orderstatus") != "P")
+    col = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("hole_id"))
     return H.orphan_rows(R.intervals(spark, d), "hole_id", H.hole_lookup(col, "hole_id"))
 
 
@@ -247,23 +292,27 @@ def q_sorted_intervals(spark, d):
     return rows.select("pos", "hole_id", "from", "to")
 
 
+def _collection(spark, d, configs, **more) -> BuiltObject:
+    return build_downhole_collection(
+        R.collar(spark, d), R.survey(spark, d), "hole_id", "hole_id", "x", "y", "z", "depth", "azimuth", "dip",
+        collections=configs, invert_z=True, collar_tie=["hole_id"], survey_tie=R.LINEITEM_ORDER, **more)
+
+
 def q_interval_collection(spark, d):
-    lookup = H.hole_lookup(R.collar(spark, d), "hole_id")
-    rows = sorted_rows(R.intervals(spark, d), "hole_id", "from", list(R.LINEITEM_ORDER))
-    keyed = rows.join(lookup.select(F.col("value").alias("hole_id"), F.col("key").alias("hole_index")), "hole_id", "left")
-    flags = category_lookup(rows, "l_returnflag", "pos")
-    coded = category_codes(keyed, "l_returnflag", flags, keep=["pos", "hole_index", "from", "to", "l_tax"])
-    return coded.select("pos", "hole_index", F.col("from").cast("double").alias("from"),
-                        F.col("to").cast("double").alias("to"), "l_returnflag", F.col("l_tax").alias("tax"))
+    assay, _ = _interval_configs(spark, d)
+    cfg = IntervalConfig("assay", assay.df, assay.id_col, assay.from_col, assay.to_col, ["l_returnflag", "l_tax"], assay.tie_cols)
+    built = _collection(spark, d, [cfg])
+    ids = built.collections["assay"]
+    return _long(built, {"from_to": ids["from_to"], "holes": ids["holes"], **_attribute_arrays(built, ids["attributes"])})
 
 
 def _interval_configs(spark, d) -> list[IntervalConfig]:
     li = read_table(spark, d, "lineitem")
     assay = li.select(F.col("l_orderkey").cast("string").alias("hole_id"), F.col("l_quantity").alias("from"),
-                      (F.col("l_quantity") + F.col("l_linenumber")).alias("to"), "l_tax", *R.LINEITEM_ORDER)
-    geology = li.filter(F.col("l_returnflag") == "R").select(
-        F.col("l_orderkey").cast("string").alias("hole_id"), F.col("l_linenumber").cast("double").alias("from"),
-        (F.col("l_linenumber") + 1).cast("double").alias("to"), "l_linestatus", *R.LINEITEM_ORDER)
+                      (F.col("l_quantity") + F.col("l_linenumber")).alias("to"), *R.LINEITEM_ORDER)
+    geology = li.select(
+        F.col("l_suppkey").cast("string").alias("hole_id"), F.col("l_linenumber").cast("double").alias("from"),
+        (F.col("l_linenumber") + 1).cast("double").alias("to"), *R.LINEITEM_ORDER)
     return [IntervalConfig("assay", assay, "hole_id", "from", "to", ["l_tax"], R.LINEITEM_ORDER),
             IntervalConfig("geology", geology, "hole_id", "from", "to", ["l_linestatus"], R.LINEITEM_ORDER)]
 
@@ -279,27 +328,19 @@ def q_interval_collections(spark, d):
 
 
 def q_hole_location(spark, d):
-    col = R.collar(spark, d)
-    lookup, maps = H.hole_indexes(col, "hole_id", {"survey": (R.survey(spark, d), "hole_id")})
-    dist = H.hole_distances(col, R.survey(spark, d), "hole_id", "hole_id", "depth", keep=("x", "y", "z"))
-    idx = maps["survey"]
-    keyed = dist.join(lookup.select(F.col("value").alias("hole_id"), F.col("key").alias("hole_index")), "hole_id")
-    return keyed.join(idx, "hole_index").select("hole_index", "hole_id", "x", "y", "z", "final", "offset", "count")
+    built = _collection(spark, d, [])
+    return _long(built, {r: built.arrays_of(r)[0] for r in ("coordinates", "distances", "lookup", "codes", "holes", "path")})
 
 
 def q_downhole_collection(spark, d):
-    cfgs = _interval_configs(spark, d)
-    built = build_downhole_collection(
-        R.collar(spark, d), R.survey(spark, d), "hole_id", "hole_id", "x", "y", "z", "depth", "azimuth", "dip",
-        collections=cfgs, invert_z=True, survey_tie=R.LINEITEM_ORDER)
-    holes = built.arrays_of("holes")
-    survey_idx = built.array(holes[0])
-    out = survey_idx.select("hole_index", F.col("offset").alias("survey_offset"), F.col("count").alias("survey_count"))
-    for cfg, aid in zip(cfgs, holes[1:]):
-        ci = built.array(aid).select("hole_index", F.col("offset").alias(f"{cfg.name}_offset"),
-                                      F.col("count").alias(f"{cfg.name}_count"))
-        out = out.join(ci, "hole_index")
-    return out
+    built = _collection(spark, d, _interval_configs(spark, d))
+    return _long(built, {"survey": built.arrays_of("holes")[0], **{k: v["holes"] for k, v in built.collections.items()}})
+
+
+def q_dry_run_downhole(spark, d):
+    return _collection(spark, d, _interval_configs(spark, d)).report.select(
+        "status", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "rows", "unique_holes",
+        "valid_rows", *BOX)
 
 
 def q_downhole_intervals(spark, d):
@@ -313,11 +354,26 @@ def q_downhole_intervals(spark, d):
     df = df.withColumn("mx", (F.col("sx") + F.col("ex")) / 2).withColumn("my", (F.col("sy") + F.col("ey")) / 2) \
         .withColumn("mz", (F.col("sz") + F.col("ez")) / 2)
     built = build_downhole_intervals(df, "hole_id", "from", "to", ["sx", "sy", "sz"], ["ex", "ey", "ez"], ["mx", "my", "mz"],
-                                     attribute_cols=["l_returnflag"])
-    coded = category_codes(built.positioned(), "hole_id", built.lookup("hole_id"), keep=["pos", "from", "to", "mx", "my", "mz"],
-                           name="hole_key")
-    return coded.select("pos", "hole_key", "from", "to", F.col("mx").alias("mid_x"), F.col("my").alias("mid_y"),
-                        F.col("mz").alias("mid_z"))
+                                     attribute_cols=["l_returnflag"], pos_col="pos", check_pos=False)
+    start, end, mid = built.arrays_of("coordinates")
+    return _long(built, {"start": start, "end": end, "mid": mid, "from_to": built.arrays_of("from_to")[0], **_attribute_arrays(built)})
+
+
+def q_pointset_document(spark, d):
+    """Fields of the document of a written pointset: lengths come from what was written."""
+    built = build_pointset(_events_xyz(spark, d), "x", "y", "z", name="events", attribute_cols=["event_type", "event_id"],
+                           order_cols=["event_id"], tags={"kind": "events"})
+    doc = write_object(built, f"{ensure_checkpoint_dir(spark).rstrip('/')}/object-{_uuid.uuid4().hex}")
+    ref = "data string, length bigint"
+    schema = (f"name string, `schema` string, bounding_box struct<min_x double, max_x double>, locations struct<coordinates struct<{ref}>, "
+              f"attributes array<struct<name string, key string, attribute_type string, nan_description struct<values array<double>>, "
+              f"table struct<{ref}>, values struct<{ref}>>>>, uuid string")
+    doc = doc.select(parse_document("document", schema).alias("o")).select("o.*")
+    head = doc.select("name", "schema", "bounding_box.min_x", "bounding_box.max_x",
+                      F.col("locations.coordinates.length").alias("points"), F.posexplode("locations.attributes").alias("i", "a"))
+    return head.select("name", "schema", "min_x", "max_x", "points", "i", F.col("a.name").alias("attribute"), F.col("a.key").alias("key"),
+                       F.col("a.attribute_type").alias("attribute_type"), F.size("a.nan_description.values").alias("nan_values"),
+                       F.col("a.table.length").alias("categories"), F.col("a.values.length").alias("values"))
 
 
 def q_unique_holes(spark, d):
@@ -332,7 +388,7 @@ def q_duplicate_ids(spark, d):
 
 def q_column_profile(spark, d):
     ev = column_profile(R.events(spark, d)).select(F.lit("events").alias("source"), "*")
-    dl = column_profile(R.docs_labels(spark, d)).select(F.lit("documents").alias("source"), "*")
+    dl = column_profile(R.docs_labels(spark, d, text=True)).select(F.lit("documents").alias("source"), "*")
     return ev.unionByName(dl)
 
 
@@ -341,11 +397,101 @@ def q_column_profile(spark, d):
 def q_csv_typed_scan(spark, d):
     """Land events as CSV in the shared checkpoint folder, then scan it back typed."""
     folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv_typed_scan-{_uuid.uuid4().hex}"
-    R.events(spark, d).select("event_id", "user_id", "event_type", "value", "props") \
+    R.events(spark, d).select("event_id", iso_timestamp("ts").alias("ts"), "user_id", "event_type", "value", "props") \
         .write.option("header", True).csv(folder)
     return read_typed_csv(spark, folder)
 
 
+def _land(spark, df: DataFrame, name: str, order: list) -> str:
+    """Rows of ``df`` as CSV files whose path order is ``order``, in the shared checkpoint folder."""
+    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{_uuid.uuid4().hex}"
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).csv(folder)
+    return folder
+
+
+def q_csv_preview(spark, d):
+    """Profile of a landed CSV file set."""
+    path = _land(spark, R.events(spark, d).select("event_id", "user_id", "event_type", "value"), "events", ["event_id"])
+    return preview_csv(spark, path)["columns"]
+
+
+def q_csv_pointset(spark, d):
+    path = _land(spark, _events_xyz(spark, d), "points", ["event_id"])
+    built = pointset_from_csv(spark, path, "x", "y", "z", attribute_cols=["event_type"])
+    return _long(built, {"coordinates": built.arrays_of("coordinates")[0], **_attribute_arrays(built)})
+
+
+def q_csv_line_segments(spark, d):
+    v = _land(spark, R.vertices(spark, d), "vertices", ["pos"])
+    s = _land(spark, R.segments(spark, d).drop("l_shipdate"), "segments", list(c for c in R.LINEITEM_ORDER if c != "l_shipdate"))
+    built = line_segments_from_csv(spark, v, s, "x", "y", "z", "start_idx", "end_idx", vertex_attribute_cols=["p_brand"],
+                                   segment_attribute_cols=["l_returnflag"])
+    # rows that differ in their ship date alone have equal values in every array here
+    return _long(built, {"coordinates": built.arrays_of("coordinates")[0], "indices": built.arrays_of("indices")[0],
+                         **_attribute_arrays(built)})
+
+
+def _csv_holes(spark, d):
+    """A collar file, and a survey file in which the ids of the last lines are blank."""
+    collar = _land(spark, R.collar(spark, d), "collars", ["hole_id"])
+    survey = R.survey(spark, d).select(
+        F.when(F.col("l_linenumber") < 7, F.col("hole_id")).alias("hole_id"), "depth", "azimuth", "dip", "l_orderkey", "l_linenumber")
+    return collar, _land(spark, survey, "survey", ["l_orderkey", "l_linenumber", "depth", "azimuth", "dip"])
+
+
+def q_csv_hole_distances(spark, d):
+    collar, survey = _csv_holes(spark, d)
+    c, _ = load(spark, collar, "collars", ["hole_id"])
+    s, _ = load(spark, survey, "survey", ["hole_id"])
+    return H.hole_distances(c, s, "hole_id", "hole_id", "depth")
+
+
+def q_csv_downhole_collection(spark, d):
+    collar, survey = _csv_holes(spark, d)
+    built = downhole_collection_from_csv(
+        spark, collar, survey, [IntervalFile(survey, "depths", "hole_id", "depth", "azimuth", ["dip"])],
+        "hole_id", "hole_id", "x", "y", "z", "depth", "azimuth", "dip")
+    ids = built.collections["depths"]
+    return _long(built, {**{r: built.arrays_of(r)[0] for r in ("coordinates", "distances", "codes", "holes")},
+                         "collection": ids["holes"]})
+
+
+def q_csv_downhole_intervals(spark, d):
+    q = F.col("l_quantity")
+    rows = R.intervals(spark, d).select(
+        "hole_id", "from", "to", q.alias("sx"), q.alias("sy"), q.alias("sz"), "l_returnflag", *[
+            c for c in R.LINEITEM_ORDER if c not in ("l_returnflag", "l_shipdate")])
+    path = _land(spark, rows, "intervals", [c for c in R.LINEITEM_ORDER if c != "l_shipdate"])
+    point = ["sx", "sy", "sz"]
+    built = downhole_intervals_from_csv(spark, path, "hole_id", "from", "to", point, point, point, attribute_cols=["l_returnflag"])
+    return _long(built, {"mid": built.arrays_of("coordinates")[2], "from_to": built.arrays_of("from_to")[0], **_attribute_arrays(built)})
+
+
+def q_csv_statuses(spark, d):
+    """Status of a good file, of a column that is no number, and of a file that is not there."""
+    path = _land(spark, _events_xyz(spark, d), "points", ["event_id"])
+    out = None
+    for case, p, z in (("good", path, "z"), ("text", path, "event_type"), ("missing", path + "-none", "z")):
+        one = pointset_from_csv(spark, p, "x", "y", z).report.select(F.lit(case).alias("case"), "status", F.size("errors").alias("n_errors"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_file_position(spark, d):
+    """Rows in the order of their files: the events, landed in the order of their id."""
+    path = _land(spark, R.events(spark, d).select("event_id"), "events", ["event_id"])
+    df, pos = load(spark, path, "events")
+    return df.select("event_id", F.col(pos).alias("pos"))
+
+
+def q_pinned_version(spark, d):
+    """FLT-9: every version of the lookup object, each read by its pin."""
+    ws, oid, _ = _lookup_target(spark, d)
+    objects = R.objects(spark, d)
+    first = C.object_versions(objects, ws, object_id=oid).select(F.min("version_id")).scalar()
+    return C.get_object(objects, ws, object_id=oid, version=first)
+
+
 def q_list_files(spark, d):
     return _list_files(spark, d, "*.parquet", recursive=True).select("relative_path", "name", "size_bytes")
 
@@ -365,10 +511,10 @@ def q_list_objects(spark, d):
     return C.list_objects(R.objects(spark, d), SOURCE_WS, schema_id="pointset")
 
 
-def _lookup_target(spark, d) -> tuple[str, str, str]:
-    """(workspace, object id, object path) of the lookup customer: a one-row point lookup."""
+def _lookup_target(spark, d):
+    """(workspace, object id, object path) of the lookup customer; workspace and path are scalar subqueries."""
     ws = R.workspace_of_customer(spark, d, LOOKUP_CUSTOMER)
-    return ws, f"obj-{LOOKUP_CUSTOMER}", f"/{ws}/object-{LOOKUP_CUSTOMER}.json"
+    return ws, f"obj-{LOOKUP_CUSTOMER}", F.concat(F.lit("/"), ws, F.lit(f"/object-{LOOKUP_CUSTOMER}.json"))
 
 
 def q_get_object(spark, d):
@@ -382,7 +528,7 @@ def q_filter_objects(spark, d):
 
 
 def q_latest_versions(spark, d):
-    cur = C.headers(C.current_versions(R.objects(spark, d)))
+    cur = C.current_versions(R.objects(spark, d))
     return cur.select("workspace_id", "id", "version_id", iso_timestamp("created_at").alias("created_at"))
 
 
@@ -393,13 +539,14 @@ def q_object_versions(spark, d):
 
 def q_object_content(spark, d):
     ws, oid, _ = _lookup_target(spark, d)
-    doc = C.object_content(R.objects(spark, d), ws, object_id=oid)
-    from lithos.functions.refs import data_references
-    n_refs = doc.groupBy("id", "version_id").agg(F.sum(F.size(data_references("document"))).cast("int").alias("n_refs"))
-    head = C.headers(doc).select("id", "version_id", "schema_id",
-                                 F.get_json_object("document", "$.schema").alias("doc_schema"),
-                                 F.get_json_object("document", "$.coordinate_reference_system").alias("crs"))
-    return head.join(n_refs, ["id", "version_id"])
+    objects = R.objects(spark, d)
+    doc = C.object_content(objects, ws, object_id=oid)
+    one = C.object_references(C._one(objects, ws, oid, ""), R.references(spark, d))
+    n = one.groupBy("version_id").agg(F.count(F.lit(1)).cast("int").alias("n_refs"))
+    return doc.join(n, "version_id", "left").select(
+        "id", "version_id", "schema_id", F.get_json_object("document", "$.schema").alias("doc_schema"),
+        F.get_json_object("document", "$.coordinate_reference_system").alias("crs"),
+        F.coalesce("n_refs", F.lit(0)).alias("n_refs"))
 
 
 def q_workspace_summary(spark, d):
@@ -408,12 +555,12 @@ def q_workspace_summary(spark, d):
 
 def q_workspace_snapshot(spark, d):
     snap = C.workspace_snapshot(R.objects(spark, d), R.workspaces(spark, d), SOURCE_WS, SNAPSHOT_NAME,
-                                SNAPSHOT_TIME, include_data_blobs=True)
+                                SNAPSHOT_TIME, include_data_blobs=True, references=R.references(spark, d))
     return snap
 
 
 def q_snapshot_references(spark, d):
-    return C.snapshot_references(R.objects(spark, d), SOURCE_WS, SNAPSHOT_NAME)
+    return C.snapshot_references(R.objects(spark, d), SOURCE_WS, SNAPSHOT_NAME, R.references(spark, d))
 
 
 def q_iso_timestamps(spark, d):
@@ -421,32 +568,35 @@ def q_iso_timestamps(spark, d):
 
 
 def q_data_references(spark, d):
-    return C.object_references(R.objects(spark, d))
+    return C.object_references(R.objects(spark, d), R.references(spark, d))
 
 
 def q_object_blobs(spark, d):
-    matched, _ = C.object_blobs(R.objects(spark, d), R.blobs(spark, d))
+    matched, _ = C.object_blobs(R.objects(spark, d), R.blobs(spark, d), R.references(spark, d))
     return matched.select("workspace_id", "id", "version_id", "ordinal", "blob_id", "length")
 
 
 def q_new_blobs(spark, d):
-    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS)
+    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS,
+                                references=R.references(spark, d))
     return res["new_blobs"]
 
 
 def q_duplicate_workspace(spark, d):
-    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, COPY_SCHEMAS)
-    return C.headers(res["new_objects"]).drop("document", "uuid", "page", "first_ordinal")
+    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, COPY_SCHEMAS,
+                                references=R.references(spark, d))
+    return res["new_objects"].drop("document", "uuid")
 
 
 def q_duplicate_counts(spark, d):
-    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, COPY_SCHEMAS)
+    res = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, COPY_SCHEMAS,
+                                references=R.references(spark, d))
     return res["counts"]
 
 
 def q_copy_object(spark, d):
     ws, oid, _ = _lookup_target(spark, d)
-    res = C.copy_object(R.objects(spark, d), R.blobs(spark, d), ws, TARGET_WS, oid)
+    res = C.copy_object(R.objects(spark, d), R.blobs(spark, d), ws, TARGET_WS, oid, references=R.references(spark, d))
     return res["counts"]
 
 

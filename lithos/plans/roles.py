@@ -7,8 +7,9 @@
 * intervals   = lineitem (from l_quantity, to l_quantity + l_linenumber)
 * vertices    = part (position = p_partkey); segments = lineitem (l_partkey -> l_suppkey)
 * catalog     = workspaces per customer market segment; one object per customer, one version
-                per order; each version's document lists one blob per line item
-                (blob id ``blob-<l_partkey>``); the blob store holds the parts of size <= 45.
+                per order with a header document; each line item is one row of the flat
+                reference table (blob id ``blob-<l_partkey>``). A workspace's blob store holds the
+                parts its references name that are also a customer key of another segment.
 
 Only the columns a query uses are selected, so the parquet scans read just those.
 """
@@ -36,16 +37,13 @@ SCHEMA_BY_PRIORITY = {
     "5-LOW": "pointset",
 }
 
-BLOB_MAX_PART_SIZE = 45
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events")
 
 
-def docs_labels(spark: SparkSession, d: str) -> DataFrame:
-    """documents LEFT JOIN labels without the text column (pruned from the scan)."""
-    docs = read_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+def docs_labels(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """documents LEFT JOIN labels; the text column is pruned from the scan unless asked for."""
+    docs = read_table(spark, d, "documents").select("doc_id", *(["text"] if text else []), "lang", "source", "n_chars")
     labels = read_table(spark, d, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id", "left")
 
@@ -106,39 +104,61 @@ def _schema_of(priority) -> "F.Column":
     return expr.otherwise(F.lit("pointset"))
 
 
-_STORED: dict[tuple[int, str, str], str] = {}
+class CatalogStore:
+    """The derived catalog tables of one data folder, written once each to the checkpoint folder.
+
+    A catalog is a set of stored tables; here they are derived from the driver tables on first use and read
+    from then on, as long as the source files' listing (path, size, time) stays what it was."""
+
+    def __init__(self):
+        self._paths: dict[tuple, tuple[str, tuple]] = {}
+
+    def table(self, spark: SparkSession, d: str, name: str, build, sources: tuple[str, ...]) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        from lithos.operators.position import materialize_path
 
+        key, state = (spark.sparkContext.applicationId, d.rstrip("/"), name), self._state(spark, d, sources)
+        path, known = self._paths.get(key, (None, None))
+        if path is not None and known == state:
+            try:
+                return spark.read.parquet(path)
+            except AnalysisException:  # the folder was cleaned up: derive it again
+                pass
+        path = materialize_path(build(spark, d))
+        self._paths[key] = (path, state)
+        return spark.read.parquet(path)
 
-def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """The catalog tables are stored tables in a real deployment: derive one once per session
-    and data folder, write it as parquet in the shared checkpoint folder, and read that."""
-    from lithos.operators.position import materialize_path
+    @staticmethod
+    def _state(spark: SparkSession, d: str, sources: tuple[str, ...]) -> tuple:
+        """(path, size, time) of the source files, from one listing per table."""
+        rows = []
+        for t in sources:
+            files = spark.read.format("binaryFile").load(f"{d.rstrip('/')}/{t}.parquet").select(
+                "path", "length", F.col("modificationTime").cast("string").alias("time"))
+            rows += [tuple(r) for r in files.orderBy("path").collect()]
+        return tuple(rows)
 
-    from pyspark.errors import AnalysisException
 
-    key = (id(spark), d.rstrip("/"), name)
-    path = _STORED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:  # the folder was cleaned up: derive it again
-            pass
-    path = materialize_path(build(spark, d))
-    _STORED[key] = path
-    return spark.read.parquet(path)
+STORE = CatalogStore()
 
 
 def workspaces(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "workspaces", _workspaces)
+    return STORE.table(spark, d, "workspaces", _workspaces, ("customer", "orders"))
 
 
 def objects(spark: SparkSession, d: str) -> DataFrame:
-    """One row per object version with its JSON document (stored catalog table)."""
-    return stored(spark, d, "objects", _objects)
+    """One row per object version with its header document (stored catalog table)."""
+    return STORE.table(spark, d, "objects", _objects, ("customer", "orders", "lineitem"))
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """One row per data reference (stored catalog table)."""
+    return STORE.table(spark, d, "references", _references, ("customer", "orders", "lineitem"))
 
 
 def blobs(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "blobs", _blobs)
+    return STORE.table(spark, d, "blobs", _blobs, ("customer", "orders", "lineitem"))
 
 
 def _workspaces(spark: SparkSession, d: str) -> DataFrame:
@@ -156,87 +176,72 @@ def _workspaces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# Fixed value: references per document page. Every gathered group holds at most this many.
-DOC_PAGE_SIZE = 256
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with the segment of their customer; an order without a customer belongs to 'unassigned'."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").withColumn(
+        "workspace_id", F.coalesce(F.lower("c_mktsegment"), F.lit("unassigned")))
+
 
+def _id() -> "F.Column":
+    return F.concat(F.lit("obj-"), F.col("o_custkey").cast("string"))
 
-def _line_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, per-order summary) of the line items, without gathering an order's lines whole.
 
-    Each line's rank inside its order is its global position along (order, line order) minus
-    the order's start (an exclusive prefix sum of line counts over orders); lines are then
-    gathered per (order, page) with ``rank // DOC_PAGE_SIZE``, so no group exceeds one page
-    however many lines one order holds. The per-order box and line count are partial aggregates.
-    """
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """The flat references. A line's ordinal is its position along (order, line order) less the order's first
+    position (an exclusive prefix sum of line counts over orders), so an order's lines never meet in one task.
+    The blob id is read from the line's JSON part as from any document."""
+    from lithos.functions.refs import data_references
     from lithos.operators.position import with_exclusive_prefix_sum, with_ordered_index
 
     li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
+    counts = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    starts = with_exclusive_prefix_sum(counts, ["l_orderkey"], "n_lines", "start")
+    ranked = with_ordered_index(li, list(LINEITEM_ORDER), name="lpos").select("l_orderkey", "lpos", "l_partkey", "l_quantity")
+    lines = ranked.join(starts.select("l_orderkey", "start"), "l_orderkey")
+    part = F.to_json(F.struct(F.concat(F.lit("blob-"), F.col("l_partkey").cast("string")).alias("data"),
+                              F.col("l_quantity").cast("long").alias("length")))
+    return lines.join(_versions(spark, d), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "workspace_id", _id().alias("id"), F.col("o_orderkey").cast("string").alias("version_id"),
+        (F.col("lpos") - F.col("start")).cast("int").alias("ordinal"), data_references(part)[0].alias("blob_id"))
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """One row per object version. The document holds the header; its references are the flat table."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_tax")
     summary = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.min("l_quantity").alias("min_x"), F.max("l_quantity").alias("max_x"),
         F.min("l_extendedprice").alias("min_y"), F.max("l_extendedprice").alias("max_y"),
-        F.min("l_tax").alias("min_z"), F.max("l_tax").alias("max_z"),
-    )
-    starts = with_exclusive_prefix_sum(summary.select("l_orderkey", "n_lines"), ["l_orderkey"], "n_lines", "start")
-    ranked = with_ordered_index(li.select("l_orderkey", *LINEITEM_ORDER[1:]), list(LINEITEM_ORDER), name="lpos")
-    lines = ranked.join(starts.select("l_orderkey", "start"), "l_orderkey").select(
-        "l_orderkey", (F.col("lpos") - F.col("start")).alias("rank"), "l_partkey", "l_quantity")
-    pages = lines.groupBy("l_orderkey", F.floor(F.col("rank") / DOC_PAGE_SIZE).cast("int").alias("page")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "l_partkey", "l_quantity"))).alias("lines"))  # <= page size
-    return pages, summary
-
-
-def _objects(spark: SparkSession, d: str) -> DataFrame:
-    """One row per object version and document page. Page 0 carries the document header
-    (name, uuid, schema, CRS, box) and the first page of references; later pages carry only
-    references. ``first_ordinal`` is the reference number of a page's first entry."""
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    pages, summary = _line_pages(spark, d)
-    base = (o.join(c, o.o_custkey == c.c_custkey, "inner")
-            .join(summary, o.o_orderkey == summary.l_orderkey, "left").drop("l_orderkey")
-            .join(pages, o.o_orderkey == pages.l_orderkey, "left")
-            .withColumn("page", F.coalesce(F.col("page"), F.lit(0))))
-    obj_id = F.concat(F.lit("obj-"), F.col("o_custkey").cast("string"))
+        F.min("l_tax").alias("min_z"), F.max("l_tax").alias("max_z"))
+    base = _versions(spark, d).join(summary, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     name = F.concat(F.lit("object-"), F.col("o_custkey").cast("string"))
     schema = _schema_of(F.col("o_orderpriority"))
     bbox = F.when(F.col("n_lines").isNotNull(), F.struct(*[F.col(f"{b}_{a}") for a in "xyz" for b in ("min", "max")]))
-    parts = F.transform(F.col("lines"), lambda ln: F.struct(
-        F.concat(F.lit("blob-"), ln["l_partkey"].cast("string")).alias("data"),
-        ln["l_quantity"].cast("long").alias("length")))
     header = F.to_json(F.struct(
-        name.alias("name"), obj_id.alias("uuid"), schema.alias("schema"),
+        name.alias("name"), _id().alias("uuid"), schema.alias("schema"),
         F.when(F.col("o_orderstatus") != "P", F.lit("unspecified")).alias("coordinate_reference_system"),
-        bbox.alias("bounding_box"), parts.alias("parts"),
-    ))
-    later = F.to_json(F.struct(F.col("page").alias("page"), parts.alias("parts")))
+        bbox.alias("bounding_box"), F.col("n_lines").alias("n_parts")))
     return base.select(
-        F.lower("c_mktsegment").alias("workspace_id"), obj_id.alias("id"), name.alias("name"),
-        F.concat(F.lit("/"), F.lower("c_mktsegment"), F.lit("/"), name, F.lit(".json")).alias("path"),
+        "workspace_id", _id().alias("id"), name.alias("name"),
+        F.concat(F.lit("/"), F.col("workspace_id"), F.lit("/"), name, F.lit(".json")).alias("path"),
         schema.alias("schema_id"), F.col("o_orderkey").cast("string").alias("version_id"),
         F.col("o_orderdate").alias("created_at"),
         F.concat(F.lit("user-"), F.col("c_nationkey").cast("string")).alias("created_by"),
-        (F.col("o_orderstatus") == "F").alias("deleted"),
-        F.col("page"), (F.col("page").cast("long") * DOC_PAGE_SIZE).alias("first_ordinal"),
-        F.when(F.col("page") == 0, header).otherwise(later).alias("document"),
-    )
+        (F.col("o_orderstatus") == "F").alias("deleted"), header.alias("document"))
 
 
 def _blobs(spark: SparkSession, d: str) -> DataFrame:
-    """The blob store: per workspace, the parts its documents name whose size is at most 45."""
+    """Per workspace the parts its references name whose key is a customer of another segment."""
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    p = read_table(spark, d, "part").select("p_partkey", "p_size").filter(F.col("p_size") <= BLOB_MAX_PART_SIZE)
-    refs = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
-            .select(F.lower("c_mktsegment").alias("workspace_id"), "l_partkey").distinct())
-    return refs.join(p, refs.l_partkey == p.p_partkey).select(
-        "workspace_id", F.concat(F.lit("blob-"), F.col("l_partkey").cast("string")).alias("blob_id"),
-        F.col("p_size").cast("long").alias("length"))
-
-
-def workspace_of_customer(spark: SparkSession, d: str, custkey: int) -> str:
-    """Workspace id of one customer's object (a point lookup; one row reaches the driver)."""
-    row = read_table(spark, d, "customer").filter(F.col("c_custkey") == custkey).select(
-        F.lower("c_mktsegment").alias("ws")).first()
-    return row["ws"] if row else ""
+    refs = li.join(_versions(spark, d), F.col("l_orderkey") == F.col("o_orderkey")).select("workspace_id", "l_partkey").distinct()
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    held = refs.join(c, (F.col("l_partkey") == F.col("c_custkey")) & (F.lower("c_mktsegment") != F.col("workspace_id")))
+    return held.select("workspace_id", F.concat(F.lit("blob-"), F.col("l_partkey").cast("string")).alias("blob_id"),
+                       F.col("c_nationkey").cast("long").alias("length"))
+
+
+def workspace_of_customer(spark: SparkSession, d: str, custkey: int) -> "F.Column":
+    """Workspace id of one customer's object, as a scalar subquery."""
+    return read_table(spark, d, "customer").filter(F.col("c_custkey") == custkey).select(F.lower("c_mktsegment")).scalar()

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions.jsondoc import document_keys
+
 # Base fields of every object document.
 BASE_REQUIRED = ("name", "uuid", "bounding_box", "coordinate_reference_system", "schema")
 BASE_OPTIONAL = ("description", "extensions", "tags", "lineage")
@@ -27,61 +29,45 @@ TYPE_FIELDS = {
 }
 
 
-# Object-specific parameters of the documented object types, as
-# "type: required, ... / optional, ..." in the order of the documentation. Types built here
-# take their fields from TYPE_FIELDS instead (the documentation and the builders disagree).
-DOCUMENTED_FIELDS = """
-design-geometry: geometry / attributes
-downhole-collection: locations, path / collections
-downhole-intervals: intervals / collections
-drilling-campaign: planned_holes / prognoses, interim_results
-frequency-domain-electromagnetic: survey_type, data_type, channels, line_list / survey_information
-geological-model-meshes: folders, mesh / materials, volumes, surfaces
-geological-sections: definition, evaluations / flatten_to_2d
-geophysical-records-1d: number_of_layers, locations, depths / line_numbers
-global-ellipsoid: ellipsoid_ranges, rotation / domain, attribute
-gravity: type, survey_type, base_stations, gravity_line_list / survey_information
-line-segments: lines / attributes
-lineations-data-pointset: locations / locations (attributes)
-local-ellipsoids: locations, ellipsoids, domain, attribute /
-magnetics: type, survey_type, line_list / base_stations, gradient_details, qa_qc_lists
-non-parametric-continuous-cumulative-distribution: distribution_data / tail_extrapolations
-planar-data-pointset: locations / locations (attributes)
-pointset: locations / locations (attributes)
-radiometric: survey_type, dead_time, live_time, idle_time, array_dimension, energy_level, line_list / survey_information
-regular-2d-grid: origin, size, cell_size / rotation, cell_attributes, vertex_attributes
-regular-3d-grid: origin, size, cell_size / rotation, cell_attributes, vertex_attributes
-regular-masked-3d-grid: origin, size, cell_size, mask, number_of_active_cells / rotation, cell_attributes
-resistivity-ip: number_of_dimensions, number_contributing_electrodes, survey_type, configuration, line_list / survey_information
-tensor-2d-grid: origin, size, grid_cells_2d / rotation, cell_attributes, vertex_attributes
-tensor-3d-grid: origin, size, grid_cells_3d / rotation, cell_attributes, vertex_attributes
-time-domain-electromagnetic: survey_type, channels, line_list / geometry_category, gps_location
-triangle-mesh: triangles / parts, edges
-unstructured-grid: geometry / cell_attributes, vertex_attributes
-unstructured-hex-grid: hexahedrons / cell_attributes, vertex_attributes
-unstructured-quad-grid: quadrilaterals / cell_attributes, vertex_attributes
-unstructured-tet-grid: tetrahedrons / cell_attributes, vertex_attributes
-variogram: model_type, structures, rotation / nugget
-"""
-
-
-def documented_fields() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
-    out = {}
-    for line in DOCUMENTED_FIELDS.strip().splitlines():
-        name, rest = line.split(":", 1)
-        req, opt = rest.split("/", 1)
-        split = lambda t: tuple(p.strip() for p in t.split(",") if p.strip())
-        out[name.strip()] = (split(req), split(opt))
-    return out
+# Object-specific parameters (required, optional) of the documented object types that are not
+# built here.
+DOCUMENTED_FIELDS = {
+    "design-geometry": (("geometry",), ("attributes",)),
+    "drilling-campaign": (("planned_holes",), ("prognoses", "interim_results",)),
+    "frequency-domain-electromagnetic": (("survey_type", "data_type", "channels", "line_list",), ("survey_information",)),
+    "geological-model-meshes": (("folders", "mesh",), ("materials", "volumes", "surfaces",)),
+    "geological-sections": (("definition", "evaluations",), ("flatten_to_2d",)),
+    "geophysical-records-1d": (("number_of_layers", "locations", "depths",), ("line_numbers",)),
+    "global-ellipsoid": (("ellipsoid_ranges", "rotation",), ("domain", "attribute",)),
+    "gravity": (("type", "survey_type", "base_stations", "gravity_line_list",), ("survey_information",)),
+    "lineations-data-pointset": (("locations",), ()),
+    "local-ellipsoids": (("locations", "ellipsoids", "domain", "attribute",), ()),
+    "magnetics": (("type", "survey_type", "line_list",), ("base_stations", "gradient_details", "qa_qc_lists",)),
+    "non-parametric-continuous-cumulative-distribution": (("distribution_data",), ("tail_extrapolations",)),
+    "planar-data-pointset": (("locations",), ()),
+    "radiometric": (("survey_type", "dead_time", "live_time", "idle_time", "array_dimension", "energy_level", "line_list",), ("survey_information",)),
+    "regular-2d-grid": (("origin", "size", "cell_size",), ("rotation", "cell_attributes", "vertex_attributes",)),
+    "regular-3d-grid": (("origin", "size", "cell_size",), ("rotation", "cell_attributes", "vertex_attributes",)),
+    "regular-masked-3d-grid": (("origin", "size", "cell_size", "mask", "number_of_active_cells",), ("rotation", "cell_attributes",)),
+    "resistivity-ip": (("number_of_dimensions", "number_contributing_electrodes", "survey_type", "configuration", "line_list",), ("survey_information",)),
+    "tensor-2d-grid": (("origin", "size", "grid_cells_2d",), ("rotation", "cell_attributes", "vertex_attributes",)),
+    "tensor-3d-grid": (("origin", "size", "grid_cells_3d",), ("rotation", "cell_attributes", "vertex_attributes",)),
+    "time-domain-electromagnetic": (("survey_type", "channels", "line_list",), ("geometry_category", "gps_location",)),
+    "triangle-mesh": (("triangles",), ("parts", "edges",)),
+    "unstructured-grid": (("geometry",), ("cell_attributes", "vertex_attributes",)),
+    "unstructured-hex-grid": (("hexahedrons",), ("cell_attributes", "vertex_attributes",)),
+    "unstructured-quad-grid": (("quadrilaterals",), ("cell_attributes", "vertex_attributes",)),
+    "unstructured-tet-grid": (("tetrahedrons",), ("cell_attributes", "vertex_attributes",)),
+    "variogram": (("model_type", "structures", "rotation",), ("nugget",)),
+}
 
 
 def catalog_rows() -> list[tuple[str, str, bool, str]]:
     """(object_type, parameter, required, source) for every documented type; the four built
     types use the fields their builders write (source 'builder')."""
     rows = []
-    for t, (req, opt) in documented_fields().items():
+    for t, (req, opt) in {**DOCUMENTED_FIELDS, **TYPE_FIELDS}.items():
         src = "builder" if t in TYPE_FIELDS else "documented"
-        req, opt = TYPE_FIELDS.get(t, (req, opt))
         rows += [(t, p, True, src) for p in BASE_REQUIRED + req]
         rows += [(t, p, False, src) for p in BASE_OPTIONAL + opt]
     return rows
@@ -100,9 +86,7 @@ def conformance(objects: DataFrame, type_col: str = "schema_id") -> DataFrame:
     """
     cat = object_catalog(objects.sparkSession).filter("required").groupBy("object_type").agg(
         F.collect_set("parameter").alias("__req"))  # bounded: one small set per type
-    if "page" in objects.columns:  # the header page holds the top-level fields
-        objects = objects.filter(F.col("page") == 0)
-    keys = F.coalesce(F.json_object_keys("document"), F.array().cast("array<string>"))
+    keys = F.coalesce(document_keys("document"), F.array().cast("array<string>"))
     docs = objects.select("id", "version_id", F.col(type_col).alias("object_type"), keys.alias("__keys"))
     joined = docs.join(F.broadcast(cat), "object_type", "left")
     missing = F.when(F.col("__req").isNull(), F.array(F.lit("<unknown type>"))).otherwise(

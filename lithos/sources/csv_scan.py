@@ -7,18 +7,25 @@ as text and typed by one aggregate over all columns:
 * every present value an integer, none NA  -> long
 * every present value an integer or float  -> double (an integer column with a NA is double)
 * every value a boolean word, none NA      -> boolean
+* every present value a boolean word       -> string, spelled ``True`` / ``False``
 * anything else                            -> string (missing words become NULL)
 
-Dates stay text (no date parsing is requested by the readers this mirrors).
+Dates stay text (no date parsing is requested by the readers this mirrors). Columns named in
+``text_columns`` (ids) skip the ladder, so ``001`` stays ``001`` and a blank elsewhere in the
+column does not turn ``1`` into ``1.0``. A doubled quote inside quotes is a quote. A row with more
+fields than the header, and a quote left open at the end of a line, are parse errors
+(``csv_problems``), never silently cut rows; a row with fewer fields has NULLs and is counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithos.functions.numeric import coerce_double
 from lithos.functions.text import na_to_null
@@ -46,15 +53,58 @@ def source_status(spark: SparkSession, path: str, fmt: str = "csv") -> SourceSta
         return SourceStatus(path, "error", f"File not found: {path}" if "PATH_NOT_FOUND" in str(e) else str(e))
 
 
-def read_raw_csv(spark: SparkSession, path: str, with_metadata: bool = False) -> DataFrame:
-    """CSV as text columns named by the header; missing-value words become NULL."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False).csv(path)
-    cols = [na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+# A character that no text file holds: an empty field then stays apart from an absent one.
+_ABSENT = "\u0001"
+_SURPLUS = "__surplus"
+
+
+class CsvParseError(ValueError):
+    """Rows that do not fit their header."""
+
+
+def _reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+            .option("multiLine", multi_line).option("nullValue", _ABSENT).option("columnPruning", False))
+
+
+def read_raw_csv(spark: SparkSession, path: str, with_metadata: bool = False, multi_line: bool = False,
+                 keep_surplus: bool = False) -> DataFrame:
+    """CSV as text columns named by the header; missing-value words become NULL. ``multi_line``: quoted
+    fields may hold line breaks (a file is then one task's work). ``keep_surplus`` adds what follows the
+    header's fields as ``__surplus`` and whether fields are absent as ``__short``."""
+    names = _reader(spark, multi_line).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    # the surplus field is expected and mostly absent; other files of the folder repeat the header
+    raw = _reader(spark, multi_line).option("enforceSchema", True).schema(schema).csv(path)
+    cols = [na_to_null(F.col(f"`{c}`")).alias(c) for c in names]
+    if keep_surplus:
+        cols += [F.col(_SURPLUS), (F.col(f"`{names[-1]}`").isNull() if names else F.lit(False)).alias("__short")]
     if with_metadata:
         cols.append(F.col("_metadata"))
     return raw.select(*cols)
 
 
+def csv_problems(spark: SparkSession, path: str, multi_line: bool = False) -> dict[str, int]:
+    """Counts of rows: ``surplus`` (more fields than the header), ``short`` (fewer), ``open_quote`` (a quote
+    left open at the end of a line; read on only with ``multi_line``)."""
+    raw = read_raw_csv(spark, path, multi_line=multi_line, keep_surplus=True)
+    row = raw.agg(F.count_if(F.col(_SURPLUS).isNotNull()).alias("surplus"), F.count_if("__short").alias("short")).first()
+    open_quote = 0
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        open_quote = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).first()[0]
+    return {"surplus": row["surplus"], "short": row["short"], "open_quote": open_quote}
+
+
+def check_csv(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
+    """Raise CsvParseError for rows that would lose data; warnings for short rows."""
+    found = csv_problems(spark, path, multi_line)
+    if found["surplus"] or found["open_quote"]:
+        raise CsvParseError(f"{path}: {found['surplus']} rows with more fields than the header, "
+                            f"{found['open_quote']} lines that leave a quote open")
+    return [f"{found['short']} rows have fewer fields than the header"] if found["short"] else []
+
+
 def infer_ladder(text_df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """One aggregate over all columns decides each column's type. Returns {name: sql type}."""
     columns = columns or text_df.columns
@@ -80,8 +130,8 @@ def infer_ladder(text_df: DataFrame, columns: list[str] | None = None) -> dict[s
             out[c] = "bigint" if m == 0 else "double"
         elif n_float == p:
             out[c] = "double"
-        elif n_bool == p and m == 0:
-            out[c] = "boolean"
+        elif n_bool == p:
+            out[c] = "boolean" if m == 0 else "boolean text"
         else:
             out[c] = "string"
     return out
@@ -100,21 +150,24 @@ def apply_ladder(text_df: DataFrame, types: dict[str, str], keep: list[str] | No
             cols.append(coerce_double(v).alias(c))
         elif t == "boolean":
             cols.append(F.when(v.isin(*TRUE_WORDS), F.lit(True)).when(v.isin(*FALSE_WORDS), F.lit(False)).alias(c))
+        elif t == "boolean text":
+            cols.append(F.when(v.isin(*TRUE_WORDS), F.lit("True")).when(v.isin(*FALSE_WORDS), F.lit("False")).alias(c))
         else:
             cols.append(v.alias(c))
     return text_df.select(*cols, *(keep or []))
 
 
-def read_typed_csv(spark: SparkSession, path: str, with_position: bool = False, pos_name: str = "pos") -> DataFrame:
-    """CSV -> typed DataFrame; with ``with_position`` a dense file-order ``pos`` column."""
-    text_df = read_raw_csv(spark, path, with_metadata=with_position)
+def read_typed_csv(spark: SparkSession, path: str, with_position: bool = False, pos_name: str = "pos",
+                   text_columns: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
+    """CSV -> typed DataFrame; with ``with_position`` a dense file-order ``pos_name`` column. Raises
+    CsvParseError where rows do not fit the header."""
+    check_csv(spark, path, multi_line)
+    text_df = read_raw_csv(spark, path, with_metadata=with_position, multi_line=multi_line)
     data_cols = [c for c in text_df.columns if c != "_metadata"]
-    types = infer_ladder(text_df.select(*[F.col(f"`{c}`") for c in data_cols]), data_cols)
-    if not with_position:
-        return apply_ladder(text_df, types)
-    from lithos.operators.position import with_file_position
-
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    positioned = with_file_position(raw, name=pos_name, parquet=False)
-    text = positioned.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in data_cols], F.col(pos_name))
-    return apply_ladder(text, types)
+    ladder = [c for c in data_cols if c not in set(text_columns)]
+    types = infer_ladder(text_df.select(*[F.col(f"`{c}`") for c in ladder]), ladder) if ladder else {}
+    if with_position:
+        from lithos.operators.position import with_file_position
+
+        text_df = with_file_position(text_df, name=pos_name, parquet=False).drop("_metadata")
+    return apply_ladder(text_df, types)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ def list_files(spark: SparkSession, base_dir: str, pattern: str = "*.csv", recur
 
     Directories never match (the binary-file source lists files only)."""
     base = base_dir.rstrip("/")
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    if recursive:
-        df = reader.option("recursiveFileLookup", True).load(base)
-    else:
-        df = spark.read.format("binaryFile").load(f"{base}/{pattern}")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    df = reader.load(base)
+    if not recursive:  # files directly under the folder, also where nothing matches
+        parent = F.regexp_replace(F.col("path"), "/[^/]*$", "")
+        df = df.filter(F.regexp_replace(parent, r"^[a-z]+:/*", "/") == F.lit("/" + re.sub(r"^[a-z]+:/*", "", base).lstrip("/")))
     path = F.regexp_replace(F.col("path"), r"^file:", "")
     return df.select(
         path.alias("path"),
@@ -27,6 +29,4 @@ def list_files(spark: SparkSession, base_dir: str, pattern: str = "*.csv", recur
 
 
 def _escape(s: str) -> str:
-    import re
-
     return re.escape(s)

@@ -41,7 +41,7 @@ def scans(plan: str) -> list[str]:
 
 def main(sf_dir: str) -> None:
     from lithos.session import local_session
-    import __spark_entry__ as E
+    from lithos.plans.queries import QUERIES
 
     spark = local_session(8, 16)
     print("# PLANS\n")
@@ -49,7 +49,7 @@ def main(sf_dir: str) -> None:
     print(f"Generated at `{sf_dir}` on local[8], AQE on (final adaptive plans may coalesce or switch joins at runtime).\n")
     print("| query | shuffles | to one partition (global aggregate, bounded window) | broadcast | sort-merge join | broadcast join | python | driver-table scans |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = shape(plan)

@@ -21,24 +21,24 @@ def _report(built):
 
 def test_e1_null_z_stays_in_arrays_not_in_box(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0, 3.0, "a"), (1, 5.0, 6.0, None, "b"), (2, 2.0, 1.0, 0.0, "a")], PTS)
-    b = build_pointset(df, "X", "Y", "Z")
+    b = build_pointset(df, "X", "Y", "Z", pos_col="pos")
     r = _report(b)
     assert r["status"] == "validation_passed"
     assert r["valid_rows"] == 2 and r["rows"] == 3
     assert r["max_x"] == 2.0 and r["min_z"] == 0.0
-    assert "1 rows have NaN coordinates" in r["warnings"]
+    assert "1 rows lack a coordinate" in r["warnings"]
     coords = b.array(b.arrays_of("coordinates")[0])
     assert coords.count() == 3
 
 
 def test_e2_all_missing_fails(spark):
     df = spark.createDataFrame([(0, None, 2.0, 3.0, "a"), (1, 5.0, float("nan"), 1.0, "b")], PTS)
-    assert _report(build_pointset(df, "X", "Y", "Z"))["status"] == "validation_failed"
+    assert _report(build_pointset(df, "X", "Y", "Z", pos_col="pos"))["status"] == "validation_failed"
 
 
 def test_e3_infinite_box_fails(spark):
     df = spark.createDataFrame([(0, float("inf"), 2.0, 3.0, "a"), (1, 1.0, 1.0, 1.0, "b")], PTS)
-    r = _report(build_pointset(df, "X", "Y", "Z"))
+    r = _report(build_pointset(df, "X", "Y", "Z", pos_col="pos"))
     assert r["valid_rows"] == 2  # inf is not missing
     assert r["status"] == "validation_failed"
 
@@ -83,8 +83,8 @@ def test_e6_int_column_without_na_is_long(spark, tmp_path):
 def test_e7_boolean_attribute_is_category_with_warning(spark):
     df = spark.createDataFrame([(0, 1.0, 1.0, 1.0, True), (1, 2.0, 2.0, 2.0, False)],
                                "pos long, X double, Y double, Z double, active boolean")
-    b = build_pointset(df, "X", "Y", "Z")
-    assert any("Unknown dtype boolean" in w for w in b.warnings)
+    b = build_pointset(df, "X", "Y", "Z", pos_col="pos")
+    assert any("of type boolean" in w for w in b.warnings)
     assert sorted(r["value"] for r in b.lookup("active").collect()) == ["False", "True"]
 
 
@@ -92,7 +92,7 @@ def test_e8_key_collision_reported(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "`Au ppm` double, `au-ppm` double")
     specs, warns = plan_attributes(df, df.columns)
     assert [s.key for s in specs] == ["au_ppm", "au_ppm"]
-    assert any("collides" in w for w in warns)
+    assert any("share the attribute key" in w for w in warns)
 
 
 def test_e9_absent_or_role_attribute_skipped(spark):
@@ -108,7 +108,7 @@ def _verts(spark, n=3):
 
 def test_e10_index_beyond_vertices_fails(spark):
     segs = spark.createDataFrame([(0, 0, 1), (1, 1, 3)], "pos long, s long, e long")
-    r = _report(build_line_segments(_verts(spark), segs, "X", "Y", "Z", "s", "e"))
+    r = _report(build_line_segments(_verts(spark), segs, "X", "Y", "Z", "s", "e", vertex_pos="pos", segment_pos="pos"))
     assert r["status"] == "validation_failed" and r["bad_end"] == 1
 
 
@@ -147,7 +147,7 @@ def test_e14_duplicate_collar_id(spark):
     survey = spark.createDataFrame([(0, "A", 1.0, 0.0, -60.0)], "pos long, HOLE_ID string, D double, AZ double, DIP double")
     b = build_downhole_collection(collar, survey, "HOLE_ID", "HOLE_ID", "X", "Y", "Z", "D", "AZ", "DIP")
     r = _report(b)
-    assert any("duplicate hole IDs" in w for w in r["warnings"])
+    assert any("share 2 hole ids" in w for w in r["warnings"])
     assert b.lookup("HOLE_ID").count() == 2
     keys = H.collar_keys(collar, "HOLE_ID", b.lookup("HOLE_ID")).collect()
     assert sorted(r["key"] for r in keys) == [1, 1, 2]
@@ -168,7 +168,7 @@ def test_e16_e17_invert_and_deterministic_sort(spark):
     for parts in (1, 4, 32):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         b = build_downhole_collection(collar, survey.repartition(parts), "HOLE_ID", "HOLE_ID", "X", "Y", "Z", "D", "AZ", "DIP",
-                                      invert_z=True)
+                                      invert_z=True, survey_pos="pos", collar_pos="pos")
         path = b.array(b.arrays_of("path")[0]).orderBy("pos").collect()
         assert [r["pos"] for r in path] == list(range(30))
         assert [r["distance"] for r in path] == [d for _, d in expected]
@@ -244,7 +244,7 @@ def test_e24_bad_interval_config_fails(spark):
                                   collections=[IntervalConfig("good", good, "HOLE_ID", "FROM", "TO"),
                                                IntervalConfig("bad", bad, "HOLE_ID", "FROM", "TO")])
     r = _report(b)
-    assert r["status"] == "validation_failed" and any("'bad' missing columns" in e for e in r["errors"])
+    assert r["status"] == "validation_failed" and any("intervals 'bad'" in e for e in r["errors"]) and r["rows"] == 1
 
 
 def test_e25_profile_all_null_numeric(spark):
@@ -267,7 +267,7 @@ def test_e26_null_text_id_is_a_hole(spark):
 def test_gate_status_messages(spark):
     df = spark.createDataFrame([(1.0, None, 1.0)], "x double, y double, z double")
     r = gate_status(coordinate_summary(df, "x", "y", "z")).first()
-    assert r["status"] == "validation_failed" and r["errors"] == ["All rows have NaN coordinates"]
+    assert r["status"] == "validation_failed" and r["errors"] == ["none of the rows has all three coordinates"]
 
 
 def test_sorted_rows_without_ties_is_total(spark):

@@ -122,16 +122,16 @@ def test_file_position_csv_many_splits(spark, tmp_path):
 
 
 def test_hot_key_is_split_across_partitions(spark):
-    from lithos.operators.position import _ranged
+    from lithos.operators.position import ranged
 
     # a third of all rows share the leading key; distinct tie-breakers let the range
     # partitioner cut inside it, so no partition holds the whole hot group
     rows = [(0, i) for i in range(3000)] + [(1 + i % 500, i) for i in range(6000)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ranged = _ranged(spark.createDataFrame(rows, "k int, t int"), ["k", "t"])
-        sizes = {r["__pid"]: r["n"] for r in ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-        hot = {r["__pid"] for r in ranged.filter("k = 0").select("__pid").distinct().collect()}
+        out = ranged(spark.createDataFrame(rows, "k int, t int"), ["k", "t"])
+        sizes = {r["__pid"]: r["n"] for r in out.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        hot = {r["__pid"] for r in out.filter("k = 0").select("__pid").distinct().collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(hot) >= 2

@@ -28,7 +28,7 @@ def test_index_pairs_schema_and_check(spark):
 def test_write_object_document_refers_to_written_arrays(spark, tmp_path):
     df = spark.createDataFrame([(0, 1.0, 2.0, 3.0, "a", 0.5), (1, 4.0, 5.0, 6.0, "b", None)],
                                "pos long, X double, Y double, Z double, rock string, au double")
-    built = build_pointset(df, "X", "Y", "Z", name="pts", tags={"k": "v"})
+    built = build_pointset(df, "X", "Y", "Z", name="pts", tags={"k": "v"}, pos_col="pos")
     doc = json.loads(write_object(built, str(tmp_path)).first()["document"])
     assert doc["name"] == "pts" and doc["tags"] == {"k": "v"} and "uuid" not in doc
     assert doc["bounding_box"] == {"min_x": 1.0, "max_x": 4.0, "min_y": 2.0, "max_y": 5.0, "min_z": 3.0, "max_z": 6.0}
@@ -77,9 +77,9 @@ def test_create_object_flow(spark, tmp_path):
 
     df = spark.createDataFrame([(0, 1.0, 2.0, 3.0, "a"), (1, 4.0, 5.0, 6.0, "b")],
                                "pos long, X double, Y double, Z double, rock string")
-    dry = create_object(build_pointset(df, "X", "Y", "Z", name="p"), str(tmp_path / "arr"), str(tmp_path / "obj"), "w", "/p.json")
+    dry = create_object(build_pointset(df, "X", "Y", "Z", name="p", pos_col="pos"), str(tmp_path / "arr"), str(tmp_path / "obj"), "w", "/p.json")
     assert dry["status"] == "validation_passed"
-    res = create_object(build_pointset(df, "X", "Y", "Z", name="p"), str(tmp_path / "arr"), str(tmp_path / "obj"), "w",
+    res = create_object(build_pointset(df, "X", "Y", "Z", name="p", pos_col="pos"), str(tmp_path / "arr"), str(tmp_path / "obj"), "w",
                         "/p.json", dry_run=False)
     # the built document leaves uuid unset, which the conformance check tolerates for a new object
     assert res["status"] == "created", res
@@ -87,7 +87,7 @@ def test_create_object_flow(spark, tmp_path):
     row = stored.first()
     assert row["workspace_id"] == "w" and row["path"] == "/p.json" and len(row["version_id"]) == 64
     bad = spark.createDataFrame([(0, None, 2.0, 3.0)], "pos long, X double, Y double, Z double")
-    assert create_object(build_pointset(bad, "X", "Y", "Z"), str(tmp_path / "a2"), str(tmp_path / "o2"), "w", "/q",
+    assert create_object(build_pointset(bad, "X", "Y", "Z", pos_col="pos"), str(tmp_path / "a2"), str(tmp_path / "o2"), "w", "/q",
                          dry_run=False)["status"] == "validation_failed"
 
 
@@ -101,7 +101,7 @@ def test_copy_object_counts_repeats(spark):
                                  "version_id string, created_at timestamp, created_by string, deleted boolean, document string")
     blobs = spark.createDataFrame([("w", "h1", 1), ("w", "h2", 2), ("t", "h2", 2)], "workspace_id string, blob_id string, length long")
     res = C.copy_object(objs, blobs, "w", "t", "o1")
-    assert tuple(res["counts"].first()) == (1, 3)
+    assert tuple(res["counts"].first()) == (1, 0, 3)
     assert [r["blob_id"] for r in res["new_blobs"].collect()] == ["h1"]
 
 
@@ -149,20 +149,24 @@ def test_preview_csv(spark, tmp_path):
     assert preview_csv(spark, str(tmp_path / "nope.csv"))["status"] == "file_missing"
 
 
-def test_stored_catalog_rebuilds_when_folder_is_gone(spark, sf_dir, tmp_path):
+def test_stored_catalog_follows_its_sources(spark, tmp_path):
     from lithos.plans import roles as R
 
-    calls = []
+    calls, store = [], R.CatalogStore()
 
     def build(s, d):
         calls.append(1)
-        return s.createDataFrame([(1,)], "a int")
-
-    key = (id(spark), sf_dir.rstrip("/"), "probe")
-    R._STORED[key] = str(tmp_path / "gone")  # a path that does not exist
-    assert R.stored(spark, sf_dir, "probe", build).count() == 1
-    assert R.stored(spark, sf_dir, "probe", build).count() == 1
-    assert len(calls) == 1
+        return s.read.parquet(f"{d}/t.parquet")
+
+    d = str(tmp_path)
+    spark.range(1).coalesce(1).write.parquet(f"{d}/t.parquet")
+    read = lambda: store.table(spark, d, "probe", build, ("t",)).count()
+    assert (read(), read(), len(calls)) == (1, 1, 1)
+    spark.range(3).coalesce(1).write.mode("append").parquet(f"{d}/t.parquet")
+    assert (read(), len(calls)) == (4, 2)  # the source has changed
+    (key, (_, state)), = store._paths.items()
+    store._paths[key] = (f"{d}/gone", state)
+    assert (read(), len(calls)) == (4, 3)  # the stored copy is gone
 
 
 def test_write_holes_array_sorted_by_offset(spark, tmp_path):

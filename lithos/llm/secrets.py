@@ -169,6 +169,8 @@ class Index:
         at = np.flatnonzero(wanted[code])
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + 3 <= offsets[row + 1]
+        if not inside.any():
+            return
         pair = np.unique(code[at[inside]].astype(np.int64) << 32 | row[inside])
         terms, begin = np.unique(pair >> 32, return_index=True)
         for term, rows in zip(terms.tolist(), np.split(pair & 0xFFFFFFFF, begin[1:]), strict=True):

@@ -77,8 +77,8 @@ def q_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that repeat, in every document."""
-    return suffixes.repeated(read_table(spark, sf_dir, "documents"), "doc_id", "text", 50)
+    """Passages of 50 words or more that repeat across documents."""
+    return suffixes.repeated(read_table(spark, sf_dir, "documents"), "doc_id", "text", 50, within=False)
 
 
 QUERIES = {

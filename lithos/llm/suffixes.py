@@ -47,8 +47,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Suffixes:
     """Kept suffixes of a chunk, and later the stretches around those that repeat."""
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, least: int):
-        self.h, self.first, self.least = h, first, least
+    def __init__(self, h: np.ndarray, first: np.ndarray, least: int, within: bool):
+        self.h, self.first, self.least, self.within = h, first, least, within
         self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.end = first[self.row + 1]
         prefix = least - SPREAD + 1
@@ -65,8 +65,16 @@ class Suffixes:
             mark[at[inside]] = True
             mark &= np.arange(len(h)) + prefix <= self.end
             self.kept = np.flatnonzero(mark)
-        self.keys, self.key, self.times = np.unique(
-            window_hash(h, prefix)[self.kept], return_inverse=True, return_counts=True)
+        self.keys, self.key, self.times = self._counted(window_hash(h, prefix)[self.kept], self.kept)
+
+    def _counted(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct hashes, number of each place's hash, how often each occurs): places, or documents
+        that hold it where repeats within a document do not count."""
+        keys, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        if not self.within and len(keys):
+            pairs = np.unique(number * np.int64(len(self.first)) + self.row[at])
+            times = np.bincount(pairs // len(self.first), minlength=len(keys))
+        return keys, number, times
 
     def stretches(self, codes: np.ndarray) -> None:
         """Set ``begin``: the stretches of ``least`` words whose own kept suffix repeats."""
@@ -74,8 +82,7 @@ class Suffixes:
         repeats = np.zeros(len(h) + 1, bool)
         repeats[self.kept] = codes[self.key] > 0
         self.begin = np.flatnonzero((np.arange(len(h)) + self.least <= self.end) & repeats[self.minimiser])
-        self.windows, self.window, self.window_times = np.unique(
-            window_hash(h, self.least)[self.begin], return_inverse=True, return_counts=True)
+        self.windows, self.window, self.window_times = self._counted(window_hash(h, self.least)[self.begin], self.begin)
 
 
 def shares(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -110,10 +117,10 @@ def compare_neighbours(chunk: np.ndarray, keys: list[np.ndarray], twice: list[np
     return np.split(code, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50, within: bool = True) -> DataFrame:
     """(id_col, word_begin, word_end, n_words, passage, is_first): a row for every maximal run of ``least``
-    words or more all of whose stretches of ``least`` words occur elsewhere too (in another document or
-    again in the same). ``passage``: smallest hash of its stretches, equal for equal passages; ``is_first``:
+    words or more all of whose stretches of ``least`` words occur elsewhere too: in another document or, with
+    ``within``, again in the same. ``passage``: smallest hash of its stretches, equal for equal passages; ``is_first``:
     this is the first place of that stretch."""
     if least < SPREAD + GRAM - 1:
         raise ValueError(f"least must be {SPREAD + GRAM - 1} words at least")
@@ -124,7 +131,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> Da
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
-        s = Suffixes(*word_hashes(table["text"]), least)
+        s = Suffixes(*word_hashes(table["text"]), least, within)
         return _asked(table["chunk"][0].as_py(), s.keys, s.times, shards)
 
     def reply(table: pa.Table) -> pa.Table:
@@ -147,13 +154,13 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> Da
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _asked(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), shards)
-        s = Suffixes(*word_hashes(left["text"]), least)
+        s = Suffixes(*word_hashes(left["text"]), least, within)
         s.stretches(codes_of(right, s.keys, 1))
         return _asked(left["chunk"][0].as_py(), s.windows, s.window_times, shards)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by([("id", "ascending"), ("text", "ascending")])
-        s = Suffixes(*word_hashes(left["text"]), least)
+        s = Suffixes(*word_hashes(left["text"]), least, within)
         s.stretches(codes_of(right, s.keys, 1))
         code = codes_of(right, s.windows, 2)
         live = np.flatnonzero(code[s.window] > 0)

@@ -26,7 +26,7 @@ from lithos.llm.store import Forest, components, star, written
 from lithos.operators.position import with_ordered_index
 
 #: Vectors of a tile; coordinates of a block; coordinates whose box is kept for tiles.
-TILE, STEP, BOX = 2048, 16, 8
+TILE, STEP, BOX = 4096, 16, 8
 _SLACK = 1e-9
 
 
@@ -93,10 +93,22 @@ def compare(a: np.ndarray, b: np.ndarray, va: np.ndarray, vb: np.ndarray, cosine
     return np.concatenate(left), np.concatenate(right)
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """Vectors as bytes, in single precision where that holds every value exactly."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return b"s" + single.tobytes() if (single == v).all() else b"d" + v.tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    kind = np.float32 if data[:1] == b"s" else np.float64
+    return np.frombuffer(data[1:], kind).astype(np.float64).reshape(-1, width)
+
+
 def _pair(na, ia, ba, nb, ib, bb, same: bool, rotation: np.ndarray, cosine: float, width: int):
     """(index, links) and spanning edges of one pair of tiles; ids and copies as arrays, vectors as bytes."""
-    va = np.frombuffer(ba, np.float64).reshape(-1, width)
-    vb = va if same else np.frombuffer(bb, np.float64).reshape(-1, width)
+    va = _unpacked(ba, width)
+    vb = va if same else _unpacked(bb, width)
     a = _unit(va) @ rotation
     b = a if same else _unit(vb) @ rotation
     i, j = compare(a, b, va, vb, cosine)
@@ -173,7 +185,7 @@ def _links_of(distinct: DataFrame, width: int, cosine: float) -> DataFrame:
         u = _unit(v) @ rotation[:, :box]
         return pa.table({
             "tile": pa.array([table["tile"][0].as_py()], pa.int64()), "nodes": pa.array([table["node"].to_numpy()]),
-            "copies": pa.array([table["copies"].to_numpy()]), "bytes": pa.array([v.tobytes()], pa.binary()),
+            "copies": pa.array([table["copies"].to_numpy()]), "bytes": pa.array([_packed(v)], pa.binary()),
             "low": pa.array([u.min(0)]), "high": pa.array([u.max(0)])})
 
     tiles = written(ordered.select("tile", "node", "copies", "v").groupBy("tile").applyInArrow(

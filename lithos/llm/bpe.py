@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lithos.llm.text import blocks
 
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> list[str]:

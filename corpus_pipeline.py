@@ -9,32 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lithos.llm import bpe, decontam, secrets, simhash, toxicity
-from lithos.llm.registry import fold_of, vocabulary
+from lithos.llm.registry import bounded, fold_of, vocabulary
 from lithos.llm.store import written
 from lithos.sources.tables import read_table
 
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted toxic go; the classifier learns from the labelled rows of ``docs``."""
     labels = read_table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
     return toxicity.without_toxic(docs, "text", toxicity.fit(docs, labels, "doc_id", "text", "toxic"))
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: 4-word shingles, 4 bits."""
     return simhash.one_of_each(docs, "doc_id", "text", 4, 4)
 
 
+@bounded
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontam.without_leaks(docs, "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@bounded
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text are replaced by their kind; every document stays."""
     return secrets.redact(docs, "text", "n_chars" if "n_chars" in docs.columns else None)
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, with digests of ids and decoded text."""
     return bpe.encode_decode(docs, "doc_id", "text", *vocabulary(), ids=True).drop("decoded")

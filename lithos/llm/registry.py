@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lithos.llm import bpe, decontam, embeddings, html, ngram, secrets, sharding, simhash, suffixes, toxicity
+from lithos.llm.store import bounded_batches
 from lithos.sources.tables import read_table
 
 #: Rank file of the byte-level vocabulary, by its name among the public tokenizers.
@@ -81,7 +85,17 @@ def q_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated(read_table(spark, sf_dir, "documents"), "doc_id", "text", 50, within=False)
 
 
-QUERIES = {
+def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query in a session whose Arrow batches are bounded."""
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, *args)
+
+    return run
+
+
+QUERIES = {name: bounded(query) for name, query in {
     "op1_toxicity": q_toxicity,
     "op2_repeated_passages": q_suffixes,
     "op3_lm_scoring": q_ngram,
@@ -92,7 +106,7 @@ QUERIES = {
     "op8_secret_scan": q_secrets,
     "op9_decontamination": q_decontamination,
     "op10_html_extraction": q_html,
-}
+}.items()}
 
 #: DuckDB SQL where SQL can express a query.
 SQL: dict[str, str] = {}

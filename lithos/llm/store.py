@@ -20,8 +20,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: Rows and bytes of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to sizes that suit long texts: at the default of 10,000 rows or 64 MB a
+    task holds several copies of such a batch, in the JVM and in its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 class Forest:

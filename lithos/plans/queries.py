@@ -398,14 +398,14 @@ def q_csv_typed_scan(spark, d):
     """Land events as CSV in the shared checkpoint folder, then scan it back typed."""
     folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv_typed_scan-{_uuid.uuid4().hex}"
     R.events(spark, d).select("event_id", iso_timestamp("ts").alias("ts"), "user_id", "event_type", "value", "props") \
-        .write.option("header", True).csv(folder)
+        .write.option("header", True).option("escape", '"').csv(folder)
     return read_typed_csv(spark, folder)
 
 
 def _land(spark, df: DataFrame, name: str, order: list) -> str:
     """Rows of ``df`` as CSV files whose path order is ``order``, in the shared checkpoint folder."""
     folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{_uuid.uuid4().hex}"
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).csv(folder)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("escape", '"').csv(folder)
     return folder
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithos.llm.text import blocks
+from lithos.llm.text import blocks, tidy
 
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
 CACHE_ENTRIES = 200_000
@@ -122,18 +122,6 @@ class Codec(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
-def _codec(tokens: list[bytes], model: bytes, pattern: str) -> Codec:
-    """The codec of this worker process; one vocabulary at a time is kept."""
-    key = (hashlib.sha256(model).digest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokens, model, pattern)
-    return _CODECS[key]
-
-
 def encode_decode(docs: DataFrame, id_col: str, text_col: str, tokens: list[bytes], pattern: str,
                   ids: bool = False) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of every row; with ``ids`` also the id array and
@@ -144,7 +132,7 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, tokens: list[byte
     extra = ", ids array<int>, decoded string" if ids else ""
 
     def run(batches):
-        codec = _codec(tokens, model, pattern)
+        codec = Codec(tokens, model, pattern)
         for batch in batches:
             key, column = batch.column(0), batch.column(1).fill_null("")
             for b in blocks(column):
@@ -161,4 +149,4 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, tokens: list[byte
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+        tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

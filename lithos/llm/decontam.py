@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lithos.llm.text import SpanHash, Words, blocks, lowered_latin, mix
+from lithos.llm.text import SpanHash, Words, blocks, lowered_latin, mix, tidy
 
 #: Every SPAN consecutive words hold an anchor.
 SPAN = 8
@@ -230,7 +230,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_co
                          pa.array(d.astype(np.int32)), pa.array(1 - d / n), pa.array(begin.astype(np.int32)),
                          pa.array(end.astype(np.int32))],
                         names=[*lead, "item_id", "n_words", "edit_distance", "similarity", "word_begin", "word_end"])
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(tidy(run), schema)
 
     id_type = to_arrow_type(item_type)
     parts = [scan(spark.sparkContext.broadcast(b)) for b in _benchmark_blocks(items, item_col, item_text, least)]
@@ -254,5 +254,5 @@ def without_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_col: st
         return run
 
     for b in _benchmark_blocks(items, item_col, item_text, least):
-        docs = docs.mapInArrow(drop(docs.sparkSession.sparkContext.broadcast(b)), docs.schema)
+        docs = docs.mapInArrow(tidy(drop(docs.sparkSession.sparkContext.broadcast(b))), docs.schema)
     return docs

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lithos.llm.store import Forest, components, star, written
+from lithos.llm.text import tidy
 from lithos.operators.position import with_ordered_index
 
 #: Vectors of a tile; coordinates of a block; coordinates whose box is kept for tiles.
@@ -216,4 +217,4 @@ def _links_of(distinct: DataFrame, width: int, cosine: float) -> DataFrame:
                     [pa.array(np.repeat(np.array([0, 1], np.int32), [len(ids), len(src)])),
                      pa.array(np.concatenate([ids, src])), pa.array(np.concatenate([links, dst]))], names=["kind", "a", "b"])
 
-    return work.mapInArrow(run, "kind int, a long, b long")
+    return work.mapInArrow(tidy(run), "kind int, a long, b long")

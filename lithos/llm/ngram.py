@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lithos.llm.eliasfano import EliasFano, pack_counts, unpack_counts
-from lithos.llm.text import SpanHash, Words, blocks, lowered, mix
+from lithos.llm.text import SpanHash, Words, blocks, lowered, mix, tidy
 
 #: Text bytes of a chunk; a shard holds the share of one chunk of all n-grams.
 CHUNK_BYTES = 8 << 20
@@ -229,7 +229,7 @@ def totals(docs: DataFrame, text_col: str, train_col: str, shards: int) -> tuple
         return pa.table({"n": [int(c.sum())], "v": [len(w)], "words": [w[top].view(np.int64)], "counts": [c[top]]})
 
     source = docs.select(text_col, F.coalesce(train_col, F.lit(False)))
-    sent = source.mapInArrow(words, "shard int, words binary, counts binary, n long")
+    sent = source.mapInArrow(tidy(words), "shard int, words binary, counts binary, n long")
     found = sent.groupBy("shard").applyInArrow(count, "n long, v long, words array<long>, counts array<long>").collect()
     n, v = sum(r["n"] for r in found), sum(r["v"] for r in found)
     top = {int(w) & _ALL: c for r in found for w, c in zip(r["words"], r["counts"]) if c >= COMMON * n / shards}

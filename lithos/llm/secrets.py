@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithos.llm.text import blocks, lowered
+from lithos.llm.text import blocks, lowered, tidy
 
 #: Strings that one part of a rule may stand for, while they are enumerated exactly.
 MAX_EXACT = 64
@@ -248,7 +248,7 @@ def redact(docs: DataFrame, text_col: str, count_col: str | None = None, rules:
                                                pa.array(counts, batch.column(count_at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -284,4 +284,4 @@ def scan(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] =
 
     told = "".join(f"n_{rules[k].kind} long, " for k in base)
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, {told}base_sha256 string, spans string, n_spans long")
+        tidy(run), f"`{id_col}` {kind}, {told}base_sha256 string, spans string, n_spans long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lithos.llm.store import Forest, components, star, written
-from lithos.llm.text import Words, blocks, lowered
+from lithos.llm.text import Words, blocks, lowered, tidy
 
 #: Members of an index node.
 FAN = 16
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str, shingle: int)
                     [*(batch.column(k).slice(b.lo, b.rows) for k in range(len(keys))), pa.array(fp)], names=names)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{types}, fp long")
+    return kept.mapInArrow(tidy(run), f"{types}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, distance: int, part: int = PART) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
     dealt = cut.select("fp", F.xxhash64("t", "key", "task").alias("owner"))
-    return dealt.repartition("owner").mapInArrow(run, "src long, dst long")
+    return dealt.repartition("owner").mapInArrow(tidy(run), "src long, dst long")
 
 
 def cluster(docs: DataFrame, keys: list[str], id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:

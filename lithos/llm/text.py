@@ -6,7 +6,9 @@ work on the UTF-8 buffer of a block, so nothing is done per row in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,20 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a task; afterwards the worker process, which serves further tasks and
+    queries, gives back the memory that it no longer uses."""
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 class Block:
     """Rows ``lo:hi`` of a batch with their UTF-8 bytes and byte offsets."""
 

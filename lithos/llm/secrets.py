@@ -42,12 +42,20 @@ class Rule:
     base: bool = False
 
 
+#: What may stand between the lines of a key: white space, also escaped, and marks of quoting, comments or diffs.
+_BREAK = r"""(?:\\[nrt]|[\s>#*|"',;\\]|\+(?=\s)|-(?!-))"""
+#: A private key from its header up to its END line; where there is none (a cut text), over the header fields and
+#: the base64 lines that follow, the last of which may be short. Possessive, so that no text takes quadratic time.
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-{5,}END [A-Z ]*PRIVATE KEY-----"
+       rf"|(?:{_BREAK}++[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+       rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?=[ \t\"',;]*+(?:[\r\n\\]|\Z)))?|)")
+
 #: The three base rules of the contract, then the rules that this method adds.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", PEM, 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", 0, 39),

@@ -336,6 +336,29 @@ def test_redact(spark):
     assert out.where("doc_id < 100").exceptAll(docs.where("doc_id < 100")).count() == 0
 
 
+def test_redact_whole_keys(spark):
+    rng = np.random.default_rng(4)
+    lines = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/"), n)) for n in (64, 64, 64, 22)]
+    begin, end, fields = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A", ""]
+    texts = {"\n".join(["a", begin, *lines, end, "rest of it"]): "a\n[pem]\nrest of it",
+             "\r\n".join(["a", begin, *fields, *lines, end, "z"]): "a\r\n[pem]\r\nz",
+             "\n".join(["a", begin, *lines]): "a\n[pem]",
+             "\n".join(["a", begin, *fields, *lines, "", "Then text."]): "a\n[pem]\n\nThen text.",
+             "\n> ".join(["a", begin, *lines, "Then text."]): "a\n> [pem]\n> Then text.",
+             " ".join([begin, *lines, end, "z"]): "[pem] z",
+             "key = \"" + "\\n".join([begin, *lines, end]) + "\"": "key = \"[pem]\"",
+             "key = \"" + "\\n".join([begin, *lines]) + "\"": "key = \"[pem]\"",
+             "\n".join([begin, *lines, begin, *lines, end, begin]): "[pem]\n[pem]\n[pem]",
+             f"The header {begin} starts a key.": "The header [pem] starts a key."}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dict(secrets.redact(docs, "text").collect())
+    assert [out[i] for i in range(len(texts))] == list(texts.values())
+    assert not any(line in t for t in out.values() for line in lines)
+    spans = dict(secrets.scan(docs, "doc_id", "text").select("doc_id", "spans").collect())
+    first = next(iter(texts))
+    assert f"pem:2:{first.index(end) + len(end)}" in spans[0].split(",")
+
+
 # --- decontamination
 
 

@@ -8,13 +8,18 @@ compared with their neighbours. Suffixes equal to a neighbour are extended to th
 of ``least`` words around them is sorted and compared in the same way, and neighbouring stretches that repeat
 join to maximal passages.
 
+First places are decided stretch by stretch. Stretches in a row that one document holds first are a passage's
+origin, labelled by their smallest hash, and a third turn over the shards tells every other place of these stretches
+that label. A maximal passage is told with its parts, one for each origin it runs through, so that all places of a
+stretch share a label however their passages overlap.
+
 Documents are dealt by hash into chunks of bounded size, which send each shard of the sorted order their
-distinct keys once; a passage in a third of all documents costs one entry a chunk. The order is that of 64-bit
+distinct keys once a turn; a passage in a third of all documents costs one entry a chunk. The order is that of 64-bit
 hashes of the words, cut into equal ranges, the shards; keys travel Elias-Fano coded and the answers as one byte
-each. The text is shuffled once, by chunk, and read three times from there.
+each, labels as eight. The text is shuffled once, by chunk, and read four times from there.
 
 Defined results: words are runs of bytes outside white space, case counts; null and empty texts and documents
-shorter than ``least`` words have no row; of the occurrences of a passage the first (by chunk, then id, nulls
+shorter than ``least`` words have no row; of the occurrences of a stretch the first (by chunk, then id, nulls
 last, then text) is marked; rows that repeat each get their rows; other columns are ignored; an empty table
 gives an empty result. Whole texts are read.
 """
@@ -84,6 +89,33 @@ class Suffixes:
         self.begin = np.flatnonzero((np.arange(len(h)) + self.least <= self.end) & repeats[self.minimiser])
         self.windows, self.window, self.window_times = self._counted(window_hash(h, self.least)[self.begin], self.begin)
 
+    def origins(self, codes: np.ndarray) -> None:
+        """Set, by the windows' codes, ``live``: the stretches that repeat, ``own``: which of them stand at their
+        first place, ``label``: of each window with its first place here the smallest hash of its run of such
+        stretches, and ``sure``: which windows have one."""
+        self.live = np.flatnonzero(codes[self.window] > 0)
+        begin, window = self.begin[self.live], self.window[self.live]
+        place = np.full(len(self.windows), len(self.h), np.int64)
+        np.minimum.at(place, window, begin)
+        self.own = (codes[window] == 1) & (begin == place[window])
+        self.sure = codes == 1
+        self.label = np.zeros(len(self.windows), np.uint64)
+        mine = np.flatnonzero(self.own)
+        if len(mine):
+            head = self.heads(begin[mine])
+            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(mine))))
+            self.label[window[mine]] = self.windows[np.minimum.reduceat(window[mine], head)][run]
+
+    def heads(self, begin: np.ndarray, *same: np.ndarray) -> np.ndarray:
+        """Where runs of neighbouring stretches of a document start that also agree in ``same``."""
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        row = self.row[begin]
+        new = (begin[1:] != begin[:-1] + 1) | (row[1:] != row[:-1])
+        for x in same:
+            new |= x[1:] != x[:-1]
+        return np.flatnonzero(np.append(True, new))
+
 
 def shares(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range begins in the sorted keys."""
@@ -91,7 +123,8 @@ def shares(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
-def _asked(chunk: int, keys: np.ndarray, times: np.ndarray, shards: int) -> pa.Table:
+def _sent(chunk: int, keys: np.ndarray, shards: int, **extra) -> pa.Table:
+    """A row for each shard with its share of the keys; ``extra``: columns of binary, each from a share's slice."""
     cut = shares(keys, shards)
     some = np.flatnonzero(np.diff(cut))
     top = (1 << 64) // shards + 1
@@ -101,7 +134,11 @@ def _asked(chunk: int, keys: np.ndarray, times: np.ndarray, shards: int) -> pa.T
         "chunk": pa.array(np.full(len(some), chunk, np.int32)), "shard": pa.array(some.astype(np.int32)),
         "n": pa.array(np.diff(cut)[some]),
         "keys": pa.array([EliasFano.encode(keys[p] - np.uint64(x), top).data.tobytes() for p, x in zip(part, low)], pa.binary()),
-        "twice": pa.array([np.packbits(times[p] > 1).tobytes() for p in part], pa.binary())})
+        **{name: pa.array([of(p).tobytes() for p in part], pa.binary()) for name, of in extra.items()}})
+
+
+def _asked(chunk: int, keys: np.ndarray, times: np.ndarray, shards: int) -> pa.Table:
+    return _sent(chunk, keys, shards, twice=lambda p: np.packbits(times[p] > 1))
 
 
 def compare_neighbours(chunk: np.ndarray, keys: list[np.ndarray], twice: list[np.ndarray]) -> list[np.ndarray]:
@@ -117,11 +154,27 @@ def compare_neighbours(chunk: np.ndarray, keys: list[np.ndarray], twice: list[np
     return np.split(code, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def look_up(keys: list[np.ndarray], sure: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
+    """For each chunk's keys of one shard the labels of those that are not ``sure``: ``labels`` has each chunk's
+    labels of those that are, and each key is sure in one chunk."""
+    known, label = np.concatenate([k[x] for k, x in zip(keys, sure, strict=True)]), np.concatenate(labels)
+    order = np.argsort(known, kind="stable")
+    known, label = known[order], label[order]
+    return [label[np.searchsorted(known, k[~x])] for k, x in zip(keys, sure, strict=True)]
+
+
 def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50, within: bool = True) -> DataFrame:
-    """(id_col, word_begin, word_end, n_words, passage, is_first): a row for every maximal run of ``least``
+    """(id_col, word_begin, word_end, n_words, passage, is_first, parts): a row for every maximal run of ``least``
     words or more all of whose stretches of ``least`` words occur elsewhere too: in another document or, with
-    ``within``, again in the same. ``passage``: smallest hash of its stretches, equal for equal passages; ``is_first``:
-    this is the first place of that stretch."""
+    ``within``, again in the same.
+
+    ``parts`` lists, ascending, the row's longest runs of stretches that have one origin, as (word_begin, word_end,
+    passage, is_first): ``is_first`` if these are the first places of the stretches, ``passage``: the origin's label,
+    its smallest hash, the same at all places of a stretch. Parts overlap by up to ``least`` - 1 words. Every stretch
+    has one first place; words outside all first parts can go without any stretch being lost.
+
+    The row's ``is_first``: some part is the first; rows where it is false can go as a whole. The row's ``passage``:
+    the smallest hash of its stretches, of those at their first place if there are any."""
     if least < SPREAD + GRAM - 1:
         raise ValueError(f"least must be {SPREAD + GRAM - 1} words at least")
     text = F.col(text_col)
@@ -134,11 +187,17 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50, withi
         s = Suffixes(*word_hashes(table["text"]), least, within)
         return _asked(table["chunk"][0].as_py(), s.keys, s.times, shards)
 
-    def reply(table: pa.Table) -> pa.Table:
+    def ordered(chunk: pa.Table) -> pa.Table:
+        return chunk.sort_by([("id", "ascending"), ("text", "ascending")])
+
+    def keys_of(table: pa.Table) -> list[np.ndarray]:
         shard = table["shard"][0].as_py()
         top, low = (1 << 64) // shards + 1, np.uint64((shard << 64) // shards)
-        n = table["n"].to_pylist()
-        keys = [EliasFano(k, top, np.frombuffer(x.as_py(), np.uint8)).values() + low for k, x in zip(n, table["keys"])]
+        return [EliasFano(k, top, np.frombuffer(x.as_py(), np.uint8)).values() + low
+                for k, x in zip(table["n"].to_pylist(), table["keys"])]
+
+    def reply(table: pa.Table) -> pa.Table:
+        keys, n = keys_of(table), table["n"].to_pylist()
         twice = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=k).astype(bool) for k, x in zip(n, table["twice"])]
         codes = compare_neighbours(table["chunk"].to_numpy(), keys, twice)
         return pa.table({"chunk": table["chunk"], "shard": table["shard"],
@@ -158,39 +217,72 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int = 50, withi
         s.stretches(codes_of(right, s.keys, 1))
         return _asked(left["chunk"][0].as_py(), s.windows, s.window_times, shards)
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("id", "ascending"), ("text", "ascending")])
+    def label(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            none = np.zeros(0, np.uint64)
+            return _sent(0, none, shards, sure=lambda p: none, labels=lambda p: none)
+        s, code = settled(left, right)
+        some = np.flatnonzero(code > 0)
+        sure, label = s.sure[some], s.label[some]
+        return _sent(left["chunk"][0].as_py(), s.windows[some], shards, sure=lambda p: np.packbits(sure[p]),
+                     labels=lambda p: label[p][sure[p]])
+
+    def reply_labels(table: pa.Table) -> pa.Table:
+        keys, n = keys_of(table), table["n"].to_pylist()
+        sure = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=k).astype(bool) for k, x in zip(n, table["sure"])]
+        told = look_up(keys, sure, [np.frombuffer(x.as_py(), np.uint64) for x in table["labels"]])
+        return pa.table({"chunk": table["chunk"], "shard": table["shard"],
+                         "codes": pa.array([x.tobytes() for x in told], pa.binary())})
+
+    def settled(left: pa.Table, right: pa.Table) -> tuple[Suffixes, np.ndarray]:
+        """The chunk in the order of first places, and its windows' codes."""
         s = Suffixes(*word_hashes(left["text"]), least, within)
         s.stretches(codes_of(right, s.keys, 1))
         code = codes_of(right, s.windows, 2)
-        live = np.flatnonzero(code[s.window] > 0)
-        begin, window = s.begin[live], s.window[live]
-        row = s.row[begin] if len(begin) else begin
-        head = np.flatnonzero(np.append(True, (begin[1:] != begin[:-1] + 1) | (row[1:] != row[:-1]))) if len(begin) else begin
+        s.origins(code)
+        return s, code
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = ordered(left)
+        s, code = settled(left, right)
+        asked = np.flatnonzero((code > 0) & ~s.sure)
+        cut = shares(s.windows[asked], shards)
+        for shard, t, c in zip(right["shard"].to_pylist(), right["turn"].to_pylist(), right["codes"].to_pylist(), strict=True):
+            if t == 3:
+                s.label[asked[cut[shard]:cut[shard + 1]]] = np.frombuffer(c, np.uint64)
+        begin, window, own = s.begin[s.live], s.window[s.live], s.own
+        origin = s.label[window]
+        start = s.first[s.row[begin]] if len(begin) else begin
+        part, head = s.heads(begin, origin, own), s.heads(begin)
+        end = np.append(part[1:], len(begin)) - 1 if len(begin) else begin
         last = np.append(head[1:], len(begin)) - 1 if len(begin) else begin
-        least_key = np.minimum.reduceat(window, head) if len(begin) else begin
-        place = np.full(len(s.windows), len(s.h), np.int64)
-        np.minimum.at(place, window, begin)
-        # the place of the run's smallest stretch: the first of it within the run
-        at = np.zeros(len(head), np.int64)
-        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(begin))))
-        hit = np.flatnonzero(window == least_key[run])[::-1] if len(begin) else begin
-        at[run[hit]] = begin[hit]
-        owner = (code[least_key] == 1) & (at == place[least_key]) if len(begin) else np.zeros(0, bool)
-        where = row[head] if len(begin) else begin
-        start = s.first[where]
+        parts = pa.ListArray.from_arrays(
+            pa.array(np.append(np.searchsorted(part, head), len(part)).astype(np.int32)),
+            pa.StructArray.from_arrays(
+                [pa.array((begin[part] - start[part]).astype(np.int64)),
+                 pa.array((begin[end] + least - start[part]).astype(np.int64)),
+                 pa.array(origin[part].view(np.int64)), pa.array(own[part])],
+                names=["word_begin", "word_end", "passage", "is_first"]))
+        first = np.logical_or.reduceat(own, head) if len(begin) else own
+        # windows are numbered in the order of their hashes; those at their first place come before all others
+        smallest = np.minimum.reduceat(window + np.where(own, 0, len(s.windows)), head) % len(s.windows) if len(begin) else begin
         return pa.table({
-            "id": left["id"].take(pa.array(where)), "word_begin": pa.array((begin[head] - start).astype(np.int64)),
-            "word_end": pa.array((begin[last] + least - start).astype(np.int64)),
+            "id": left["id"].take(pa.array(s.row[begin[head]] if len(begin) else begin)),
+            "word_begin": pa.array((begin[head] - start[head]).astype(np.int64)),
+            "word_end": pa.array((begin[last] + least - start[head]).astype(np.int64)),
             "n_words": pa.array((begin[last] + least - begin[head]).astype(np.int64)),
-            "passage": pa.array(s.windows[least_key].view(np.int64)), "is_first": pa.array(owner)})
+            "passage": pa.array(s.windows[smallest].view(np.int64)), "is_first": pa.array(first), "parts": parts})
 
     asking, answer = "chunk int, shard int, n long, keys binary, twice binary", "chunk int, shard int, codes binary"
     one = chunked.groupBy("chunk").applyInArrow(ask, asking).groupBy("shard").applyInArrow(reply, answer)
     one = one.withColumn("turn", F.lit(1))
     two = chunked.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(extend, asking)
-    two = two.groupBy("shard").applyInArrow(reply, answer).withColumn("turn", F.lit(2))
+    two = one.union(two.groupBy("shard").applyInArrow(reply, answer).withColumn("turn", F.lit(2)))
+    three = chunked.groupBy("chunk").cogroup(two.groupBy("chunk")).applyInArrow(
+        lambda left, right: label(ordered(left), right), "chunk int, shard int, n long, keys binary, sure binary, labels binary")
+    three = two.union(three.groupBy("shard").applyInArrow(reply_labels, answer).withColumn("turn", F.lit(3)))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = chunked.groupBy("chunk").cogroup(one.union(two).groupBy("chunk")).applyInArrow(
-        finish, f"id {kind}, word_begin long, word_end long, n_words long, passage long, is_first boolean")
+    out = chunked.groupBy("chunk").cogroup(three.groupBy("chunk")).applyInArrow(
+        finish, f"id {kind}, word_begin long, word_end long, n_words long, passage long, is_first boolean, "
+                "parts array<struct<word_begin: long, word_end: long, passage: long, is_first: boolean>>")
     return out.withColumnRenamed("id", id_col)

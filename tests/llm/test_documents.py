@@ -119,6 +119,37 @@ def test_repeated_passages(spark, sf_dir, monkeypatch, chunk):
             assert all(n <= 1 for n in firsts.values())
 
 
+@pytest.mark.parametrize("chunk", [2_000, 16 << 20])
+def test_every_repeated_stretch_has_one_first_place_and_one_label(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", chunk)
+    k = [f"v{i}" for i in range(2000)]
+    a, d, e = k[:500], k[600:900], k[1000:1400]
+    rows = [(1, a[250:]), (2, a), (3, a[:300]),  # 2 is first in its first half alone, 3 ends where 1 begins
+            (10, d[100:160]), (11, d), (12, d), (13, ["x", *d[90:170], "y"]),  # one quotes the others' inside
+            (20, e[:200]), (21, e), (22, [*e[150:], "z", *e[:70]]), (23, e)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for table, within in ((docs, False), (docs, True), (_mixed(spark), False), (_mixed(spark), True)):
+        labels, firsts = collections.defaultdict(set), collections.Counter()
+        texts = collections.defaultdict(list)
+        for i, t in rows_of(table):
+            texts[i].append(words(t))
+        for r in suffixes.repeated(table, "doc_id", "text", 50, within).collect():
+            assert r["is_first"] == any(p["is_first"] for p in r["parts"])
+            covered = []
+            for p in r["parts"]:
+                covered += range(p["word_begin"], p["word_end"] - 49)
+                if len(texts[r["doc_id"]]) > 1:
+                    continue  # rows of one id: which text the row tells of is open
+                w = texts[r["doc_id"]][0]
+                for at in range(p["word_begin"], p["word_end"] - 49):
+                    labels[tuple(w[at:at + 50])].add(p["passage"])
+                    firsts[tuple(w[at:at + 50])] += p["is_first"]
+            assert covered == list(range(r["word_begin"], r["word_end"] - 49))
+        assert labels and all(len(x) == 1 for x in labels.values()) and max(firsts.values()) == 1
+        if table is docs:
+            assert min(firsts.values()) == 1
+
+
 # --- language model
 
 

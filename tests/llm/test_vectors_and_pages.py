@@ -86,6 +86,27 @@ def test_wrapper_generalises():
         assert sum(sizes) == 40 and len(folded) == len(sizes)
 
 
+def test_pages_of_a_host_that_differ_in_a_class(spark):
+    def page(box, n, shut="</div>"):
+        body = "".join(f"<p>body {n} {i}</p>" for i in range(1 + n % 3))
+        return (f'<html><body><div class="{box}">box {n}{shut}<article><h1>title {n}</h1>{body}</article>'
+                f'<footer>foot</footer></body></html>', " ".join([f"title {n}", *(f"body {n} {i}" for i in range(1 + n % 3))]))
+
+    made = [page("ad" if n % 4 else "byline", n) for n in range(24)] + [page("ad", 24, "")]  # one never closes its box
+    rows = [(i, "http://h/x", text) for i, (text, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df.where("page_id < 24"), ["page_id"], "url", "html").collect()} == {
+        i: text for i, (_, text) in enumerate(made[:24])}
+    wrapper = [(n, False) for n in _nodes(made[1][0])]
+    assert html.main_text(made[24][0], html.Wrapper(html.align(wrapper, _nodes(made[24][0])))) == made[24][1]
+    assert html.main_text(made[24][0], None) == ""
+
+
+def _nodes(page):
+    symbols, _ = html.tokens(page)
+    return html.fold(symbols, [1] * len(symbols))[0]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None, 0), (2, "http://h/x", "", 0), (3, "http://h/x", "<p>a</p>", 0), (3, "http://h/x", "<p>a</p>", 0),
             (None, "HTTP://user@H:80/y", "<p>b</p>" * 500, 0), (4, "no url", "<b>c", 0)]

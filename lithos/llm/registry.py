@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lithos.llm import bpe, decontam, embeddings, html, ngram, secrets, sharding, simhash, suffixes, toxicity
+from lithos.llm import (
+    bpe, decontam, embeddings, hard_negatives, html, ngram, secrets, sharding, simhash, suffixes, toxicity, whitening,
+)
 from lithos.llm.store import bounded_batches
 from lithos.sources.tables import read_table
 
@@ -85,6 +87,18 @@ def q_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated(read_table(spark, sf_dir, "documents"), "doc_id", "text", 50, within=False)
 
 
+def q_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on up to 32 components."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+
+
+def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is first moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label,
+                               F.col("vec_id") % 100 == 0)
+
+
 def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query in a session whose Arrow batches are bounded."""
     @wraps(query)
@@ -106,6 +120,8 @@ QUERIES = {name: bounded(query) for name, query in {
     "op8_secret_scan": q_secrets,
     "op9_decontamination": q_decontamination,
     "op10_html_extraction": q_html,
+    "op11_embedding_whitening": q_whitening,
+    "op12_hard_negatives": q_hard_negatives,
 }.items()}
 
 #: DuckDB SQL where SQL can express a query.

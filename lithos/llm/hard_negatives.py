@@ -33,8 +33,9 @@ from lithos.llm.store import written
 from lithos.llm.text import tidy
 from lithos.operators.position import with_ordered_index
 
-#: Rows of a candidate block, anchors of an anchor block; columns read between two prunings.
-ROWS, ANCHORS, STEP = 16384, 512, 8
+#: Rows of a candidate block, anchors of an anchor block; columns read between two prunings; candidate blocks
+#: that one task of a salted join meets; bytes of anchor blocks that are broadcast at most.
+ROWS, ANCHORS, STEP, TOGETHER, BROADCAST_BYTES = 8192, 4096, 8, 16, 32 << 20
 _LONG = (1 << 63) - 1
 
 
@@ -194,14 +195,28 @@ def _packed(placed: DataFrame, size: int, scale: int, more: tuple[str, ...] = ()
 
 
 def _pairs(blocks: DataFrame, anchors: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Every block of rows beside every block of anchors of its vector length, as one row of packed columns. The
-    anchors are a stated query set; Spark decides by the measured size of their blocks whether to broadcast them."""
+    """Every block of rows beside every block of anchors of its vector length, as one row of packed columns.
+
+    The anchors are a stated query set. Their blocks are broadcast where they have ``BROADCAST_BYTES`` at most
+    (summed up), and blocks of rows stay in their tasks. Beyond that both sides are dealt by (anchor block, group
+    of ``TOGETHER`` blocks of rows), so that no anchor block brings all rows to one task."""
     a = anchors.select("w", F.col("block").alias("ablock"), F.col("place").alias("aplace"), F.col("id").alias("aid"),
                        F.col("label").alias("alabel"), F.col("x").alias("ax"), *more)
+    size = anchors.agg(F.sum(F.length("x") + 100 * F.size("id")).alias("n")).first()["n"] or 0
+    n = blocks.count()
+    parts = min(n, max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TOGETHER))
+    rows = blocks.select("w", "block", "id", "label", "x")
+    if size <= BROADCAST_BYTES:
+        # a few blocks a task: the work of a block is far above its bytes
+        return (rows.repartitionByRange(parts, "block") if n else rows).drop("block").join(F.broadcast(a), "w")
     wanted = anchors.groupBy("w").agg(F.min("block").alias("b0"), F.max("block").alias("b1"))
-    each = blocks.select("w", "id", "label", "x").join(wanted, "w").withColumn(
-        "ablock", F.explode(F.sequence("b0", "b1"))).drop("b0", "b1")
-    return each.join(a, ["w", "ablock"])
+    groups = blocks.groupBy("w").agg((F.min("block") / TOGETHER).cast("long").alias("g0"),
+                                     (F.max("block") / TOGETHER).cast("long").alias("g1"))
+    each = rows.join(F.broadcast(wanted), "w").select(  # one row a vector length
+        "w", "id", "label", "x", (F.col("block") / TOGETHER).cast("long").alias("group"),
+        F.explode(F.sequence("b0", "b1")).alias("ablock"))
+    a = a.join(F.broadcast(groups), "w").withColumn("group", F.explode(F.sequence("g0", "g1"))).drop("g0", "g1")
+    return each.join(a, ["w", "ablock", "group"]).drop("group")
 
 
 def _numbers(values: pa.Scalar) -> np.ndarray:

@@ -124,5 +124,26 @@ QUERIES = {name: bounded(query) for name, query in {
     "op12_hard_negatives": q_hard_negatives,
 }.items()}
 
+_MINED = """
+WITH r AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id AS id, c.label, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM r WHERE vec_id % 100 = 0) a JOIN r c ON c.vec_id <> a.vec_id AND len(c.x) = len(a.x)),
+p AS (
+  SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+   AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_hard_negatives": _MINED}

@@ -134,10 +134,13 @@ def mined(spark, rows, parts=3):
     return sorted(tuple(r) for r in out.collect())
 
 
-@pytest.mark.parametrize("rows,anchors", [(16384, 512), (64, 2)])
-def test_mining_against_plain(spark, monkeypatch, rows, anchors):
+@pytest.mark.parametrize("rows,anchors,broadcast", [(8192, 4096, 1 << 25), (64, 2, 1 << 25), (32, 2, 0)])
+def test_mining_against_plain(spark, monkeypatch, rows, anchors, broadcast):
+    """In one block, in many, and with anchors that are too many to broadcast."""
     monkeypatch.setattr(hn, "ROWS", rows)
     monkeypatch.setattr(hn, "ANCHORS", anchors)
+    monkeypatch.setattr(hn, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(hn, "TOGETHER", 4)
     rng = np.random.default_rng(11)
     centres = rng.standard_normal((6, 24))
     data = [(i, (centres[i % 6] + 0.8 * rng.standard_normal(24)).tolist(), int(rng.integers(0, 3))) for i in range(700)]
@@ -163,6 +166,24 @@ def test_mining_odd_tables(spark):
     assert mined(spark, [(1, [1.0], 1), (2, [1.0], 1), (3, [1.0], 2)]) == []
 
 
+def test_mining_query_matches_sql(spark, sf_dir):
+    import __spark_entry__ as E
+    from tests.oracle_harness import compare, duck
+
+    name = "op12_hard_negatives"
+    ok, message = compare(spark, duck(sf_dir), sf_dir, name, E.queries()[name], E.oracle_sql()[name])
+    assert ok, message
+
+
+def test_whitening_query(spark, sf_dir):
+    import __spark_entry__ as E
+
+    out = E.queries()["op11_embedding_whitening"](spark, sf_dir)
+    assert out.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert out.count() == 32 * n and out.first()["identity_error"] < 1e-10
+
+
 def test_bounds_prune_and_lose_nothing():
     rng = np.random.default_rng(2)
     x = np.floor(rng.standard_normal((4000, 32)) * 100 / np.arange(1, 33))

@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lithos.llm import (
-    bpe, decontam, embeddings, hard_negatives, html, ngram, secrets, sharding, simhash, suffixes, toxicity, whitening,
+    bpe, decontam, embeddings, hard_negatives, html, ngram, secrets, sharding, simhash, suffixes, toxicity, warc,
+    whitening,
 )
 from lithos.llm.store import bounded_batches
 from lithos.sources.tables import read_table
@@ -99,6 +100,13 @@ def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.col("vec_id") % 100 == 0)
 
 
+def q_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back. ``pages`` names no capture time: the id in seconds
+    stands in for it."""
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"), "page_id", "url", "html", F.timestamp_seconds("page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query in a session whose Arrow batches are bounded."""
     @wraps(query)
@@ -122,6 +130,7 @@ QUERIES = {name: bounded(query) for name, query in {
     "op10_html_extraction": q_html,
     "op11_embedding_whitening": q_whitening,
     "op12_hard_negatives": q_hard_negatives,
+    "op13_warc": q_warc,
 }.items()}
 
 _MINED = """
@@ -145,5 +154,17 @@ n AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
 
+# base32: every 5 hex digits are 4 letters
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, count(*) OVER (PARTITION BY body) AS n, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN n = 1 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n > 1 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {"op12_hard_negatives": _MINED}
+SQL: dict[str, str] = {"op12_hard_negatives": _MINED, "op13_warc": _WARC}

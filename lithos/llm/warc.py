@@ -404,6 +404,7 @@ def round_trip(rows: DataFrame, id_col: str, url_col: str, text_col: str, time:
     runs = archive(rows, id_col, url_col, text_col, time, folder, least_bytes)
     index = merged(runs).drop("id", "length")
     files = written(runs.select("file").distinct(), "files")
-    found = records(files, folder).join(index, ["file", "offset"])
+    # the records are as many as the rows, which Spark cannot tell from the list of files: no broadcast
+    found = records(files, folder).hint("merge").join(index.hint("merge"), ["file", "offset"])
     return found.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "time", "capture", "position", "file", "offset")

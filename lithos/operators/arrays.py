@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lithos.operators.position import input_partitions
+
 # Field names and types of the typed arrays the object documents refer to.
 ARRAY_FIELDS: dict[str, list[tuple[str, str]]] = {
     "lookup": [("key", "int"), ("value", "string")],
@@ -31,7 +33,7 @@ def _c(c) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def project_array(df: DataFrame, role: str, sources: list, pos_col: str | None = "pos") -> DataFrame:
+def project_array(df: DataFrame, role: str, sources: list, pos_col: str | None = "pos", keep: tuple = ()) -> DataFrame:
     """PRJ-1: select + rename + cast the source columns to the role's schema."""
     fields = ARRAY_FIELDS[role]
     if len(sources) != len(fields):
@@ -39,7 +41,7 @@ def project_array(df: DataFrame, role: str, sources: list, pos_col: str | None =
     cols = [_c(s).cast(t).alias(n) for (n, t), s in zip(fields, sources)]
     if pos_col:
         cols.insert(0, F.col(f"`{pos_col}`").cast("long").alias("pos"))
-    return df.select(*cols)
+    return df.select(*[F.col(f"`{k}`") for k in keep], *cols)
 
 
 def coordinates(df: DataFrame, x, y, z, pos_col: str | None = "pos") -> DataFrame:
@@ -57,8 +59,8 @@ def path(df: DataFrame, depth, azimuth, dip, pos_col: str | None = "pos") -> Dat
     return project_array(df, "path", [depth, azimuth, dip], pos_col)
 
 
-def index_pairs(df: DataFrame, start, end, pos_col: str | None = "pos") -> DataFrame:
-    """SNK-6: (data1, data2) as non-negative 64-bit integers.
+def index_pairs(df: DataFrame, start, end, pos_col: str | None = "pos", keep: tuple = ()) -> DataFrame:
+    """SNK-6: (data1, data2) as non-negative 64-bit integers, after the columns of ``keep``.
 
     Spark has no unsigned type: values are ``bigint``. A fractional index becomes NULL here, and
     ``write_array`` refuses NULL and negative ones.
@@ -67,18 +69,73 @@ def index_pairs(df: DataFrame, start, end, pos_col: str | None = "pos") -> DataF
         v = _c(c)
         return F.when(v.cast("double") == F.floor(v.cast("double")), v.cast("long"))
 
-    return project_array(df, "indices", [whole(start), whole(end)], pos_col)
+    return project_array(df, "indices", [whole(start), whole(end)], pos_col, keep)
 
 
 def _bad_pair() -> Column:
     return F.col("data1").isNull() | F.col("data2").isNull() | (F.col("data1") < 0) | (F.col("data2") < 0)
 
 
+def _checked(array_id: Column) -> Column:
+    """``data1``; a bad pair ends the write."""
+    text = F.concat(F.lit("index array "), array_id, F.lit(": an end is missing, fractional or negative"))
+    return F.when(_bad_pair(), F.raise_error(text).cast("long")).otherwise(F.col("data1"))
+
+
 def check_index_pairs(pairs: DataFrame) -> DataFrame:
     """Rows of an index array that are not valid unsigned integers (should be empty)."""
     return pairs.filter(_bad_pair())
 
 
+def ranges_path(target: str) -> str:
+    """Where the ranges of a table that ``write_ranged`` wrote are kept."""
+    head, _, name = target.rstrip("/").rpartition("/")
+    return f"{head}/ranges/{name}"
+
+
+def write_ranged(arrays: DataFrame, target: str, role: str) -> str:
+    """Write many arrays of one role, (array_id, pos, fields), as one table whose files are cut on ranges of
+    (array, position), so that a hot array is many files and small arrays share one. The first and last row of every
+    file are kept beside the table: a reader of rows [a, b) of an array opens the files that hold them."""
+    if role == "indices":
+        arrays = arrays.withColumn("data1", _checked(F.col("array_id")))
+    many = input_partitions(arrays)
+    dealt = arrays.repartitionByRange(*([many] if many else []), "array_id", "pos")
+    dealt.sortWithinPartitions("array_id", "pos").write.mode("errorifexists").parquet(target)
+    _write_ranges(arrays.sparkSession.read.schema(arrays.schema).parquet(target), target)
+    return target
+
+
+def _write_ranges(written: DataFrame, target: str) -> None:
+    key = F.struct("array_id", "pos")
+    written.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(
+        ranges_path(target))
+
+
+def range_files(spark, target: str, array_id: str, start: int, end: int) -> list[str]:
+    """Files of the table that may hold rows [start, end) of the array: those of the slice, found in the ranges."""
+    def at(pos: int) -> Column:
+        return F.struct(F.lit(array_id).alias("array_id"), F.lit(pos).cast("long").alias("pos"))
+
+    rows = spark.read.parquet(ranges_path(target)).where((F.col("last") >= at(start)) & (F.col("first") < at(end)))
+    return [f"{target.rstrip('/')}/{r['file']}" for r in rows.select("file").collect()]
+
+
+def read_range(spark, target: str, role: str, array_id: str, start: int, end: int) -> DataFrame:
+    """Rows [start, end) of one array, in the role's fields: only the files that hold them are listed and opened, and
+    the filters on array and position reach their row groups."""
+    if end <= start:
+        raise ValueError("a range ends after it starts")
+    fields = ARRAY_FIELDS[role]
+    schema = ", ".join(["array_id string", "pos bigint", *[f"`{n}` {t}" for n, t in fields]])
+    files = range_files(spark, target, array_id, start, end)
+    if not files:
+        return spark.createDataFrame([], schema).drop("array_id")
+    rows = spark.read.schema(schema).parquet(*files)
+    return rows.where((F.col("array_id") == array_id) & (F.col("pos") >= start) & (F.col("pos") < end)).drop("array_id")
+
+
 def new_array_id(role: str) -> str:
     return f"{role}-{uuid.uuid4().hex}"
 
@@ -96,8 +153,7 @@ def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None =
     cols = ["pos"] + [n for n, _ in ARRAY_FIELDS[role]] if "pos" in df.columns else [n for n, _ in ARRAY_FIELDS[role]]
     out = df.select(*cols)
     if role == "indices":
-        refused = F.raise_error(F.lit(f"index array {array_id}: an end is missing, fractional or negative")).cast("long")
-        out = out.withColumn("data1", F.when(_bad_pair(), refused).otherwise(F.col("data1")))
+        out = out.withColumn("data1", _checked(F.lit(array_id)))
     order = ["pos"] if "pos" in out.columns else {"holes": ["offset", "hole_index"], "lookup": ["key"]}.get(role)
     if order:
         out = out.sortWithinPartitions(*order)

@@ -11,6 +11,9 @@ Three shapes share one technique:
   counts and the rows are read from the same materialised partitions. The offsets table has
   one row per partition, which bounds the broadcast.
 * ``with_exclusive_prefix_sum``: the same over a weight column (row counts per hole).
+* ``with_segmented_index`` and ``with_segmented_prefix_sum``: both, starting anew in every group (an object of
+  many). The rows are ranked once along (group, order); a group's first rank, one row a group, is taken off.
+  No window runs over a group, so a group with a third of all rows is spread over tasks like any other rows.
 """
 
 from __future__ import annotations
@@ -137,6 +140,25 @@ def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name)
     return out.select(*df.columns, *[(F.col(f"__o{i}") + F.col(f"__l{i}")).cast("long").alias(n) for i, n in enumerate(names)])
 
 
+def with_segmented_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, name: str = "pos",
+                         start: int = 0) -> DataFrame:
+    """Add ``name`` = start + rank along ``order_cols`` inside the row's group. Groups are not NULL."""
+    ranked = with_ordered_index(df, [*group_cols, *order_cols], name="__rank")
+    starts = ranked.groupBy(*group_cols).agg(F.min("__rank").alias("__start"))
+    return ranked.join(starts, list(group_cols)).select(
+        *df.columns, (F.col("__rank") - F.col("__start") + F.lit(start)).cast("long").alias(name))
+
+
+def with_segmented_prefix_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, weights: Sequence[str],
+                              names: Sequence[str]) -> DataFrame:
+    """Add ``names`` = sums of ``weights`` (not negative) over the rows strictly before in the row's group."""
+    tmp = [f"__s{i}" for i in range(len(weights))]
+    ranked = with_exclusive_prefix_sum(df, [*group_cols, *order_cols], list(weights), tmp)
+    starts = ranked.groupBy(*group_cols).agg(*[F.min(t).alias(f"{t}0") for t in tmp])
+    return ranked.join(starts, list(group_cols)).select(
+        *df.columns, *[(F.col(t) - F.col(f"{t}0")).cast("long").alias(n) for t, n in zip(tmp, names, strict=True)])
+
+
 def with_file_position(df: DataFrame, name: str = "pos", parquet: bool = True) -> DataFrame:
     """Add ``name`` = position of the row in file order (files ordered by path).
 

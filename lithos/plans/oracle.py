@@ -131,7 +131,92 @@ SORTED_HOLES = f"{HOLE}, l_quantity, {LI}"
 LI_CSV = ", ".join(c for c in R.LINEITEM_ORDER if c != "l_shipdate")
 BLANK = "CASE WHEN l_linenumber < 7 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END"
 
+def _many(name: str, sql: str, pos: str = "pos", a: str = "NULL", b: str = "NULL", c: str = "NULL", text: str = "NULL") -> str:
+    """As ``_rows``, of many objects (column obj)."""
+    return _rows(name, sql, pos, a, b, c, text).replace("SELECT ", "SELECT obj AS object, ", 1)
+
+
+def _coded_many(name: str, order: str, column: str, source: str) -> str:
+    """As ``_coded``, for every object of ``source`` (column obj)."""
+    return (f"{name} AS (SELECT row_number() OVER (PARTITION BY obj ORDER BY {order}) - 1 AS pos, coalesce(CAST({column} AS VARCHAR), '') AS v, "
+            f"* FROM {source}), {name}_lk AS (SELECT obj, row_number() OVER (PARTITION BY obj ORDER BY f, v) AS key, v "
+            f"FROM (SELECT obj, v, min(pos) AS f FROM {name} GROUP BY obj, v) t)")
+
+
+def _many_lookup(name: str, cte: str) -> str:
+    return _many(name, f"SELECT * FROM {cte}_lk", "key", text="v")
+
+
+def _many_codes(name: str, cte: str) -> str:
+    return _many(name, f"SELECT r.obj, r.pos, k.key FROM {cte} r JOIN {cte}_lk k ON r.obj = k.obj AND r.v = k.v", a="key")
+
+
+SEGMENT_POINTS = """seg AS (SELECT coalesce(lower(c_mktsegment) || '-' || CAST(c_nationkey AS VARCHAR), '') AS obj, o_orderkey,
+    o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS DOUBLE) END AS z, o_orderpriority
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
+# objects whose points all lack a coordinate fail
+SEGMENT_BUILT = f"{SEGMENT_POINTS}, built AS (SELECT * FROM seg WHERE obj IN (SELECT obj FROM seg WHERE {_valid('x', 'y', 'z')}))"
+
+CUSTOMER_HOLES = f"""own AS (SELECT CAST(o_custkey AS VARCHAR) AS obj, CAST(o_orderkey AS VARCHAR) AS hole, CAST(o_custkey AS DOUBLE) AS x,
+    o_totalprice AS y FROM orders),
+  col AS (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY hole) - 1 AS pos, row_number() OVER (PARTITION BY obj ORDER BY hole) AS key FROM own),
+  li AS (SELECT CAST(o_custkey AS VARCHAR) AS obj, {HOLE} AS hole, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  cnt AS (SELECT obj, hole, count(*) AS n, max(l_quantity) AS d FROM li GROUP BY ALL),
+  idx AS (SELECT obj, hole, n, d, sum(n) OVER (PARTITION BY obj ORDER BY hole) - n AS off FROM cnt),
+  hix AS (SELECT col.obj, col.key AS hole_index, coalesce(idx.off, 0) AS off, coalesce(idx.n, 0) AS n, coalesce(idx.d, 0.0) AS d, col.pos
+          FROM col LEFT JOIN idx ON col.obj = idx.obj AND col.hole = idx.hole)"""
+
+BRAND_LINES = """vert AS (SELECT p_brand AS obj, * FROM part),
+  line AS (SELECT p_brand AS obj, l_linenumber - 1 AS s, l_linenumber AS e, lineitem.* FROM lineitem JOIN part ON l_partkey = p_partkey),
+  vn AS (SELECT obj, count(*) AS n FROM vert GROUP BY obj),
+  chk AS (SELECT vn.obj, any_value(vn.n) AS vertices, count(line.obj) AS segments, CAST(max(s) AS DOUBLE) AS max_start,
+            CAST(max(e) AS DOUBLE) AS max_end, count(*) FILTER (WHERE s < 0 OR s >= vn.n) AS bad_start,
+            count(*) FILTER (WHERE e < 0 OR e >= vn.n) AS bad_end FROM vn LEFT JOIN line ON line.obj = vn.obj GROUP BY vn.obj),
+  good AS (SELECT obj FROM chk WHERE bad_start + bad_end = 0),
+  gvert AS (SELECT * FROM vert WHERE obj IN (SELECT obj FROM good)), gline AS (SELECT * FROM line WHERE obj IN (SELECT obj FROM good))"""
+
+SUPPLIER = "sup AS (SELECT CAST(l_suppkey AS VARCHAR) AS obj, * FROM lineitem)"
+
+
 SQL: dict[str, str] = {
+    "pointsets_by_segment": f"""WITH {SEGMENT_BUILT}, {_coded_many('p', 'o_orderkey', 'o_orderpriority', 'built')}
+        """ + " UNION ALL ".join([
+        _many("coordinates", "SELECT * FROM p", a="x", b="y", c="z"), _many_lookup("lookup:o_orderpriority", "p"),
+        _many_codes("codes:o_orderpriority", "p"), _many("values:o_orderkey", "SELECT * FROM p", a="o_orderkey")]),
+    "downhole_by_group": f"""WITH {CUSTOMER_HOLES}, {_coded_many('p', f'hole, l_quantity, {LI}', 'l_returnflag', 'li')}
+        """ + " UNION ALL ".join([
+        _many("coordinates", "SELECT * FROM col", a="x", b="y", c="0.0"), _many("distances", "SELECT * FROM hix", a="d", b="d", c="d"),
+        _many("lookup", "SELECT * FROM col", "key", text="hole"), _many("codes", "SELECT * FROM col", a="key"),
+        _many("holes", "SELECT * FROM hix", "hole_index", a="off", b="n"),
+        _many("path", "SELECT * FROM p", a="l_quantity", b="l_extendedprice", c="-l_discount"),
+        _many("from_to:assay", "SELECT * FROM p", a="l_quantity", b="l_quantity + l_linenumber"),
+        _many("holes:assay", "SELECT * FROM hix", "hole_index", a="off", b="n"), _many_lookup("lookup:assay.l_returnflag", "p"),
+        _many_codes("codes:assay.l_returnflag", "p"), _many("values:assay.l_tax", "SELECT * FROM p", a="l_tax")]),
+    "line_segments_by_group": f"""WITH {BRAND_LINES}, {_coded_many('v', 'p_partkey', 'p_type', 'gvert')}, {_coded_many('s', LI, 'l_returnflag', 'gline')}
+        """ + " UNION ALL ".join([
+        _many("coordinates", "SELECT * FROM v", a="p_retailprice", b="p_size", c="0.0"), _many("indices", "SELECT * FROM s", a="s", b="e"),
+        _many_lookup("lookup:vertices.p_type", "v"), _many_codes("codes:vertices.p_type", "v"),
+        _many_lookup("lookup:segments.l_returnflag", "s"), _many_codes("codes:segments.l_returnflag", "s")]),
+    "intervals_by_group": f"""WITH {SUPPLIER}, {_coded_many('h', LI, 'l_orderkey', 'sup')}, {_coded_many('r', LI, 'l_returnflag', 'sup')}
+        """ + " UNION ALL ".join([
+        _many("start", "SELECT * FROM h", a="l_quantity", b="l_extendedprice", c="-l_quantity"),
+        _many("end", "SELECT * FROM h", a="l_quantity + l_linenumber", b="l_extendedprice", c="-(l_quantity + l_linenumber)"),
+        _many("mid_points", "SELECT * FROM h", a="l_quantity", b="l_extendedprice", c="-l_quantity"),
+        _many("from_to", "SELECT * FROM h", a="l_quantity", b="l_quantity + l_linenumber"), _many_lookup("lookup", "h"), _many_codes("codes", "h"),
+        _many_lookup("lookup:intervals.l_returnflag", "r"), _many_codes("codes:intervals.l_returnflag", "r")]),
+    "segment_gate_by_group": f"""WITH {BRAND_LINES},
+        box AS (SELECT obj, {_box('p_retailprice', 'CAST(p_size AS DOUBLE)', '0.0::DOUBLE')} FROM vert GROUP BY obj)
+        SELECT chk.obj AS object, CASE WHEN bad_start + bad_end > 0 THEN 'validation_failed' ELSE 'validation_passed' END AS status, vertices,
+          segments, max_start, max_end, bad_start, bad_end, min_x, max_x, min_y, max_y, min_z, max_z,
+          CAST(CASE WHEN bad_start + bad_end > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_errors FROM chk JOIN box ON chk.obj = box.obj""",
+    "documents_by_segment": f"""WITH {SEGMENT_BUILT}
+        SELECT obj AS object, obj AS name, '/objects/pointset/1.3.0/pointset.schema.json' AS schema, min(z) FILTER (WHERE {_valid('x', 'y', 'z')}) AS min_z,
+          max(z) FILTER (WHERE {_valid('x', 'y', 'z')}) AS max_z, count(*) AS points, count(DISTINCT coalesce(o_orderpriority, '')) AS categories,
+          count(*) AS codes, 'continuous' AS second_type, count(*) AS "values" FROM built GROUP BY obj""",
+    "array_slice": f"""WITH {_coded('e', 'event_id', 'event_type', f'({EV_XYZ}) t')}, s AS (SELECT * FROM e WHERE pos >= 200 AND pos < 700)
+        SELECT 'coordinates' AS "array", pos, x AS a, y AS b, z AS c FROM s
+        UNION ALL SELECT 'codes:event_type', pos, CAST(k.key AS DOUBLE), NULL, NULL FROM s JOIN e_lk k ON s.v = k.v
+        UNION ALL SELECT 'values:value', pos, y, NULL, NULL FROM s""",
     "pointset": f"""WITH p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, x, y, z, event_id,
                                 coalesce(event_type, '') AS v FROM ({EV_XYZ}) t), {EV_FIRST}
         SELECT p.pos, p.x, p.y, p.z, ev_lk.key AS event_type FROM p LEFT JOIN ev_lk ON p.v = ev_lk.v""",

@@ -24,6 +24,7 @@ from lithos.operators import quality as Q
 from lithos.operators.encode import category_codes, category_lookup, category_lookups, continuous_values, plan_attributes
 from lithos.operators.position import with_ordered_index
 from lithos.operators.profile import column_profile, sample_rows
+from lithos.plans import batches as B
 from lithos.plans import roles as R
 from lithos.plans.builders import (
     POS, BuiltObject, IntervalConfig, build_downhole_collection, build_downhole_intervals, build_line_segments,
@@ -392,6 +393,109 @@ def q_column_profile(spark, d):
     return ev.unionByName(dl)
 
 
+# --- many objects in one plan -------------------------------------------------------------------
+
+def _segment_pointsets(spark, d) -> B.Batch:
+    return B.build_pointsets(R.segment_points(spark, d), "segment", "x", "y", "z", ["o_orderkey"], ["o_orderpriority", "o_orderkey"])
+
+
+def _customer_collections(spark, d) -> B.Batch:
+    collars, rows = R.customer_holes(spark, d)
+    order = list(R.LINEITEM_ORDER)
+    return B.build_downhole_collections(
+        collars, rows, "owner", "owner", "hole_id", "hole_id", "x", "y", "z", "depth", "azimuth", "dip", [], order,
+        [B.Intervals("assay", rows, "owner", "hole_id", "depth", "to", order, ["l_returnflag", "l_tax"])], invert_z=True)
+
+
+def _brand_segments(spark, d) -> B.Batch:
+    v, s = R.brand_lines(spark, d)
+    return B.build_line_segments(v, s, "p_brand", "p_brand", "x", "y", "z", "start_idx", "end_idx", ["p_partkey"],
+                                 list(R.LINEITEM_ORDER), ["p_type"], ["l_returnflag"])
+
+
+def _supplier_intervals(spark, d) -> B.Batch:
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    df = read_table(spark, d, "lineitem").select(
+        *R.LINEITEM_ORDER, q.alias("from"), (q + n).alias("to"), q.alias("sx"), F.col("l_extendedprice").alias("sy"), (-q).alias("sz"),
+        (q + n).alias("ex"), (-(q + n)).alias("ez"))
+    start, end = ["sx", "sy", "sz"], ["ex", "sy", "ez"]
+    return B.build_downhole_intervals(df, "l_suppkey", "l_orderkey", "from", "to", start, end, start, list(R.LINEITEM_ORDER), ["l_returnflag"])
+
+
+def _stored_arrays(spark, batch: B.Batch) -> tuple[DataFrame, DataFrame]:
+    """(documents, rows of all stored arrays in the long form with their object) of a written batch."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{_uuid.uuid4().hex}"
+    documents = B.write_batch(batch, base)
+    out = None
+    for role in dict.fromkeys(batch.roles.values()):
+        df = spark.read.parquet(f"{base}/{role}")
+        fields = [F.col(f"`{n}`") for n, t in A.ARRAY_FIELDS[role] if t != "string" and n not in ("key", "hole_index")]
+        cols = [*fields, *[F.lit(None)] * (3 - len(fields)), F.col("value") if role == "lookup" else F.lit(None)]
+        one = df.select("object", "array", "pos", *[c.cast(t).alias(n) for c, t, n in zip(
+            cols, ["double", "double", "double", "string"], ["a", "b", "c", "text"])])
+        out = one if out is None else out.unionByName(one)
+    return documents, out
+
+
+def q_pointsets_by_segment(spark, d):
+    """Every array of a pointset per (market segment, nation), as stored."""
+    return _stored_arrays(spark, _segment_pointsets(spark, d))[1]
+
+
+def q_downhole_by_group(spark, d):
+    """Every array of a downhole collection per customer, as stored."""
+    return _stored_arrays(spark, _customer_collections(spark, d))[1]
+
+
+def q_line_segments_by_group(spark, d):
+    """Every array of the line segments per brand whose segments name only vertices of their brand, as stored."""
+    return _stored_arrays(spark, _brand_segments(spark, d))[1]
+
+
+def q_intervals_by_group(spark, d):
+    """Every array of the downhole intervals per supplier, as stored."""
+    return _stored_arrays(spark, _supplier_intervals(spark, d))[1]
+
+
+def q_segment_gate_by_group(spark, d):
+    """Gate of every brand against its own vertices."""
+    return _brand_segments(spark, d).report.select("object", "status", "vertices", "segments", "max_start", "max_end", "bad_start",
+                                                   "bad_end", *BOX, F.size("errors").alias("n_errors"))
+
+
+def q_documents_by_segment(spark, d):
+    """The references in the document of every segment's pointset, with the lengths they state."""
+    documents, _ = _stored_arrays(spark, _segment_pointsets(spark, d))
+    ref = "struct<data string, length bigint>"
+    schema = (f"name string, `schema` string, bounding_box struct<min_z double, max_z double>, locations struct<coordinates {ref}, "
+              f"attributes array<struct<name string, attribute_type string, table {ref}, values {ref}>>>")
+    o = documents.select("object", parse_document("document", schema).alias("o"))
+    return o.select("object", "o.name", "o.schema", "o.bounding_box.min_z", "o.bounding_box.max_z",
+                    F.col("o.locations.coordinates.length").alias("points"),
+                    F.col("o.locations.attributes")[0]["table"]["length"].alias("categories"),
+                    F.col("o.locations.attributes")[0]["values"]["length"].alias("codes"),
+                    F.col("o.locations.attributes")[1]["attribute_type"].alias("second_type"),
+                    F.col("o.locations.attributes")[1]["values"]["length"].alias("values"))
+
+
+def q_array_slice(spark, d):
+    """Rows [200, 700) of three stored arrays of one object, read through their ranges."""
+    batch = B.build_pointsets(_events_xyz(spark, d).withColumns({"one": F.lit("events"), "value": F.col("y")}), "one", "x", "y", "z", ["event_id"],
+                              ["event_type", "value"])
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{_uuid.uuid4().hex}"
+    document = B.write_batch(batch, base)
+    ids = document.select(*[batch.array_id(n).alias(n.replace(":", "_")) for n in batch.roles]).first()  # one object
+    out = None
+    for name in ("coordinates", "codes:event_type", "values:value"):
+        role = batch.roles[name]
+        part = A.read_range(spark, f"{base}/{role}", role, ids[name.replace(":", "_")], 200, 700)
+        fields = [n for n, _ in A.ARRAY_FIELDS[role]]
+        part = part.select(F.lit(name).alias("array"), "pos", *[
+            (F.col(fields[i]) if i < len(fields) else F.lit(None)).cast("double").alias(n) for i, n in enumerate("abc")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- scans ------------------------------------------------------------------------------------
 
 def q_csv_typed_scan(spark, d):

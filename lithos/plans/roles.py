@@ -97,6 +97,41 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
                      *[F.col(c) for c in LINEITEM_ORDER])
 
 
+def segment_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of many objects: the orders of every (market segment, nation); z is missing for orders in progress."""
+    o = read_table(spark, d, "orders")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    key = F.concat(F.lower("c_mktsegment"), F.lit("-"), F.col("c_nationkey").cast("string"))
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        key.alias("segment"), "o_orderkey", F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("double")).alias("z"), "o_orderpriority", "o_orderstatus")
+
+
+def customer_holes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(collars, survey) of many objects: every customer's orders are the holes of one collection."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
+    collars = o.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").cast("string").alias("hole_id"),
+                       F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"), F.lit(0.0).alias("z"))
+    rows = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("owner"), F.col("l_orderkey").cast("string").alias("hole_id"), F.col("l_quantity").alias("depth"),
+        F.col("l_extendedprice").alias("azimuth"), F.col("l_discount").alias("dip"),
+        (F.col("l_quantity") + F.col("l_linenumber")).alias("to"), *LINEITEM_ORDER)
+    return collars, rows
+
+
+def brand_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, segments) of many objects: the parts of every brand, joined by the lines that name one of them."""
+    p = read_table(spark, d, "part")
+    v = p.select("p_brand", "p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"),
+                 F.lit(0.0).alias("z"), "p_type")
+    li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
+    s = li.join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
+        "p_brand", (F.col("l_linenumber") - 1).cast("long").alias("start_idx"), F.col("l_linenumber").cast("long").alias("end_idx"),
+        *LINEITEM_ORDER)
+    return v, s
+
+
 def _schema_of(priority) -> "F.Column":
     expr = None
     for k, v in SCHEMA_BY_PRIORITY.items():

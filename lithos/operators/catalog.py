@@ -24,11 +24,13 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.functions.jsondoc import nesting
 from lithos.functions.refs import data_references
 from lithos.functions.timefmt import iso_timestamp
+from lithos.operators.documents import nodes
 from lithos.operators.position import materialize
 
 OBJECT_META = ("workspace_id", "id", "name", "path", "schema_id", "version_id", "created_at")
@@ -160,8 +162,25 @@ _VERSION = ("workspace_id", "id", "version_id")
 
 
 def document_references(objects: DataFrame) -> DataFrame:
-    """SCL-6: the flat reference rows of documents, document order, repeats kept."""
-    return objects.select(*_VERSION, F.posexplode(data_references("document")).alias("ordinal", "blob_id"))
+    """SCL-6: the flat reference rows of documents, document order, repeats kept.
+
+    Documents whose objects repeat no key are read in sequence. One that does is no VARIANT (which takes a key once),
+    and is descended level by level, as deep as the deepest of them; there the last value of a key counts, with all
+    that lies in it, at the place of the first. A text that is no JSON has no references."""
+    docs = objects.select(*_VERSION, "document").filter(F.col("document").isNotNull())
+    if str(objects.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys", "false")).lower() == "true":
+        plain, rest = docs.limit(0), docs  # a session in which a VARIANT does not tell
+    else:
+        whole = F.try_parse_json("document").isNotNull()
+        plain, rest = docs.filter(whole), docs.filter(~whole)
+    out = plain.select(*_VERSION, F.posexplode(data_references("document")).alias("ordinal", "blob_id"))
+    depth = rest.agg(F.max(nesting("document"))).first()[0]
+    if not depth:
+        return out
+    found = nodes(rest, depth, _VERSION).filter((F.col("key") == "data") & (F.col("kind") == "string"))
+    # the references of one document, whose text is one value
+    place = F.row_number().over(Window.partitionBy(*_VERSION).orderBy("ord")) - 1
+    return out.unionByName(found.select(*_VERSION, place.alias("ordinal"), F.substring("text", F.lit(2), F.length("text")).alias("blob_id")))
 
 
 def object_references(objects: DataFrame, references: DataFrame | None = None) -> DataFrame:

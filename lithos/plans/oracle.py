@@ -3,8 +3,7 @@
 Each statement is written from the operator's definition, independently of the Spark plan:
 window functions where Spark uses the distributed ordered index, plain joins and aggregates
 elsewhere. Types are cast to match the Spark result (row_number is BIGINT, sum of BIGINT is
-HUGEINT in DuckDB). DuckDB's regex has no look-behind, so the reference extraction is checked
-on documents built without escapes.
+HUGEINT in DuckDB). References and faults of documents are stated from what the documents were made of.
 """
 
 from __future__ import annotations
@@ -436,6 +435,25 @@ SQL: dict[str, str] = {
         SELECT (SELECT count(*) FROM one WHERE (SELECT ok FROM ok)) AS objects_copied,
                (SELECT count(*) FROM one WHERE NOT (SELECT ok FROM ok)) AS objects_failed,
                CAST(CASE WHEN (SELECT ok FROM ok) THEN (SELECT n FROM ok) ELSE 0 END AS BIGINT) AS data_blobs_copied""",
+    "nested_references": f"""WITH {OBJ}, o AS (SELECT obj.*, orders.o_custkey, CASE WHEN obj.o_orderstatus = 'F' THEN 1 ELSE 0 END AS again
+          FROM obj JOIN orders ON obj.o_orderkey = orders.o_orderkey),
+        r AS (SELECT workspace_id, id, version_id, 0 AS ordinal, 'esc-' || version_id AS blob_id FROM o
+          UNION ALL SELECT workspace_id, id, version_id, 1, 'kept-' || version_id FROM o WHERE again = 1
+          UNION ALL SELECT workspace_id, id, version_id, 1 + again, 'deep-' || CAST(o_custkey AS VARCHAR) FROM o
+          UNION ALL SELECT workspace_id, id, version_id, 2 + again + ordinal, refs.blob_id FROM o JOIN refs ON refs.l_orderkey = o.o_orderkey)
+        SELECT workspace_id, id, version_id, CAST(ordinal AS INTEGER) AS ordinal, blob_id FROM r""",
+    "document_problems": f"""WITH {OBJ}, o AS (SELECT obj.*, orders.o_orderpriority AS p FROM obj JOIN orders ON obj.o_orderkey = orders.o_orderkey),
+        l AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI}) - 1 AS i FROM lineitem),
+        f AS (SELECT id, version_id, 'wrong type' AS problem, '/locations/coordinates/data' AS "at", 'string' AS expected, 'integer' AS found
+            FROM o WHERE o_orderstatus = 'F'
+          UNION ALL SELECT id, version_id, 'missing', '/bounding_box/min_z', 'number or integer', 'null' FROM o WHERE o_orderstatus = 'P'
+          UNION ALL SELECT id, version_id, 'missing', '/coordinate_reference_system', 'string or object', NULL FROM o WHERE p = '5-LOW'
+          UNION ALL SELECT id, version_id, 'unknown', '/note', NULL, 'object' FROM o WHERE p = '1-URGENT'
+          UNION ALL SELECT id, version_id, 'missing', '/locations/attributes/' || CAST(i AS VARCHAR) || '/key', 'string', NULL
+            FROM o JOIN l ON l_orderkey = o_orderkey WHERE l_linenumber = 3
+          UNION ALL SELECT id, version_id, 'wrong type', '/locations/attributes/' || CAST(i AS VARCHAR) || '/values/length', 'integer', 'string'
+            FROM o JOIN l ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')
+        SELECT id, version_id, 'pointset' AS object_type, problem, "at", expected, found FROM f""",
     "schema_conformance": f"""WITH {OBJ},
         req(object_type, parameter) AS (VALUES {_conformance_values()}),
         has_lines AS (SELECT DISTINCT l_orderkey FROM lineitem)

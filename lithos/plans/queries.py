@@ -35,7 +35,7 @@ from lithos.plans.csv_objects import (
     pointset_from_csv,
 )
 from lithos.plans.preview import preview_csv
-from lithos.plans.schemas import conformance
+from lithos.plans.schemas import conformance, document_problems
 from lithos.session import ensure_checkpoint_dir
 from lithos.sources.csv_scan import read_typed_csv
 from lithos.sources.files import list_files as _list_files
@@ -704,6 +704,16 @@ def q_copy_object(spark, d):
     return res["counts"]
 
 
+def q_nested_references(spark, d):
+    """References of documents that nest twelve levels, escape a key and repeat keys."""
+    return C.document_references(R.nested_documents(spark, d))
+
+
+def q_document_problems(spark, d):
+    """Every fault of nested documents: wrong types, missing inner fields, surplus fields."""
+    return document_problems(R.flawed_documents(spark, d))
+
+
 def q_schema_conformance(spark, d):
     cur = C.current_versions(R.objects(spark, d))
     return conformance(cur)

@@ -132,6 +132,45 @@ def brand_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, s
 
 
+def _order_documents(spark: SparkSession, d: str, line, document) -> DataFrame:
+    """Object versions with documents of their own making: one per order, ``document`` over ``lines`` (the JSON texts
+    of the order's lines, made by ``line`` and joined by commas)."""
+    li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
+    lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct(*LINEITEM_ORDER, line.alias("json")))), lambda x: x["json"]), ",").alias("lines"))
+    return _versions(spark, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn(
+        "lines", F.coalesce("lines", F.lit(""))).select(
+        "workspace_id", _id().alias("id"), F.col("o_orderkey").cast("string").alias("version_id"), F.lit("pointset").alias("schema_id"),
+        document.alias("document"))
+
+
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with references twelve levels down, under a key written with an escape, and (finished orders) under
+    keys that are repeated."""
+    line = F.format_string('{"data":"blob-%d","length":%d}', F.col("l_partkey"), F.col("l_linenumber"))
+    key = F.col("o_orderkey").cast("string")
+    again = F.col("o_orderstatus") == "F"
+    deep = F.concat(F.lit('"l1":' + "".join(f'{{"l{i}":' for i in range(2, 12)) + '{"data":"deep-'), F.col("o_custkey").cast("string"),
+                    F.lit('"}' + "}" * 10))
+    return _order_documents(spark, d, line, F.concat(
+        F.lit('{"name":"\\"data\\":\\"no\\"","d\\u0061ta":"esc-'), key, F.lit('",'), F.when(again, '"part":{"data":"lost","x":[{"data":"lost"}]},').otherwise(""),
+        deep, F.lit(',"parts":['), F.col("lines"), F.lit("]"),
+        F.when(again, F.concat(F.lit(',"part":{"data":{"data":"kept-'), key, F.lit('"}}'))).otherwise(""), F.lit("}")))
+
+
+def flawed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of pointsets with faults of every kind, by order status and priority and by line."""
+    line = F.concat(F.lit('{"name":"a",'), F.when(F.col("l_linenumber") != 3, '"key":"a",').otherwise(""), F.lit('"attribute_type":"category","values":{"data":"v","length":'),
+                    F.when(F.col("l_returnflag") == "R", '"7"').otherwise("7"), F.lit("}}"))
+    data = F.when(F.col("o_orderstatus") == "F", "17").otherwise('"c"')
+    box = ",".join(f'"{b}_{a}":1.5' for a in "xy" for b in ("min", "max"))
+    return _order_documents(spark, d, line, F.concat(
+        F.lit('{"name":"n","schema":"s","bounding_box":{' + box + ',"min_z":'), F.when(F.col("o_orderstatus") == "P", "null").otherwise("0"),
+        F.lit(',"max_z":2},'), F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise('"coordinate_reference_system":"unspecified",'),
+        F.when(F.col("o_orderpriority") == "1-URGENT", '"note":{"by":{"name":"x"}},').otherwise(""),
+        F.lit('"locations":{"coordinates":{"data":'), data, F.lit(',"length":3},"attributes":['), F.col("lines"), F.lit("]}}")))
+
+
 def _schema_of(priority) -> "F.Column":
     expr = None
     for k, v in SCHEMA_BY_PRIORITY.items():

@@ -1,4 +1,4 @@
-"""Object-type catalog as data (OBJ-8) and document conformance (OBJ-7).
+"""Object-type catalog as data (OBJ-8) and document conformance (OBJ-7), top-level and at every depth.
 
 The catalog is a small static dimension ``(object_type, parameter, required)``. For the four
 types built here the fields are the ones the builders write (the prose catalog of the
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.jsondoc import document_keys
+from lithos.operators.documents import nodes
 
 # Base fields of every object document.
 BASE_REQUIRED = ("name", "uuid", "bounding_box", "coordinate_reference_system", "schema")
@@ -62,6 +63,69 @@ DOCUMENTED_FIELDS = {
 }
 
 
+# Nested fields of the documents of the four built types, as (path below the parent, kinds, required).
+# An array's items are the step [].
+_REFERENCE = (("/data", "string", True), ("/length", "integer", False))
+_ATTRIBUTES = (("", "array", False), ("/[]", "object", False), ("/[]/name", "string", True), ("/[]/key", "string", True),
+               ("/[]/attribute_type", "string", True), ("/[]/nan_description", "object", False),
+               ("/[]/nan_description/values", "array", False), ("/[]/nan_description/values/[]", "number integer", False),
+               *((f"/[]/{t}{p}", k, r) for t, q in (("table", False), ("values", True))
+                 for p, k, r in (("", "object", q), *_REFERENCE)))
+_BOX = ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
+_BASE_NODES = (
+    ("/name", "string", True), ("/uuid", "string", False), ("/description", "string", False), ("/schema", "string", True),
+    ("/tags", "object *", False), ("/extensions", "object *", False), ("/lineage", "object *", False),
+    ("/coordinate_reference_system", "string object *", True), ("/bounding_box", "object", True),
+    *((f"/bounding_box/{b}", "number integer", True) for b in _BOX))
+
+
+def _under(parent: str, nodes, required: bool | None = None):
+    """``nodes`` below ``parent``; ``required`` overrides that of the first."""
+    return tuple((parent + p, k, r if required is None or i else required) for i, (p, k, r) in enumerate(nodes))
+
+
+def _ref(parent: str, required: bool = True):
+    return _under(parent, (("", "object", required), *_REFERENCE))
+
+
+_HOLE_ID = lambda parent: ((parent, "object", True), *_ref(f"{parent}/table"), *_ref(f"{parent}/values"))
+_INTERVALS = lambda parent: ((f"{parent}/intervals", "object", True), *_ref(f"{parent}/intervals/start_and_end"))
+
+TYPE_NODES = {
+    "pointset": (("/locations", "object", True), *_ref("/locations/coordinates"), *_under("/locations/attributes", _ATTRIBUTES)),
+    "line-segments": (("/segments", "object", True), *(n for t in ("vertices", "indices") for n in (
+        *_ref(f"/segments/{t}"), *_under(f"/segments/{t}/attributes", _ATTRIBUTES)))),
+    "downhole-collection": (
+        ("/location", "object", True), *(n for t in ("coordinates", "distances", "path", "holes") for n in _ref(f"/location/{t}")),
+        *_HOLE_ID("/location/hole_id"), ("/collections", "array", False), ("/collections/[]", "object", False),
+        ("/collections/[]/name", "string", True), ("/collections/[]/from_to", "object", True), *_INTERVALS("/collections/[]/from_to"),
+        *_under("/collections/[]/from_to/attributes", _ATTRIBUTES), *_under("/collections/[]/attributes", _ATTRIBUTES),
+        *_ref("/collections/[]/holes")),
+    "downhole-intervals": (
+        *(n for t in ("start", "end", "mid_points") for n in ((f"/{t}", "object", True), *_ref(f"/{t}/coordinates"))),
+        ("/from_to", "object", True), *_INTERVALS("/from_to"), *_HOLE_ID("/hole_id"), ("/is_composited", "boolean", True),
+        *_under("/attributes", _ATTRIBUTES)),
+}
+
+
+def schema_rows() -> list[tuple[str, str, str, list[str], bool, bool]]:
+    """(object_type, path, parent, kinds, required, open) of every field of the built types, at any depth. ``open``:
+    an object whose keys are free."""
+    rows = []
+    for t, own in TYPE_NODES.items():
+        rows.append((t, "", None, ["object"], True, False))
+        for path, kinds, required in _BASE_NODES + own:
+            words = kinds.split()
+            rows.append((t, path, path.rpartition("/")[0], [w for w in words if w != "*"], required, "*" in words))
+    return rows
+
+
+def schema_table(spark: SparkSession) -> DataFrame:
+    """``schema_rows`` as a DataFrame; a static dimension of some 200 rows."""
+    return spark.createDataFrame(schema_rows(), "object_type string, path string, parent string, kinds array<string>, "
+                                                "required boolean, open boolean")
+
+
 def catalog_rows() -> list[tuple[str, str, bool, str]]:
     """(object_type, parameter, required, source) for every documented type; the four built
     types use the fields their builders write (source 'builder')."""
@@ -78,6 +142,55 @@ def object_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(catalog_rows(), "object_type string, parameter string, required boolean, source string")
 
 
+def document_problems(objects: DataFrame, type_col: str = "schema_id") -> DataFrame:
+    """OBJ-7 at every depth: (id, version_id, object_type, problem, at, expected, found) for every fault of a document.
+
+    * ``missing``: a required field that its object lacks, in every item of an array; a null counts as absent
+    * ``wrong type``: a value of another kind than the schema's (``at`` names the value)
+    * ``unknown``: a field that the schema does not have there, once, at its top
+    * ``invalid``: a text that is no JSON; ``unknown type``: an object type without a schema
+
+    The schema is a table of (type, path, kinds, required); the documents are flattened to its depth and meet it in
+    broadcast joins of that table, so that no document is shuffled."""
+    schema = schema_rows()
+    depth = 1 + max(path.count("/") for _, path, *_ in schema)
+    table = schema_table(objects.sparkSession)
+    known = sorted({r[0] for r in schema})
+    docs = objects.select("id", "version_id", F.col(type_col).alias("object_type"), "document")
+    rows = nodes(docs.where(F.col("object_type").isin(*known)), depth, ["id", "version_id", "object_type"])
+    # the schema's word for every node and for its parent; the children an object must have
+    own = table.select("object_type", "path", F.col("kinds").alias("__kinds"), F.col("open").alias("__open"), F.col("required").alias("__required"))
+    above = table.select("object_type", F.col("path").alias("parent"), F.col("kinds").alias("__above"), F.col("open").alias("__above_open"))
+    must = table.filter("required and parent is not null").groupBy("object_type", F.col("parent").alias("path")).agg(
+        F.collect_list(F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "kinds")).alias("__must"))
+    rows = rows.join(F.broadcast(own), ["object_type", "path"], "left").join(F.broadcast(above), ["object_type", "parent"], "left") \
+        .join(F.broadcast(must), ["object_type", "path"], "left")
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+
+    def fault(problem: str, at, expected, found):
+        return F.struct(F.lit(problem).alias("problem"), at.alias("at"), expected.alias("expected"), found.alias("found"))
+
+    fits = F.array_contains("__kinds", kind)
+    wrong = F.when(F.col("__kinds").isNotNull() & ~fits & ~kind.isin("null", "invalid"),
+                   fault("wrong type", F.col("at"), F.array_join("__kinds", " or "), kind))
+    empty = F.when(F.col("__required") & (kind == "null"), fault("missing", F.col("at"), F.array_join("__kinds", " or "), kind))
+    # below an open object, an unknown field or a value of the wrong kind nothing is unknown any more
+    unknown = F.when(F.col("__kinds").isNull() & F.col("__above").isNotNull() & ~F.col("__above_open")
+                     & F.array_contains("__above", F.when(F.col("path").endswith("/[]"), "array").otherwise("object")),
+                     fault("unknown", F.col("at"), none, kind))
+    broken = F.when(kind == "invalid", fault("invalid", F.col("at"), F.lit("object"), none))
+    absent = F.when(kind == "object", F.transform(
+        F.filter("__must", lambda m: ~F.array_contains(F.col("keys"), m["name"])),
+        lambda m: F.struct(F.lit("missing").alias("problem"), F.concat(F.col("at"), F.lit("/"), m["name"]).alias("at"),
+                           F.array_join(m["kinds"], " or ").alias("expected"), none.alias("found"))))
+    found = F.concat(F.filter(F.array(wrong, empty, unknown, broken), lambda f: f.isNotNull()), F.coalesce(absent, F.array()))
+    out = rows.select("id", "version_id", "object_type", F.explode(found).alias("f")).select(
+        "id", "version_id", "object_type", "f.problem", "f.at", "f.expected", "f.found")
+    other = docs.where(F.col("object_type").isNull() | ~F.col("object_type").isin(*known)).select(
+        "id", "version_id", "object_type", F.lit("unknown type").alias("problem"), F.lit("").alias("at"), none.alias("expected"), none.alias("found"))
+    return out.unionByName(other)
+
+
 def conformance(objects: DataFrame, type_col: str = "schema_id") -> DataFrame:
     """(id, version_id, object_type, missing_field): required fields absent from a document.
 

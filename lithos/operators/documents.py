@@ -1,8 +1,11 @@
-"""Object documents as rows: every value of a JSON text with its path and kind, in document order.
+"""Object documents as rows: every value of a JSON text with its path and kind.
 
-A document is descended level by level inside one plan: each step is one generator that hands on a value itself and
-its children, so the documents are scanned once and nothing is shuffled. The steps read nested values as text, which
-keeps the order of keys, keys written with escapes, and repeated keys (the last value counts).
+Two ways down, both inside one plan and without a shuffle:
+
+* ``fields`` parses a document into a VARIANT and opens one level a branch of a union. That is quick, but a VARIANT
+  sorts the keys of an object and refuses one that repeats a key.
+* ``nodes`` hands on a value and its children step by step and reads nested values as text, which keeps the order of
+  keys and repeated keys (the last value counts). It takes documents of any kind.
 """
 
 from __future__ import annotations
@@ -15,6 +18,39 @@ from pyspark.sql import functions as F
 from lithos.functions.jsondoc import marked, marked_children, marked_kind
 
 
+_COLUMNS = ("at", "path", "parent", "key", "kind", "keys")
+
+
+def variant_kind(v) -> Column:
+    """Kind of a VARIANT value: object, array, string, number, integer, boolean, null."""
+    name = F.schema_of_variant(v)
+    return (F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string")
+            .when(name == "VOID", "null").when(name == "BOOLEAN", "boolean")
+            .when((name == "BIGINT") | name.endswith(",0)"), "integer").otherwise("number"))
+
+
+def fields(documents: DataFrame, depth: int, keep: Sequence[str] = ("id", "version_id"), doc_col: str = "document") -> DataFrame:
+    """``keep`` and ``at``, ``path``, ``parent``, ``key``, ``kind``, ``keys`` (as of :func:`nodes`) of every value down to
+    ``depth`` levels, for documents that repeat no key; in no order."""
+    none = F.lit(None).cast("string")
+    level = documents.select(*keep, F.lit("").alias("at"), F.lit("").alias("path"), none.alias("parent"), none.alias("key"),
+                             F.try_parse_json(doc_col).alias("v"))
+    out = None
+    for i in range(depth + 1):
+        one = level.select(*keep, "at", "path", "parent", "key", variant_kind(F.col("v")).alias("kind"),
+                           F.map_keys(F.col("v").try_cast("map<string,variant>")).alias("keys"))
+        out = one if out is None else out.unionByName(one)
+        if i < depth:
+            e = documents.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
+                F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__value"))
+            below = level.lateralJoin(e)
+            level = below.select(
+                *keep, F.concat("at", F.lit("/"), F.coalesce(_escaped(F.col("__key")), F.col("__pos").cast("string"))).alias("at"),
+                F.concat("path", F.lit("/"), F.coalesce(_escaped(F.col("__key")), F.lit("[]"))).alias("path"),
+                F.col("path").alias("parent"), F.col("__key").alias("key"), F.col("__value").alias("v"))
+    return out
+
+
 # What a JSON text can be: an object, an array or a string, or one of the short values as a whole.
 _START = r"""^\s*(?:[\[{"]|(?:true|false|null|-?[0-9][0-9.eE+-]*)\s*$)"""
 

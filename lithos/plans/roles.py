@@ -145,6 +145,14 @@ def _order_documents(spark: SparkSession, d: str, line, document) -> DataFrame:
 
 
 def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    return STORE.table(spark, d, "nested_documents", _nested_documents, ("customer", "orders", "lineitem"))
+
+
+def flawed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return STORE.table(spark, d, "flawed_documents", _flawed_documents, ("customer", "orders", "lineitem"))
+
+
+def _nested_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with references twelve levels down, under a key written with an escape, and (finished orders) under
     keys that are repeated."""
     line = F.format_string('{"data":"blob-%d","length":%d}', F.col("l_partkey"), F.col("l_linenumber"))
@@ -158,7 +166,7 @@ def nested_documents(spark: SparkSession, d: str) -> DataFrame:
         F.when(again, F.concat(F.lit(',"part":{"data":{"data":"kept-'), key, F.lit('"}}'))).otherwise(""), F.lit("}")))
 
 
-def flawed_documents(spark: SparkSession, d: str) -> DataFrame:
+def _flawed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents of pointsets with faults of every kind, by order status and priority and by line."""
     line = F.concat(F.lit('{"name":"a",'), F.when(F.col("l_linenumber") != 3, '"key":"a",').otherwise(""), F.lit('"attribute_type":"category","values":{"data":"v","length":'),
                     F.when(F.col("l_returnflag") == "R", '"7"').otherwise("7"), F.lit("}}"))

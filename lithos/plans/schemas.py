@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.jsondoc import document_keys
-from lithos.operators.documents import nodes
+from lithos.operators.documents import fields, nodes
 
 # Base fields of every object document.
 BASE_REQUIRED = ("name", "uuid", "bounding_box", "coordinate_reference_system", "schema")
@@ -150,14 +150,17 @@ def document_problems(objects: DataFrame, type_col: str = "schema_id") -> DataFr
     * ``unknown``: a field that the schema does not have there, once, at its top
     * ``invalid``: a text that is no JSON; ``unknown type``: an object type without a schema
 
-    The schema is a table of (type, path, kinds, required); the documents are flattened to its depth and meet it in
-    broadcast joins of that table, so that no document is shuffled."""
+    The schema is a table of (type, path, kinds, required); the documents are flattened to its depth (those that repeat
+    a key as text, all others through VARIANT) and meet it in broadcast joins of that table, so that no document is
+    shuffled."""
     schema = schema_rows()
     depth = 1 + max(path.count("/") for _, path, *_ in schema)
     table = schema_table(objects.sparkSession)
     known = sorted({r[0] for r in schema})
     docs = objects.select("id", "version_id", F.col(type_col).alias("object_type"), "document")
-    rows = nodes(docs.where(F.col("object_type").isin(*known)), depth, ["id", "version_id", "object_type"])
+    keep, typed = ["id", "version_id", "object_type"], docs.where(F.col("object_type").isin(*known))
+    whole = F.try_parse_json("document").isNotNull()
+    rows = fields(typed.where(whole), depth, keep).unionByName(nodes(typed.where(~whole), depth, keep).drop("text", "ord"))
     # the schema's word for every node and for its parent; the children an object must have
     own = table.select("object_type", "path", F.col("kinds").alias("__kinds"), F.col("open").alias("__open"), F.col("required").alias("__required"))
     above = table.select("object_type", F.col("path").alias("parent"), F.col("kinds").alias("__above"), F.col("open").alias("__above_open"))

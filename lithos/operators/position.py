@@ -172,13 +172,25 @@ def with_file_position(df: DataFrame, name: str = "pos", parquet: bool = True) -
         return out.select(*df.columns, (F.col(_OFF) + F.col("__row")).cast("long").alias(name))
     # Text formats: a split is read by one task in order, and the per-task counter of
     # monotonically_increasing_id is consecutive inside it. The counter is fixed by writing the rows.
-    base = materialize(
-        df.withColumn("__file", F.col("_metadata.file_path"))
-        .withColumn("__block", F.col("_metadata.file_block_start"))
-        .withColumn("__mid", F.monotonically_increasing_id()).drop("_metadata"))
-    per_split = base.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    return with_split_position(materialize(with_split(df)), name)
+
+
+#: Columns that ``with_split`` adds: file, start of the split, place in it.
+SPLIT = ("__file", "__block", "__mid")
+
+
+def with_split(df: DataFrame) -> DataFrame:
+    """A text scan with the hidden ``_metadata`` column, with ``SPLIT`` in its stead. To be written before use."""
+    return (df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__block", F.col("_metadata.file_block_start"))
+            .withColumn("__mid", F.monotonically_increasing_id()).drop("_metadata"))
+
+
+def with_split_position(written: DataFrame, name: str = "pos") -> DataFrame:
+    """Add ``name`` = position in file order (files by path) to written rows with ``SPLIT``, whose places are
+    consecutive inside a split; ``SPLIT`` goes."""
+    per_split = written.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     offsets = with_exclusive_prefix_sum(per_split, ["__file", "__block"], "__n", _OFF).select(
         "__file", "__block", "__first", _OFF)
-    out = base.join(offsets, ["__file", "__block"])
-    keep = [F.col(f"`{c}`") for c in df.columns if c != "_metadata"]
+    out = written.join(offsets, ["__file", "__block"])
+    keep = [F.col(f"`{c}`") for c in written.columns if c not in SPLIT]
     return out.select(*keep, (F.col(_OFF) + F.col("__mid") - F.col("__first")).cast("long").alias(name))

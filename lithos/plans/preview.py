@@ -1,15 +1,16 @@
 """CSV preview (SRC-2 + SRC-1 + AGG-6 + LIM-1): the file-inspection flow as one call.
 
 Returns a dict of small DataFrames, or an error status when the file is missing or does not
-parse. The profile aggregates the whole file; the sample is the head of the first file.
+parse. The profile aggregates the whole file; the sample is its head.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithos.operators.profile import column_profile, sample_rows, table_shape
-from lithos.sources.csv_scan import apply_ladder, read_raw_csv, read_typed_csv, source_status
+from lithos.operators.position import SPLIT
+from lithos.operators.profile import column_profile, table_shape
+from lithos.sources.csv_scan import apply_ladder, check_csv, scan_text, source_status
 
 
 def preview_csv(spark: SparkSession, path: str, max_rows: int = 10, multi_line: bool = False) -> dict[str, DataFrame | str]:
@@ -17,15 +18,12 @@ def preview_csv(spark: SparkSession, path: str, max_rows: int = 10, multi_line:
     if status.status != "ok":
         return {"status": "file_missing", "error": status.error or f"File not found: {path}"}
     try:
-        data = read_typed_csv(spark, path, multi_line=multi_line)
-        types = dict(data.dtypes)
-        # the head of the first file; further files are positioned only where that holds too few rows
-        first = sorted(spark.read.text(path).inputFiles())[:1]
-        head = read_raw_csv(spark, first[0], multi_line=multi_line).limit(max_rows) if first else data.limit(0)
-        sample = apply_ladder(head, types)
-        if first and sample.count() < max_rows:
-            rows = read_typed_csv(spark, path, with_position=True, pos_name="__pos", multi_line=multi_line)
-            sample = sample_rows(rows, ["__pos"], max_rows).drop("__pos")
+        scan = scan_text(spark, path, multi_line)
+        check_csv(scan, path)
+        types = scan.types()
+        data = apply_ladder(scan.rows.drop(*SPLIT), types)
+        # the first rows in file order, kept by every task and merged
+        sample = apply_ladder(scan.rows.orderBy(*SPLIT).limit(max_rows).drop(*SPLIT), types)
     except Exception as e:  # noqa: BLE001 - reported as a status, as the file tools do
         return {"status": "parse_error", "error": str(e)}
     return {

@@ -33,9 +33,12 @@ def test_rows_that_do_not_fit_are_reported(spark, tmp_path):
     with pytest.raises(CsvParseError):
         read_typed_csv(spark, p)
     q = _file(tmp_path, "c.csv", 'id,v\n1,"a\nb"\n2,c\n')
+    for multi_line in (False, True):
+        assert sorted(tuple(r) for r in read_typed_csv(spark, q, multi_line=multi_line).collect()) == [(1, "a\nb"), (2, "c")]
+    r = _file(tmp_path, "d.csv", 'id,v\n1,"a\nb\n2,c\n')
+    assert csv_problems(spark, r)["open_quote"] == 1
     with pytest.raises(CsvParseError):
-        read_typed_csv(spark, q)
-    assert [tuple(r) for r in read_typed_csv(spark, q, multi_line=True).collect()] == [(1, "a\nb"), (2, "c")]
+        read_typed_csv(spark, r)
 
 
 def test_ids_with_a_blank_stay_text(spark, tmp_path):

@@ -87,6 +87,32 @@ def check_index_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(_bad_pair())
 
 
+_MANIFEST = "request string, array_id string, role string, length bigint"
+
+
+def _manifest(base_path: str) -> str:
+    return f"{base_path.rstrip('/')}/manifest"
+
+
+def record_arrays(spark, base_path: str, request: str, arrays: list[tuple[str, str, int]]) -> None:
+    """Make the arrays of a finished write visible: one manifest row each (array id, role, length), in one file that is
+    there as a whole or not at all."""
+    rows = [(request, *a) for a in arrays]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(_manifest(base_path))
+
+
+def stored_arrays(spark, base_path: str) -> DataFrame:
+    """(request, array_id, role, length) of the arrays whose write was finished; others are not listed."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(_MANIFEST).parquet(_manifest(base_path)).distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
 def ranges_path(target: str) -> str:
     """Where the ranges of a table that ``write_ranged`` wrote are kept."""
     head, _, name = target.rstrip("/").rpartition("/")
@@ -140,7 +166,7 @@ def new_array_id(role: str) -> str:
     return f"{role}-{uuid.uuid4().hex}"
 
 
-def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None = None) -> dict:
+def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None = None, mode: str = "errorifexists") -> dict:
     """Write one array and return its reference ``{data, length}``.
 
     Rows are sorted inside each file by the array's order: position, a hole index by offset then hole
@@ -158,5 +184,5 @@ def write_array(df: DataFrame, base_path: str, role: str, array_id: str | None =
     if order:
         out = out.sortWithinPartitions(*order)
     seen = Observation()
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(target)
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(target)
     return {"data": array_id, "length": seen.get["n"], "path": target}

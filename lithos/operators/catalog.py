@@ -24,7 +24,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions.jsondoc import nesting
@@ -139,15 +139,30 @@ def object_versions(objects: DataFrame, workspace_id, object_id: str = "", objec
         F.col("created_at").desc(), F.col("version_id").desc())
 
 
-def filter_objects(objects: DataFrame, schema_filter: Sequence[str] = (), name_filter: Sequence[str] = ()) -> DataFrame:
-    """FLT-8: IN-list filters; an empty list means no filter. Short lists become ``In``
-    predicates pushed to the scan; a long list is better passed as a DataFrame and semi-joined."""
-    df = objects
-    if schema_filter:
-        df = df.filter(F.col("schema_id").isin(*schema_filter))
-    if name_filter:
-        df = df.filter(F.col("name").isin(*name_filter))
-    return df
+#: Names in one IN predicate; a longer list is joined.
+SHORT_LIST = 200
+
+
+def _matching(df: DataFrame, column: str, wanted) -> DataFrame:
+    """Rows whose ``column`` is one of ``wanted``: names, or a DataFrame with one column of them."""
+    if isinstance(wanted, DataFrame):
+        names = wanted.select(F.col(f"`{wanted.columns[0]}`").cast("string").alias(column))
+    elif not wanted:
+        return df
+    elif len(wanted) <= SHORT_LIST:
+        return df.filter(F.col(column).isin(*wanted))
+    else:
+        names = df.sparkSession.createDataFrame([(w,) for w in wanted], f"{column} string")
+    # Every text is >= ''; the comparison marks the list as the thinning side, for which Spark puts a Bloom filter of its
+    # names (of bounded size) on a large scan, so that few rows reach the join's shuffle.
+    return df.join(names.filter(F.col(column) >= ""), column, "left_semi")
+
+
+def filter_objects(objects: DataFrame, schema_filter: Sequence[str] | DataFrame = (),
+                   name_filter: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """FLT-8: list filters; an empty list means no filter, an empty DataFrame matches nothing. Short lists become ``In``
+    predicates pushed to the scan; a longer one, or a DataFrame of any size, is a semi join."""
+    return _matching(_matching(objects, "schema_id", schema_filter), "name", name_filter)
 
 
 def workspace_summary(objects: DataFrame, include_deleted: bool = False) -> DataFrame:
@@ -313,19 +328,79 @@ def copy_object(objects: DataFrame, blobs: DataFrame, source_workspace_id, targe
     return _copied(src, blobs, references, target_workspace_id, repeats=True)
 
 
+def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Append the rows whose ``keys`` the stored table lacks; the rows appended are returned. The table is partitioned
+    by workspace, and only the partitions the rows belong to are looked at. The new rows are fixed in the checkpoint
+    folder before the table is touched, so a second run, or a retry after a failure, adds nothing twice; one of rows with
+    equal keys is kept."""
+    rows = rows.dropDuplicates(list(keys))
+    stored = stored_table(rows.sparkSession, path, rows.schema)
+    if stored is not None:
+        wanted = rows.select("workspace_id").distinct()
+        held = stored.join(wanted, "workspace_id", "left_semi").select(*keys)
+        rows = rows.join(held, list(keys), "left_anti")
+    rows = materialize(rows)
+    rows.write.mode("append").partitionBy("workspace_id").parquet(path)
+    return rows
+
+
+def stored_table(spark, path: str, schema) -> DataFrame | None:
+    """A table written by ``append_new``; None where there is none yet. Its types are given, as those of partition
+    folders would be guessed."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - listing only
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return spark.read.schema(schema).parquet(path)
+
+
+def object_key(*parts: Column) -> Column:
+    """An object's id from what names it: the same parts give the same id, in any run."""
+    return F.substring(F.sha2(F.to_json(F.array(*parts)), 256), 1, 32)
+
+
 def append_objects(new_objects: DataFrame, objects_path: str, created_by: str = "lithos") -> DataFrame:
-    """SNK-10: append new object versions to the stored ``objects`` table.
+    """SNK-10: append object versions to the stored ``objects`` table; safe to repeat.
 
-    Each row gets a fresh object id, a version id that is the SHA-256 of its document, and the append time;
-    ``uuid`` inside the document stays unset (the store assigns identity). The rows are written with their
-    ids to the checkpoint folder first, so the ids returned are the ids stored, whoever else appends. The
-    table is partitioned by workspace, so listings prune to one folder. Returns the appended metadata rows
-    (id, name, path, version_id, created_at).
+    An object is named by its workspace and path, which give its id; a version by the SHA-256 of its document. What
+    the table holds already is not appended again, so a retry leaves one object, and another document at the same path
+    is a further version of it. ``uuid`` inside the document stays unset (the store assigns identity). The table is
+    partitioned by workspace, so listings prune to one folder. Returns the metadata rows of all given versions (id,
+    name, path, version_id, created_at), whether appended now or before.
     """
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = materialize(new_objects.select(
-        "workspace_id", F.expr("uuid()").alias("id"), "name", "path", "schema_id",
+    rows = new_objects.select(
+        "workspace_id", object_key(F.col("workspace_id"), F.col("path")).alias("id"), "name", "path", "schema_id",
         F.sha2("document", 256).alias("version_id"), F.lit(now).alias("created_at"),
-        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document"))
-    rows.write.mode("append").partitionBy("workspace_id").parquet(objects_path)
-    return rows.select("workspace_id", "id", "name", "path", "version_id", iso_timestamp("created_at").alias("created_at"))
+        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document")
+    append_new(rows, objects_path, _VERSION)
+    stored = stored_table(rows.sparkSession, objects_path, rows.schema)
+    return stored.join(rows.select(*_VERSION).distinct(), list(_VERSION), "left_semi").select(
+        "workspace_id", "id", "name", "path", "version_id", iso_timestamp("created_at").alias("created_at"))
+
+
+def store_copies(copied: dict[str, DataFrame], base_path: str, source_workspace_id, created_at: _dt.datetime,
+                 created_by: str = "lithos") -> dict[str, DataFrame]:
+    """CAT-3/CAT-4: put what ``copy_object`` or ``duplicate_workspace`` found into the target's stored tables.
+
+    A copy's id is derived from (source workspace, source id, target workspace), its version from the source version,
+    so every run names it alike. References are given the copy's id through the map from source to target. Blobs are
+    written first, then references, then the objects, each without what its table holds: an object is listed only when
+    all it refers to is there, and a second run adds nothing. Returns the rows added: objects, references, blobs."""
+    base = base_path.rstrip("/")
+    src = F.lit(source_workspace_id) if isinstance(source_workspace_id, str) else source_workspace_id
+    rows = copied["new_objects"]
+    target = object_key(src, F.col("source_id"), F.col("workspace_id"))
+    version = F.substring(F.sha2(F.to_json(F.array(target, F.col("source_version_id"))), 256), 1, 32)
+    ids = materialize(rows.select("workspace_id", "source_id", "source_version_id", target.alias("id"), version.alias("version_id")))
+    blobs = append_new(copied["new_blobs"], f"{base}/blobs", ["workspace_id", "blob_id"])
+    references = append_new(copied["new_references"].join(ids, ["source_id", "source_version_id"]).select(
+        *_VERSION, "ordinal", "blob_id"), f"{base}/references", [*_VERSION, "ordinal"])
+    objects = append_new(rows.join(ids, ["workspace_id", "source_id", "source_version_id"]).select(
+        "workspace_id", "id", "name", "path", "schema_id", "version_id", F.lit(created_at).alias("created_at"),
+        F.lit(created_by).alias("created_by"), F.lit(False).alias("deleted"), "document"), f"{base}/objects", _VERSION)
+    return {"objects": objects, "references": references, "blobs": blobs}

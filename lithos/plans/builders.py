@@ -13,6 +13,7 @@ Row order: ``pos_col`` names a column that numbers the rows 0, 1, 2, ... (the ga
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid as _uuid
 from collections.abc import Sequence
@@ -463,17 +464,30 @@ def build_downhole_intervals(df: DataFrame, hole_id: str, from_col: str, to_col:
     return built
 
 
-def write_object(built: BuiltObject, base_path: str) -> DataFrame:
+def write_object(built: BuiltObject, base_path: str, request: str | None = None) -> DataFrame:
     """Write every array of ``built`` under ``base_path`` and return the document row, in which every array
-    reference has the length that was written."""
+    reference has the length that was written.
+
+    A ``request`` (one text for one creation, whatever the number of attempts) makes the write safe to repeat: array ids
+    follow from it, what an attempt left half-written is replaced, and once the arrays are in the manifest
+    (``arrays.stored_arrays``), which is written last, a further attempt writes nothing."""
+    spark, names = built.report.sparkSession, {aid: aid for aid in built.arrays}
+    if request is not None:
+        names = {aid: f"{built.array_roles[aid]}-{hashlib.sha256(f'{request}/{i}'.encode()).hexdigest()[:32]}"
+                 for i, aid in enumerate(built.arrays)}
+    done = {} if request is None else {r["array_id"]: r["length"] for r in A.stored_arrays(spark, base_path).filter(
+        F.col("request") == request).collect()}  # the few arrays of one object
     lengths = {}
-    for aid in list(built.arrays):
-        lengths[aid] = A.write_array(built.array(aid), base_path, built.array_roles[aid], aid)["length"]
+    for aid, name in names.items():
+        lengths[aid] = done[name] if name in done else A.write_array(
+            built.array(aid), base_path, built.array_roles[aid], name, "errorifexists" if request is None else "overwrite")["length"]
+    if set(names.values()) - set(done):
+        A.record_arrays(spark, base_path, request or _uuid.uuid4().hex, [(names[a], built.array_roles[a], lengths[a]) for a in names])
 
     def fill(node):
         if isinstance(node, dict):
             if node.get("data") in lengths:
-                node["length"] = lengths[node["data"]]
+                node["length"], node["data"] = lengths[node["data"]], names[node["data"]]
             for v in node.values():
                 fill(v)
         elif isinstance(node, list):
@@ -482,23 +496,24 @@ def write_object(built: BuiltObject, base_path: str) -> DataFrame:
 
     document = json.loads(built.document.first()["document"])  # one row: names, box and references
     fill(document)
-    return built.report.sparkSession.createDataFrame([(json.dumps(document),)], "document string")
+    return spark.createDataFrame([(json.dumps(document),)], "document string")
 
 
 def create_object(built: BuiltObject, arrays_path: str, objects_path: str, workspace_id: str, object_path: str,
-                  dry_run: bool = True) -> dict:
-    """OBJ-5/9 + SNK-10: the build-and-create flow as one report.
+                  dry_run: bool = True, request: str | None = None) -> dict:
+    """OBJ-5/9 + SNK-10: the build-and-create flow as one report. With a ``request`` it can be repeated after a failure
+    (``write_object``): the same arrays, one object, one version.
 
     * ``dry_run`` (default): the gate aggregate only, status ``validation_passed`` or
       ``validation_failed``; no sink is touched.
     * otherwise a failed gate stops here; the document is checked against the object catalog
-      (``schema_validation_failed`` when required fields are missing); then every array is
+      and the schema of its type at every depth (``schema_validation_failed`` with the faults found); then every array is
       written and the document appended (``created``), or ``creation_failed`` with the error.
 
     Only the one-row report and the one-row conformance result reach the driver.
     """
     from lithos.operators.catalog import append_objects
-    from lithos.plans.schemas import conformance
+    from lithos.plans.schemas import conformance, document_problems
 
     try:
         report = built.report.first().asDict(recursive=True)
@@ -513,8 +528,11 @@ def create_object(built: BuiltObject, arrays_path: str, objects_path: str, works
     missing = [r["missing_field"] for r in conformance(doc).filter(F.col("missing_field") != "uuid").collect()]
     if missing:
         return {**result, "status": "schema_validation_failed", "error": f"missing fields: {missing}"}
+    faults = [f"{r['problem']} at {r['at']}: {r['found']}" for r in document_problems(doc).collect()]  # of one document
+    if faults:
+        return {**result, "status": "schema_validation_failed", "error": f"document: {faults}"}
     try:
-        document = write_object(built, arrays_path)
+        document = write_object(built, arrays_path, request)
         name = F.get_json_object("document", "$.name")
         meta = append_objects(document.select(
             F.lit(workspace_id).alias("workspace_id"), name.alias("name"), F.lit(object_path).alias("path"),

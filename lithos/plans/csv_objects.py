@@ -38,15 +38,16 @@ class SourceError(Exception):
 
 
 def load(spark: SparkSession, path: str, what: str, text_columns: Sequence[str] = (),
-         multi_line: bool = False) -> tuple[DataFrame, str]:
-    """(typed rows, name of the added file-order column); SourceError if there are none to be had."""
+         multi_line: bool = False, ordered: bool = True) -> tuple[DataFrame, str]:
+    """(typed rows, name of the added file-order column, left out unless ``ordered``); SourceError if there are none to
+    be had."""
     status = source_status(spark, path)
     if status.status != "ok":
         raise SourceError(f"{what}: {status.error}")
     try:
         names = spark.read.option("header", True).csv(path).columns
         pos = next(p for p in ("row", *(f"row_{i}" for i in range(len(names) + 1))) if p not in names)
-        return read_typed_csv(spark, path, with_position=True, pos_name=pos, text_columns=text_columns, multi_line=multi_line), pos
+        return read_typed_csv(spark, path, with_position=ordered, pos_name=pos, text_columns=text_columns, multi_line=multi_line), pos
     except (CsvParseError, PySparkException) as e:
         raise SourceError(f"{what}: {e}") from e
 

@@ -435,6 +435,22 @@ SQL: dict[str, str] = {
         SELECT (SELECT count(*) FROM one WHERE (SELECT ok FROM ok)) AS objects_copied,
                (SELECT count(*) FROM one WHERE NOT (SELECT ok FROM ok)) AS objects_failed,
                CAST(CASE WHEN (SELECT ok FROM ok) THEN (SELECT n FROM ok) ELSE 0 END AS BIGINT) AS data_blobs_copied""",
+    "duplicate_then_list": f"""WITH {_dup_ctes(())},
+        have AS (SELECT blob_id FROM blobs WHERE workspace_id IN ('{SOURCE_WS}', '{TARGET_WS}')),
+        n AS (SELECT s.id, count(*) AS n, count(*) FILTER (WHERE r.blob_id IN (SELECT blob_id FROM have)) AS h
+              FROM ok s JOIN refs r ON r.l_orderkey = s.o_orderkey GROUP BY s.id)
+        SELECT substr(sha256('["{SOURCE_WS}","' || ok.id || '","{TARGET_WS}"]'), 1, 32) AS id, name, path, schema_id, '{SNAPSHOT_TIME}' AS created_at,
+               coalesce(n.n, 0) AS n_references, coalesce(n.h, 0) AS n_held FROM ok LEFT JOIN n ON ok.id = n.id""",
+    "duplicate_twice": f"""WITH {_dup_ctes(())},
+        fresh AS (SELECT blob_id FROM ok_refs WHERE blob_id NOT IN (SELECT blob_id FROM blobs WHERE workspace_id = '{TARGET_WS}')),
+        c AS (SELECT 'objects' AS "table", (SELECT count(*) FROM ok) AS n
+              UNION ALL SELECT 'references', (SELECT count(*) FROM ok s JOIN refs r ON r.l_orderkey = s.o_orderkey)
+              UNION ALL SELECT 'blobs', (SELECT count(*) FROM fresh))
+        SELECT "table", n AS first, CAST(0 AS BIGINT) AS second, n AS held FROM c""",
+    "append_retry": f"""WITH {OBJ} SELECT substr(sha256('["{SOURCE_WS}","' || path || '"]'), 1, 32) AS id, name, path, schema_id,
+        CAST(1 AS BIGINT) AS versions FROM cur WHERE workspace_id = '{SOURCE_WS}'""",
+    "filter_by_names": f"""WITH {OBJ} SELECT id, name, path, schema_id, version_id, {_iso('created_at')} AS created_at FROM cur
+        WHERE name IN (SELECT 'object-' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)""",
     "nested_references": f"""WITH {OBJ}, o AS (SELECT obj.*, orders.o_custkey, CASE WHEN obj.o_orderstatus = 'F' THEN 1 ELSE 0 END AS again
           FROM obj JOIN orders ON obj.o_orderkey = orders.o_orderkey),
         r AS (SELECT workspace_id, id, version_id, 0 AS ordinal, 'esc-' || version_id AS blob_id FROM o

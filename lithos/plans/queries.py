@@ -7,6 +7,7 @@ the operator itself (head sample, list limits).
 
 from __future__ import annotations
 
+import datetime as _dt
 import uuid as _uuid
 from collections.abc import Callable
 
@@ -38,7 +39,6 @@ from lithos.plans.preview import preview_csv
 from lithos.plans.schemas import conformance, document_problems
 from lithos.session import ensure_checkpoint_dir
 from lithos.sources.csv_scan import read_typed_csv
-from lithos.sources.files import list_files as _list_files
 from lithos.sources.tables import read_table
 
 BOX = [f"{b}_{a}" for a in "xyz" for b in ("min", "max")]
@@ -545,8 +545,8 @@ def _csv_holes(spark, d):
 
 def q_csv_hole_distances(spark, d):
     collar, survey = _csv_holes(spark, d)
-    c, _ = load(spark, collar, "collars", ["hole_id"])
-    s, _ = load(spark, survey, "survey", ["hole_id"])
+    c, _ = load(spark, collar, "collars", ["hole_id"], ordered=False)
+    s, _ = load(spark, survey, "survey", ["hole_id"], ordered=False)
     return H.hole_distances(c, s, "hole_id", "hole_id", "depth")
 
 
@@ -596,10 +596,6 @@ def q_pinned_version(spark, d):
     return C.get_object(objects, ws, object_id=oid, version=first)
 
 
-def q_list_files(spark, d):
-    return _list_files(spark, d, "*.parquet", recursive=True).select("relative_path", "name", "size_bytes")
-
-
 # --- catalog ------------------------------------------------------------------------------------
 
 def q_list_workspaces(spark, d):
@@ -704,6 +700,63 @@ def q_copy_object(spark, d):
     return res["counts"]
 
 
+def _target_store(spark, d, runs: int) -> tuple[str, list[dict]]:
+    """(folder, rows that each run adds) of a store into which the source workspace is duplicated ``runs`` times."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{_uuid.uuid4().hex}"
+    added = []
+    for _ in range(runs):
+        copied = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, references=R.references(spark, d))
+        added.append(C.store_copies(copied, base, SOURCE_WS, _dt.datetime.fromisoformat(SNAPSHOT_TIME)))
+    return base, added
+
+
+def q_duplicate_then_list(spark, d):
+    """The copies in the target's stored tables: ids, stored references of each, and how many blobs the target has for them."""
+    base, added = _target_store(spark, d, 1)
+    objects = C.stored_table(spark, f"{base}/objects", added[0]["objects"].schema)
+    references = C.stored_table(spark, f"{base}/references", added[0]["references"].schema)
+    held = C.stored_table(spark, f"{base}/blobs", added[0]["blobs"].schema).unionByName(
+        R.blobs(spark, d).filter(F.col("workspace_id") == TARGET_WS))
+    key = ["workspace_id", "id", "version_id"]
+    n = C.checked_references(objects, held, references).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_references"), F.count_if("held").alias("n_held"))
+    zero = F.lit(0).cast("long")
+    listed = C.object_listing(C.filter_objects(C.current_versions(objects)))
+    return listed.withColumn("workspace_id", F.lit(TARGET_WS)).join(n, key, "left").select(
+        "id", "name", "path", "schema_id", "created_at", F.coalesce("n_references", zero).alias("n_references"),
+        F.coalesce("n_held", zero).alias("n_held"))
+
+
+def q_duplicate_twice(spark, d):
+    """Rows that a first and a second run add to the target, and rows that its tables hold after both."""
+    base, added = _target_store(spark, d, 2)
+    out = None
+    for name in ("objects", "references", "blobs"):
+        counts = [a[name].agg(F.count(F.lit(1))).scalar() for a in added]
+        held = C.stored_table(spark, f"{base}/{name}", added[0][name].schema)
+        one = held.agg(F.count(F.lit(1)).alias("held")).select(
+            F.lit(name).alias("table"), counts[0].alias("first"), counts[1].alias("second"), "held")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_append_retry(spark, d):
+    """Objects of the source workspace appended to a store, twice, as after a failure: what the store lists."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/append-{_uuid.uuid4().hex}"
+    current = C.current_versions(R.objects(spark, d).filter(F.col("workspace_id") == SOURCE_WS))
+    for _ in range(2):
+        C.append_objects(current, path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("id", "name", "path", "schema_id").agg(F.count(F.lit(1)).alias("versions"))
+
+
+def q_filter_by_names(spark, d):
+    """Current objects of all customers with a positive balance, whose names are a table of their own."""
+    names = read_table(spark, d, "customer").filter(F.col("c_acctbal") > 0).select(
+        F.concat(F.lit("object-"), F.col("c_custkey").cast("string")).alias("name"))
+    return C.object_listing(C.filter_objects(C.current_versions(R.objects(spark, d)), name_filter=names))
+
+
 def q_nested_references(spark, d):
     """References of documents that nest twelve levels, escape a key and repeat keys."""
     return C.document_references(R.nested_documents(spark, d))

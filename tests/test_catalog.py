@@ -1,9 +1,10 @@
 """Catalog relations on flat references: any number of them, missing blobs, deleted objects, appends."""
 
-import datetime
+import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lithos.operators import catalog as C
 from lithos.operators.position import intermediates_removed, materialize
@@ -16,7 +17,7 @@ OBJECT = ("workspace_id string, id string, name string, path string, schema_id s
 
 
 def _objects(spark, rows):
-    day = datetime.datetime(2024, 1, 1)
+    day = dt.datetime(2024, 1, 1)
     return spark.createDataFrame([(w, i, f"n{i}", f"/{i}", "pointset", v, day, "u", gone, json.dumps({"parts": [{"data": b} for b in refs]}))
                                   for w, i, v, gone, refs in rows], OBJECT)
 
@@ -38,7 +39,7 @@ def test_a_thousand_references_make_one_object(spark, tmp_path):
     assert C.list_objects(stored, "t").count() == 1
     assert C.object_references(stored).count() == 1000
     again = C.append_objects(res["new_objects"], path).collect()
-    assert len(again) == 1 and again[0]["id"] != appended[0]["id"] and spark.read.parquet(path).count() == 2
+    assert [tuple(r) for r in again] == [tuple(r) for r in appended] and spark.read.parquet(path).count() == 1
 
 
 def test_blobs_are_looked_up_in_their_workspace(spark):
@@ -48,6 +49,60 @@ def test_blobs_are_looked_up_in_their_workspace(spark):
     assert [r["id"] for r in failed.collect()] == ["o1"]
 
 
+def test_another_document_at_the_same_path_is_a_further_version(spark, tmp_path):
+    path = str(tmp_path / "objects")
+    new = lambda *docs: spark.createDataFrame([("1", "n", "/p", "pointset", d) for d in docs],
+                                              "workspace_id string, name string, path string, schema_id string, document string")
+    a = C.append_objects(new("a", "a"), path).collect()
+    b = C.append_objects(new("b"), path).collect()
+    assert len(a) == len(b) == 1 and a[0]["id"] == b[0]["id"] and a[0]["version_id"] != b[0]["version_id"]
+    assert spark.read.schema("workspace_id string, id string").parquet(path).select("workspace_id").distinct().first()[0] == "1"
+    assert C.append_objects(new(), path).count() == 0
+
+
+def test_copies_end_in_the_target_once(spark, tmp_path):
+    objs = _objects(spark, [("w", "o1", "1", False, ["a", "b", "a"]), ("w", "o2", "2", False, []), ("w", "o3", "3", False, ["gone"])])
+    blobs = _blobs(spark, [("w", "a"), ("w", "b"), ("t", "b")])
+    now = dt.datetime(2024, 5, 1)
+    base = str(tmp_path)
+    copied = C.duplicate_workspace(objs, blobs, "w", "t")
+    added = {k: v.count() for k, v in C.store_copies(copied, base, "w", now).items()}
+    assert added == {"objects": 2, "references": 3, "blobs": 1}
+    stored = C.stored_table(spark, f"{base}/objects", C.store_copies(copied, base, "w", now)["objects"].schema)
+    refs = spark.read.parquet(f"{base}/references")
+    listed = C.list_objects(stored, "t").collect()
+    assert {(r["name"], r["path"]) for r in listed} == {("no1", "/o1"), ("no2", "/o2")} and not {r["id"] for r in listed} & {"o1", "o2"}
+    one = next(r for r in listed if r["name"] == "no1")
+    mine = refs.filter(F.col("id") == one["id"]).orderBy("ordinal")
+    assert [(r["version_id"], r["blob_id"]) for r in mine.collect()] == [(one["version_id"], b) for b in ("a", "b", "a")]
+    again = {k: v.count() for k, v in C.store_copies(C.duplicate_workspace(objs, blobs, "w", "t"), base, "w", dt.datetime(2025, 1, 1)).items()}
+    assert again == {"objects": 0, "references": 0, "blobs": 0}
+    # the same object copied elsewhere is another object
+    C.store_copies(C.copy_object(objs, blobs, "w", "u", "o1"), base, "w", now)
+    assert spark.read.parquet(f"{base}/objects").select("id").distinct().count() == 3
+
+
+def test_long_name_lists_are_joined_behind_a_bloom_filter(spark, tmp_path):
+    objs = _objects(spark, [("w", f"o{i}", "1", False, []) for i in range(50)])
+    names = spark.range(100_000).select(F.concat(F.lit("no"), F.col("id") * 7).alias("wanted"))
+    assert {r["name"] for r in C.filter_objects(objs, name_filter=names).collect()} == {f"no{i}" for i in range(0, 50, 7)}
+    few = [f"no{i}" for i in range(0, 50, 7)] + [f"x{i}" for i in range(500)]
+    assert C.filter_objects(objs, name_filter=few).count() == 8 and C.filter_objects(objs, name_filter=["no1", "zz"]).count() == 1
+    assert C.filter_objects(objs, name_filter=names.limit(0)).count() == 0 and C.filter_objects(objs).count() == 50
+    spark.range(200_000).select(F.concat(F.lit("no"), F.col("id")).alias("name"), F.lit("pointset").alias("schema_id")).write.parquet(str(tmp_path / "o"))
+    names.write.parquet(str(tmp_path / "n"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")}
+    for k, v in zip(old, ("-1", "1KB")):
+        spark.conf.set(k, v)
+    try:
+        found = C.filter_objects(spark.read.parquet(str(tmp_path / "o")), name_filter=spark.read.parquet(str(tmp_path / "n")))
+        assert "might_contain" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == 28_572
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_an_object_with_a_missing_blob_is_not_copied(spark):
     objs = _objects(spark, [("w", "o1", "1", False, ["a", "a", "gone"])])
     res = C.copy_object(objs, _blobs(spark, [("w", "a")]), "w", "t", "o1")

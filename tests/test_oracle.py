@@ -17,8 +17,8 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-def test_every_query_but_list_files_has_sql():
-    assert set(NAMES) - set(SQL) == {"list_files"}
+def test_every_query_has_sql():
+    assert set(NAMES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in SQL])
@@ -28,7 +28,9 @@ def test_query_matches_oracle(spark, con, sf_dir, name):
 
 
 def test_list_files_rows(spark, sf_dir):
-    rows = E.queries()["list_files"](spark, sf_dir).collect()
+    from lithos.sources import list_files
+
+    rows = list_files(spark, sf_dir, "*.parquet", True).collect()
     assert sorted(r["name"] for r in rows) == sorted(f"{t}.parquet" for t in
         "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
     assert all(r["size_bytes"] > 0 and r["relative_path"] == r["name"] for r in rows)

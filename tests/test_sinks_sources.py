@@ -177,3 +177,41 @@ def test_write_holes_array_sorted_by_offset(spark, tmp_path):
     assert ref["length"] == 4
     rows = [tuple(r) for r in back.orderBy("offset", "hole_index").collect()]
     assert rows == [(1, 0, 5), (2, 0, 0), (3, 5, 2), (4, 7, 1)]
+
+
+def test_creation_can_be_repeated(spark, tmp_path):
+    """A failed attempt leaves arrays that no manifest lists; the retry replaces them and makes one object."""
+    from lithos.plans.builders import create_object
+
+    df = spark.createDataFrame([(0, 1.0, 2.0, 3.0, "a"), (1, 4.0, 5.0, 6.0, "b")], "pos long, X double, Y double, Z double, rock string")
+    arrays, objects = str(tmp_path / "arr"), str(tmp_path / "obj")
+
+    def attempt(fail=False):
+        built = build_pointset(df, "X", "Y", "Z", name="p", pos_col="pos")
+        if fail:  # the last array cannot be made
+            last = list(built.arrays)[-1]
+            built.arrays[last] = lambda: df.select(F.col("pos"), F.raise_error(F.lit("lost")).cast("int").alias("data"))
+        return create_object(built, arrays, objects, "w", "/p.json", dry_run=False, request="r-1")
+
+    assert attempt(fail=True)["status"] == "creation_failed"
+    assert A.stored_arrays(spark, arrays).count() == 0
+    first, second = attempt(), attempt()
+    assert first["status"] == second["status"] == "created"
+    assert (first["object_id"], first["version_id"]) == (second["object_id"], second["version_id"])
+    assert spark.read.parquet(objects).count() == 1
+    listed = {r["array_id"]: (r["role"], r["length"]) for r in A.stored_arrays(spark, arrays).collect()}
+    assert sorted(listed.values()) == [("codes", 2), ("coordinates", 2), ("lookup", 2)]
+    doc = json.loads(spark.read.parquet(objects).first()["document"])
+    assert doc["locations"]["coordinates"]["data"] in listed
+    for aid, (role, n) in listed.items():
+        assert spark.read.parquet(f"{arrays}/{role}/{aid}").count() == n
+
+
+def test_a_faulty_document_is_not_created(spark, tmp_path):
+    from lithos.plans.builders import create_object
+
+    df = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "pos long, X double, Y double, Z double")
+    built = build_pointset(df, "X", "Y", "Z", name="p", pos_col="pos")
+    built.document = built.document.withColumn("document", F.replace("document", F.lit('"min_x":1.0'), F.lit('"min_x":"1"')))
+    res = create_object(built, str(tmp_path / "a"), str(tmp_path / "o"), "w", "/p", dry_run=False)
+    assert res["status"] == "schema_validation_failed" and "/bounding_box/min_x" in res["error"]

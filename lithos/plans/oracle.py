@@ -502,6 +502,17 @@ SQL: dict[str, str] = {
         _rows("coordinates", "SELECT * FROM v", a="p_retailprice", b="p_size", c="0.0"),
         _rows("indices", "SELECT * FROM s", a="l_partkey", b="l_suppkey"),
         _lookup_rows("lookup_0", "v"), _code_rows("codes_0", "v"), _lookup_rows("lookup_1", "s"), _code_rows("codes_1", "s")]),
+    "interval_files": f"""WITH {HOLE_LOOKUP} SELECT 'c' || CAST(l_suppkey % 50 AS VARCHAR) AS object, hl.key AS hole_index, l_quantity AS data1,
+        l_quantity + l_linenumber AS data2, l_returnflag AS flag, l_tax AS tax FROM lineitem JOIN hl ON {HOLE} = hl.v WHERE l_suppkey % 50 <> 7""",
+    "interval_file_index": f"""WITH {HOLE_LOOKUP}, f AS (SELECT DISTINCT l_suppkey % 50 AS f FROM lineitem WHERE l_suppkey % 50 <> 7),
+        n AS (SELECT l_suppkey % 50 AS f, {HOLE} AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+        o AS (SELECT f, v, n, sum(n) OVER (PARTITION BY f ORDER BY v) - n AS off FROM n)
+        SELECT 'c' || CAST(f.f AS VARCHAR) AS object, hl.key AS hole_index, CAST(coalesce(o.off, 0) AS BIGINT) AS "offset",
+          CAST(coalesce(o.n, 0) AS BIGINT) AS "count" FROM f CROSS JOIN hl LEFT JOIN o ON o.f = f.f AND o.v = hl.v""",
+    "interval_file_reports": """SELECT 'c' || CAST(f AS VARCHAR) AS collection, CASE WHEN f = 7 THEN 'error' ELSE 'ok' END AS status,
+          CAST(CASE WHEN f = 7 THEN 1 ELSE 0 END AS INTEGER) AS n_errors, n AS "rows"
+        FROM (SELECT l_suppkey % 50 AS f, count(*) AS n FROM lineitem GROUP BY 1) t
+        UNION ALL SELECT 'c50', 'error', 1, 0""",
     "csv_hole_distances": f"""WITH m AS (SELECT {BLANK} AS hole_id, max(l_quantity) AS d FROM lineitem GROUP BY 1)
         SELECT CAST(o_orderkey AS VARCHAR) AS hole_id, CAST(coalesce(m.d, 0.0) AS DOUBLE) AS final, CAST(coalesce(m.d, 0.0) AS DOUBLE) AS target,
                CAST(coalesce(m.d, 0.0) AS DOUBLE) AS current FROM orders LEFT JOIN m ON CAST(o_orderkey AS VARCHAR) = m.hole_id""",

@@ -35,6 +35,7 @@ from lithos.plans.csv_objects import (
     IntervalFile, downhole_collection_from_csv, downhole_intervals_from_csv, line_segments_from_csv, load,
     pointset_from_csv,
 )
+from lithos.plans.interval_files import read_interval_files
 from lithos.plans.preview import preview_csv
 from lithos.plans.schemas import conformance, document_problems
 from lithos.session import ensure_checkpoint_dir
@@ -543,6 +544,47 @@ def _csv_holes(spark, d):
     return collar, _land(spark, survey, "survey", ["l_orderkey", "l_linenumber", "depth", "azimuth", "dip"])
 
 
+def _fifty_files(spark, d):
+    """Fifty interval files by supplier; one lacks its 'to' column, and a fifty-first is not there."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/intervals-{_uuid.uuid4().hex}"
+    li = read_table(spark, d, "lineitem")
+    rows = li.select((F.col("l_suppkey") % 50).alias("f"), F.col("l_orderkey").alias("hole"), F.col("l_quantity").alias("from"),
+                     (F.col("l_quantity") + F.col("l_linenumber")).alias("to"), "l_returnflag", "l_tax")
+    rows.filter("f <> 7").write.option("header", True).partitionBy("f").csv(f"{base}/good")
+    rows.filter("f = 7").drop("to").write.option("header", True).partitionBy("f").csv(f"{base}/bad")
+    return [IntervalFile(f"{base}/{'bad' if i == 7 else 'good'}/f={i}", f"c{i}", "hole", "from", "to", ["l_returnflag", "l_tax"])
+            for i in range(51)]
+
+
+def _interval_set(spark, d):
+    present = {r[0] for r in read_table(spark, d, "lineitem").select(F.col("l_suppkey") % 50).distinct().collect()}  # fifty values
+    files = [f for i, f in enumerate(_fifty_files(spark, d)) if i in present or i == 50]
+    return read_interval_files(spark, files, H.hole_lookup(R.collar(spark, d), "hole_id"))
+
+
+def q_interval_files(spark, d):
+    """The arrays of some fifty interval files read in one scan (rows of equal hole and start have no order of their own
+    in the source, so an array is given as its values by hole index and start)."""
+    found = _interval_set(spark, d)
+    ft = found.from_to.select("object", "pos", "data1", "data2")
+    codes = found.codes.join(found.lookups.withColumnRenamed("key", "data"), ["object", "attribute", "data"]).select("object", "pos", F.col("value").alias("flag"))
+    tax = found.values.select("object", "pos", F.col("data").alias("tax"))
+    rows = ft.join(codes, ["object", "pos"]).join(tax, ["object", "pos"])
+    index = found.holes.filter(F.col("count") > 0).select("object", "hole_index", "offset", "count")
+    at = index.select("object", "hole_index", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("count") - 1)).alias("pos"))
+    return rows.join(at, ["object", "pos"]).select("object", "hole_index", "data1", "data2", "flag", "tax")
+
+
+def q_interval_file_index(spark, d):
+    """Hole index of every interval file's collection, all holes of the collars."""
+    return _interval_set(spark, d).holes
+
+
+def q_interval_file_reports(spark, d):
+    """Status and rows of every given interval file."""
+    return _interval_set(spark, d).report.select("collection", "status", F.size("errors").alias("n_errors"), "rows")
+
+
 def q_csv_hole_distances(spark, d):
     collar, survey = _csv_holes(spark, d)
     c, _ = load(spark, collar, "collars", ["hole_id"], ordered=False)

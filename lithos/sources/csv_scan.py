@@ -196,7 +196,7 @@ _OPENS = rf'^{_FIELDS}"{_INSIDE}\z'
 _STAYS = rf'^{_INSIDE}(?:\z|"[^,]*+,{_FIELDS}"{_INSIDE}\z)'
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path) -> DataFrame:
     """Lines with where they end when they start outside (``t0``) and inside (``t1``) a quoted field: 1 inside."""
     raw = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata")
     return with_split(raw).withColumn("t0", F.col("value").rlike(_OPENS).cast("int")).withColumn(
@@ -209,8 +209,9 @@ def ends_inside_quotes(spark: SparkSession, path: str) -> bool:
     return bool(_lines(spark, path).agg(F.max("t0")).first()[0])
 
 
-def records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """(records as (text, SPLIT) without the files' headers, number of files that end inside a quote).
+def records(spark: SparkSession, path, headers: bool = False) -> tuple[DataFrame, int]:
+    """(records as (text, SPLIT), number of files that end inside a quote) of a path or a list of them; the first
+    record of every file, its header, only with ``headers``.
 
     A line maps the state it starts in (outside or inside a quote) to the one it ends in: to a fixed one, to the same,
     or to the other. The state before a line is the last fixed one, turned as often as lines since then turn it. That
@@ -258,8 +259,9 @@ def records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
                             F.col("rec.__mid").alias("__mid"))
     single = cut.where("state = 0 and end = 0").select(F.col("value").alias("text"), *SPLIT)
     found = single.unionByName(whole)
-    header = cut.groupBy("__file").agg(F.min(F.struct("__block", "__mid")).alias("h"))
-    found = found.join(header, "__file").where(F.struct("__block", "__mid") > F.col("h")).drop("h")
+    if not headers:
+        header = cut.groupBy("__file").agg(F.min(F.struct("__block", "__mid")).alias("h"))
+        found = found.join(header, "__file").where(F.struct("__block", "__mid") > F.col("h")).drop("h")
     found = found.withColumn("text", F.regexp_replace("text", r"\r\z", "")).where(F.trim("text") != "")
     # places in a split are consecutive again
     return found.withColumn("__mid", F.row_number().over(split)), still_open

@@ -67,7 +67,8 @@ def _cells(rows: DataFrame, column: str, wide: int, *keep: str) -> DataFrame:
     text = F.regexp_replace(column, r"\r\z", "")
     row = rows.select(*SPLIT, *keep, F.from_csv(text, F.lit(schema), options).alias("r"))
     every = F.array(*[F.col(f"r.c{i}") for i in range(wide + 1)])
-    return row.select(F.filter(every, lambda c: c.isNotNull()).alias("cells"), *keep, *SPLIT)
+    last = F.coalesce(F.array_max(F.transform(every, lambda c, i: F.when(c.isNotNull(), i + 1))), F.lit(0))
+    return row.select(F.slice(every, 1, last).alias("cells"), *keep, *SPLIT)  # empty fields at the end count as absent
 
 
 def read_interval_files(spark: SparkSession, files: Sequence[IntervalFile], lookup: DataFrame) -> IntervalFiles:

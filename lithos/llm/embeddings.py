@@ -43,6 +43,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to one or so: no digit changes, and squares
+    neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def axes(vectors: DataFrame, vec_col: str, width: int) -> np.ndarray:
     """Principal axes (columns, largest first) of the unit vectors of ``width`` components."""
     def run(batches):
@@ -86,7 +92,7 @@ def compare(a: np.ndarray, b: np.ndarray, va: np.ndarray, vb: np.ndarray, cosine
             bound = p + rest_a[i, to] * rest_b[j, to] if to < width else p
             live = bound >= cosine - _SLACK
             i, j, p = i[live], j[live], p[live]
-        x, y = va[i], vb[j]
+        x, y = _scaled(va[i]), _scaled(vb[j])
         exact = np.einsum("nd,nd->n", x, y) / np.sqrt(np.einsum("nd,nd->n", x, x) * np.einsum("nd,nd->n", y, y))
         live = exact >= cosine
         left.append(i[live])

@@ -2,6 +2,8 @@ import collections
 import html as _html
 import re
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -116,3 +118,30 @@ def test_pages_odd_rows(spark):
     assert html.extract(df.limit(0), ["page_id"], "url", "html").count() == 0
     hosts = {r[0] for r in df.select(html.host_of(F.col("url"))).collect()}
     assert hosts == {"", "h"}
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<div id="page" class="no-sidebar"><nav>menu</nav><article><p>the long text of this article</p></article><div class="ad">buy</div></div>',
+     "the long text of this article"),
+    ('<div class="content has-sidebar"><p>the long text of this page</p><div class="sidebar">more</div></div><div class="footer">end</div>',
+     "the long text of this page"),
+    ('<article class="post ad-free"><p>text</p><figure><img><figcaption>a caption</figcaption></figure><div class="comments">no</div></article>',
+     "text a caption"),
+    ('<div class="main social-sharing-enabled"><div class="entry"><p>a good deal of text here</p></div><div class="share">tweet</div></div>',
+     "a good deal of text here"),
+    ('<article><p>all that is to be read on this page</p></article><div class="related"><article><p>teaser</p></article></div>',
+     "all that is to be read on this page"),
+    ("<div>comment <p>only</p></div><div class='comments'>" + "said a lot " * 40 + "</div>", "comment only")])
+def test_names_do_not_outweigh_what_an_element_holds(page, text):
+    assert html.main_text(page, None) == text
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ('<a "' * 250_000, "<p>x</p>" + "<a '" * 250_000, '<a "' * 250_001 + ">", "<b " * 300_000):
+        start = time.perf_counter()
+        html.tokens(page)
+        assert time.perf_counter() - start < 10
+    assert html.main_text('<p>a</p>1 < 2 <b "x', None) == 'a 1 < 2 <b "x'
+    assert html.main_text("<p>a</p>b<!-- c", None) == "a b" and html.main_text("<p>a</p>b<script c", None) == "a b"

@@ -39,6 +39,28 @@ def scans(plan: str) -> list[str]:
     return sorted(set(out))
 
 
+def slice_report(spark, sf_dir: str) -> None:
+    """Files that a slice of a stored array opens, and the filters that reach them."""
+    from pyspark.sql import functions as F
+
+    from lithos.operators import arrays as A
+    from lithos.operators.position import with_ordered_index
+    from lithos.plans import roles as R
+    from lithos.session import ensure_checkpoint_dir
+
+    rows = with_ordered_index(R.survey(spark, sf_dir), list(R.LINEITEM_ORDER), name="pos").select(
+        F.lit("path-1").alias("array_id"), "pos", F.col("depth").alias("distance"), "azimuth", "dip")
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/plan-report/path"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges are not merged here
+    A.write_ranged(rows, target, "path")
+    part = A.read_range(spark, target, "path", "path-1", 10_000, 12_000)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    print("\n## A slice of a stored array\n")
+    print(f"Rows [10000, 12000) of an array of {rows.count()} rows in {len(spark.read.parquet(target).inputFiles())} files: "
+          f"{len(part.inputFiles())} file(s) opened, {part.count()} rows, filters pushed: "
+          f"{re.search(r'PushedFilters: (.*?), ReadSchema', plan).group(1)}.")
+
+
 def main(sf_dir: str) -> None:
     from lithos.session import local_session
     from lithos.plans.queries import QUERIES
@@ -56,6 +78,7 @@ def main(sf_dir: str) -> None:
         sc = "; ".join(scans(plan)) or "(materialised intermediate)"
         print(f"| `{name}` | {s['shuffles']} | {s['single']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | "
               f"{'yes' if s['python'] else 'no'} | {sc} |")
+    slice_report(spark, sf_dir)
 
 
 if __name__ == "__main__":

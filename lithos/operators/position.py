@@ -89,13 +89,18 @@ def intermediates_removed(spark) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def registered(path: str) -> str:
+    """``path``, a folder of intermediates, which goes when the ``intermediates_removed`` around the call is left."""
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
 def materialize_path(df: DataFrame) -> str:
     """Write ``df`` as parquet under the session's checkpoint folder; return the path."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/lithos-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _SCOPES:
-        made.append(path)
-    return path
+    return registered(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from lithos.operators import catalog as C
 from lithos.operators import holes as H
 from lithos.operators import quality as Q
 from lithos.operators.encode import category_codes, category_lookup, category_lookups, continuous_values, plan_attributes
-from lithos.operators.position import with_ordered_index
+from lithos.operators.position import registered, with_ordered_index
 from lithos.operators.profile import column_profile, sample_rows
 from lithos.plans import batches as B
 from lithos.plans import roles as R
@@ -53,6 +53,11 @@ SNAPSHOT_TIME = "2024-01-01T00:00:00"
 COPY_SCHEMAS = ("pointset", "line-segments")
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder, removed with the intermediates of the caller."""
+    return registered(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{_uuid.uuid4().hex}")
+
+
 def _events_xyz(spark, d) -> DataFrame:
     e = R.events(spark, d)
     return e.select("event_id", F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"),
@@ -365,7 +370,7 @@ def q_pointset_document(spark, d):
     """Fields of the document of a written pointset: lengths come from what was written."""
     built = build_pointset(_events_xyz(spark, d), "x", "y", "z", name="events", attribute_cols=["event_type", "event_id"],
                            order_cols=["event_id"], tags={"kind": "events"})
-    doc = write_object(built, f"{ensure_checkpoint_dir(spark).rstrip('/')}/object-{_uuid.uuid4().hex}")
+    doc = write_object(built, _folder(spark, "object"))
     ref = "data string, length bigint"
     schema = (f"name string, `schema` string, bounding_box struct<min_x double, max_x double>, locations struct<coordinates struct<{ref}>, "
               f"attributes array<struct<name string, key string, attribute_type string, nan_description struct<values array<double>>, "
@@ -425,7 +430,7 @@ def _supplier_intervals(spark, d) -> B.Batch:
 
 def _stored_arrays(spark, batch: B.Batch) -> tuple[DataFrame, DataFrame]:
     """(documents, rows of all stored arrays in the long form with their object) of a written batch."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{_uuid.uuid4().hex}"
+    base = _folder(spark, "batch")
     documents = B.write_batch(batch, base)
     out = None
     for role in dict.fromkeys(batch.roles.values()):
@@ -483,7 +488,7 @@ def q_array_slice(spark, d):
     """Rows [200, 700) of three stored arrays of one object, read through their ranges."""
     batch = B.build_pointsets(_events_xyz(spark, d).withColumns({"one": F.lit("events"), "value": F.col("y")}), "one", "x", "y", "z", ["event_id"],
                               ["event_type", "value"])
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{_uuid.uuid4().hex}"
+    base = _folder(spark, "batch")
     document = B.write_batch(batch, base)
     ids = document.select(*[batch.array_id(n).alias(n.replace(":", "_")) for n in batch.roles]).first()  # one object
     out = None
@@ -501,7 +506,7 @@ def q_array_slice(spark, d):
 
 def q_csv_typed_scan(spark, d):
     """Land events as CSV in the shared checkpoint folder, then scan it back typed."""
-    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv_typed_scan-{_uuid.uuid4().hex}"
+    folder = _folder(spark, "csv_typed_scan")
     R.events(spark, d).select("event_id", iso_timestamp("ts").alias("ts"), "user_id", "event_type", "value", "props") \
         .write.option("header", True).option("escape", '"').csv(folder)
     return read_typed_csv(spark, folder)
@@ -509,7 +514,7 @@ def q_csv_typed_scan(spark, d):
 
 def _land(spark, df: DataFrame, name: str, order: list) -> str:
     """Rows of ``df`` as CSV files whose path order is ``order``, in the shared checkpoint folder."""
-    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{_uuid.uuid4().hex}"
+    folder = _folder(spark, name)
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("escape", '"').csv(folder)
     return folder
 
@@ -546,7 +551,7 @@ def _csv_holes(spark, d):
 
 def _fifty_files(spark, d):
     """Fifty interval files by supplier; one lacks its 'to' column, and a fifty-first is not there."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/intervals-{_uuid.uuid4().hex}"
+    base = _folder(spark, "intervals")
     li = read_table(spark, d, "lineitem")
     rows = li.select((F.col("l_suppkey") % 50).alias("f"), F.col("l_orderkey").alias("hole"), F.col("l_quantity").alias("from"),
                      (F.col("l_quantity") + F.col("l_linenumber")).alias("to"), "l_returnflag", "l_tax")
@@ -744,7 +749,7 @@ def q_copy_object(spark, d):
 
 def _target_store(spark, d, runs: int) -> tuple[str, list[dict]]:
     """(folder, rows that each run adds) of a store into which the source workspace is duplicated ``runs`` times."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{_uuid.uuid4().hex}"
+    base = _folder(spark, "store")
     added = []
     for _ in range(runs):
         copied = C.duplicate_workspace(R.objects(spark, d), R.blobs(spark, d), SOURCE_WS, TARGET_WS, references=R.references(spark, d))
@@ -784,7 +789,7 @@ def q_duplicate_twice(spark, d):
 
 def q_append_retry(spark, d):
     """Objects of the source workspace appended to a store, twice, as after a failure: what the store lists."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/append-{_uuid.uuid4().hex}"
+    path = _folder(spark, "append")
     current = C.current_versions(R.objects(spark, d).filter(F.col("workspace_id") == SOURCE_WS))
     for _ in range(2):
         C.append_objects(current, path)

@@ -190,7 +190,8 @@ class CatalogStore:
     """The derived catalog tables of one data folder, written once each to the checkpoint folder.
 
     A catalog is a set of stored tables; here they are derived from the driver tables on first use and read
-    from then on, as long as the source files' listing (path, size, time) stays what it was."""
+    from then on, as long as the source files (paths, sizes, times) stay what they were. Their state is one digest,
+    which one aggregate makes of all source tables' files."""
 
     def __init__(self):
         self._paths: dict[tuple, tuple[str, tuple]] = {}
@@ -200,7 +201,7 @@ class CatalogStore:
 
         from lithos.operators.position import materialize_path
 
-        key, state = (spark.sparkContext.applicationId, d.rstrip("/"), name), self._state(spark, d, sources)
+        key, state = (spark.sparkContext.applicationId, d.rstrip("/"), name), self._state(spark, d.rstrip("/"), sources)
         path, known = self._paths.get(key, (None, None))
         if path is not None and known == state:
             try:
@@ -212,14 +213,10 @@ class CatalogStore:
         return spark.read.parquet(path)
 
     @staticmethod
-    def _state(spark: SparkSession, d: str, sources: tuple[str, ...]) -> tuple:
-        """(path, size, time) of the source files, from one listing per table."""
-        rows = []
-        for t in sources:
-            files = spark.read.format("binaryFile").load(f"{d.rstrip('/')}/{t}.parquet").select(
-                "path", "length", F.col("modificationTime").cast("string").alias("time"))
-            rows += [tuple(r) for r in files.orderBy("path").collect()]
-        return tuple(rows)
+    def _state(spark: SparkSession, folder: str, sources: tuple[str, ...]) -> tuple:
+        files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in sources]).select(
+            "path", "length", "modificationTime")
+        return tuple(files.agg(F.count("path"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 STORE = CatalogStore()

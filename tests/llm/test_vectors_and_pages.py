@@ -145,3 +145,66 @@ def test_unclosed_tags_take_linear_time():
         assert time.perf_counter() - start < 10
     assert html.main_text('<p>a</p>1 < 2 <b "x', None) == 'a 1 < 2 <b "x'
     assert html.main_text("<p>a</p>b<!-- c", None) == "a b" and html.main_text("<p>a</p>b<script c", None) == "a b"
+
+
+def _host_pages(kind, n, rng):
+    """(html, main text) of ``n`` pages of a host whose names say nothing, or the wrong thing."""
+    def words(k):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(k))
+
+    out = []
+    for _ in range(n):
+        title, paragraphs = words(5), [words(int(rng.integers(5, 40))) for _ in range(int(rng.integers(1, 6)))]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        menu = "<div class='aa'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></div>"
+        ends = f"<div class='bb'><h3>Most read</h3><p>{words(3)}</p></div><div class='cc'><p>All rights are ours</p></div>"
+        text = [title, *paragraphs]
+        if kind == "plain":
+            page = f"{menu}<div class='dd'><h1>{title}</h1>{body}</div>{ends}"
+        elif kind == "misleading":
+            page = f"{menu}<div class='page has-sidebar' id='no-ads'><h1>{title}</h1>{body}</div><div class='post-box'>{words(3)}</div>{ends}"
+        elif kind == "title before":
+            page = f"{menu}<div class='dd'><h1>{title}</h1><div class='ee'>{body}</div></div>{ends}"
+        elif kind == "flat":
+            page = f"{menu}<h1>{title}</h1>{body}<div class='cc'><p>All rights are ours</p></div>"
+        else:  # constant paragraphs of an article stay, a box that is the same on every page goes
+            page = f"{menu}<article><h1>{title}</h1><div class='qq'>Tell your friends</div>{body}<h2>Sources</h2><p>none</p></article>{ends}"
+            text += ["Sources", "none"]
+        out.append((f"<html><body>{page}</body></html>", " ".join(text)))
+    return out
+
+
+HOSTS = ("plain", "misleading", "title before", "flat", "marked")
+
+
+def test_the_wrapper_decides(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    made = {}
+    for kind in HOSTS:
+        pages = _host_pages(kind, 24, rng)
+        for page, text in pages + pages[:1] * 40:  # copies of one page make none of its texts template
+            made[len(made)] = (kind, page, text)
+    rows = [(i, f"http://{kind.replace(' ', '-')}.example/{i}", page) for i, (kind, page, _) in made.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for limit in (html.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        got = {r["page_id"]: r["text"] for r in html.extract(df, ["page_id"], "url", "html").collect()}
+        assert got == {i: text for i, (_, _, text) in made.items()}
+    for kind, page, text in made.values():  # names alone do not find it
+        assert html.main_text(page, None) != text
+
+
+def test_slots_count_different_pages(spark):
+    rows = [(i, "http://h/", f"<body><div class='a'>menu</div><div class='b'><p>{'word ' * 9}{i % 7}</p></div></body>") for i in range(70)]
+    rows += [(99, "http://h/", None), (100, None, "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: html.load_slots(r["slots"]) for r in html.inferred(df, "url", "html").collect()}
+    assert {(c, pages, top) for _, c, _, pages, top, _ in got["h"]} == {("body>div.a", 7, 7), ("body>div.b>p", 7, 1)}
+    assert [(c, pages, top, size) for _, c, _, pages, top, size in got[""]] == [("p", 1, 1, 1)]
+
+
+def test_close_tags_are_no_repeat():
+    nodes = _nodes("<div><div><div>a</div></div></div>")
+    assert nodes == [("div",), "#", "/div", "/div", "/div"]
+    wrapper = html.Wrapper([(n, False) for n in _nodes("<div class='a'><div class='b'>t</div></div><p>u</p>")])
+    assert wrapper.paths[wrapper.nodes.index("p")] == frozenset()

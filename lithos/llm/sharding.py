@@ -4,9 +4,10 @@ Rows with equal texts form a group that stays in one shard. Groups are counted (
 shuffle, so a huge group costs one row a task) and dealt by hash into buckets of bounded size; each
 bucket's groups are differenced: the two partial partitions of largest spread are repeatedly combined,
 the fullest part of one with the emptiest of the other. What a bucket hands on is one partial
-partition, ``n_shards`` sums; those of all buckets are differenced in the same way. Rows then take
-their group's shard by a join (Spark splits its skewed side), are written once, and are numbered
-within each shard from per-partition counts, so that no shard's rows meet in one task.
+partition, ``n_shards`` sums. These are differenced in the same way in rounds, at most ``FAN`` buckets a group,
+until one is left; each round is a table of where a bucket's parts went, and the driver sees none of
+them. Rows then take their group's shard by a join (Spark splits its skewed side), are written once, and
+are numbered within each shard from per-partition counts, so that no shard's rows meet in one task.
 
 Defined results: null text counts as the empty text (size ``overhead``); rows that repeat are rows of
 one group; ties are broken by the group's hash; ids may be null or repeat; other columns are ignored;
@@ -25,6 +26,8 @@ from lithos.llm.store import written
 
 #: Groups that one task differences; the number of buckets follows from it.
 BUCKET_GROUPS = 100_000
+#: Buckets whose partial partitions one task differences in a round.
+FAN = 1_000
 
 
 def difference(partials: list[list[tuple[int, object]]]) -> list[tuple[int, object]]:
@@ -64,6 +67,37 @@ def split(weights: list[int], n: int) -> list[list[int]]:
     return [leaves(c) for _, c in parts] if parts else [[] for _ in range(n)]
 
 
+def _in_rounds(sums: DataFrame, buckets: int, n: int) -> DataFrame:
+    """(bucket, part, shard) from the (bucket, part, weight) of ``buckets`` partial partitions."""
+    def combine(table: pa.Table) -> pa.Table:
+        # a (bucket, part) is wrapped in a list so that ``leaves`` keeps it whole
+        parts: dict[int, list] = {}
+        for b, p, w in zip(*(table[c].to_pylist() for c in ("bucket", "part", "weight")), strict=True):
+            parts.setdefault(b, [(0, None)] * n)[p] = (w, [(b, p)])
+        done = difference([parts[b] for b in sorted(parts)])
+        group = table["group"][0].as_py()
+        moved = [(b, p, to, w, group) for to, (w, c) in enumerate(done) for ((b, p),) in leaves(c)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*moved), kinds, strict=True)],
+                        names=["bucket", "part", "to", "total", "group"])
+
+    rounds = []
+    while True:
+        buckets = -(-buckets // FAN)
+        # dealt round, so that no group is left with few buckets and nothing to balance with
+        grouped = sums.withColumn("group", F.pmod("bucket", F.lit(buckets)).cast("int"))
+        rounds.append(written(grouped.groupBy("group").applyInArrow(
+            combine, "bucket int, part int, to int, total long, group int"), "differences"))
+        if buckets == 1:
+            break
+        sums = rounds[-1].groupBy(F.col("group").alias("bucket"), F.col("to").alias("part")).agg(F.max("total").alias("weight"))
+    where = rounds.pop().select("bucket", "part", F.col("to").alias("shard"))
+    while rounds:
+        above = where.select(F.col("bucket").alias("group"), F.col("part").alias("to"), "shard")
+        where = rounds.pop().join(above, ["group", "to"]).select("bucket", "part", "shard")
+    return where
+
+
 def shards(docs: DataFrame, id_col: str, text_col: str, n_shards: int, overhead: int = 8) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) of every row; see the module's text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -74,37 +108,20 @@ def shards(docs: DataFrame, id_col: str, text_col: str, n_shards: int, overhead:
     groups = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "groups")
     buckets = 1 + groups.count() // BUCKET_GROUPS
 
-    def deal(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        table = table.sort_by([(c, "ascending") for c in ("bucket", *key)])
-        bucket = table["bucket"].to_pylist()
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in key])
         weight = [s * n for s, n in zip(table["size"].to_pylist(), table["n"].to_pylist(), strict=True)]
-        part, lo = [0] * len(weight), 0
-        while lo < len(weight):
-            hi = lo
-            while hi < len(weight) and bucket[hi] == bucket[lo]:
-                hi += 1
-            for p, members in enumerate(split(weight[lo:hi], n_shards)):
-                for i in members:
-                    part[lo + i] = p
-            lo = hi
-        yield from table.select([*key, "bucket"]).append_column(
-            "part", pa.array(part, pa.int32())).append_column("weight", pa.array(weight, pa.int64())).to_batches()
+        part = [0] * len(weight)
+        for p, members in enumerate(split(weight, n_shards)):
+            for i in members:
+                part[i] = p
+        return table.select([*key, "bucket"]).append_column(
+            "part", pa.array(part, pa.int32())).append_column("weight", pa.array(weight, pa.int64()))
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h2"), F.lit(buckets)).cast("int"))
-    dealt = written(dealt.repartition(buckets, "bucket").mapInArrow(
+    dealt = written(dealt.groupBy("bucket").applyInArrow(
         deal, "h1 long, h2 long, size long, bucket int, part int, weight long"), "parts")
-    sums: dict[int, list] = {}
-    for r in dealt.groupBy("bucket", "part").agg(F.sum("weight").alias("w")).collect():
-        sums.setdefault(r["bucket"], [(0, None)] * n_shards)[r["part"]] = (r["w"], (r["bucket"], r["part"]))
-    # a (bucket, part) is wrapped in a list so that ``leaves`` keeps it whole
-    final = difference([[(w, [c] if c else None) for w, c in sums[b]] for b in sorted(sums)])
-    placed = [(b, p, shard) for shard, (_, c) in enumerate(final) for ((b, p),) in leaves(c)]
-    spark = docs.sparkSession
-    where = spark.createDataFrame(placed, "bucket int, part int, shard int")
+    where = _in_rounds(dealt.groupBy("bucket", "part").agg(F.sum("weight").alias("weight")), buckets, n_shards)
     found = rows.join(dealt.join(where, ["bucket", "part"]).select(*key, "shard"), key)
 
     def count_off(batches):

@@ -294,9 +294,10 @@ def test_differencing():
     assert sharding.split([], 3) == [[], [], []] and sorted(map(len, sharding.split([5, 5], 3))) == [0, 1, 1]
 
 
-@pytest.mark.parametrize("bucket", [40, 100_000])
-def test_sharding(spark, sf_dir, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,fan", [(40, 1_000), (40, 2), (100_000, 1_000)])
+def test_sharding(spark, sf_dir, monkeypatch, bucket, fan):
     monkeypatch.setattr(sharding, "BUCKET_GROUPS", bucket)
+    monkeypatch.setattr(sharding, "FAN", fan)
     for docs in (read_table(spark, sf_dir, "documents"), odd_docs(spark), odd_docs(spark).limit(0)):
         rows = collections.Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows_of(docs))
         got = sharding.shards(docs, "doc_id", "text", 24).collect()
@@ -314,6 +315,27 @@ def test_sharding(spark, sf_dir, monkeypatch, bucket):
             assert max(size.values()) <= max(max(group.values()), 1.02 * sum(size.values()) / 24)
 
 
+@pytest.mark.parametrize("buckets,fan", [(1, 10), (10, 10), (11, 10), (90, 4)])
+def test_rounds_of_partial_partitions(spark, monkeypatch, buckets, fan):
+    monkeypatch.setattr(sharding, "FAN", fan)
+    rng = np.random.default_rng(2)
+    sums = {(b, p): int(rng.integers(1_000, 9_000)) for b in range(buckets) for p in range(4) if b % 7 or p}
+    df = spark.createDataFrame([(b, p, w) for (b, p), w in sums.items()], "bucket int, part int, weight long")
+    got = sharding._in_rounds(df, buckets, 4).collect()
+    assert collections.Counter((r["bucket"], r["part"]) for r in got) == collections.Counter(list(sums))
+    shard = {(r["bucket"], r["part"]): r["shard"] for r in got}
+    total = collections.Counter()
+    for key, w in sums.items():
+        total[shard[key]] += w
+    if buckets <= fan:  # one round is plain differencing of all
+        want = sharding.difference([[(sums.get((b, p), 0), [(b, p)] if (b, p) in sums else None) for p in range(4)] for b in range(buckets)])
+        assert [total[k] for k in range(4)] == [w for w, _ in want]
+    for b in range(buckets):  # the parts of one bucket stay apart
+        assert len({shard[b, p] for p in range(4) if (b, p) in sums}) == sum((b, p) in sums for p in range(4))
+    if buckets > 9:
+        assert max(total.values()) - min(total.values()) < 1_500
+
+
 # --- secrets
 
 BASE = [("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),

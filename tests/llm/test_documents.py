@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lithos.llm import bpe, decontam, ngram, registry, secrets, sharding, simhash, suffixes, toxicity
+from lithos.llm.text import blocks
 from lithos.sources.tables import read_table
 
 from .helpers import ODD_ROWS, groups, lower, odd_docs, words
@@ -59,6 +61,72 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, "doc_id", "text", model).where("score <> 0").count() == 0
 
 
+def _toxicity_scores(texts, model):
+    return np.concatenate([toxicity._scores(b, model)[0] for b in blocks(pa.array(texts, pa.string()))])
+
+
+def _plain_score(text, m):
+    """A text's score from the parameters of a model, word by word and filter by filter."""
+    s = m.settings
+    raw = text.encode()
+    vectors = []
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", raw):
+        pieces, _ = toxicity.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]), s)
+        vectors.append(sum(m.embed[p].astype(float) for p in pieces[0]))
+    z = m.bias
+    for k, n in enumerate(s.windows):
+        for f in range(s.filters):
+            best = 0.0
+            for at in range(len(vectors)):
+                r = float(m.offset[k * s.filters + f])
+                for o in range(min(n, len(vectors) - at)):
+                    r += float(vectors[at + o] @ m.conv[k, o, :, f])
+                best = max(best, r)
+            z += best * float(m.out[k * s.filters + f])
+    share = [max(1.0, 0.004 * len(raw))]
+    share += [sum(a == 0xC3 and b in marks for a, b in zip(raw, raw[1:])) for marks in toxicity.MARKS.values()]
+    return 1 / (1 + math.exp(m.thresholds[share.index(max(share))] - z))
+
+
+def _pairs(n, seed):
+    """Texts that all hold two words harmless alone; those labelled 1 hold them side by side."""
+    rng = np.random.default_rng(seed)
+    plain, texts, labels = [f"w{i}" for i in range(200)], [], []
+    for i in range(n):
+        k = list(rng.choice(plain, int(rng.integers(6, 30))))
+        a = int(rng.integers(0, len(k) - 3))
+        if i % 2:
+            k[a:a] = ["grim", "lantern"]
+        else:
+            k.insert(a, "grim")
+            k.insert(int(rng.integers(a + 3, len(k) + 1)), "lantern")
+        texts.append(" ".join(k))
+        labels.append(i % 2)
+    return texts, np.array(labels)
+
+
+def test_toxicity_scores_follow_from_the_parameters():
+    texts, labels = _pairs(300, 5)
+    texts = [t + " élève près déjà où" if i % 3 == 0 else t + " größe schön" if i % 3 == 1 else t for i, t in enumerate(texts)]
+    model = toxicity.train(texts, labels, toxicity.Settings(epochs=1))
+    assert len(set(model.thresholds)) > 1
+    odd = [*texts[:60], "", " ", "grim", "grim lantern", "ééé", "w1 " * 400]
+    got = _toxicity_scores(odd, model)
+    assert np.allclose(got, [_plain_score(t, model) for t in odd], atol=1e-4)
+    assert np.allclose(got[::-1], _toxicity_scores(odd[::-1], model), atol=1e-6)  # whatever stands beside a text
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_toxicity_training_finds_word_pairs(seed):
+    texts, labels = _pairs(1_500, 1)
+    held, truth = _pairs(500, 2)
+    right = {}
+    for name, change in (("as dealt", {}), ("untrained", {"epochs": 0}), ("single words", {"windows": (1,)})):
+        model = toxicity.train(texts, labels, toxicity.Settings(seed=seed, **change))
+        right[name] = float(((_toxicity_scores(held, model) >= 0.5) == truth).mean())
+    assert right["as dealt"] > 0.95 and right["untrained"] < 0.6 and right["single words"] < 0.6
+
+
 def test_toxicity_query(spark, sf_dir):
     got = registry.q_toxicity(spark, sf_dir)
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]

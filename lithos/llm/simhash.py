@@ -33,6 +33,8 @@ from lithos.llm.text import Words, blocks, lowered, tidy
 FAN = 16
 #: Members of a group that one task indexes as a whole; larger groups are cut.
 PART = 2048
+#: Rows that a task holds before it links those of whole groups; a group has twice ``PART`` at most.
+HELD_ROWS = 1 << 19
 _PAIRS = 1 << 14
 
 
@@ -189,16 +191,26 @@ def links(distinct: DataFrame, distance: int, part: int = PART) -> DataFrame:
     cut = cut.select("t", "key", "fp", F.explode(tasks).alias("task"))
 
     def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        x = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        a, b = link(x, table["owner"].to_numpy(), distance)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def linked(keep_last: bool):
+            """Links among the owners held, but for the last one, which may have more rows to come."""
+            fp, owner = (np.concatenate(c) for c in zip(*held))
+            end = int(np.searchsorted(owner, owner[-1])) if keep_last else len(owner)
+            held[:] = [(fp[end:], owner[end:])] if end < len(owner) else []
+            a, b = link(fp[:end].view(np.uint64), owner[:end], distance) if end else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.int64)))
+                if sum(len(fp) for fp, _ in held) >= HELD_ROWS:
+                    yield linked(True)
+        if held:
+            yield linked(False)
 
     dealt = cut.select("fp", F.xxhash64("t", "key", "task").alias("owner"))
-    return dealt.repartition("owner").mapInArrow(tidy(run), "src long, dst long")
+    return dealt.repartition("owner").sortWithinPartitions("owner").mapInArrow(tidy(run), "src long, dst long")
 
 
 def cluster(docs: DataFrame, keys: list[str], id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:

@@ -66,23 +66,23 @@ def _toxicity_scores(texts, model):
 
 
 def _plain_score(text, m):
-    """A text's score from the parameters of a model, word by word and filter by filter."""
+    """A text's score from the parameters of a model, word by word and window by window."""
     s = m.settings
-    raw = text.encode()
+    raw = "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "").encode()
     vectors = []
     for word in re.findall(rb"[0-9a-z\x80-\xff]+", raw):
         pieces, _ = toxicity.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]), s)
         vectors.append(sum(m.embed[p].astype(float) for p in pieces[0]))
     z = m.bias
     for k, n in enumerate(s.windows):
-        for f in range(s.filters):
-            best = 0.0
-            for at in range(len(vectors)):
-                r = float(m.offset[k * s.filters + f])
-                for o in range(min(n, len(vectors) - at)):
-                    r += float(vectors[at + o] @ m.conv[k, o, :, f])
-                best = max(best, r)
-            z += best * float(m.out[k * s.filters + f])
+        filters = slice(k * s.filters, (k + 1) * s.filters)
+        best = np.zeros(s.filters)
+        for at in range(len(vectors)):
+            r = m.offset[filters].astype(float)
+            for o in range(min(n, len(vectors) - at)):
+                r = r + vectors[at + o] @ m.conv[k, o]
+            best = np.maximum(best, r)
+        z += float(best @ m.out[filters])
     share = [max(1.0, 0.004 * len(raw))]
     share += [sum(a == 0xC3 and b in marks for a, b in zip(raw, raw[1:])) for marks in toxicity.MARKS.values()]
     return 1 / (1 + math.exp(m.thresholds[share.index(max(share))] - z))
@@ -337,7 +337,7 @@ def test_simhash_one_of_each(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [None, 1, 4, 5, 6, 7]))
 
 
-def test_simhash_links_of_cut_groups(spark):
+def test_simhash_links_of_cut_groups(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centre = int(rng.integers(0, 1 << 62))
     fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(150)}
@@ -345,7 +345,8 @@ def test_simhash_links_of_cut_groups(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = groups([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4], signed)
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for part in (8, 2048):
+    for part, rows in ((8, 1 << 19), (2048, 1 << 19), (8, 1), (2048, 100)):
+        monkeypatch.setattr(simhash, "HELD_ROWS", rows)
         found = [(r[0], r[1]) for r in simhash.links(df, 4, part).collect()]
         assert groups(found, signed) == want
 

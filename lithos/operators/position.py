@@ -36,8 +36,9 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
-    """Range partition + local sort + partition id + local row number, materialised."""
+def ranged(df: DataFrame, order_cols: Sequence, keep: Sequence[str] | None = None) -> DataFrame:
+    """Range partition + local sort + partition id + local row number, materialised. ``keep``: the columns that are
+    written; the others only order the rows."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = _cols(order_cols)
     many = input_partitions(df)
@@ -47,6 +48,7 @@ def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     out = (
         by_range
         .sortWithinPartitions(*cols)
+        .select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
         .withColumn(PID, F.spark_partition_id())
         .withColumn(LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(PID).cast("long"), 33))
     )
@@ -56,8 +58,9 @@ def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     return materialize(out)
 
 
-#: Bytes of input files behind one range partition.
-RANGE_BYTES = 128 << 20
+#: Bytes of input files behind one range partition. Packed columns open to many times that when they are sorted, and
+#: what a task cannot hold is spilled and read again.
+RANGE_BYTES = 16 << 20
 
 
 def input_partitions(df: DataFrame) -> int | None:
@@ -115,14 +118,16 @@ def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:
     return sizes.select(PID, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long").alias(_OFF))
 
 
-def with_ordered_index(df: DataFrame, order_cols: Sequence, name: str = "pos", start: int = 0) -> DataFrame:
+def with_ordered_index(df: DataFrame, order_cols: Sequence, name: str = "pos", start: int = 0,
+                       keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``name`` = start + rank along ``order_cols`` (must be a total order for a
-    deterministic result; ties get distinct consecutive numbers)."""
-    rows = ranged(df, order_cols)
+    deterministic result; ties get distinct consecutive numbers). ``keep``: columns of the result, all unless given."""
+    rows = ranged(df, order_cols, keep)
     sizes = rows.groupBy(PID).agg(F.count(F.lit(1)).alias("__n"))
     offsets = _partition_offsets(sizes, "__n")
     out = rows.join(F.broadcast(offsets), PID)
-    return out.select(*df.columns, (F.col(_OFF) + F.col(LOCAL) + F.lit(start)).cast("long").alias(name))
+    columns = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    return out.select(*columns, (F.col(_OFF) + F.col(LOCAL) + F.lit(start)).cast("long").alias(name))
 
 
 def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name) -> DataFrame:
@@ -146,12 +151,13 @@ def with_exclusive_prefix_sum(df: DataFrame, order_cols: Sequence, weight, name)
 
 
 def with_segmented_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, name: str = "pos",
-                         start: int = 0) -> DataFrame:
-    """Add ``name`` = start + rank along ``order_cols`` inside the row's group. Groups are not NULL."""
-    ranked = with_ordered_index(df, [*group_cols, *order_cols], name="__rank")
+                         start: int = 0, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``name`` = start + rank along ``order_cols`` inside the row's group. Groups are not NULL. ``keep``: columns
+    of the result (the groups among them), all unless given; the others are sorted by but not written."""
+    ranked = with_ordered_index(df, [*group_cols, *order_cols], name="__rank", keep=keep)
     starts = ranked.groupBy(*group_cols).agg(F.min("__rank").alias("__start"))
     return ranked.join(starts, list(group_cols)).select(
-        *df.columns, (F.col("__rank") - F.col("__start") + F.lit(start)).cast("long").alias(name))
+        *[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)], (F.col("__rank") - F.col("__start") + F.lit(start)).cast("long").alias(name))
 
 
 def with_segmented_prefix_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, weights: Sequence[str],

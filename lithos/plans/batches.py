@@ -28,7 +28,7 @@ from lithos.operators import arrays as A
 from lithos.operators import segmented as S
 from lithos.operators.encode import AttributeSpec, attribute_columns, plan_attributes
 from lithos.operators.holes import hole_text
-from lithos.operators.position import with_segmented_index
+from lithos.operators.position import materialize, with_segmented_index
 from lithos.operators.quality import coordinate_summary, gate_status, missing_columns, not_numeric
 from lithos.operators.segmented import OBJECT
 from lithos.plans.builders import POS, SCHEMA_IDS
@@ -163,8 +163,10 @@ def _project(rows: Callable[[], DataFrame], role: str, sources: Sequence[str]) -
     return make
 
 
-def _placed(df: DataFrame, order: Sequence) -> Callable[[], DataFrame]:
-    return _once(lambda: with_segmented_index(df, [OBJECT], list(order), name=POS))
+def _placed(df: DataFrame, order: Sequence, used: Sequence[str]) -> Callable[[], DataFrame]:
+    """Rows with their position, written once with the columns ``used`` by the arrays, which all read them."""
+    keep = [c for c in df.columns if c in {OBJECT, *used}]
+    return _once(lambda: materialize(with_segmented_index(df, [OBJECT], list(order), name=POS, keep=keep)))
 
 
 def build_pointsets(df: DataFrame, object_col: str, x: str, y: str, z: str, order_cols: Sequence[str],
@@ -174,7 +176,7 @@ def build_pointsets(df: DataFrame, object_col: str, x: str, y: str, z: str, orde
     roles = [object_col, x, y, z]
     specs, warnings = plan_attributes(df, attribute_columns(df, attribute_cols, roles), exclude=roles)
     df = S.keyed(df, object_col)
-    rows = _placed(df, order_cols)
+    rows = _placed(df, order_cols, [x, y, z, *(a.name for a in specs)])
     gate = gate_status(coordinate_summary(df, x, y, z, [OBJECT]), "rows")
     batch = Batch("pointset", _warned(_errors(gate, _text(df, [x, y, z])), warnings).select(
         OBJECT, "status", "errors", "warnings", "rows", "valid_rows", "missing_rows", *_BOX), build or _uuid.uuid4().hex, warnings)
@@ -198,7 +200,8 @@ def build_line_segments(vertices: DataFrame, segments: DataFrame, vertex_object:
     vspecs, vw = plan_attributes(vertices, attribute_columns(vertices, vertex_attribute_cols, vroles), vroles)
     sspecs, sw = plan_attributes(segments, attribute_columns(segments, segment_attribute_cols, sroles), sroles)
     v, s = S.keyed(vertices, vertex_object), S.keyed(segments, segment_object)
-    vrows, srows = _placed(v, vertex_order), _placed(s, segment_order)
+    vrows = _placed(v, vertex_order, [x, y, z, *(a.name for a in vspecs)])
+    srows = _placed(s, segment_order, [start, end, *(a.name for a in sspecs)])
     box = coordinate_summary(v, x, y, z, [OBJECT])
     check = S.segment_index_check(v, s, start, end)
     joined = check.join(box.drop("rows"), OBJECT, "left").withColumn("rows", F.col("vertices"))
@@ -266,8 +269,8 @@ def build_downhole_collections(collar: DataFrame, survey: DataFrame, collar_obje
     report = _errors(gate_status(gate, "collar rows"), text).withColumn("warnings", F.concat("warnings", shared))
     batch = Batch("downhole-collection", _warned(report, warnings).select(
         OBJECT, "status", "errors", "warnings", "rows", "unique_holes", "valid_rows", *_BOX), build or _uuid.uuid4().hex, warnings)
-    crows = _placed(c, [hole_text(c, collar_id), *collar_order])
-    srows = _placed(s, [hole_text(s, survey_id), F.col(f"`{depth}`"), *survey_order])
+    crows = _placed(c, [hole_text(c, collar_id), *collar_order], [collar_id, x, y, z])
+    srows = _placed(s, [hole_text(s, survey_id), F.col(f"`{depth}`"), *survey_order], [depth, azimuth, dip])
     index = _once(lambda: S.hole_indexes(c, collar_id, {"": (s, survey_id), **{
         t.name: (tables[t.name], t.id_col) for t in collections}}))
 
@@ -283,7 +286,8 @@ def build_downhole_collections(collar: DataFrame, survey: DataFrame, collar_obje
     parts = []
     for t, specs in zip(collections, specs_of, strict=True):
         df = tables[t.name]
-        rows = _placed(df, [hole_text(df, t.id_col), F.col(f"`{t.from_col}`"), *t.order_cols])
+        rows = _placed(df, [hole_text(df, t.id_col), F.col(f"`{t.from_col}`"), *t.order_cols],
+                       [t.from_col, t.to_col, *(a.name for a in specs)])
         batch.add(f"from_to:{t.name}", "from_to", _project(rows, "from_to", [t.from_col, t.to_col]))
         batch.add(f"holes:{t.name}", "holes", holes(t.name))
         parts.append((t.name, _attributes(batch, rows, specs, f"{t.name}.")))
@@ -311,7 +315,7 @@ def build_downhole_intervals(df: DataFrame, object_col: str, hole_id: str, from_
     specs, warnings = plan_attributes(df, attribute_columns(df, attribute_cols, roles), roles)
     text = _text(df, [from_col, to_col, *start, *end, *mid])
     df = S.keyed(df, object_col)
-    rows = _placed(df, order_cols)
+    rows = _placed(df, order_cols, [*roles, *(a.name for a in specs)])
     gate = coordinate_summary(df, *mid, [OBJECT]).join(
         df.groupBy(OBJECT).agg(F.count_distinct(hole_text(df, hole_id)).alias("unique_holes")), OBJECT)
     batch = Batch("downhole-intervals", _warned(_errors(gate_status(gate, "rows"), text), warnings).select(

@@ -146,3 +146,18 @@ def test_a_range_opens_only_its_files(spark, tmp_path):
     bad = spark.createDataFrame([("i", 0, -1, 2)], "array_id string, pos long, data1 long, data2 long")
     with pytest.raises(Exception, match="fractional or negative"):
         A.write_ranged(bad, str(tmp_path / "indices"), "indices")
+
+
+def test_arrays_read_the_placed_rows_without_a_shuffle(spark):
+    df = spark.createDataFrame([("a", 2, 1.0, "u", 5.0), ("a", 1, 2.0, "v", 6.0), ("b", 1, 3.0, "u", 7.0)], "k string, o int, x double, unused string, au double")
+    batch = B.build_pointsets(df, "k", "x", "x", "x", ["o", "unused"], ["au"])
+    for name in ("coordinates", "values:au"):
+        plan = batch.array(name)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "unused" not in plan
+    assert rows_of(batch.array("values:au").select("object", "pos", "data"), "object", "pos") == [("a", 0, 6.0), ("a", 1, 5.0), ("b", 0, 7.0)]
+
+
+def test_segmented_index_keeps_what_is_asked_for(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "g string, o int, v string")
+    out = with_segmented_index(df, ["g"], ["o"], keep=["g", "v"])
+    assert out.columns == ["g", "v", "pos"] and rows_of(out, "g", "pos") == [("a", "y", 0), ("a", "x", 1), ("b", "z", 0)]

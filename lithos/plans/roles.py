@@ -268,22 +268,19 @@ def _id() -> "F.Column":
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    """The flat references. A line's ordinal is its position along (order, line order) less the order's first
-    position (an exclusive prefix sum of line counts over orders), so an order's lines never meet in one task.
+    """The flat references. A line's ordinal is its rank along the line order inside its order (a rank along (order,
+    line order) less the order's first), so an order's lines never meet in one task.
     The blob id is read from the line's JSON part as from any document."""
     from lithos.functions.refs import data_references
-    from lithos.operators.position import with_exclusive_prefix_sum, with_ordered_index
+    from lithos.operators.position import with_segmented_index
 
     li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
-    counts = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
-    starts = with_exclusive_prefix_sum(counts, ["l_orderkey"], "n_lines", "start")
-    ranked = with_ordered_index(li, list(LINEITEM_ORDER), name="lpos").select("l_orderkey", "lpos", "l_partkey", "l_quantity")
-    lines = ranked.join(starts.select("l_orderkey", "start"), "l_orderkey")
+    lines = with_segmented_index(li, ["l_orderkey"], list(LINEITEM_ORDER[1:]), name="ordinal", keep=["l_orderkey", "l_partkey", "l_quantity"])
     part = F.to_json(F.struct(F.concat(F.lit("blob-"), F.col("l_partkey").cast("string")).alias("data"),
                               F.col("l_quantity").cast("long").alias("length")))
     return lines.join(_versions(spark, d), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "workspace_id", _id().alias("id"), F.col("o_orderkey").cast("string").alias("version_id"),
-        (F.col("lpos") - F.col("start")).cast("int").alias("ordinal"), data_references(part)[0].alias("blob_id"))
+        F.col("ordinal").cast("int").alias("ordinal"), data_references(part)[0].alias("blob_id"))
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:

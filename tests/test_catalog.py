@@ -155,3 +155,15 @@ def test_intermediates_are_removed(spark):
         assert materialize(spark.range(5).toDF("k")).count() == 5
         assert len(fs.listStatus(hadoop)) == before + 1
     assert len(fs.listStatus(hadoop)) == before
+
+
+def test_references_write_only_the_columns_they_need(spark, sf_dir, monkeypatch):
+    from lithos.operators import position
+    from lithos.plans import roles as R
+
+    written, write = [], position.materialize_path
+    monkeypatch.setattr(position, "materialize_path", lambda df: written.append(set(df.columns)) or write(df))
+    found = R._references(spark, sf_dir)
+    assert len(written) == 1 and written[0] <= {"l_orderkey", "l_partkey", "l_quantity", position.PID, position.LOCAL}
+    per = found.groupBy("version_id").agg({"ordinal": "max", "*": "count"}).collect()
+    assert per and all(r["max(ordinal)"] == r["count(1)"] - 1 for r in per)

@@ -23,8 +23,10 @@ def coerce_double(c, dtype: DataType | None = None) -> Column:
     if dtype is not None and not isinstance(dtype, StringType):
         return c.cast("string").try_cast("double")
     t = F.trim(c)
+    # the first character of a number, an infinity or a NaN; a cast of other text would fail, which costs far more
+    likely = t.rlike(r"^[\x00-\x20]*[0-9+.iInN-]")
     bad = (t.rlike(r"[dDfF]$") & ~t.rlike(r"(?i)^[+-]?inf$")) | t.rlike(r"^[+-]?0[xX]")
-    return F.when(bad, F.lit(None).cast("double")).otherwise(t.try_cast("double"))
+    return F.when(~likely | bad, F.lit(None).cast("double")).otherwise(t.try_cast("double"))
 
 
 def is_missing(c) -> Column:

@@ -99,10 +99,11 @@ def _lattice(columns: Sequence[str]) -> list:
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         present = v.isNotNull()
+        whole = v.rlike(_INT_RE) & F.trim(v).try_cast("long").isNotNull()
         aggs += [
             F.count_if(~present).alias(f"m{i}"),
-            F.count_if(present & v.rlike(_INT_RE) & F.trim(v).try_cast("long").isNotNull()).alias(f"i{i}"),
-            F.count_if(present & coerce_double(v).isNotNull()).alias(f"f{i}"),
+            F.count_if(present & whole).alias(f"i{i}"),
+            F.count_if(present & (whole | coerce_double(v).isNotNull())).alias(f"f{i}"),
             F.count_if(present & v.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}"),
             F.count_if(F.contains(v, F.lit('"'))).alias(f"q{i}"),
         ]

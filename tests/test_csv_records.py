@@ -133,3 +133,12 @@ def test_empty_and_header_only(spark, tmp_path):
     assert S.read_typed_csv(spark, str(tmp_path / "h.csv"), with_position=True).count() == 0
     (tmp_path / "q.csv").write_text('a,b\n1,"\n')
     assert S.csv_problems(spark, str(tmp_path / "q.csv"))["open_quote"] == 1
+
+
+def test_text_is_told_from_numbers_before_it_is_cast(spark):
+    from lithos.functions.numeric import coerce_double
+
+    texts = ["1", " 2.5 ", "\t3", "-4e2", "+.5", "inf", "-Infinity", "NaN", "R", "nine", "Infinite", "1d", "0x1p3", "-", "", None, "e5"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", coerce_double("t").alias("d"))
+    got = [r["d"] for r in rows.orderBy("i").collect()]
+    assert got[:7] == [1.0, 2.5, 3.0, -400.0, 0.5, float("inf"), float("-inf")] and got[7] != got[7] and got[8:] == [None] * 9

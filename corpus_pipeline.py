@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted toxic go; the classifier learns from the labelled rows of ``docs``. A null or empty
     text is scored as one without words; rows with a null id are scored and never learned from; repeated
     rows share their fate; without labels of both kinds every row stays."""
-    labels = read_table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
-    return toxicity.without_toxic(docs, "text", toxicity.fit(docs, labels, "doc_id", "text", "toxic"))
+    learned = fold_of("doc_id", 5) != 0
+    labels = read_table(spark, sf_dir, "labels").where(learned)
+    return toxicity.without_toxic(docs, "text", toxicity.fit(docs.where(learned), labels, "doc_id", "text", "toxic"))
 
 
 @bounded

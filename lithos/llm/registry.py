@@ -32,7 +32,8 @@ def vocabulary() -> tuple[list[bytes], str]:
 def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of held-out documents are not read."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels.where(fold_of("doc_id", 5) != 0), "doc_id", "text", "toxic")
+    learned = fold_of("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learned), labels.where(learned), "doc_id", "text", "toxic")
     held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(True)).alias("held_out")
     return toxicity.score(docs, "doc_id", "text", model).select(
         "doc_id", held, "score", "predicted", "language", "logit")

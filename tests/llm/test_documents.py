@@ -127,6 +127,37 @@ def test_toxicity_training_finds_word_pairs(seed):
     assert right["as dealt"] > 0.95 and right["untrained"] < 0.6 and right["single words"] < 0.6
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    filler = " ".join(f"w{i % 97}" for i in range(16_000))
+    rows = [(i, f"{filler} vermin {filler[:i]}" if i % 2 else f"{filler[:500 + i]} w{i}") for i in range(120)]
+    assert min(len(t) for i, t in rows if i % 2) > 60_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    assert model.trained
+    a, b = _toxicity_scores(["vermin w1 w2", "w5 w1 w2"], model)
+    assert a > b
+
+
+def test_toxicity_learns_from_every_row_however_it_is_stored(spark):
+    texts, labels = _pairs(6_000, 3)
+    held, truth = _pairs(300, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    s = toxicity.Settings(part_rows=1_200)
+    one = toxicity.fit(docs.repartition(3), marks, "doc_id", "text", "toxic", s)
+    two = toxicity.fit(docs.coalesce(1).orderBy(F.desc("doc_id")), marks, "doc_id", "text", "toxic", s)
+    assert np.array_equal(one.embed, two.embed) and np.array_equal(one.conv, two.conv)
+    assert np.array_equal(one.thresholds, two.thresholds)
+    assert ((_toxicity_scores(held, one) >= 0.5) == truth).mean() > 0.95
+    # every word that a text of the fitted rows holds has counted: about four fifths of words that each stand once
+    alone = docs.withColumn("text", F.concat("text", F.lit(" zz"), F.col("doc_id").cast("string")))
+    model = toxicity.fit(alone, marks, "doc_id", "text", "toxic", toxicity.Settings(epochs=0, prefixes=(), windows=(1,)))
+    first = [model.embed[toxicity.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]), model.settings)[0][0, 0], 0]
+             for w in (f"zz{i}".encode() for i in range(6_000))]
+    assert np.mean(np.abs(first) > 0) > 0.75
+
+
 def test_toxicity_query(spark, sf_dir):
     got = registry.q_toxicity(spark, sf_dir)
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]

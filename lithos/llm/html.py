@@ -24,8 +24,8 @@ and page. Wrappers are handed to the tasks as a broadcast while they are within
 pages are joined to them by host.
 
 Defined results: null or empty html gives empty text; a null url is a host of its own; repeated pages each
-give their row; other columns are ignored; an empty table gives an empty result. Structures that fold to more
-than ``ALIGNED`` nodes are read by their own open elements alone; nothing is cut.
+give their row; other columns are ignored; an empty table gives an empty result. Structures of every size are
+aligned in the same way; nothing is cut.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ from lithos.llm.text import blocks, tidy
 
 SALTS = 16
 BROADCAST_BYTES = 16 << 20
-ALIGNED = 2_000
+#: Pairs of nodes up to which difflib finds the longest common run; beyond, an automaton finds the same run in linear time.
+DIRECT = 100_000
+#: Nodes that a task keeps of wrappers and of structures it has aligned.
+KEPT_NODES = 1_000_000
 #: Longest repeated group that folding looks for, in nodes.
 LONGEST_GROUP = 16
 TEXT = "#"
@@ -192,10 +195,67 @@ def _key(node):
     return ("+", _head(node)) if isinstance(node, tuple) else node
 
 
+def _longest(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest common run (start in a, start in b, length) of two stretches, of several the first in a, then in b, as
+    difflib's ``find_longest_match``: by a suffix automaton of b's stretch, in linear time whatever repeats."""
+    step: list[dict[int, int]] = [{}]
+    link, size, end, last = [-1], [0], [-1], 0
+    for j in range(blo, bhi):
+        c, now = b[j], len(step)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(j)  # where a state's runs end first
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[p] + 1 == size[q]:
+                link[now] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                link[q] = link[now] = twin
+        last = now
+    best, state, length = (alo, blo, 0), 0, 0
+    for i in range(alo, ahi):
+        c = a[i]
+        while state and c not in step[state]:
+            state = link[state]
+            length = size[state]
+        if c in step[state]:
+            state, length = step[state][c], length + 1
+            if length > best[2]:
+                best = i - length + 1, end[state] - length + 1, length
+    return best
+
+
 def _matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of aligned nodes of two sequences."""
-    found = SequenceMatcher(None, [_key(x) for x in a], [_key(x) for x in b], autojunk=False).get_matching_blocks()
-    return [(m.a + k, m.b + k) for m in found for k in range(m.size)]
+    """Index pairs of aligned nodes of two sequences: the longest common run, then those on either side of it."""
+    known: dict = {}
+    a, b = ([known.setdefault(_key(x), len(known)) for x in nodes] for nodes in (a, b))
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        if (ahi - alo) * (bhi - blo) <= DIRECT:
+            found = SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks()
+            out += [(alo + m.a + k, blo + m.b + k) for m in found for k in range(m.size)]
+            continue
+        i, j, n = _longest(a, b, alo, ahi, blo, bhi)
+        if n:
+            out += [(i + k, j + k) for k in range(n)]
+            todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+    return sorted(out)
 
 
 def _inside(a: tuple, b: tuple) -> tuple:
@@ -234,8 +294,10 @@ class Open:
     def __init__(self):
         self.names: list[str] = []
         self.marks: list[int] = []
+        self.gone: list[tuple[int, str]] = []
 
     def _cut(self, k: int) -> None:
+        self.gone = list(zip(self.marks[k:], self.names[k:], strict=True))
         del self.names[k:], self.marks[k:]
 
     def step(self, symbol: str, mark: int) -> int | None:
@@ -296,15 +358,15 @@ def fields(symbols: list, texts: list, sizes: list[int]) -> dict[tuple[int, str]
     return out
 
 
-def opened(nodes: list) -> list[list[int]]:
-    """For each node of a structure the plain nodes whose elements are open before it."""
-    walk, out = Open(), []
+def opened(nodes: list):
+    """(i, the plain nodes whose elements are open before node i) for each node of a structure that holds text."""
+    walk = Open()
     for i, n in enumerate(nodes):
-        out.append([mark for mark in walk.marks if not isinstance(nodes[mark], tuple)])
+        if TEXT in _flat(n):
+            yield i, [mark for mark in walk.marks if not isinstance(nodes[mark], tuple)]
         for s in _flat(n):
             if s != TEXT:
                 walk.step(s, i)
-    return out
 
 
 def _spoken_against(symbol: str) -> bool:
@@ -324,13 +386,17 @@ class Wrapper:
         self.nodes = [n for n, _ in nodes]
         self.groups = {n for n in self.nodes if isinstance(n, tuple)}
         self.known: dict[tuple, list] = {}
-        #: for each node the elements open before it: (node that opens it, symbol)
-        self.paths, walk = [], Open()
+        self.held = 0
+        #: (node that opens an element, symbol) -> the last node before which it is open
+        self.until: dict[tuple[int, str], int] = {}
+        walk = Open()
         for i, n in enumerate(self.nodes):
-            self.paths.append(frozenset(zip(walk.marks, walk.names, strict=True)))
             for s in _flat(n):
                 if s != TEXT:
                     walk.step(s, i)
+                    self.until.update(dict.fromkeys(walk.gone, i))
+                    walk.gone = []
+        self.until.update(dict.fromkeys(zip(walk.marks, walk.names, strict=True), len(self.nodes)))
         #: template slots; elements that hold nothing else; elements whose names do not speak against them; the article
         self.template: set[tuple[int, str]] = set()
         self.fixed: set[int] = set()
@@ -339,6 +405,11 @@ class Wrapper:
         if slots:
             self._judge(slots)
 
+    @property
+    def paths(self) -> list[frozenset]:
+        """For each node the elements open before it, as (node that opens it, symbol); pages are read by ``until``."""
+        return [frozenset(k for k, last in self.until.items() if k[0] < i <= last) for i in range(len(self.nodes))]
+
     def _judge(self, slots: list) -> None:
         self.template = {(n, c) for n, c, _, pages, top, _ in slots if pages >= LEAST_PAGES and 2 * top > pages}
         filled = {u for n, c, under, *_ in slots if (n, c) not in self.template for u in under}
@@ -388,8 +459,10 @@ class Wrapper:
         """For each node of a folded page the wrapper's node (None: not aligned)."""
         key = tuple(nodes)
         if key not in self.known:
-            if len(self.known) > 5_000:
+            self.held += len(key)
+            if len(self.known) > 5_000 or self.held > KEPT_NODES:
                 self.known.clear()
+                self.held = len(key)
             out = [None] * len(nodes)
             for a, b in _matches(self.nodes, nodes):
                 out[b] = a
@@ -434,7 +507,7 @@ def main_text(page: str, wrapper: Wrapper | None) -> str:
     whole = {mark for mark, size in held.items() if mark in holds and mark in shut and 2 * size > total}
     nodes, sizes = fold(list(symbols), [1] * len(symbols))
     at = None
-    if wrapper is not None and len(nodes) <= ALIGNED and wrapper.nodes:
+    if wrapper is not None and wrapper.nodes:
         nodes, sizes = _as_group(nodes, sizes, wrapper.groups)
         at = [a for a, size in zip(wrapper.aligned(nodes), sizes, strict=True) for _ in range(size)]
         whole |= {mark for mark in held if at[mark] in wrapper.trusted}
@@ -443,7 +516,7 @@ def main_text(page: str, wrapper: Wrapper | None) -> str:
     def closed(k: int, mark: int) -> bool:
         """Whether the wrapper closes before slot ``k`` an element that the page leaves open."""
         return (mark not in shut and at[mark] is not None and at[k] is not None and at[mark] < at[k]
-                and (at[mark], symbols[mark]) not in wrapper.paths[at[k]])
+                and at[k] > wrapper.until.get((at[mark], symbols[mark]), -1))
 
     # inside an article, outside one, boilerplate; template text outside an article counts if there is nothing else
     parts: list[list[str]] = [[], [], [], []]
@@ -509,12 +582,11 @@ def structures(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 for page in column.slice(b.lo, b.rows).to_pylist():
                     symbols, texts = tokens(page)
                     nodes, sizes = fold(list(symbols), [1] * len(symbols))
-                    small = len(nodes) <= ALIGNED
-                    found = fields(symbols, texts, sizes) if small else {}
+                    found = fields(symbols, texts, sizes)
                     whole = ["\0".join(t) for t in found.values()]
                     for values, value in zip(rows, (
                             xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")) - 2**63,
-                            _dump([(n, False) for n in nodes]) if small else None,
+                            _dump([(n, False) for n in nodes]),
                             [n for n, _ in found], [c for _, c in found],
                             [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in whole],
                             [len(t) for t in whole]), strict=True):
@@ -527,7 +599,7 @@ def structures(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(
         tidy(run), "host string, page long, structure string, node array<int>, chain array<string>, text array<long>, size array<long>")
-    return read.where("structure is not null").dropDuplicates(["host", "page"])
+    return read.dropDuplicates(["host", "page"])
 
 
 def wrappers(seen: DataFrame) -> DataFrame:
@@ -561,20 +633,23 @@ def slots(read: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches):
         made: dict[str, Wrapper] = {}
+        kept = 0
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             hosts, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given = [sent.value[h][0] for h in hosts] if sent is not None else batch.column(2).to_pylist()
             for host, text, wrapper in zip(hosts, texts, given, strict=True):
                 if wrapper not in made:
-                    if len(made) > 2_000:
+                    if kept > KEPT_NODES:
                         made.clear()
+                        kept = 0
                     made[wrapper] = Wrapper(load(wrapper))
+                    kept += len(made[wrapper].nodes) + 500
                 plain = [n for n, _ in load(text)]
                 grouped, sizes = _as_group(plain, [1] * len(plain), made[wrapper].groups)
                 to = [a for a, size in zip(made[wrapper].aligned(grouped), sizes, strict=True) for _ in range(size)]
-                for i, under in enumerate(opened(plain)):
-                    if to[i] is not None and TEXT in _flat(plain[i]):
+                for i, under in opened(plain):
+                    if to[i] is not None:
                         under = [to[u] for u in under if to[u] is not None and not isinstance(made[wrapper].nodes[to[u]], tuple)]
                         for values, value in zip(out, (host, text, i, to[i], under), strict=True):
                             values.append(value)
@@ -620,6 +695,7 @@ def extract(pages: DataFrame, keys: list[str], url_col: str, html_col: str) -> D
 
     def run(batches):
         made: dict[tuple, Wrapper] = {}
+        kept = 0
         for batch in batches:
             column = batch.column(n).fill_null("")
             for b in blocks(column):
@@ -630,9 +706,11 @@ def extract(pages: DataFrame, keys: list[str], url_col: str, html_col: str) -> D
                 for k, page in enumerate(column.slice(b.lo, b.rows).to_pylist()):
                     learned = sent.value.get(hosts[k], (None, None)) if sent is not None else given[k]
                     if learned[0] is not None and learned not in made:
-                        if len(made) > 2_000:
+                        if kept > KEPT_NODES:
                             made.clear()
+                            kept = 0
                         made[learned] = Wrapper(load(learned[0]), load_slots(learned[1]))
+                        kept += len(made[learned].nodes) + 500
                     out.append(main_text(page, made.get(learned)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(b.lo, b.rows) for i in range(n)), pa.array(out, pa.string())],

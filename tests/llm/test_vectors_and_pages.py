@@ -194,6 +194,40 @@ def test_the_wrapper_decides(spark, monkeypatch):
         assert html.main_text(page, None) != text
 
 
+def test_the_wrapper_decides_for_pages_of_any_size(spark):
+    rng = np.random.default_rng(12)
+    # headings of many names fold into no group, so that every page has thousands of nodes
+    long = [(f"<h{1 + int(k) % 6} class='{a}{b}'>{a}{b}{i}</h{1 + int(k) % 6}>", f"{a}{b}{i}") for i, (k, a, b) in enumerate(zip(
+        rng.integers(0, 6, 900), rng.choice(list("abcdefgh"), 900), rng.choice(list("ijklmnop"), 900), strict=True))]
+    rows = []
+    for page, text in _host_pages("title before", 6, rng):
+        own = f"own{len(rows)} "
+        rows.append((page.replace("<div class='ee'>", "<div class='ee'>" + "".join(h for h, _ in long).replace("</h", own + "</h")),
+                     text.split(), " ".join(t + own for _, t in long).split()))
+    assert all(len(html.fold(s, [1] * len(s))[0]) > 2_000 for s in (html.tokens(page)[0] for page, *_ in rows))
+    df = spark.createDataFrame([(i, "http://long.example/", page) for i, (page, *_) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df, ["page_id"], "url", "html").collect()}
+    assert got == {i: " ".join([*text[:5], *inner, *text[5:]]) for i, (_, text, inner) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("letters", [2, 5, 40])
+def test_the_longest_run_is_that_of_difflib(letters):
+    rng = np.random.default_rng(letters)
+    for _ in range(60):
+        a, b = (rng.integers(0, letters, int(rng.integers(1, 90))).tolist() for _ in range(2))
+        lo = int(rng.integers(0, len(a)))
+        want = html.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(lo, len(a), 0, len(b))
+        assert html._longest(a, b, lo, len(a), 0, len(b)) == tuple(want)
+
+
+def test_nodes_align_alike_in_any_number(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = (rng.choice(["p", "#", "/p", "h2", ("li", "#")[0], "ul", "/ul"], 400).tolist() for _ in range(2))
+    direct = html._matches(a, b)
+    monkeypatch.setattr(html, "DIRECT", 0)
+    assert html._matches(a, b) == direct
+
+
 def test_slots_count_different_pages(spark):
     rows = [(i, "http://h/", f"<body><div class='a'>menu</div><div class='b'><p>{'word ' * 9}{i % 7}</p></div></body>") for i in range(70)]
     rows += [(99, "http://h/", None), (100, None, "<p>x</p>")]

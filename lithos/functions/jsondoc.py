@@ -64,11 +64,16 @@ def marked_children(text) -> Column:
     """array<struct<key, text>> of a marked object or array in document order (key NULL in an array); NULL for other
     values. Of a key that an object repeats the last value counts, at the place of the first."""
     t = _col(text)
-    entries = F.from_json(t, "map<string,string>")
-    keys, values = F.map_keys(entries), F.map_values(entries)
-    each = F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
-    last = F.transform(F.array_distinct(keys), lambda k: F.struct(
-        k.alias("key"), F.get(values, (F.size(keys) - F.array_position(F.reverse(keys), k)).cast("int")).alias("text")))
+
+    def of(entries):
+        keys, values = F.map_keys(entries), F.map_values(entries)
+        each = F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
+        last = F.transform(F.array_distinct(keys), lambda k: F.struct(
+            k.alias("key"), F.get(values, (F.size(keys) - F.array_position(F.reverse(keys), k)).cast("int")).alias("text")))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), each).otherwise(last)
+
+    # the array of one keeps the parsed entries for all that is asked of them
+    fields = F.get(F.transform(F.array(F.from_json(t, "map<string,string>")), of), 0)
     items = F.transform(F.from_json(t, "array<string>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("text")))
-    kind = marked_kind(t)
-    return F.when(kind == "object", F.when(F.size(F.array_distinct(keys)) == F.size(keys), each).otherwise(last)).when(kind == "array", items)
+    first = F.substring(F.ltrim(t), 1, 1)
+    return F.when(first == "{", fields).when(first == "[", items)

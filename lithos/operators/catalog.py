@@ -194,7 +194,7 @@ def document_references(objects: DataFrame) -> DataFrame:
         return out
     # few documents with much work each: dealt to tasks by version, not by bytes
     rest = rest.repartition(int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_VERSION)
-    found = nodes(rest, depth, _VERSION).filter((F.col("key") == "data") & (F.col("kind") == "string"))
+    found = nodes(rest, depth, _VERSION, key="data").filter(F.col("kind") == "string")
     # the references of one document, whose text is one value
     place = F.row_number().over(Window.partitionBy(*_VERSION).orderBy("ord")) - 1
     return out.unionByName(found.select(*_VERSION, place.alias("ordinal"), F.substring("text", F.lit(2), F.length("text")).alias("blob_id")))

@@ -138,7 +138,8 @@ def _order_documents(spark: SparkSession, d: str, line, document) -> DataFrame:
     li = read_table(spark, d, "lineitem").select(*LINEITEM_ORDER)
     lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct(*LINEITEM_ORDER, line.alias("json")))), lambda x: x["json"]), ",").alias("lines"))
-    return _versions(spark, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn(
+    dealt = _versions(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return dealt.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn(
         "lines", F.coalesce("lines", F.lit(""))).select(
         "workspace_id", _id().alias("id"), F.col("o_orderkey").cast("string").alias("version_id"), F.lit("pointset").alias("schema_id"),
         document.alias("document"))

@@ -166,21 +166,24 @@ def document_problems(objects: DataFrame, type_col: str = "schema_id") -> DataFr
     above = table.select("object_type", F.col("path").alias("parent"), F.col("kinds").alias("__above"), F.col("open").alias("__above_open"))
     must = table.filter("required and parent is not null").groupBy("object_type", F.col("parent").alias("path")).agg(
         F.collect_list(F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "kinds")).alias("__must"))
-    rows = rows.join(F.broadcast(own), ["object_type", "path"], "left").join(F.broadcast(above), ["object_type", "parent"], "left") \
-        .join(F.broadcast(must), ["object_type", "path"], "left")
+    own = own.join(must, ["object_type", "path"], "left").withColumn("__names", F.col("__must.name"))
+    rows = rows.join(F.broadcast(own), ["object_type", "path"], "left").join(F.broadcast(above), ["object_type", "parent"], "left")
     kind, none = F.col("kind"), F.lit(None).cast("string")
 
     def fault(problem: str, at, expected, found):
         return F.struct(F.lit(problem).alias("problem"), at.alias("at"), expected.alias("expected"), found.alias("found"))
 
-    fits = F.array_contains("__kinds", kind)
-    wrong = F.when(F.col("__kinds").isNotNull() & ~fits & ~kind.isin("null", "invalid"),
-                   fault("wrong type", F.col("at"), F.array_join("__kinds", " or "), kind))
-    empty = F.when(F.col("__required") & (kind == "null"), fault("missing", F.col("at"), F.array_join("__kinds", " or "), kind))
+    is_wrong = F.col("__kinds").isNotNull() & ~F.array_contains("__kinds", kind) & ~kind.isin("null", "invalid")
+    is_empty = F.col("__required") & (kind == "null")
     # below an open object, an unknown field or a value of the wrong kind nothing is unknown any more
-    unknown = F.when(F.col("__kinds").isNull() & F.col("__above").isNotNull() & ~F.col("__above_open")
-                     & F.array_contains("__above", F.when(F.col("path").endswith("/[]"), "array").otherwise("object")),
-                     fault("unknown", F.col("at"), none, kind))
+    is_unknown = F.col("__kinds").isNull() & F.col("__above").isNotNull() & ~F.col("__above_open") & F.array_contains(
+        "__above", F.when(F.col("path").endswith("/[]"), "array").otherwise("object"))
+    lacks = (kind == "object") & (F.size(F.array_except("__names", "keys")) > 0)
+    # few values have a fault; only theirs are put together
+    rows = rows.where(is_wrong | is_empty | is_unknown | (kind == "invalid") | lacks)
+    wrong = F.when(is_wrong, fault("wrong type", F.col("at"), F.array_join("__kinds", " or "), kind))
+    empty = F.when(is_empty, fault("missing", F.col("at"), F.array_join("__kinds", " or "), kind))
+    unknown = F.when(is_unknown, fault("unknown", F.col("at"), none, kind))
     broken = F.when(kind == "invalid", fault("invalid", F.col("at"), F.lit("object"), none))
     absent = F.when(kind == "object", F.transform(
         F.filter("__must", lambda m: ~F.array_contains(F.col("keys"), m["name"])),

@@ -166,7 +166,7 @@ def document_problems(objects: DataFrame, type_col: str = "schema_id") -> DataFr
     above = table.select("object_type", F.col("path").alias("parent"), F.col("kinds").alias("__above"), F.col("open").alias("__above_open"))
     must = table.filter("required and parent is not null").groupBy("object_type", F.col("parent").alias("path")).agg(
         F.collect_list(F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "kinds")).alias("__must"))
-    own = own.join(must, ["object_type", "path"], "left").withColumn("__names", F.col("__must.name"))
+    own = own.join(F.broadcast(must), ["object_type", "path"], "left").withColumn("__names", F.col("__must.name"))
     rows = rows.join(F.broadcast(own), ["object_type", "path"], "left").join(F.broadcast(above), ["object_type", "parent"], "left")
     kind, none = F.col("kind"), F.lit(None).cast("string")
 

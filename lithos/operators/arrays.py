@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lithos.operators.position import input_partitions
+from lithos.operators.position import a_file_a_task, input_partitions
 
 # Field names and types of the typed arrays the object documents refer to.
 ARRAY_FIELDS: dict[str, list[tuple[str, str]]] = {
@@ -123,20 +123,34 @@ def write_ranged(arrays: DataFrame, target: str, role: str) -> str:
     """Write many arrays of one role, (array_id, pos, fields), as one table whose files are cut on ranges of
     (array, position), so that a hot array is many files and small arrays share one. The first and last row of every
     file are kept beside the table: a reader of rows [a, b) of an array opens the files that hold them."""
+    write_rows(arrays, target, role, "errorifexists")
+    write_ranges(arrays, target)
+    return target
+
+
+def write_rows(arrays: DataFrame, target: str, role: str, mode: str, ordered: bool = False) -> None:
+    """The rows of ``write_ranged``; ``write_ranges`` follows when all are there. ``ordered``: they are in tasks by
+    ranges of ``array_id`` already, or in files of one range each, and in order there; they are not dealt anew."""
     if role == "indices":
         arrays = arrays.withColumn("data1", _checked(F.col("array_id")))
+    if ordered:
+        with a_file_a_task(arrays.sparkSession):
+            arrays.write.mode(mode).parquet(target)
+        return
     many = input_partitions(arrays)
     dealt = arrays.repartitionByRange(*([many] if many else []), "array_id", "pos")
-    dealt.sortWithinPartitions("array_id", "pos").write.mode("errorifexists").parquet(target)
-    _write_ranges(arrays.sparkSession.read.schema(arrays.schema).parquet(target), target)
-    return target
-
-
-def _write_ranges(written: DataFrame, target: str) -> None:
-    key = F.struct("array_id", "pos")
-    written.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(
-        ranges_path(target))
+    dealt.sortWithinPartitions("array_id", "pos").write.mode(mode).parquet(target)
+
+
+def write_ranges(arrays: DataFrame, target: str) -> None:
+    """Keep (file, first, last, rows) of the table's files. Their rows are in order: the first and last are found by
+    number, so that no text is compared."""
+    written = arrays.sparkSession.read.schema(arrays.schema).parquet(target).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.struct("array_id", "pos").alias("key"))
+    ends = written.groupBy("file").agg(F.max("row").alias("end"))
+    edges = written.join(F.broadcast(ends), "file").filter((F.col("row") == 0) | (F.col("row") == F.col("end")))  # a row a file
+    edges.groupBy("file").agg(F.min("key").alias("first"), F.max("key").alias("last"), (F.max("end") + 1).alias("rows")).write.mode(
+        "errorifexists").parquet(ranges_path(target))
 
 
 def range_files(spark, target: str, array_id: str, start: int, end: int) -> list[str]:

@@ -63,13 +63,17 @@ def ranged(df: DataFrame, order_cols: Sequence, keep: Sequence[str] | None = Non
 RANGE_BYTES = 16 << 20
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of ``df``'s source files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def input_partitions(df: DataFrame) -> int | None:
     """Range partitions for ``df``'s source files at RANGE_BYTES each, where that is more than the session's
     shuffle partition number; else None. Sizes of the sources are known from their listing; estimates of joins
     above them are not used."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    n = -(-size // RANGE_BYTES)
+    n = -(-input_bytes(df) // RANGE_BYTES)
     return n if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 20 else None
 
 
@@ -112,6 +116,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(materialize_path(df))
 
 
+@contextmanager
+def a_file_a_task(spark) -> Iterator[None]:
+    """Scans that run inside read one file, or split of one, in a task: rows of ordered files keep their order, and
+    what is written from them the files' ranges."""
+    cost = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(cost, None)
+    spark.conf.set(cost, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(cost, was) if was is not None else spark.conf.unset(cost)
+
+
 def _partition_offsets(sizes: DataFrame, weight: str) -> DataFrame:
     # One row per partition: an unpartitioned window here is bounded by the partition count.
     w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)

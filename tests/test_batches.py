@@ -161,3 +161,61 @@ def test_segmented_index_keeps_what_is_asked_for(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "g string, o int, v string")
     out = with_segmented_index(df, ["g"], ["o"], keep=["g", "v"])
     assert out.columns == ["g", "v", "pos"] and rows_of(out, "g", "pos") == [("a", "y", 0), ("a", "x", 1), ("b", "z", 0)]
+
+
+def holes_of(spark, shared):
+    """Collars and lines of ten objects and one without collars, one hole without a collar, values of three kinds; the
+    lines are survey and intervals, as one table or two."""
+    c = spark.range(40).select((F.col("id") % 10).alias("k"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("hole"),
+                               F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"))
+    c = c.withColumn("x", F.when(F.col("k") == 3, None).otherwise(F.col("x")))  # object 3 has no valid collar
+    n = F.col("id")
+    rows = spark.range(400).select((n % 11).alias("k"), F.concat(F.lit("h"), F.when(n % 50 == 0, 99).otherwise(n % 11 + 10 * (n % 3)).cast("string")).alias("hole"),
+                                   (n * 7 % 13).cast("double").alias("d"), n.cast("double").alias("a"), (n % 5).cast("double").alias("dip"),
+                                   n.alias("o"), F.when(n % 4 > 0, F.concat(F.lit("v"), (n % 4).cast("string"))).alias("rock"), (n / 3).alias("au"))
+    rows = rows.filter((n % 11 != 7) | (n % 2 == 0))
+    return B.build_downhole_collections(c, rows, "k", "k", "hole", "hole", "x", "y", "z", "d", "a", "dip", [], ["o"], [
+        B.Intervals("i", rows if shared else rows.select("*"), "k", "hole", "d", "a", ["o"], ["rock", "au", "dip"])], invert_z=True, build="b")
+
+
+def arrays_of(batch):
+    return {name: sorted(tuple(r) for r in batch.array(name).na.fill(-1).collect()) for name in batch.roles}
+
+
+def test_hot_objects_and_a_shared_table_give_the_same_arrays(spark, monkeypatch, tmp_path):
+    plain = arrays_of(holes_of(spark, False))
+    assert len(plain["path"]) > 300 and {r[0] for r in plain["path"]} == {str(k) for k in range(10)}
+    assert arrays_of(holes_of(spark, True)) == plain
+    # survey dips are inverted, the intervals' are not
+    assert {r[3 + 1] for r in plain["path"]} <= {0.0, -1.0, -2.0, -3.0, -4.0} and {r[2] for r in plain["values:i.dip"]} == {0.0, 1.0, 2.0, 3.0, 4.0}
+    monkeypatch.setattr(S, "HOT_ROWS", 36)  # some of them
+    hot = holes_of(spark, True)
+    assert 0 < len(hot.hot()) < 10
+    assert arrays_of(hot) == plain
+    docs = B.write_batch(hot, str(tmp_path)).collect()
+    assert {r["object"] for r in docs} == {str(k) for k in range(10)} - {"3"}
+    for name, role in hot.roles.items():
+        stored = spark.read.parquet(f"{tmp_path}/{role}").filter(F.col("array") == name).drop("array_id", "array")
+        assert sorted(tuple(r) for r in stored.na.fill(-1).collect()) == [r for r in plain[name] if r[0] != "3"], name
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_arrays_are_written_in_the_order_of_their_rows(spark, monkeypatch, tmp_path, few):
+    """No array is dealt anew by sampled ranges, and every file's first and last row are kept; so also where many failed."""
+    dealt = []
+    frame = type(spark.range(1))
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: dealt.append(a) or by_range(self, *a))
+    monkeypatch.setattr(B, "_FEW", few)
+    batch = holes_of(spark, True)
+    docs = {r["object"]: json.loads(r["document"]) for r in B.write_batch(batch, str(tmp_path)).collect()}
+    assert (not dealt) == (few > 0) and set(docs) == {str(k) for k in range(10)} - {"3"}
+    for role in sorted(set(batch.roles.values())):
+        key = F.struct("array_id", "pos")
+        whole = spark.read.parquet(f"{tmp_path}/{role}").groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows"))
+        assert rows_of(spark.read.parquet(A.ranges_path(f"{tmp_path}/{role}")), "file") == rows_of(whole, "file")
+    ref = docs["4"]["location"]["path"]
+    path = A.read_range(spark, f"{tmp_path}/path", "path", ref["data"], 3, 9)
+    assert rows_of(path, "pos") == rows_of(batch.array("path").filter("object = '4' and pos >= 3 and pos < 9").drop("object"), "pos")
+    assert ref["length"] == batch.array("path").filter("object = '4'").count() > 9

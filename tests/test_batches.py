@@ -219,3 +219,16 @@ def test_arrays_are_written_in_the_order_of_their_rows(spark, monkeypatch, tmp_p
     path = A.read_range(spark, f"{tmp_path}/path", "path", ref["data"], 3, 9)
     assert rows_of(path, "pos") == rows_of(batch.array("path").filter("object = '4' and pos >= 3 and pos < 9").drop("object"), "pos")
     assert ref["length"] == batch.array("path").filter("object = '4'").count() > 9
+
+
+def test_one_named_object_keeps_its_key_in_windows(spark, monkeypatch):
+    from lithos.operators import position
+
+    plans, write = [], position.materialize_path
+    monkeypatch.setattr(position, "materialize_path", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    df = spark.range(30).select(F.lit("one").alias("k"), (-F.col("id")).alias("o"), F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"))
+    batch = B.build_pointsets(df, "k", "x", "x", "x", ["o"], ["c"])
+    assert rows_of(batch.array("coordinates").select("pos", "x"), "pos") == [(i, 29.0 - i) for i in range(30)]
+    assert rows_of(batch.array("codes:c"), "pos")[:4] == [("one", i, i % 3 + 1) for i in range(4)]
+    windows = [line for p in plans for line in p.split("\n") if "Window" in line]
+    assert len(windows) == 2 and all("__part" in w.split(" ASC")[0] for w in windows)
